@@ -114,7 +114,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (words, tokens)]
     last = spare(docs, "words_of")
     docs = docs.select(*keep, F.col(text).cast("binary").alias(last))
-    schema = docs.drop(last).schema.add(words, "bigint").add(tokens, "bigint")
+    schema = docs.drop(last).schema.add(words, "long").add(tokens, "long")
 
     def run(batches):
         counts = Counts(held.value)
