@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tallyloom.llm import line_dedup as lines
+from tallyloom.llm import mixing
 from tallyloom.llm.common import table
+from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.token_counts import token_counts
 
 
@@ -11,11 +14,31 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_line_dedup(spark, sf_dir):
+    """Every document without its source's boilerplate lines: doc_id, text, n_removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.line_dedup(docs, removed="n_removed").select("doc_id", "text", "n_removed")
+
+
+def op4_fingerprints(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_fingerprints": op4_fingerprints,
+        "op5_mixing": op5_mixing,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op3_line_dedup": lines.SQL,
+        "op5_mixing": mixing.SQL,
+    }
