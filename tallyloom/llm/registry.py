@@ -7,6 +7,7 @@ from tallyloom.llm import mixing
 from tallyloom.llm.common import table
 from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.token_counts import token_counts
+from tallyloom.llm.url_filter import seed_urls, url_filter
 
 
 def op1_token_counts(spark, sf_dir):
@@ -28,12 +29,18 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter(table(spark, sf_dir, "pages"), seed_urls(spark), keep=["page_id"])
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
         "op3_line_dedup": op3_line_dedup,
         "op4_fingerprints": op4_fingerprints,
         "op5_mixing": op5_mixing,
+        "op8_url_filter": op8_url_filter,
     }
 
 
