@@ -6,6 +6,7 @@ from tallyloom.llm import line_dedup as lines
 from tallyloom.llm import mixing
 from tallyloom.llm.common import table
 from tallyloom.llm.fingerprints import edited_fingerprints
+from tallyloom.llm.html_text import extract
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.url_filter import seed_urls, url_filter
 
@@ -15,6 +16,11 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_html_extraction(spark, sf_dir):
+    """The article of every page: page_id, url, text, n_chars."""
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_line_dedup(spark, sf_dir):
     """Every document without its source's boilerplate lines: doc_id, text, n_removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -37,6 +43,7 @@ def op8_url_filter(spark, sf_dir):
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_html_extraction": op2_html_extraction,
         "op3_line_dedup": op3_line_dedup,
         "op4_fingerprints": op4_fingerprints,
         "op5_mixing": op5_mixing,
