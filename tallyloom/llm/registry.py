@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallyloom.llm import line_dedup as lines
 from tallyloom.llm import mixing
 from tallyloom.llm.common import table
+from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.html_text import extract
 from tallyloom.llm.token_counts import token_counts
@@ -40,6 +41,11 @@ def op8_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages"), seed_urls(spark), keep=["page_id"])
 
 
+def op9_decontamination(spark, sf_dir):
+    """Every document that holds a benchmark item: doc_id, item_id, item_shingles, shared, containment."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -48,6 +54,7 @@ def queries():
         "op4_fingerprints": op4_fingerprints,
         "op5_mixing": op5_mixing,
         "op8_url_filter": op8_url_filter,
+        "op9_decontamination": op9_decontamination,
     }
 
 
