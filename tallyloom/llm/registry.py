@@ -8,6 +8,7 @@ from tallyloom.llm.common import table
 from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.html_text import extract
+from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.url_filter import seed_urls, url_filter
 
@@ -36,6 +37,11 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_near_dedup(spark, sf_dir):
+    """Every document's component by two-word shingles: doc_id, n_shingles, component_id, kept."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op8_url_filter(spark, sf_dir):
     """Host, path, rule and verdict of every page's url."""
     return url_filter(table(spark, sf_dir, "pages"), seed_urls(spark), keep=["page_id"])
@@ -53,6 +59,7 @@ def queries():
         "op3_line_dedup": op3_line_dedup,
         "op4_fingerprints": op4_fingerprints,
         "op5_mixing": op5_mixing,
+        "op6_near_dedup": op6_near_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
     }
