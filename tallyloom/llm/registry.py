@@ -8,6 +8,7 @@ from tallyloom.llm.common import table
 from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.html_text import extract
+from tallyloom.llm.language_id import predicted
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.url_filter import seed_urls, url_filter
@@ -52,6 +53,11 @@ def op9_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_language_id(spark, sf_dir):
+    """The predicted language of every document: doc_id, held_out, lang_pred, score."""
+    return predicted(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -62,6 +68,7 @@ def queries():
         "op6_near_dedup": op6_near_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
+        "op10_language_id": op10_language_id,
     }
 
 
