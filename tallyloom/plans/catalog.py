@@ -1,9 +1,276 @@
-"""The registered queries of the mining engine and their SQL."""
+"""The registered queries of the mining engine and their SQL.
+
+Baskets: B1 the brands of an order, B2 the kinds of event of a user on a day, B3 five attributes of a line item. Thresholds are
+absolute counts, set as a share of the number of baskets so that they fit every size of the tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.operators import encode, items, itemsets, mine, paths
+from tallyloom.sources import baskets as src
+
+B1, B2, B3 = src.order_brands, src.user_days, src.line_attributes
+L1 = "SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
+L2 = "SELECT DISTINCT user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS tid, event_type AS item FROM events"
+L3 = """SELECT tid, unnest(['rf=' || l_returnflag, 'ls=' || l_linestatus, 'disc=' || round(l_discount * 100)::INT::VARCHAR,
+ 'tax=' || round(l_tax * 100)::INT::VARCHAR, 'ln=' || l_linenumber::VARCHAR]) AS item FROM (SELECT row_number() OVER () AS tid, * FROM lineitem)"""
+
+#: One in so many baskets must hold an itemset.
+SHARE = {"b1": 100, "b1_low": 250, "b2": 20, "b2_low": 200, "b3": 30}
+
+
+def threshold(long, share: int) -> int:
+    return max(2, long.select("tid").distinct().count() // share)
+
+
+def sets(long):
+    return src.baskets(long)
+
+
+def shown(found):
+    return found.select(itemsets.item_string(F.col("itemset")).alias("itemset"), "support")
+
+
+def _mined(basket, share, engine):
+    def query(spark, sf_dir):
+        long = basket(spark, sf_dir)
+        return shown(mine.mine(sets(long), threshold(long, share), engine=engine))
+
+    return query
+
+
+def _sql(long: str, share: int, rest: str) -> str:
+    return f"WITH RECURSIVE long AS ({long}),\nthr AS (SELECT greatest(2, count(DISTINCT tid) // {share}) AS m FROM long),\n{rest}"
+
+
+def _eclat(long: str, share: int, tail: str = "SELECT array_to_string(items, ' ') AS itemset, len(tids)::BIGINT AS support FROM r") -> str:
+    return _sql(long, share, f"""f AS (SELECT item, list(DISTINCT tid) AS tids FROM long GROUP BY item HAVING count(DISTINCT tid) >= (SELECT m FROM thr)),
+r AS (SELECT [item] AS items, item AS last, tids FROM f
+ UNION ALL SELECT list_append(r.items, f.item), f.item, list_intersect(r.tids, f.tids) FROM r JOIN f ON f.item > r.last
+ WHERE len(list_intersect(r.tids, f.tids)) >= (SELECT m FROM thr))
+{tail}""")
+
+
+_RANKS = """fi AS (SELECT item, count(*) AS support FROM long GROUP BY item HAVING count(*) >= (SELECT m FROM thr)),
+rk AS (SELECT item, support, row_number() OVER (ORDER BY support DESC, item) AS rank FROM fi),
+tx AS (SELECT tid, list(item ORDER BY rank) AS path FROM long JOIN rk USING (item) GROUP BY tid),
+wp AS (SELECT path, count(*) AS w FROM tx GROUP BY path),
+"""
+_NODES = _RANKS + """nd AS (SELECT path[1:k] AS prefix, path[k] AS item, k AS depth, sum(w)::BIGINT AS support FROM (SELECT path, w, unnest(range(1, len(path) + 1)) AS k FROM wp) GROUP BY ALL),
+"""
+
+
+def _tree(spark, sf_dir, share=SHARE["b2"]):
+    long = B2(spark, sf_dir)
+    ranks = paths.ranked_items(long, threshold(long, share))
+    found = paths.weighted(paths.filtered(long, ranks))
+    return found, paths.nodes(found)
+
+
+def item_support(spark, sf_dir):
+    return items.item_support(B1(spark, sf_dir))
+
+
+def frequent_items(spark, sf_dir):
+    long = B1(spark, sf_dir)
+    return items.frequent_items(long, threshold(long, 25))
+
+
+def dense_histogram(spark, sf_dir):
+    return items.dense_histogram(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber"), 16, "l_linenumber")
+
+
+def item_rank(spark, sf_dir):
+    long = B1(spark, sf_dir)
+    return items.ranked(items.frequent_items(long, threshold(long, 25)))
+
+
+def distinct_item_count(spark, sf_dir):
+    return items.distinct_items(B1(spark, sf_dir))
+
+
+def _part_cells(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row"), F.lit(0).alias("col"), F.col("p_brand").alias("item"))
+
+
+def dictionary_first_seen(spark, sf_dir):
+    return encode.first_seen(_part_cells(spark, sf_dir), ["row", "col"])
+
+
+def dictionary_encoded(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
+    cells = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("p_brand").alias("item"))
+    got = encode.encode(cells, encode.first_seen(cells, ["row", "col"]))
+    return got.select("tid", F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
+
+
+def dense_rerank(spark, sf_dir):
+    return encode.dense_rerank(_part_cells(spark, sf_dir))
+
+
+def one_hot(spark, sf_dir):
+    return encode.one_hot(B2(spark, sf_dir), ["click", "error", "login", "purchase", "view"])
+
+
+def filtered_transactions(spark, sf_dir):
+    long = B1(spark, sf_dir)
+    got = paths.filtered(long, paths.ranked_items(long, threshold(long, 25)))
+    return got.select("tid", paths.path_string("path").alias("path"))
+
+
+def weighted_paths(spark, sf_dir):
+    return _tree(spark, sf_dir)[0].select(paths.path_string("path").alias("path"), "w")
+
+
+def tree_nodes(spark, sf_dir):
+    return _tree(spark, sf_dir)[1].select(paths.path_string("prefix").alias("prefix"), "item", "depth", "support")
+
+
+def leaf_nodes(spark, sf_dir):
+    return paths.leaves(_tree(spark, sf_dir)[1]).select(paths.path_string("prefix").alias("prefix"), "support")
+
+
+def flat_tree(spark, sf_dir):
+    """Each node with its parent's item and support, for the ids are hashes."""
+    flat = paths.parents(_tree(spark, sf_dir)[1])
+    up = flat.select(F.col("id").alias("parent"), F.col("item").alias("up_item"), F.col("support").alias("up_support"))
+    return flat.join(up, "parent", "left").select("item", "depth", "support", F.coalesce("up_item", F.lit("")).alias("up_item"), F.coalesce("up_support", F.lit(0)).alias("up_support"))
+
+
+def header_table(spark, sf_dir):
+    return paths.header(_tree(spark, sf_dir)[1])
+
+
+def tree_stats(spark, sf_dir):
+    return paths.tree_stats(_tree(spark, sf_dir)[1])
+
+
+def conditional_pattern_base(spark, sf_dir):
+    return paths.pattern_base(_tree(spark, sf_dir)[0], "purchase").select(paths.path_string("base").alias("base"), "w")
+
+
+def conditional_tree(spark, sf_dir):
+    long = B2(spark, sf_dir)
+    got = paths.conditional_paths(_tree(spark, sf_dir)[0], "purchase", threshold(long, SHARE["b2"]))
+    return got.select(paths.path_string("path").alias("path"), "w")
+
+
+def candidate_pairs(spark, sf_dir):
+    long = B1(spark, sf_dir)
+    m = threshold(long, SHARE["b1"])
+    state = paths.states(paths.weighted(paths.filtered(long, paths.ranked_items(long, m))))
+    got = mine.supported(mine.grow(state), m)
+    return shown(got.select(itemsets.canonical(F.transform("itemset", lambda s: s["item"])).alias("itemset"), "support"))
+
+
+def candidate_offsets(spark, sf_dir):
+    return paths.offsets(_tree(spark, sf_dir)[1]).select(paths.path_string("prefix").alias("prefix"), F.col("start").cast("long").alias("start"))
+
+
+def single_path_subsets(spark, sf_dir):
+    """The chain of the return flags' and line statuses' counts, by descending count."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber")
+    one = li.filter("l_linenumber <= 5").groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    chain = one.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "n"))).alias("c")).select(F.transform("c", lambda s: s["l_linenumber"]).alias("items"), F.transform("c", lambda s: s["n"]).alias("counts"))
+    return shown(mine.power_set(chain.filter(F.size("items") > 0), 2))
+
+
+def itemsets_of_size_2(spark, sf_dir):
+    long = B1(spark, sf_dir)
+    return shown(itemsets.of_size(mine.mine(sets(long), threshold(long, SHARE["b1"])), 2))
+
+
+def itemset_size_histogram(spark, sf_dir):
+    long = B2(spark, sf_dir)
+    return itemsets.size_histogram(mine.mine(sets(long), threshold(long, SHARE["b2_low"])))
+
+
+def _two(spark, sf_dir):
+    long = B2(spark, sf_dir)
+    return [mine.mine(sets(long), threshold(long, SHARE[k])) for k in ("b2_low", "b2")]
+
+
+def threshold_intersect(spark, sf_dir):
+    return itemsets.common(*_two(spark, sf_dir)).select(itemsets.item_string(F.col("itemset")).alias("itemset"))
+
+
+def threshold_except(spark, sf_dir):
+    return itemsets.only_in(*_two(spark, sf_dir)).select(itemsets.formatted(F.col("itemset")).alias("itemset"))
+
+
+def difference_sample(spark, sf_dir):
+    return itemsets.sample_of(itemsets.only_in(*_two(spark, sf_dir))).select(itemsets.item_string(F.col("itemset")).alias("itemset"))
+
+
+def match_score(spark, sf_dir):
+    long = B2(spark, sf_dir)
+    m, tx = threshold(long, SHARE["b2"]), sets(long)
+    return itemsets.match_score(mine.mine(tx, m), mine.mine(tx, m, engine="levels"))
+
+
+def association_rules(spark, sf_dir):
+    long = B2(spark, sf_dir)
+    got = mine.rules(mine.mine(sets(long), threshold(long, SHARE["b2"])), 0.3)
+    return got.select(itemsets.item_string(F.col("antecedent")).alias("antecedent"), "consequent", "support")
+
+
+QUERIES = {
+    "frequent_itemsets_mllib": _mined(B1, SHARE["b1"], "mllib"), "frequent_itemsets_levels": _mined(B1, SHARE["b1"], "levels"),
+    "frequent_itemsets_low_mllib": _mined(B1, SHARE["b1_low"], "mllib"), "frequent_itemsets_low_levels": _mined(B1, SHARE["b1_low"], "levels"),
+    "event_itemsets_mllib": _mined(B2, SHARE["b2_low"], "mllib"), "event_itemsets_levels": _mined(B2, SHARE["b2_low"], "levels"),
+    "attribute_itemsets_mllib": _mined(B3, SHARE["b3"], "mllib"), "attribute_itemsets_levels": _mined(B3, SHARE["b3"], "levels"),
+}
+QUERIES |= {f.__name__: f for f in (item_support, frequent_items, dense_histogram, item_rank, distinct_item_count, dictionary_first_seen, dictionary_encoded, dense_rerank, one_hot, filtered_transactions, weighted_paths, tree_nodes, leaf_nodes, flat_tree, header_table, tree_stats, conditional_pattern_base, conditional_tree, candidate_pairs, candidate_offsets, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except, difference_sample, match_score, association_rules)}
+
+_B2 = lambda rest: _sql(L2, SHARE["b2"], rest)
+_LOW_NOT_HIGH = _eclat(L2, SHARE["b2_low"], f"""SELECT {{}} FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)""")
+SQL = {
+    **{f"{name}_{engine}": _eclat(long, share) for name, long, share in (("frequent_itemsets", L1, SHARE["b1"]), ("frequent_itemsets_low", L1, SHARE["b1_low"]), ("event_itemsets", L2, SHARE["b2_low"]), ("attribute_itemsets", L3, SHARE["b3"])) for engine in ("mllib", "levels")},
+    "item_support": f"SELECT item, count(*) AS support FROM ({L1}) GROUP BY item",
+    "frequent_items": _sql(L1, 25, "x AS (SELECT item, count(*) AS support FROM long GROUP BY item)\nSELECT item, support FROM x WHERE support >= (SELECT m FROM thr)"),
+    "dense_histogram": "SELECT r.range::INT AS item, count(l_linenumber) AS support FROM range(16) r LEFT JOIN lineitem ON l_linenumber = r.range GROUP BY 1",
+    "item_rank": _sql(L1, 25, _RANKS + "z AS (SELECT 1)\nSELECT item, support, rank FROM rk"),
+    "distinct_item_count": f"SELECT count(DISTINCT item) AS n FROM ({L1})",
+    "dictionary_first_seen": "SELECT p_brand AS item, row_number() OVER (ORDER BY min(p_partkey))::INT AS id FROM part GROUP BY p_brand",
+    "dictionary_encoded": """WITH c AS (SELECT l_orderkey AS tid, l_linenumber AS col, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
+d AS (SELECT item, row_number() OVER (ORDER BY min((tid, col)), item) AS id FROM c GROUP BY item)
+SELECT tid, string_agg(id::VARCHAR, ' ' ORDER BY col, id) AS items FROM c JOIN d USING (item) GROUP BY tid""",
+    "dense_rerank": "SELECT item, row_number() OVER (ORDER BY item)::INT AS id FROM (SELECT DISTINCT p_brand AS item FROM part)",
+    "one_hot": f"SELECT tid, {', '.join(f'''bool_or(item = '{k}') AS {k}''' for k in ('click', 'error', 'login', 'purchase', 'view'))} FROM ({L2}) GROUP BY tid",
+    "filtered_transactions": _sql(L1, 25, _RANKS + "z AS (SELECT 1)\nSELECT tid, array_to_string(path, ' ') AS path FROM tx"),
+    "weighted_paths": _B2(_RANKS + "z AS (SELECT 1)\nSELECT array_to_string(path, ' ') AS path, w FROM wp"),
+    "tree_nodes": _B2(_NODES + "z AS (SELECT 1)\nSELECT array_to_string(prefix, ' ') AS prefix, item, depth::INT AS depth, support FROM nd"),
+    "leaf_nodes": _B2(_NODES + "z AS (SELECT 1)\nSELECT array_to_string(prefix, ' ') AS prefix, support FROM nd WHERE prefix NOT IN (SELECT prefix[1:depth - 1] FROM nd WHERE depth > 1)"),
+    "flat_tree": _B2(_NODES + "z AS (SELECT 1)\nSELECT a.item, a.depth::INT AS depth, a.support, coalesce(b.item, '') AS up_item, coalesce(b.support, 0) AS up_support FROM nd a LEFT JOIN nd b ON b.prefix = a.prefix[1:a.depth - 1]"),
+    "header_table": _B2(_NODES + "z AS (SELECT 1)\nSELECT item, sum(support)::BIGINT AS support, count(*) AS nodes FROM nd GROUP BY item"),
+    "tree_stats": _B2(_NODES + "z AS (SELECT 1)\nSELECT count(*) AS nodes, coalesce(max(depth), 0)::INT AS depth FROM nd"),
+    "conditional_pattern_base": _B2(_RANKS + "z AS (SELECT path[1:list_position(path, 'purchase') - 1] AS base, w FROM wp WHERE list_position(path, 'purchase') > 1)\nSELECT array_to_string(base, ' ') AS base, sum(w)::BIGINT AS w FROM z GROUP BY base"),
+    "conditional_tree": _B2(_RANKS + """z AS (SELECT row_number() OVER () AS k, path[1:list_position(path, 'purchase') - 1] AS base, w FROM wp WHERE list_position(path, 'purchase') > 1),
+e AS (SELECT k, w, unnest(base) AS item, unnest(range(len(base))) AS pos FROM z), ok AS (SELECT item FROM e GROUP BY item HAVING sum(w) >= (SELECT m FROM thr)),
+y AS (SELECT k, w, string_agg(item, ' ' ORDER BY pos) AS path FROM e WHERE item IN (SELECT item FROM ok) GROUP BY k, w)
+SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
+    "candidate_pairs": _sql(L1, SHARE["b1"], "z AS (SELECT 1)\nSELECT a.item || ' ' || b.item AS itemset, count(*) AS support FROM long a JOIN long b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= (SELECT m FROM thr)"),
+    "candidate_offsets": _B2(_NODES + "z AS (SELECT array_to_string(prefix, ' ') AS prefix, item, depth FROM nd)\nSELECT prefix, coalesce(sum(depth - 1) OVER (ORDER BY item, prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z"),
+    "single_path_subsets": """WITH c AS (SELECT l_linenumber AS i, count(*) AS n, row_number() OVER (ORDER BY l_linenumber) - 1 AS k FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1),
+m AS (SELECT unnest(range(1, (1 << (SELECT count(*) FROM c)))) AS mask)
+SELECT string_agg(i::VARCHAR, ' ' ORDER BY i) AS itemset, min(n) AS support FROM m JOIN c ON (mask >> k) & 1 = 1 GROUP BY mask HAVING min(n) >= 2""",
+    "itemsets_of_size_2": _eclat(L1, SHARE["b1"], "SELECT array_to_string(items, ' ') AS itemset, len(tids)::BIGINT AS support FROM r WHERE len(items) = 2"),
+    "itemset_size_histogram": _eclat(L2, SHARE["b2_low"], "SELECT len(items)::INT AS size, count(*) AS n FROM r GROUP BY 1"),
+    "threshold_intersect": _eclat(L2, SHARE["b2"], "SELECT array_to_string(items, ' ') AS itemset FROM r"),
+    "threshold_except": _LOW_NOT_HIGH.replace("{}", "'{' || array_to_string(items, ', ') || '}' AS itemset"),
+    "difference_sample": _LOW_NOT_HIGH.replace("{}", "array_to_string(items, ' ') AS itemset") + " ORDER BY len(items), items LIMIT 3",
+    "match_score": _eclat(L2, SHARE["b2"], "SELECT count(*) AS matched, count(*) AS total, 100.0::DOUBLE AS percent FROM r"),
+    "association_rules": _eclat(L2, SHARE["b2"], """, e AS (SELECT items, len(tids) AS n, unnest(items) AS c FROM r WHERE len(items) > 1)
+SELECT array_to_string(list_filter(e.items, lambda x: x <> e.c), ' ') AS antecedent, e.c AS consequent, e.n::BIGINT AS support FROM e JOIN r ON r.items = list_filter(e.items, lambda x: x <> e.c) WHERE e.n / len(r.tids) >= 0.3"""),
+}
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
