@@ -10,6 +10,7 @@ from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.html_text import extract
 from tallyloom.llm.language_id import predicted
 from tallyloom.llm.near_dedup import near_duplicates
+from tallyloom.llm.repeats import remove_repeats
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.url_filter import seed_urls, url_filter
 
@@ -43,6 +44,11 @@ def op6_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    """What is left of every document without bytes that 100-byte strings repeat: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     """Host, path, rule and verdict of every page's url."""
     return url_filter(table(spark, sf_dir, "pages"), seed_urls(spark), keep=["page_id"])
@@ -66,6 +72,7 @@ def queries():
         "op4_fingerprints": op4_fingerprints,
         "op5_mixing": op5_mixing,
         "op6_near_dedup": op6_near_dedup,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
         "op10_language_id": op10_language_id,
