@@ -64,6 +64,12 @@ def tree_stats(tree: DataFrame) -> DataFrame:
     return tree.agg(F.count("*").alias("nodes"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
 
 
+def tree_lines(tree: DataFrame, depth: int = 3, rows: int = 200) -> list[str]:
+    """The tree's first rows down to a depth as indented text, for a look at it."""
+    top = tree.filter(F.col("depth") <= depth).orderBy("prefix").limit(rows).select("depth", F.col("item").cast("string"), "support").collect()
+    return [f"{'  ' * (r.depth - 1)}{r['item']} ({r.support})" for r in top]
+
+
 def pattern_base(paths: DataFrame, item) -> DataFrame:
     """(base, w): what precedes the item on the paths that hold it, with their weights; empty prefixes are left out."""
     x = paths.select("w", "path", F.array_position(F.transform("path", lambda s: s["item"]), F.lit(item)).alias("p")).filter("p > 1")

@@ -138,6 +138,7 @@ def test_paths_and_tree(spark):
     assert paths.leaves(tree).count() == 5
     flat = paths.parents(tree).collect()
     assert {r.parent for r in flat} - {0} <= {r.id for r in flat}
+    assert paths.tree_lines(tree, 2)[:2] == ["2 (8)", "  3 (4)"]
     base = {tuple(s["item"] for s in r.base): r.w for r in paths.pattern_base(found, 1).collect()}
     assert base == {(2, 3): 1, (2, 4): 1, (3, 4): 1, (2, 3, 4): 1, (2,): 1}
     assert {tuple(s["item"] for s in r.path): r.w for r in paths.conditional_paths(found, 1, 4).collect()} == {(2,): 4}
@@ -184,3 +185,15 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(str(r.start)[:10], r["item"]): r.support for r in spark.sql("select * from counts").collect()} == {("2024-01-01", "a"): 2, ("2024-01-02", "b"): 1, ("2024-01-05", "b"): 1}
+
+
+def test_timer():
+    from tallyloom.functions.timing import StageTimer
+
+    t = StageTimer()
+    for _ in range(2):
+        with t.stage("a"):
+            pass
+    with t.stage("b"):
+        pass
+    assert list(t.seconds) == ["a", "b"] and t.total >= 0 and t.report().splitlines()[-1].startswith("total")
