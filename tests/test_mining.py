@@ -138,7 +138,7 @@ def test_paths_and_tree(spark):
     assert paths.leaves(tree).count() == 5
     flat = paths.parents(tree).collect()
     assert {r.parent for r in flat} - {0} <= {r.id for r in flat}
-    assert paths.tree_lines(tree, 2)[:2] == ["2 (8)", "  3 (4)"]
+    assert paths.tree_lines(tree, 2)[:2] == ["2 (8)", "  3 (5)"]
     base = {tuple(s["item"] for s in r.base): r.w for r in paths.pattern_base(found, 1).collect()}
     assert base == {(2, 3): 1, (2, 4): 1, (3, 4): 1, (2, 3, 4): 1, (2,): 1}
     assert {tuple(s["item"] for s in r.path): r.w for r in paths.conditional_paths(found, 1, 4).collect()} == {(2,): 4}
