@@ -10,7 +10,9 @@ Work is kept in proportion:
 1. Documents of equal sets become one representative.
 2. In every band bucket, each member is compared with the least only (a star).
 3. Links so far give components. Only buckets that still hold several go on: there, pairs of different components are estimated,
-   each pair in the first band that it shares, in blocks, and what passes is verified. So no pair that shares a band is left out.
+   each pair in the first band that it shares, in blocks, and what passes is verified: in small buckets as pairs, in large ones in
+   place, with the members' sets, where a link found makes the other pairs of its two components needless. So no pair that
+   shares a band is left out, and no list of all pairs of a large group is made.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ WIDTH, PERCENT = 5, 80
 REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 32, 4
 #: Standard deviations of an estimate below the threshold, beyond which a pair isn't verified.
 MARGIN = 5.0
-#: Members of a bucket that are compared at once; larger buckets are split and meet block by block.
-BLOCK = 3_000
+#: Buckets of more members are verified in place, by blocks of so many; each two blocks meet once.
+SMALL, BLOCK = 64, 1_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, documents meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -133,6 +135,12 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, regs binary, hashes binary")
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted, not empty) resemble each other by at least percent / 100."""
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets resemble each other, compared in full where the estimate allows."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -150,8 +158,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 same = np.count_nonzero(np.frombuffer(ra[k].as_buffer(), np.uint16) == np.frombuffer(rb[k].as_buffer(), np.uint16))
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or estimate(np.array([same]), [len(x)], [len(y)])[0] < least:
                     continue
-                both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if linked(x, y, percent):
                     keep.append(k)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
@@ -162,20 +169,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 
 def _rest(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one block of a bucket, by estimate, each in the first band that it shares."""
+    """Pairs (a, b) of different components in one block of a bucket, by estimate, each in the first band that it shares.
+
+    With a column of the members' sets (hashes) these are links: compared in full, and only those that join components that
+    others haven't joined.
+    """
     least = least_estimate(percent)
 
     def run(key, rows):
         band, same_block = key[1].as_py(), key[2].as_py() == key[3].as_py()
         ids, comp, n = (rows[c].to_numpy() for c in ("id", "comp", "n"))
         regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()] if "hashes" in rows.column_names else None
         block = rows["block"].to_numpy()
-        values, where, count = np.unique(comp, return_inverse=True, return_counts=True)
+        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
+        joined = np.arange(len(names))  # the components' sets of this block
         main = where == count.argmax()
-        out_a, out_b = [], []
+        out = []
         for k in np.flatnonzero(~main):
             # with the main component, and with the other ones once
-            mate = (comp != comp[k]) & (main | (ids > ids[k]))
+            mate = (where != where[k]) & (main | (ids > ids[k]))
             if not same_block:
                 mate &= block != block[k]
             mate &= (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (ids != ids[k])
@@ -185,15 +198,21 @@ def _rest(buckets: DataFrame, percent: int) -> DataFrame:
             eq = regs[m] == regs[k]
             near = estimate(np.count_nonzero(eq, axis=1), n[m], np.full(len(m), n[k])) >= least
             shared = eq[near, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            m = m[near][shared]
-            out_a += np.minimum(ids[m], ids[k]).tolist()
-            out_b += np.maximum(ids[m], ids[k]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            for j in m[near][shared]:
+                if sets is not None:
+                    x, y = joined[where[k]], joined[where[j]]
+                    if x == y or not linked(sets[k], sets[j], percent):
+                        continue
+                    joined[joined == x] = y
+                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     x = buckets.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return x.select("bucket", "band", "low", "high", "id", "comp", "n", "regs", "block").groupBy("bucket", "band", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    cols = ["id", "comp", "n", "regs", "block", *[c for c in x.columns if c == "hashes"]]
+    return x.select("bucket", "band", "low", "high", *cols).groupBy("bucket", "band", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -225,14 +244,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = crowded.filter("members > 2").join(parts.withColumnRenamed("id", "pid"), F.col("id") == F.col("pid"), "left").withColumn("comp", F.coalesce("component", "id"))
     mixed = more.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
     open_ = more.join(mixed, "bucket", "left_semi").select("bucket", "band", "members", "id", "comp")
-    open_ = open_.join(named.select("id", "n", "regs"), "id")
-    links2 = _verified(written(_rest(open_, percent)), x, width, percent)
-    whole = written(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links2)).distinct())
-    drop_written(crowded, links)
+    open_ = written(open_.join(named.select("id", "n", "regs"), "id"))
+    pairs = written(_rest(open_.filter(F.col("members") <= SMALL), percent))
+    links2 = _verified(pairs, x, width, percent)
+    large = open_.filter(F.col("members") > SMALL)
+    ids = written(large.select("id").distinct())
+    sets = written(_sets(x, ids, width).select("id", "hashes"))
+    links3 = written(_rest(large.join(sets, "id"), percent))
+    whole = written(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links2).union(links3)).distinct())
+    drop_written(crowded, links, open_, pairs, ids, sets)
 
     of_set = reps.select("k1", "k2", F.col("id").alias("rep")).join(whole, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     of_set = written(of_set)
-    drop_written(parts, links2, whole, reps)
+    drop_written(parts, links2, links3, whole, reps)
     out = sig.select("id", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))

@@ -58,6 +58,7 @@ def test_against_naive(spark, width, monkeypatch):
     assert got == naive(rows, width)
     kept = N.near_dedup(df, width=width)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in got if r[3]}
+    monkeypatch.setattr(N, "SMALL", 3)
     monkeypatch.setattr(N, "BLOCK", 4)
     monkeypatch.setattr(N, "BROADCAST_IDS", 0)
     assert sorted(map(tuple, N.near_duplicates(df, width=width).collect())) == got
