@@ -50,18 +50,19 @@ def corpus(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_against_naive(spark, width, monkeypatch):
+@pytest.mark.parametrize(("width", "small", "block", "broadcast"), [(2, 64, 1000, 10**6), (2, 3, 4, 0), (5, 2, 1000, 10**6)])
+def test_against_naive(spark, width, small, block, broadcast, monkeypatch):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("BROADCAST_IDS", broadcast)):
+        monkeypatch.setattr(N, name, value)
     rows = corpus(width) + [(-5, None), (-4, ""), (-3, " \n"), (-2, "one"), (-1, "One")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, n int")
-    got = sorted(map(tuple, N.near_duplicates(df, width=width).collect()))
-    assert got == naive(rows, width)
-    kept = N.near_dedup(df, width=width)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in got if r[3]}
-    monkeypatch.setattr(N, "SMALL", 3)
-    monkeypatch.setattr(N, "BLOCK", 4)
-    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
-    assert sorted(map(tuple, N.near_duplicates(df, width=width).collect())) == got
+    assert sorted(map(tuple, N.near_duplicates(df, width=width).collect())) == naive(rows, width)
+
+
+def test_one_of_each_group_stays(spark):
+    df = spark.createDataFrame([(4, "a b c d e f", 1), (2, "A B C D E F", 2), (3, None, 3), (None, "a b c d e f", 4), (9, "x y", 5)], "doc_id bigint, text string, gone_id int")
+    out = N.near_dedup(df)
+    assert out.columns == df.columns and sorted(r.gone_id for r in out.collect()) == [2, 3, 4, 5]
 
 
 def test_sketch_estimates():

@@ -57,3 +57,18 @@ def test_run_against_brute_force(spark, tmp_path):
         assert mine[0].source_size == n and sum(r.taken for r in mine) == int(mine[0].target)
     assert abs(sum(r.taken for r in got.values()) - sum(words.values())) <= len(words)
     assert mixing.SEED == "mix-1"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "some words in a row here", "en", None, 24), (2, "some words in a row here", "en", None, 24), (3, "some words in a row here", None, "a", 24), (4, "12", "de", "a", 2), (5, "w " * 40_000, "en", "b", 80_000)]
+    extra = "size long, key string, lang_pred int, score double, drop int, gone string, target int, text_of string"
+    docs = spark.createDataFrame([(*r, 7, "k", 1, 0.5, 2, "g", 3, "t") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    spark.createDataFrame([(0, None), (None, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType, name
+        ids = [r.doc_id for r in out.collect()]
+        assert set(ids) == {"language": {2, 3, 5}, "lines": {None, 1, 2, 3, 4, 5}, "near": {None, 1, 2, 4, 5}, "clean": {None, 1, 2, 3, 4, 5}}[name]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert mixed.count() == len(rows) and mixed.filter("doc_id is null").first().taken == 0
