@@ -7,7 +7,7 @@ minimum with a probability of about 0.8 at least, whatever the document's length
 shares no register with the document only if all of these shingles are hidden. Items with fewer than EXACT_BELOW shingles, where that
 could happen, are looked up by all shingles of a document. Candidates are verified by exact shingle containment.
 
-Shingles are runs of five words, A-Z lower-cased; an item of fewer words is one run of all its words, looked
+Shingles are runs of five words of folded case; an item of fewer words is one run of all its words, looked
 for among the documents' runs of that width.
 """
 
@@ -85,7 +85,7 @@ def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
         words = WordHashes()
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                w = words.of(t.as_py())
+                w = words.of(t.as_py(), fold=True)
                 s = np.unique(runs(w, WIDTH))
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(s), pa.int64()), pa.array([min(WIDTH, len(w))] * len(s), pa.int32()), pa.array(s.view(np.int64))], names=["item", "width", "shingle"])
 
@@ -114,7 +114,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
             for batch in batches:
                 out = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for i, n in known.search(words.of(t.as_py()), threshold):
+                    for i, n in known.search(words.of(t.as_py(), fold=True), threshold):
                         out.append((d, None if ids[i] == -(2**63) else int(ids[i]), int(known.sizes[i]), n))
                 cols = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
@@ -137,7 +137,7 @@ def _by_shuffle(docs: DataFrame, shingles: DataFrame, threshold: float) -> DataF
         words = WordHashes()
         for batch in batches:
             for at, t in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
-                w = words.of(t.as_py())
+                w = words.of(t.as_py(), fold=True)
                 for k in sorted({WIDTH, *other}):
                     if len(w) >= k:
                         s = np.unique(runs(w, k))

@@ -28,10 +28,15 @@ class WordHashes(dict):
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Hashes of the text's words, A-Z lower-cased; words are runs of bytes other than space and \\x09-\\x0D."""
+    def of(self, text: bytes | None, fold: bool = False) -> np.ndarray:
+        """Hashes of the text's words, A-Z lower-cased; words are runs of bytes other than space and \\x09-\\x0D.
+
+        fold: the case of all letters is folded instead.
+        """
         if not text:
             return _EMPTY
+        if fold and not text.isascii():
+            text = text.decode("utf-8", "replace").casefold().encode()
         words = text.lower().split()  # bytes: ASCII letters and white space only
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -4,7 +4,7 @@ from tallyloom.llm import decontaminate as D
 
 
 def grams(t, w):
-    x = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode().split()
+    x = t.casefold().encode().split()
     return {tuple(x[i : i + w]) for i in range(len(x) - w + 1)}
 
 
@@ -22,7 +22,7 @@ def naive(docs, items):
 
 def corpus(seed):
     rng = random.Random(seed)
-    vocab = [f"w{i}" for i in range(60)]
+    vocab = [*(f"w{i}" for i in range(56)), "été", "Öl", "straße", "ñ"]
     text = lambda n: " ".join(rng.choices(vocab, k=n))
     items = [(i, text(rng.choice([1, 2, 3, 4, 5, 6, 9, 20, 40, 80]))) for i in range(40)]
     docs = []
@@ -34,7 +34,7 @@ def corpus(seed):
                 s[rng.randrange(len(s))] = "changed"
             at = rng.randint(0, len(t))
             t[at:at] = s
-        docs.append((d, " ".join(t).title() if d % 5 == 0 else "\n".join(t)))
+        docs.append((d, " ".join(t).upper() if d % 5 == 0 else "\n".join(t)))
     return docs, items
 
 
