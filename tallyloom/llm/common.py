@@ -63,6 +63,18 @@ def drop_written(*dfs: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+#: Rows in an Arrow batch at most. Spark bounds batches by rows only, and a row can hold a very long text.
+BATCH_ROWS = 500
+
+
+def bounded_batches(frame: DataFrame) -> DataFrame:
+    """frame; its session's Arrow batches have BATCH_ROWS rows at most from now on (a smaller setting stays)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(frame.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        frame.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return frame
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, spare, written
+from tallyloom.llm.common import bounded_batches, drop_written, spare, written
 from tallyloom.llm.shingles import WordHashes, runs
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -99,7 +99,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     text give their matches once each; items of one id are one item with all their shingles. The shingles of the items are counted before they are
     broadcast; above broadcast_shingles, document registers are joined with them by hash, which takes any number.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     shingles = written(item_shingles(items.repartition(spark.sparkContext.defaultParallelism), item_id, item_text).distinct())
     x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     schema = "doc_id long, item_id long, item_shingles long, shared long"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import shuffle_partitions
+from tallyloom.llm.common import bounded_batches, shuffle_partitions
 from tallyloom.llm.shingles import WordHashes, shingle_set
 
 K, WIDTH = 128, 5
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, keep: list[str], text: str = "text", k: int = K, w
             found = [bottom(shingle_set(words.of(t.as_py()), width), k).view(np.int64) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*keep, out])
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def merged(parts: DataFrame, by: list[str], k: int = K, sketch: str = "sketch", salts: int = 64) -> DataFrame:
@@ -168,4 +168,4 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return in_order(docs, doc_id, text).mapInArrow(run, SCHEMA)
+    return bounded_batches(in_order(docs, doc_id, text)).mapInArrow(run, SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import spare
+from tallyloom.llm.common import bounded_batches, spare
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Training: windows at most (those of least hash), windows of one text, passes over them, windows in a step.
@@ -127,12 +127,17 @@ def held_out(doc_id):
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_windows: int = TRAIN_WINDOWS) -> Network | None:
     """A network learned from the rows that aren't held out and have an id, a language and a letter; None without such rows.
 
-    Of each text at most TEXT_WINDOWS windows at hash-random places are drawn, and of these the train_windows of least hash, so
-    the driver gets a bounded sample.
+    The sample is bounded: of rows whose id has a low hash, at most TEXT_WINDOWS windows at hash-random places are drawn from
+    each text, and of these the train_windows of least hash.
     """
     import xxhash
 
-    x = docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).cast("string"), F.col(lang).cast("string"), F.col(text).cast("binary"))
+    x = docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull())
+    # of many rows only those of low hash are opened, some four times as many as are needed, so that what is sorted doesn't grow
+    share = min(1.0, 4 * train_windows / max(x.count(), 1))
+    if share < 1:
+        x = x.filter(F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    x = x.select(F.col(doc_id).cast("string"), F.col(lang).cast("string"), F.col(text).cast("binary"))
 
     def draw(batches):
         for batch in batches:
@@ -148,7 +153,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["key", "lang", "win"])
 
-    drawn = x.mapInArrow(draw, "key long, lang string, win binary").orderBy("key", "lang", "win").limit(train_windows).toArrow()
+    drawn = bounded_batches(x).mapInArrow(draw, "key long, lang string, win binary").orderBy("key", "lang", "win").limit(train_windows).toArrow()
     if not len(drawn):
         return None
     names, y = np.unique(drawn["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
@@ -166,7 +171,9 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
     held = docs.sparkSession.sparkContext.broadcast(net)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang, score)]
     last = spare(docs, "text_of")
-    x = docs.select(*keep, F.col(text).cast("binary").alias(last))
+    there = text in keep and docs.schema[text].dataType in (T.StringType(), T.BinaryType())  # it moves once
+    x = docs.select(*keep) if there else docs.select(*keep, F.col(text).cast("binary").alias(last))
+    at = keep.index(text) if there else len(keep)
     schema = T.StructType([*x.drop(last).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
@@ -175,7 +182,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
             net.tables()
         for batch in batches:
             names, sure = [], []
-            for t in batch.column(len(keep)):
+            for t in batch.column(at).cast(pa.binary()):
                 t = t.as_py()
                 if net is None or not t or not has_letter(t):
                     names.append(UNKNOWN)
@@ -189,9 +196,9 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
                 p = np.exp(z - z.max())
                 names.append(net.names[int(z.argmax())])
                 sure.append(float(p.max() / p.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*keep, lang, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*keep, lang, score])
 
-    return x.mapInArrow(run, schema)
+    return bounded_batches(x).mapInArrow(run, schema)
 
 
 def predicted(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, spare, written
+from tallyloom.llm.common import bounded_batches, drop_written, spare, written
 from tallyloom.llm.components import components
 from tallyloom.llm.shingles import WordHashes, mix, shingle_set
 
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and its component_id null if no row with an id is there. Links are found on candidates that share a band: a pair at the threshold
     does with a probability over 1 - 1e-7, one above it with more, and is estimated out with one under 1e-6.
     """
-    x = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    x = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     sig = written(_signatures(x, width))
     reps = written(sig.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("sk1").alias("sk1"), F.first("sk2").alias("sk2")))
     named = reps.filter("id is not null")

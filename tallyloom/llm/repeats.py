@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, written
+from tallyloom.llm.common import bounded_batches, drop_written, written
 from tallyloom.llm.shingles import mix
 from tallyloom.llm.suffix_array import suffix_array
 
@@ -174,7 +174,7 @@ def repeated_runs(runs: list[tuple], length: int = LENGTH) -> list[tuple]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(id, key, start, end) of spans to remove, for docs (id, key, text) of different (id, key)."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
 
     def hashed(batches):
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.uint64)
 

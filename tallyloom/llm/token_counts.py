@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import spare
+from tallyloom.llm.common import bounded_batches, spare
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words of which a Python worker keeps the counts, and the longest such word in bytes.
-KEPT_WORDS, KEPT_BYTES = 200_000, 48
+KEPT_WORDS, KEPT_BYTES = 100_000, 48
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -126,4 +126,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
                 n_tokens.append(sum(map(counts.__getitem__, w)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*keep, words, tokens])
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
