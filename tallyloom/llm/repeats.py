@@ -31,7 +31,7 @@ LENGTH, K = 100, 32
 #: Up to so many repeated hashes or ids (8 bytes each) are broadcast; beyond, they meet the documents by a shuffle.
 BROADCAST_HASHES = 3_000_000
 #: Bytes of runs that are worked on at once; a hash with more is worked on alone.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
