@@ -6,7 +6,9 @@ bounded table of labelled URLs, so training costs the same at every size, and sc
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -20,8 +22,10 @@ from tallyloom.llm.common import lower_ascii, spare
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Labelled URLs used for training at most (the first by hash), trees and their depth.
 TRAIN_ROWS, TREES, DEPTH = 20_000, 20, 3
-#: Weight of the overall share of blocked URLs in a suffix's own.
-PRIOR = 5.0
+#: Weight of the overall share of blocked URLs in a suffix's own, and in that of a host's four characters.
+PRIOR, GRAM_PRIOR = 5.0, 3.0
+#: Slots that four characters are hashed to; folds of hosts, each with the statistics of the others, in training.
+SLOTS, FOLDS = 1 << 14, 4
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -55,11 +59,31 @@ def entropy(s: Column) -> Column:
     return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
 
 
-FEATURES = ("f_url_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digit_ratio", "f_host_digit_ratio", "f_hyphens", "f_host_entropy", "f_longest_label", "f_params", "f_query_length", "f_suffix_blocked", "f_suffix_known")
+def gram_slots(host: Column) -> Column:
+    """The slots of the strings of four characters in a host's labels, without its hyphens."""
+    grams = F.regexp_extract_all(F.replace(host, F.lit("-"), F.lit("")), F.lit("(?=([^.]{4}))"), F.lit(1))
+    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(SLOTS)).cast("int"))
+
+
+FEATURES = ("f_url_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digit_ratio", "f_host_digit_ratio", "f_hyphens", "f_host_entropy", "f_longest_label", "f_params", "f_query_length", "f_suffix_blocked", "f_suffix_known", "f_gram_odds")
+
+
+def statistics(labelled: DataFrame, share: float) -> DataFrame:
+    """(kind, suffix, blocked, known) of TRAIN_ROWS labelled rows (host, label) at most, share of them to block: the share by suffix, and by
+    slot of four characters (kind gram, the slot as text) their log odds against the overall ones. One task counts them, without a shuffle."""
+    grams = F.transform(F.array_distinct(gram_slots(F.col("host"))), lambda i: F.struct(F.lit("gram").alias("kind"), i.cast("string").alias("suffix")))
+    both = F.concat(F.array(F.struct(F.lit("suffix").alias("kind"), suffix_of(F.col("host")).alias("suffix"))), grams)
+    x = labelled.coalesce(1).select(F.explode(both).alias("of"), "label").groupBy("of.kind", "of.suffix").agg(F.sum("label").alias("n"), F.count("*").alias("known"))
+    part = lambda w: (F.col("n") + w * F.lit(share)) / (F.col("known") + w)
+    odds = F.log(part(GRAM_PRIOR) / (1 - part(GRAM_PRIOR))) - F.log(F.lit(share) / (1 - F.lit(share))) if 0 < share < 1 else F.lit(0.0)
+    return x.select("kind", "suffix", F.when(F.col("kind") == "gram", odds).otherwise(part(PRIOR)).alias("blocked"), "known")
 
 
 def with_features(urls: DataFrame, url: str, host: str, path: str, suffixes: DataFrame) -> DataFrame:
-    """Adds FEATURES; suffixes: (suffix, blocked, known) of the labelled URLs, as many rows as these at most."""
+    """Adds FEATURES; suffixes: the statistics() of the labelled URLs."""
+    odds = {int(r.suffix): r.blocked for r in suffixes.filter("kind = 'gram'").collect()}
+    suffixes = suffixes.filter("kind = 'suffix'").drop("kind")
+    table = F.split(F.lit(" ".join(f"{odds[i]:.6g}" if i in odds else "0" for i in range(SLOTS))), " ").cast("array<double>")  # a constant
     u, h, p = F.coalesce(F.col(url), F.lit("")), F.col(host), F.col(path)
     digits = lambda s: F.length(F.regexp_replace(s, "[^0-9]", "")) / F.greatest(F.length(s), F.lit(1))
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
@@ -69,27 +93,40 @@ def with_features(urls: DataFrame, url: str, host: str, path: str, suffixes: Dat
         "f_digit_ratio": digits(u), "f_host_digit_ratio": digits(h), "f_hyphens": F.length(h) - F.length(F.replace(h, F.lit("-"), F.lit(""))),
         "f_host_entropy": entropy(h), "f_longest_label": F.array_max(F.transform(F.split(h, r"\."), lambda x: F.length(x))),
         "f_params": F.size(F.filter(F.split(query, "&"), lambda x: x != "")), "f_query_length": F.length(query),
+        "f_gram_odds": F.aggregate(F.array_distinct(gram_slots(h)), F.lit(0.0), lambda a, i: a + F.get(table, i)),
     }
     x = urls.join(F.broadcast(suffixes), suffix_of(h) == F.col("suffix"), "left").drop("suffix")
     made |= {"f_suffix_blocked": F.coalesce(F.col("blocked"), F.lit(0.5)), "f_suffix_known": F.coalesce(F.col("known"), F.lit(0))}
     return x.withColumns({k: v.cast("double") for k, v in made.items()}).drop("blocked", "known")
 
 
+#: Words of the made-up hosts; none is a word of a test table's hosts.
+PLAIN = "library museum garden journal weather university school kitchen history science cycling theatre bakery village council research archive gallery orchestra hospital parish nature physics teacher".split()
+BAIT = "poker bonus loan jackpot viagra xxx escort lottery slots roulette replica warez cracked hookup forex payday keygen torrent rolex diet clickbait popunder cashback milf".split()
+
+
 def seed_urls(spark: SparkSession) -> DataFrame:
-    """Labelled URLs (url, label), made by a rule for want of a labelled table: made-up plain hosts, and made-up hosts of unwanted kinds.
+    """Labelled URLs (url, label), made by a rule for want of a labelled table: hosts of plain words, and of words of unwanted kinds.
 
-    Both kinds come with the same schemes, subdomains, suffixes, paths and parameters, so these don't tell them apart.
+    Both kinds have hosts with and without hyphens and digits, and the same schemes, subdomains, suffixes, depths and parameters: unwanted
+    ones have hyphens, digits and parameters more often. One host in four has one such word beside syllables that say nothing, and one in
+    four has syllables only, of which nearly all unwanted and few plain ones have a hyphen. Pairs of words whose crc32 leaves 0 when divided by 4 are left out, to test with.
     """
-    plain = ["the", "ation", "there", "inter", "stone", "thing", "reader", "onward", "thand", "ersted", "weather", "library", "university", "museum", "garden", "journal", "ththre", "erning", "tionth", "cityhall"]
-    wanted = [f"{a}{b}" for i, a in enumerate(plain) for b in plain[i::7]]
-    bait = ["casino", "win", "free", "bets", "cheap", "pills", "spam", "farm", "adult", "x", "ads", "track", "loan", "fast", "bonus", "click", "poker", "vip", "deal24", "xxx"]
-    unwanted = [f"{a}-{b}" for i, a in enumerate(bait) for b in bait[i % 3 :: 3] if a != b]
+    rng = random.Random(5)
+    syllable = lambda: "".join(rng.choice(x) for x in ("bdfgklmnprsvz", "aeiou", "lmnrs"))
     rows = []
-    for label, names in ((0, wanted), (1, unwanted)):
-        for i, name in enumerate(names):
-            sub, top = ("", "www.", "m.", "blog.")[i % 4], ("com", "net", "org", "example.com", "example.net", "example.org")[i % 6]
-            tail = ("", ".html", "?page=2&ref=x", "?utm_source=feed", "#top")[i % 5]
-            rows.append((f"http{'s' * (i % 2)}://{sub}{name}.{top}/{('en', 'de', 'fr', 'es', 'news')[i % 5]}/{i * 37 % 1000}{tail}", label))
+    for label, words, hyphen, digit, query in ((0, PLAIN, 0.3, 0.15, 0.35), (1, BAIT, 0.7, 0.35, 0.55)):
+        pairs = [(a, b) for a in words for b in words if a != b and zlib.crc32(f"{a}{b}".encode()) % 4]
+        for i, (a, b) in enumerate(rng.choices(pairs, k=700)):
+            if i % 4 == 0:
+                a, b = syllable() + syllable(), syllable() + syllable()
+            elif i % 4 == 1:
+                a, b = rng.sample([a, "".join(syllable() for _ in range(rng.randrange(1, 3)))], 2)
+            name = a + ("-" if rng.random() < (hyphen if i % 4 else 0.94 * label + 0.03) else "") + b + (str(rng.randrange(2, 100)) if rng.random() < digit else "")
+            sub, top = rng.choice(["", "", "www.", "m.", "blog."]), rng.choice(["com", "net", "org", "example.com", "example.net", "example.org"])
+            path = "".join(f"/{x}" for x in rng.sample(["en", "de", "fr", "es", "news", str(rng.randrange(1000)), "item"], rng.randrange(4)))
+            tail = rng.choice(["?page=2&ref=x", "?utm_source=feed", "?id=7&a=1&b=2"]) if rng.random() < query else rng.choice(["", ".html", "/", "#top"]) if path else ""
+            rows.append((f"http{rng.choice(['', 's'])}://{sub}{name}.{top}{path}{tail}", label))
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {label})" for u, label in rows) + " AS t(url, label)")
 
 
@@ -126,12 +163,17 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", rows: int
     host, path = split_url(F.col("url"))
     x = x.withColumns({"host": host, "path": path})
     n, share = x.agg(F.count("*"), F.avg("label")).first()
-    suffixes = x.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(((F.sum("label") + PRIOR * (share or 0.0)) / (F.count("*") + PRIOR)).alias("blocked"), F.count("*").alias("known"))
+    suffixes = statistics(x, share or 0.0).cache()
     if not n or share in (0.0, 1.0):
         return F.lit(2.0 * (share or 0.0) - 1), suffixes
-    seen = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(x, "url", "host", "path", suffixes)).select("features", "label").cache()
+    # a row's own label has no part in its statistics, as with URLs that aren't labelled
+    x = x.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))).coalesce(1).cache()
+    parts = [with_features(x.filter(F.col("fold") == i), "url", "host", "path", statistics(x.filter(F.col("fold") != i), share)) for i in range(FOLDS)]
+    made = reduce(DataFrame.unionAll, parts).coalesce(1)
+    seen = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made).select("features", "label").cache()
     model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.3, seed=11, minInstancesPerNode=5).fit(seen)
     seen.unpersist()
+    x.unpersist()
     return reduce(lambda a, b: a + b, [F.lit(float(w)) * as_sql(t) for w, t in trees(model)]), suffixes
 
 

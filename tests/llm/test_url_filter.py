@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 from tallyloom.llm import url_filter as U
@@ -63,3 +64,31 @@ def test_one_label_and_none(spark):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id int, url string")
     assert U.url_filter(df, spark.createDataFrame([("http://q.org/", 1)], "url string, label int")).first().verdict == "block"
     assert U.url_filter(df, spark.createDataFrame([], "url string, label int")).first().verdict == "allow"
+
+
+def test_hyphens_alone_do_not_decide(spark):
+    """Held-out pairs of words, plain ones with a hyphen and unwanted ones without, and hosts with other words beside."""
+    seeds = U.seed_urls(spark)
+    known = {parts(r.url)[0].replace("-", "") for r in seeds.collect()}
+    left = lambda words: [(a, b) for a in words for b in words if a != b and zlib.crc32(f"{a}{b}".encode()) % 4 == 0]
+    urls = [(f"http://{a}-{b}.org/{i}", "allow") for i, (a, b) in enumerate(left(U.PLAIN))] + [(f"https://{a}{b}.org/{i}", "block") for i, (a, b) in enumerate(left(U.BAIT))]
+    assert len(urls) > 200 and not any(parts(u)[0].replace("-", "") in known for u, _ in urls)
+    named = {"http://my-library.org": "allow", "http://casinobonus24.org/?a=1&b=2": "block"}
+    got = {r.url: r.verdict for r in U.url_filter(spark.createDataFrame([(u,) for u in [*dict(urls), *named]], "url string"), seeds).collect()}
+    for verdict in ("allow", "block"):
+        right = [got[u] == v for u, v in urls if v == verdict]
+        assert sum(right) / len(right) > 0.95
+    assert {u: got[u] for u in named} == named
+
+
+def test_seed_classes_overlap_in_each_feature(spark):
+    from pyspark.sql import functions as F
+
+    host, path = U.split_url(F.col("url"))
+    x = U.seed_urls(spark).withColumns({"host": host, "path": path})
+    made = U.with_features(x, "url", "host", "path", U.statistics(x, 0.5)).collect()
+    for name in U.FEATURES:
+        a, b = ([r[name] for r in made if r.label == k] for k in (0, 1))
+        assert name == "f_gram_odds" or max(min(a), min(b)) < min(max(a), max(b)) or set(a) == set(b), name
+    for name in ("f_hyphens", "f_host_digit_ratio", "f_params", "f_depth"):
+        assert all({r[name] > 0 for r in made if r.label == k} == {True, False} for k in (0, 1)), name
