@@ -3,7 +3,8 @@
 A page becomes a tree. For every node: characters for each tag, adjusted by how much of the text is links. A node's
 density sum adds its children's densities; the node with the largest sum is the heart of the article. Going up from
 it to the body, the least density on the way is the threshold: what lies below it is not content, and within each
-node at or above it the subtree of largest density sum is taken. Elements of a line (b, span, ...) are no subtrees of
+node at or above it the subtree of largest density sum is taken, or what encloses it: the article, the main part that
+holds this article only, or the common parent of dense siblings. Elements of a line (b, span, ...) are no subtrees of
 their own: a sum reaches through them to the blocks inside.
 
 What is never article (scripts, styles, menus, forms, adverts, comments and so on, by element or by class, id and role)
@@ -189,6 +190,33 @@ def weigh(root: Node) -> list[Node]:
     return order
 
 
+def enclosing(best: Node, top: Node, threshold: float) -> Node:
+    """What the subtree of largest density sum is a part of, up to top."""
+    marked, node = None, best
+    while node is not top.parent:
+        if node.tag == "article":
+            marked = node
+        elif node.tag == "main":
+            articles, stack = 0, [node]
+            while stack:
+                x = stack.pop()
+                if x.tag == "article" and x.chars:
+                    articles += 1
+                else:
+                    stack.extend(k for k in x.kids if not isinstance(k, str))
+            if marked is None or articles == 1:
+                marked = node
+        node = node.parent
+    if marked is not None:
+        return marked
+    while best is not top and best.parent is not top:
+        beside = [k for k in best.parent.kids if not isinstance(k, str) and k is not best and k.tag not in INLINE]
+        if not any(k.chars and k.density >= threshold for k in beside):
+            break
+        best = best.parent
+    return best
+
+
 def chosen(root: Node) -> list[Node]:
     """The subtrees that are content, in page order."""
     weigh(root)
@@ -202,24 +230,25 @@ def chosen(root: Node) -> list[Node]:
         node = stack.pop()
         if node.density < threshold:
             continue
-        if node.best is node or node is heart:
+        best = enclosing(node.best, node, threshold)
+        if best is node or node is heart:
             out.append(node)
             continue
-        # the subtree of the largest sum, and what beside the way to it is dense enough
-        way, up = {id(node.best)}, node.best
+        # the subtree, and what beside the way to it is dense enough
+        way, up = {id(best)}, best
         while up is not node:
             up = up.parent
             way.add(id(up))
         walk = [node]
         while walk:
             x = walk.pop()
-            if x is node.best:
+            if x is best:
                 out.append(x)
                 continue
             for k in reversed([k for k in x.kids if not isinstance(k, str)]):
                 if id(k) in way:
                     walk.append(k)
-                elif k.chars and k.density >= threshold and k.sum > 0:
+                elif k.chars and k.density >= threshold:
                     stack.append(k)
     return out
 

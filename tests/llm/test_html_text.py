@@ -45,3 +45,24 @@ def test_rows(spark):
     got = sorted(map(tuple, extract(df, keep=["page_id", "url"]).collect()), key=str)
     assert got == sorted([(1, "u", WANT, len(WANT)), (2, None, "", 0), (3, "v", "", 0), (3, "v", "", 0)], key=str)
     assert extract(df).columns == ["page_id", "url", "text", "n_chars"] and extract(df.limit(0)).count() == 0
+
+
+MANY = "".join(f"<p>{LONG} {LONG} {LONG} {i}</p>" for i in range(10))
+MANY_WANT = "\n".join(f"{LONG} {LONG} {LONG} {i}" for i in range(10))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><article><header><h1>T</h1></header><div class=body>{MANY}</div></article><p>by</p>", f"T\n{MANY_WANT}"),
+        (f"<article><h1>T</h1><p>intro</p><section>{MANY[: len(MANY) // 10 * 5]}</section><section>{MANY}</section></article>", None),
+        (f"<main><h1>T</h1><article><p>intro</p><div>{MANY}</div><ul><li>one</li><li>two</li></ul></article></main>", f"T\nintro\n{MANY_WANT}\none\ntwo"),
+        (f"<article><h1>T</h1><article><h2>A</h2>{MANY}</article><article><h2>B</h2><div>{MANY}</div></article></article>", f"T\nA\n{MANY_WANT}\nB\n{MANY_WANT}"),
+        (f"<div><div><h1>T</h1><p>intro</p><section>{MANY}</section><section>{MANY}</section></div></div>", f"T\nintro\n{MANY_WANT}\n{MANY_WANT}"),
+        (f"<div><div>{MANY}</div></div><p>{MANY_WANT}</p>", f"{MANY_WANT}\n{' '.join(MANY_WANT.split())}"),
+        (f"<main><article><h2>A</h2><div>{MANY}</div></article><article><h2>B</h2><div>{MANY}</div></article><ul><li><a>x</a><li><a>y</a></ul></main>", f"A\n{MANY_WANT}\nB\n{MANY_WANT}"),
+    ],
+)
+def test_text_beside_the_densest_container_stays(page, want):
+    got = main_text(page)
+    assert got == want if want else got.startswith("T\nintro\n") and got.endswith(MANY_WANT)
