@@ -26,6 +26,9 @@ TRAIN_WINDOWS, TEXT_WINDOWS, EPOCHS, BATCH = 6_000, 2, 4, 64
 #: Predicting: windows at once, so that a step's numbers stay in the processor's cache.
 AT_ONCE = 64
 UNKNOWN = "und"
+#: Lengths in bytes at which the level of Usual is set, its distance in standard deviations, and the least number of windows it takes.
+SIZES, SPREADS, LEAST_LEFT = (16, 32, 64, 128, 240), 8.0, 20
+DIGITS = b"0123456789"
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -40,7 +43,55 @@ def windows(text: bytes) -> np.ndarray:
     return np.frombuffer(text.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
+def pair_codes(text: bytes) -> np.ndarray:
+    """A text's neighbouring bytes as first * 256 + second."""
+    x = np.frombuffer(text, np.uint8).astype(np.int32)
+    return (x[:-1] << 8) | x[1:]
+
+
+class Usual:
+    """How usual a text's byte pairs are for the languages learned, and the level below which a text is in none of those learned.
+
+    The score of a text is the mean log probability of its bytes, each after the one before, in the language that suits each WINDOW of it
+    best, so a text in several languages is usual; digits have no part. Three quarters of the windows are counted; at
+    beginnings of the others, of several lengths, the level is set: SPREADS standard deviations below their mean. It doesn't depend on how
+    many languages there are. Of under LEAST_LEFT such windows there is no level.
+    """
+
+    def __init__(self, wins: list[bytes], y: np.ndarray, n_langs: int):
+        texts = [w.rstrip(b"\0").translate(None, DIGITS) for w in wins]
+        counts = np.zeros((n_langs, 65536))
+        for i, t in enumerate(texts):
+            if i % 4 != 3:
+                np.add.at(counts[y[i]], pair_codes(t), 1)
+        c = counts.reshape(n_langs, 256, 256)
+        one = (c.sum(1) + 0.1) / (c.sum((1, 2)) + 25.6)[:, None]
+        self.log = np.log((c + 5 * one[:, None, :]) / (c.sum(2, keepdims=True) + 5)).astype(np.float32).reshape(n_langs, 65536)
+        self.sizes, self.levels = [], []
+        for size in SIZES:
+            got = np.array([self.score(t[:size]) for i, t in enumerate(texts) if i % 4 == 3 and len(t) >= size])
+            if len(got) >= LEAST_LEFT:
+                self.sizes.append(np.log(size))
+                self.levels.append(float(got.mean() - SPREADS * got.std()))
+
+    def score(self, text: bytes) -> float:
+        codes = pair_codes(text)
+        if not len(codes):
+            return 0.0
+        starts = np.arange(0, len(codes), WINDOW)
+        return float(np.max([np.add.reduceat(log.take(codes), starts) for log in self.log], axis=0).sum() / len(codes))
+
+    def odd(self, text: bytes) -> bool:
+        """Whether a text's score is below the level for its length; texts shorter than the lengths with a level are not."""
+        text = text.translate(None, DIGITS)
+        if not self.sizes or np.log(max(len(text), 1)) < self.sizes[0]:
+            return False
+        return self.score(text) < np.interp(np.log(len(text)), self.sizes, self.levels)
+
+
 class Network:
+    usual: Usual | None = None
+
     def __init__(self, names: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.names = names
@@ -159,34 +210,36 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     names, y = np.unique(drawn["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
     net = Network(names.tolist())
     net.train(np.frombuffer(b"".join(drawn["win"].to_pylist()), np.uint8).reshape(-1, WINDOW), y)
+    net.usual = Usual(drawn["win"].to_pylist(), y, len(names))
     return net
 
 
-def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score", odd: str | None = None) -> DataFrame:
     """Columns `keep` (None: all) with the predicted language and its score, 0 to 1.
 
     Null texts and texts without a letter are UNKNOWN with score 0, as is every text without a network. A column of `keep` with a new name is
-    replaced. One row out for each row in. The network (some 10 MB at most with its tables, which workers build) is broadcast.
+    replaced. odd: name of a column that says whether the text is unlike those learned from. One row out for each row in. The network (some 10 MB at most with its tables, which workers build) is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang, score)]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang, score, odd)]
     last = spare(docs, "text_of")
     there = text in keep and docs.schema[text].dataType in (T.StringType(), T.BinaryType())  # it moves once
     x = docs.select(*keep) if there else docs.select(*keep, F.col(text).cast("binary").alias(last))
     at = keep.index(text) if there else len(keep)
-    schema = T.StructType([*x.drop(last).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    schema = T.StructType([*x.drop(last).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(odd, T.BooleanType())] if odd else [])])
 
     def run(batches):
         net = held.value
         if net is not None:
             net.tables()
         for batch in batches:
-            names, sure = [], []
+            names, sure, strange = [], [], []
             for t in batch.column(at).cast(pa.binary()):
                 t = t.as_py()
                 if net is None or not t or not has_letter(t):
                     names.append(UNKNOWN)
                     sure.append(0.0)
+                    strange.append(False)
                     continue
                 w = windows(t)
                 z = net.scores(w).astype(np.float64)
@@ -196,7 +249,9 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
                 p = np.exp(z - z.max())
                 names.append(net.names[int(z.argmax())])
                 sure.append(float(p.max() / p.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*keep, lang, score])
+                strange.append(bool(odd and net.usual and net.usual.odd(t)))
+            made = [pa.array(names, pa.string()), pa.array(sure, pa.float64()), *([pa.array(strange, pa.bool_())] if odd else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, lang, score, *([odd] if odd else [])])
 
     return bounded_batches(x).mapInArrow(run, schema)
 
@@ -211,7 +266,8 @@ LEAST_SCORE = 0.3
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE, languages: list[str] | None = None) -> DataFrame:
-    """docs whose language is known with a score of at least `least` (and among `languages`); the columns stay."""
-    lang, score = spare(docs, "lang_pred"), spare(docs, "lang_score")
-    x = identify(docs, fit(docs), lang=lang, score=score).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least))
+    """docs whose language is known with a score of at least `least` (and among `languages`) and whose text is like those learned from; the
+    columns stay."""
+    lang, score, odd = spare(docs, "lang_pred"), spare(docs, "lang_score"), spare(docs, "lang_odd")
+    x = identify(docs, fit(docs), lang=lang, score=score, odd=odd).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least) & ~F.col(odd))
     return (x.filter(F.col(lang).isin(languages)) if languages else x).select(*docs.columns)

@@ -57,3 +57,18 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a text", None)], "doc_id bigint, text string, lang string")
     assert tuple(L.predicted(df).first())[2:] == ("und", 0.0)
     assert L.predicted(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("learned", [["en"], ["en", "fr", "de"]])
+def test_unlearned_languages_and_junk_go(spark, learned):
+    rng = random.Random(4)
+    clean = [r for r in texts(3, 900) if r[2] in learned]
+    strange = [
+        "wszystkie dzieci często wracają późno ze szkoły przez wąską ścieżkę", "быстрая коричневая лиса прыгает через ленивую собаку", "東京都の図書館は午後九時まで開いています",
+        "for(i=0;i<n;++i){x[i]=y[i]*z[i]+0x1F;}if(!p)return NULL;", "a" + "".join(chr(rng.randrange(33, 1000)) for _ in range(400)), "xq7#kz!" * 40, "zzzzqqqqxxxxjjjj" * 30,
+    ]
+    rows = clean + [(10_000 + i, t, None) for i, t in enumerate(strange)]
+    kept = {r.doc_id for r in L.keep_known(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not {i for i, _, lang in rows if lang is None} & kept
+    held = [i for i, _, _ in clean if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(set(held) & kept) >= 0.99 * len(held)
