@@ -11,12 +11,17 @@ renamed or sorted recursively; each step costs time linear in the text.
 
 from __future__ import annotations
 
+from array import array
 
-def suffix_array(text) -> list[int]:
-    """Start positions of the suffixes of a sequence of non-negative numbers (bytes) in ascending order."""
+
+def suffix_array(text) -> array:
+    """Start positions of the suffixes of a sequence of under 2^31 non-negative numbers (bytes) in ascending order.
+
+    Some 30 bytes of memory for each symbol.
+    """
     n = len(text) + 1  # with an end smaller than every symbol
     if n == 1:
-        return []
+        return array("i")
     # groups of the first symbol: `order` holds the positions, a group is named by where it starts
     starts, at = {}, 1
     counts: dict[int, int] = {}
@@ -26,8 +31,8 @@ def suffix_array(text) -> list[int]:
         starts[c] = at
         at += counts[c]
     free = dict(starts)
-    order, place, group = [0] * n, [0] * n, [0] * n
-    size = [0] * n
+    zeros = array("i", bytes(4 * n))
+    order, place, group, size = zeros[:], zeros[:], zeros[:], zeros[:]
     order[0], size[0] = n - 1, 1
     for c, s in starts.items():
         size[s] = counts[c]
@@ -35,7 +40,7 @@ def suffix_array(text) -> list[int]:
         k = free[c]
         free[c] = k + 1
         order[k], place[i], group[i] = i, k, starts[c]
-    length, before = [1] * n, [-2] * n
+    length, before = array("i", [1]) * n, array("i", [-2]) * n
 
     high = n - 1
     while high > 0:
@@ -89,9 +94,9 @@ def suffix_array(text) -> list[int]:
                     size[g + size[g]] = c
         high = low - 1
 
-    out = [0] * n
+    out = zeros
     out[0] = n - 1
-    following = list(range(n))
+    following = array("i", range(n))
     for i in range(n):
         s = out[i]
         j = s - 1
