@@ -5,10 +5,13 @@ density sum adds its children's densities; the node with the largest sum is the
 it to the body, the least density on the way is the threshold: what lies below it is not content, and within each
 node at or above it the subtree of largest density sum is taken, or what encloses it: the article, the main part that
 holds this article only, or the common parent of dense siblings. Elements of a line (b, span, ...) are no subtrees of
-their own: a sum reaches through them to the blocks inside.
+their own: a sum reaches through them to the blocks inside. A page's only article, else the part of its title, is where the
+heart is looked for; the title and what stands between it and the heart belong to the article.
 
-What is never article (scripts, styles, menus, forms, adverts, comments and so on, by element or by class, id and role)
-leaves the tree before densities are computed.
+What is never article (scripts, styles, menus, forms, adverts, reader comments and so on) leaves the tree before densities are
+computed: by element, and for containers by a name (class, id or role) that says nothing else. Reader comments are also known by their
+heading or by their form: like parts, each with an author or a time. Elements of a line stay, whatever their names, but for adverts;
+so do paragraphs but for adverts and notices.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +36,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are part of a line: they count as tags, but a block's text isn't divided by them.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: End tags that reach no further than the block around.
+NEAR = frozenset("p b i a span em strong".split())
 #: An open element of the first kind ends where one of the others starts.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -39,120 +46,272 @@ CLOSES = {
 }
 #: Elements that the search for one to close doesn't leave.
 WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-#: Words in class, id and role that mark what isn't article.
-UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo|navigation|navbar|nav|menu|breadcrumbs?|sidebar|side-bar|footer|masthead|site-header|page-header|top-?bar|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|social|share|sharing|comments?|commentlist|disqus|replies|reply|related|recommended|widget|login|search|contentinfo|complementary|alert|pagination|pager|toolbar|skip-link)(?:$|[\s_-]|\d)", re.I)
-#: Elements that such words don't remove.
-KEPT = frozenset(("html", "body", "main", "article"))
-
-#: Such words say that something is or isn't there; they mark a layout, not the thing.
-LAYOUT = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without)-[\w-]+", re.I)
 
+#: A name is unwanted if it is one of these words, alone or between words that only say where or in what form.
+ADVERT = "ads? adverts? advertisements? advertising adsense adsbygoogle ad-?slot sponsor(?:ed|s)? promo(?:tion|tions|s)?"
+COMMENTS = "comments? comment-?list disqus replies guestbook talkback"
+NOTICE = "cookies? consent gdpr notices? alerts? popups? newsletter subscribe subscription"
+CHROME = "nav navbar navigation menus? breadcrumbs? side-?bar footer masthead top-?bar toolbar banner modal overlay sign-?up social shar(?:e|ing) related recommended recommendations widgets? login search pagination pager skip-?link"
+WHERE = "site page main top bottom left right primary secondary global user reader post article blog header footer cookie social sticky similar mobile the wp"
+FORM = "wrapper wrap container area list box bar section block inner outer links? widget buttons? icons? form items? thread feed panel row col column unit slot message msg text content posts? articles? stories top bottom left right sidebar menu nav banner notice"
+#: Outside of article and main, such a container after other text holds comments; inside it may be a paper's discussion.
+TALK = "discussions? responses respond reactions feedback"
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+#: Marks of one reader's comment, on elements within it.
+BY = re.compile(r"(?:^|[\s-])(?:author|user|username|avatar|date|time|timestamp|byline|meta|posted|reply|nick|name|commenter|poster|by|when|who)(?:$|[\s-])")
+SAID = re.compile(r"\b(?:says|said|wrote|writes|replied|posted|commented)\s*:|\bago\b", re.I)
+TALKS = re.compile(r"(?:\d+|no|all|reader|readers'?|user|your|join the|leave a|add a|post a|show|view)?\s*(?:comments?|responses?|replies|reply|reactions?)(?:\s*(?:\(?\d+\)?|on\b.*|to\b.*))?\s*:?", re.I)
+
+
+def _names(*kinds: str) -> re.Pattern:
+    word = lambda x: "|".join(x.split())
+    return re.compile(rf"(?:(?:{word(WHERE)})-)?(?:{'|'.join(word(k) for k in kinds)})(?:-(?:{word(FORM)}|\d+))*\d*")
+
+
+_ADVERT, _NOTICE, _COMMENTS, _UNWANTED, _TALK = _names(ADVERT), _names(ADVERT, NOTICE), _names(COMMENTS), _names(ADVERT, COMMENTS, NOTICE, CHROME), _names(TALK)
+_OUTSIDE = re.compile(r"(?:(?:site|page|top|global|main|the)-)?header(?:-(?:wrapper|wrap|container|area|bar|inner|top|nav|menu))*\d*")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|$)", re.S)
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_MARKS = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best")
+    __slots__ = ("tag", "parent", "kids", "marks", "chars", "tags", "link_chars", "link_tags", "articles", "density", "sum", "best")
+
+    def __init__(self, tag: str, parent: Node | None, marks: str = ""):
+        self.tag, self.parent, self.kids, self.marks = tag, parent, [], marks  # kids: nodes and strings
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids = tag, parent, []  # kids: nodes and strings
+
+def marks_of(attributes: str) -> tuple[list[str], set[str]]:
+    """The names in class and id, and other marks, lower-cased."""
+    names, other = [], set()
+    for name, a, b, c in _MARKS.findall(attributes) if "=" in attributes else ():
+        value = (a or b or c).lower()
+        if name.lower() in ("class", "id"):
+            names += value.replace("_", "-").split()
+        else:
+            other.add(f"{name.lower()}={value}")
+    return names, other
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def unwanted(tag: str, names: list[str], other: set[str], inside: bool) -> bool:
     """inside: within main or article, whose headers hold the title."""
-    if tag in DROPPED or tag == "header" and not inside:
+    if tag in DROPPED or tag == "header" and not inside or "aria-hidden=true" in other:
         return True
-    if tag in KEPT or "=" not in attributes:
+    if any(x == "itemprop=comment" or x.endswith("schema.org/comment") for x in other):
+        return True
+    if tag in ("html", "body", "main") or tag in HEADINGS:
         return False
-    for name, a, b, c in _MARKS.findall(attributes):
-        value = a or b or c
-        if name.lower() == "aria-hidden" and value == "true" or name.lower() in ("class", "id", "role") and UNWANTED.search(LAYOUT.sub("", value)):
-            return True
-    return False
+    if tag in INLINE or tag == "p":
+        return any((_ADVERT if tag in INLINE else _NOTICE).fullmatch(x) for x in names)
+    if tag == "article":
+        return any(_COMMENTS.fullmatch(x) for x in names)
+    if any(x[5:] in ROLES for x in other if x.startswith("role=")):
+        return True
+    return any(_UNWANTED.fullmatch(x) or not inside and _OUTSIDE.fullmatch(x) for x in names)
+
+
+class Open:
+    """The open elements of a page, with the places of each tag among them, so that no end tag is looked for twice."""
+
+    def __init__(self):
+        self.path = [Node("body", None)]
+        self.places: dict[str, list[int]] = {}
+        self.walls = [0]  # blocks other than paragraphs
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in BLOCK and node.tag != "p":
+            self.walls.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, place: int) -> None:
+        """Ends all elements from this place on."""
+        while len(self.path) > place:
+            self.places[self.path.pop().tag].pop()
+            if self.walls[-1] == len(self.path):
+                self.walls.pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open one; -1 if there is none."""
+        return places[-1] if (places := self.places.get(tag)) else -1
+
+    def first(self, tag: str, after: int) -> int:
+        """The place of the outermost open one beyond a place."""
+        places = self.places.get(tag, ())
+        at = bisect_right(places, after)
+        return places[at] if at < len(places) else len(self.path)
+
+    def starts(self, tag: str) -> None:
+        """Ends what an element of this tag ends by starting."""
+        if tag in BLOCK and self.last("p") > self.walls[-1]:
+            self.cut(self.last("p"))
+        if tag in CLOSES:
+            wall = max(self.last(w) for w in WALLS[tag])
+            self.cut(min(self.first(c, wall) for c in CLOSES[tag]))
 
 
 def parse(page: str) -> Node:
-    """The tree of what may be article; broken markup is closed as browsers do in the common cases."""
-    root = at = Node("body", None)
+    """The tree of what may be article; broken markup is closed as browsers do in the common cases. Time is linear in the page."""
+    opened = Open()
     skipped: list[str] = []  # open elements from the first unwanted one on
-    inside = pos = 0
-    end = len(page)
+    among: dict[str, int] = {}  # how many of each tag are skipped
+    pos, end = 0, len(page)
+
+    def skip(tag: str) -> None:
+        skipped.append(tag)
+        among[tag] = among.get(tag, 0) + 1
+
+    def unskip() -> str:
+        among[tag := skipped.pop()] -= 1
+        return tag
+
     while pos < end:
         m = _TOKEN.search(page, pos)
         stop = m.start() if m else end
         if stop > pos and not skipped:
-            at.kids.append(page[pos:stop])
+            opened.path[-1].kids.append(page[pos:stop])
         if not m:
             break
         pos = m.end()
         if not m[3]:
             if m[1] and not skipped:
-                at.kids.append(m[1])
+                opened.path[-1].kids.append(m[1])
             continue
         tag, attributes = m[3].lower(), m[4]
         if m[2]:
             if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
+                if among.get(tag):
+                    while unskip() != tag:
                         pass
                     continue
                 if tag not in ("article", "main", "body", "html"):
                     continue
                 skipped.clear()  # the unwanted element was never closed, but what holds it is
-            if tag in ("body", "html"):
-                continue
-            node = at
-            while node is not root and node.tag != tag and not (tag in ("p", "b", "i", "a", "span", "em", "strong") and node.tag in BLOCK and node.tag != tag and node.tag != "p"):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                gone = at
-                while gone is not node.parent:
-                    inside -= gone.tag in ("article", "main")
-                    gone = gone.parent
-                at = node.parent
+                among.clear()
+            place = opened.last(tag)
+            if place > (opened.walls[-1] if tag in NEAR else 0):
+                opened.cut(place)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
+            close = _RAW_END[tag].search(page, pos)
             if tag in ("xmp", "noembed", "noframes") and not skipped:
-                at.kids.append(page[pos : close.start() if close else end])
+                opened.path[-1].kids.append(page[pos : close.start() if close else end])
             pos = close.end() if close else end
             continue
         if tag in ("html", "body"):
-            if not skipped:
-                continue
             if tag == "body":
                 skipped.clear()
+                among.clear()
             continue
+        empty = tag in VOID or attributes.endswith("/")
         if skipped:
             if tag in ("li", "p", "option", "dt", "dd") and skipped[-1] == tag and len(skipped) > 1:
-                skipped.pop()
-            if tag not in VOID and not attributes.endswith("/"):
-                skipped.append(tag)
+                unskip()
+            if not empty:
+                skip(tag)
             continue
-        if tag in BLOCK:  # a block ends an open paragraph and what is in it
-            node = at
-            while node is not root and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in CLOSES:
-            node, last = at, None
-            while node is not root and node.tag not in WALLS[tag]:
-                if node.tag in CLOSES[tag]:
-                    last = node
-                node = node.parent
-            if last is not None:
-                at = last.parent
-        if unwanted(tag, attributes, inside > 0):
-            if tag not in VOID and not attributes.endswith("/"):
-                skipped.append(tag)
+        opened.starts(tag)
+        names, other = marks_of(attributes)
+        if unwanted(tag, names, other, opened.last("article") > 0 or opened.last("main") > 0):
+            if not empty:
+                skip(tag)
             continue
-        node = Node(tag, at)
-        at.kids.append(node)
+        node = Node(tag, opened.path[-1], " ".join(names))
+        opened.path[-1].kids.append(node)
         if tag not in VOID:
-            at = node
-            inside += tag in ("article", "main")
-    return root
+            opened.push(node)
+    return opened.path[0]
+
+
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+
+
+def inner(node: Node) -> list[Node]:
+    return [k for k in node.kids if not isinstance(k, str)]
+
+
+def pages_order(root: Node) -> list[Node]:
+    """All nodes, in page order."""
+    out, stack = [], [root]
+    while stack:
+        out.append(node := stack.pop())
+        stack.extend(reversed(inner(node)))
+    return out
+
+
+def text_of(node: Node, most: int) -> str:
+    """The first characters of a node's text, white space as one space."""
+    parts, n, stack = [], 0, [node]
+    while stack and n < most and len(parts) < 200:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x[: 4 * most])
+            n += len(parts[-1].strip())
+        else:
+            stack.extend(reversed(x.kids[:200]))
+            parts.append(" ")
+    return " ".join("".join(parts).split())[:most]
+
+
+def alike(node: Node) -> list[Node]:
+    """The parts of one kind (element, class and id) that make most of a container; none if it isn't made of such."""
+    kinds: dict[tuple, list[Node]] = {}
+    for k in inner(node):
+        if k.tag in ("div", "li", "section", "article", "dd", "blockquote") and k.chars:
+            kinds.setdefault((k.tag, k.marks), []).append(k)
+    most = max(kinds.values(), key=lambda x: sum(k.chars for k in x), default=[])
+    return most if len(most) > 1 and sum(k.chars for k in most) >= 0.6 * node.chars else []
+
+
+def said_by(node: Node) -> bool:
+    """Whether a part names its author or time, as a reader's comment does."""
+    seen, stack = 0, [node]
+    while stack and seen < 40:
+        x = stack.pop()
+        seen += 1
+        if x is not node and (x.tag in ("time", "cite", "address") or x.marks and BY.search(x.marks)):
+            return True
+        stack.extend(reversed(inner(x)[:40]))
+    return bool(SAID.search(text_of(node, 80)))
+
+
+def are_comments(node: Node, inside: bool) -> bool:
+    """Whether a container after other text holds reader comments: by name, heading or the form of its parts."""
+    if not inside and any(_TALK.fullmatch(x) for x in node.marks.split()):
+        return True
+    like = alike(node)
+    first = next((k for k in node.kids if not isinstance(k, str) and k.chars), None)
+    headed = first is not None and first.tag in HEADINGS and first.chars < min(60, node.chars) and TALKS.fullmatch(text_of(first, 80))
+    if headed and not inside:
+        return True
+    return bool((headed or not inside) and like and sum(map(said_by, like)) >= 0.8 * len(like))
+
+
+def without_comments(root: Node) -> bool:
+    """Takes containers of reader comments off the tree, if they come after other text and don't hold the title. Whether there were any."""
+    order = pages_order(root)
+    title = next((n for n in order if n.tag == "h1" and n.chars), None)
+    kept, up = set(), title
+    while up is not None:
+        kept.add(id(up))
+        up = up.parent
+    least, before, any_gone = title.chars if title else 0, 0, False
+    gone, inside = set(), set()
+    for node in order:
+        if id(node.parent) in gone:
+            gone.add(id(node))
+            continue
+        if node.tag in ("article", "main") or id(node.parent) in inside:
+            inside.add(id(node))
+        if before > least and node.chars and node.tag in ("div", "section", "ul", "ol", "dl") and id(node) not in kept and are_comments(node, id(node) in inside):
+            gone.add(id(node))
+            any_gone = True
+        else:
+            before += sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+    for node in order:
+        if any(id(k) in gone for k in inner(node)):
+            node.kids = [k for k in node.kids if isinstance(k, str) or id(k) not in gone]
+    return any_gone
 
 
 def weigh(root: Node) -> list[Node]:
@@ -161,7 +320,7 @@ def weigh(root: Node) -> list[Node]:
     for node in order:
         order.extend(k for k in node.kids if not isinstance(k, str))
     for node in reversed(order):
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.chars = node.tags = node.link_chars = node.link_tags = node.articles = 0
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += len("".join(k.split()))
@@ -170,8 +329,11 @@ def weigh(root: Node) -> list[Node]:
                 node.tags += k.tags + 1
                 node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
+                node.articles += k.articles
         if node.tag == "a":
             node.link_chars = node.chars
+        if node.tag == "article" and node.chars:
+            node.articles = 1  # those inside are parts of it
     body_share = root.link_chars / max(root.chars, 1)
     for node in reversed(order):
         c, t = node.chars, max(node.tags, 1)
@@ -181,10 +343,10 @@ def weigh(root: Node) -> list[Node]:
             lc, lt, plain = node.link_chars, max(node.link_tags, 1), max(c - node.link_chars, 1)
             base = math.log(c / plain * lc + body_share * c + math.e)
             node.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1e-9) / base if lc else c / t * math.log(max(c * t / lt, 1.0) + 1e-9) / base
-        inner = [k for k in node.kids if not isinstance(k, str)]
-        node.sum = sum(k.sum if k.tag in INLINE else k.density for k in inner)
+        kids = inner(node)
+        node.sum = sum(k.sum if k.tag in INLINE else k.density for k in kids)
         node.best = node
-        for k in inner:
+        for k in kids:
             if k.best.tag not in INLINE and (k.best.sum > node.best.sum or node.best.tag in INLINE):
                 node.best = k.best
     return order
@@ -194,63 +356,117 @@ def enclosing(best: Node, top: Node, threshold: float) -> Node:
     """What the subtree of largest density sum is a part of, up to top."""
     marked, node = None, best
     while node is not top.parent:
-        if node.tag == "article":
+        if node.tag == "article" or node.tag == "main" and (marked is None or node.articles == 1):
             marked = node
-        elif node.tag == "main":
-            articles, stack = 0, [node]
-            while stack:
-                x = stack.pop()
-                if x.tag == "article" and x.chars:
-                    articles += 1
-                else:
-                    stack.extend(k for k in x.kids if not isinstance(k, str))
-            if marked is None or articles == 1:
-                marked = node
         node = node.parent
     if marked is not None:
         return marked
     while best is not top and best.parent is not top:
-        beside = [k for k in best.parent.kids if not isinstance(k, str) and k is not best and k.tag not in INLINE]
+        beside = [k for k in inner(best.parent) if k is not best and k.tag not in INLINE]
         if not any(k.chars and k.density >= threshold for k in beside):
             break
         best = best.parent
     return best
 
 
+def above(node: Node | None) -> list[Node]:
+    """The node and what holds it, up to the root."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
+def heart_of(root: Node, order: list[Node]) -> tuple[Node, str]:
+    """The subtree of largest density sum where the article is, and what says so: an element, the title, or nothing else.
+
+    That is in the only article, unless a title stands in another part of the page; else among what the page's title is
+    with, if that is an article by its size, or what is denser is a list of parts alike.
+    """
+    title = next((n for n in order if n.tag == "h1" and n.chars), None)
+    if root.articles == 1:
+        only = next(n for n in order if n.tag == "article" and n.chars)
+        if title is None or title.parent in above(only) or only in above(title):
+            return only.best if only.best.tag not in INLINE else only, "element"
+    heart = root.best
+    if title is not None and not root.articles:
+        part, paragraphs = title, 0
+        while part is not root and paragraphs < 2:
+            part = part.parent
+            paragraphs = sum(1 for k in part.kids if not isinstance(k, str) and k.tag not in HEADINGS and k.tag not in INLINE and k.chars > k.link_chars)
+        if part is not root and part not in above(heart) and (2 * (part.chars - title.chars) >= heart.chars or alike(heart)):
+            return part.best, "title"
+    return heart, ""
+
+
+def titled(top: Node, order: list[Node]) -> list[Node]:
+    """The title before a subtree, if that doesn't hold it, and what stands between."""
+    way = above(top)
+    at = {id(n): i for i, n in enumerate(order)}
+    if any(n.tag == "h1" and n.chars and top in above(n) for n in order[at[id(top)] :][:2_000]):
+        return []
+    title = next((n for n in reversed(order[: at[id(top)]]) if n.tag == "h1" and n.chars and n not in way), None)
+    if title is None:
+        return []
+    branch = above(title)
+    held = {id(n) for n in way}
+    k = next(i for i, n in enumerate(branch) if id(n) in held)
+    common, first = branch[k], branch[k - 1]
+    last = way[way.index(common) - 1]
+    kids = inner(common)
+    plain = lambda x: x.chars > 2 * x.link_chars
+    between = kids[kids.index(first) + 1 : kids.index(last)]
+    return [first if plain(first) else title, *(x for x in between if x.chars and plain(x))]
+
+
 def chosen(root: Node) -> list[Node]:
     """The subtrees that are content, in page order."""
     weigh(root)
-    heart = root.best
-    threshold, node = heart.density, heart
-    while node is not None:
-        threshold = min(threshold, node.density)
-        node = node.parent
-    out, stack = [], [root]
+    if without_comments(root):
+        weigh(root)
+    order = pages_order(root)
+    heart, by = heart_of(root, order)
+    way = above(heart)
+    threshold = min(n.density for n in way)
+    if by == "element":
+        top = enclosing(heart, root, threshold)
+        return [*titled(top, order), top]
+    on_way = {id(n) for n in way}
+    out, stack, top = [], [root], None
     while stack:
         node = stack.pop()
         if node.density < threshold:
             continue
-        best = enclosing(node.best, node, threshold)
+        best = enclosing(heart if id(node) in on_way else node.best, node, threshold)
+        if id(node) in on_way:
+            top = best
         if best is node or node is heart:
             out.append(node)
             continue
         # the subtree, and what beside the way to it is dense enough
-        way, up = {id(best)}, best
+        down, up = {id(best)}, best
         while up is not node:
             up = up.parent
-            way.add(id(up))
+            down.add(id(up))
         walk = [node]
         while walk:
             x = walk.pop()
             if x is best:
                 out.append(x)
                 continue
-            for k in reversed([k for k in x.kids if not isinstance(k, str)]):
-                if id(k) in way:
+            for k in reversed(inner(x)):
+                if id(k) in down:
                     walk.append(k)
-                elif k.chars and k.density >= threshold:
+                elif k.chars and k.density >= threshold and not (by == "title" and alike(k)):
                     stack.append(k)
-    return out
+    found = {id(x) for x in out}
+    if top is not None:
+        out += [x for x in titled(top, order) if not found & {id(n) for n in above(x)}]
+        taken = {id(x) for x in out}
+        out = [x for x in out if not taken & {id(n) for n in above(x.parent)}]
+    at = {id(n): i for i, n in enumerate(order)}
+    return sorted(out, key=lambda x: at[id(x)])
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -284,19 +500,8 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page, its blocks joined by \\n; empty without text."""
-    if not page:
-        return ""
-    root = parse(page)
-    found = chosen(root)
-    if len(found) > 1:  # page order, as they are found by density
-        place, stack, n = {}, [root], 0
-        while stack:
-            node = stack.pop()
-            place[id(node)] = n = n + 1
-            stack.extend(reversed([k for k in node.kids if not isinstance(k, str)]))
-        found.sort(key=lambda x: place[id(x)])
-    return "\n".join(blocks(found))
+    """The article of a page, its blocks joined by an empty line (two \\n); empty without text."""
+    return "\n\n".join(blocks(chosen(parse(page)))) if page else ""
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: list[str] | None = None, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
