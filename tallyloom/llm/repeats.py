@@ -32,6 +32,8 @@ from tallyloom.llm.suffix_array import suffix_array
 LENGTH, K = 100, 32
 #: Up to so many repeated hashes or ids (8 bytes each) are broadcast; beyond, they meet the documents by a shuffle.
 BROADCAST_HASHES = 3_000_000
+#: Up to so many texts that have copies (some 100 bytes each) are broadcast.
+BROADCAST_COPIES = 300_000
 #: Bytes of different runs that are worked on at once; a hash with more is worked on alone.
 CHUNK = 250_000
 #: Windows of a text that are hashed at once, and bytes of runs that a task holds to merge equal ones.
@@ -346,8 +348,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     x = x.withColumns({"key": F.xxhash64("text"), "size": F.length("text")})
     marks = written(x.filter(F.col("size") >= length).select("id", "key", "size", F.md5("text").alias("same")).distinct())
     place = F.struct(F.coalesce("id", F.lit(_NULL)).alias("i"), F.col("key").alias("k"))
-    firsts = marks.groupBy("same").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = written(marks.join(firsts, "same").filter(place != F.col("first")).select("id", "key", "size"))
+    firsts = written(marks.groupBy("same").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("same", "first"))
+    near = F.broadcast(firsts) if firsts.count() <= BROADCAST_COPIES else firsts  # a row for each text with copies, however many these are
+    copies = written(marks.join(near, "same").filter(place != F.col("first")).select("id", "key", "size"))
     n = copies.count()
     whole = x.filter(F.col("size") >= length)
     gone = F.broadcast(copies.select(F.col("id").alias("i"), F.col("key").alias("k"))) if n <= BROADCAST_HASHES else copies.select(F.col("id").alias("i"), F.col("key").alias("k"))
@@ -355,7 +358,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = rest.select("id", "key", "text")
     spans = repeated_spans(rest, length, k).union(copies.select("id", "key", F.lit(0).cast("long"), F.col("size").cast("long")))
     spans = written(spans.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnsRenamed({"id": "i", "key": "k"}))
-    drop_written(marks, copies)
+    drop_written(marks, firsts, copies)
 
     def kept(batches):
         for batch in batches:

@@ -45,6 +45,26 @@ def suffix_array(text) -> array:
     high = n - 1
     while high > 0:
         low = group[order[high]]
+        if low == high:  # one member, as most groups have: the same steps without lists
+            s = order[high]
+            p = s - 1
+            while p >= 0 and group[p] >= low:  # all closed, so their pointers are known
+                p = before[p]
+            before[s] = p
+            if p >= 0:
+                length[p] += length[s]
+                g = group[p]
+                z = size[g] - 1
+                size[g] = z
+                last, mine = g + z, place[p]
+                if last != mine:
+                    other = order[last]
+                    order[mine], place[other] = other, mine
+                    order[last], place[p] = p, last
+                group[p] = last
+                size[last] = 1
+            high = low - 1
+            continue
         members = order[low : high + 1]
         times: dict[int, int] = {}
         for s in members:

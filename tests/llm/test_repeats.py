@@ -92,6 +92,7 @@ def test_against_naive(spark, monkeypatch):
     assert sum(r[2] for r in want) > 3000
     assert sorted(map(tuple, R.remove_repeats(df).collect())) == want
     monkeypatch.setattr(R, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(R, "BROADCAST_COPIES", 0)
     monkeypatch.setattr(R, "CHUNK", 500)
     assert sorted(map(tuple, R.remove_repeats(df).collect())) == want
 
