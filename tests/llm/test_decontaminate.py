@@ -58,4 +58,51 @@ def test_empty_null_ids_and_repeated_rows(spark):
     i = spark.createDataFrame([(5, "A b c d e f")], "item_id bigint, text string")
     assert sorted((tuple(r)[:4] for r in D.contaminated(d, i).collect()), key=str) == [(1, 5, 2, 2), (1, 5, 2, 2), (None, 5, 2, 2)]
     assert D.contaminated(d.limit(0), i).count() == 0 and D.contaminated(d, i.limit(0)).count() == 0
-    assert [r.doc_id for r in D.decontaminate(d, i).collect()] == [None]
+    assert D.decontaminate(d, i).count() == 0  # rows go by what they hold, whatever their id
+    assert D.decontaminate(d.limit(0), i).count() == 0 and D.decontaminate(d, i.limit(0)).count() == 3
+
+
+def test_rows_are_judged_by_their_text(spark):
+    d = spark.createDataFrame([(None, "a b c d e f"), (None, "clean"), (1, "x a b c d e f"), (1, "clean too"), (2, None)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(5, "A b c d e f")], "item_id bigint, text string")
+    for limit in (10**6, 0):
+        assert sorted((str(r.doc_id), str(r.text)) for r in D.decontaminate(d, i, broadcast_shingles=limit).collect()) == [("1", "clean too"), ("2", "None"), ("None", "clean")]
+
+
+def test_items_of_one_phrase_and_of_one_id(spark):
+    """A phrase that all items begin with finds no candidates by itself; items of one id are one item."""
+    items = [(k, "choose the right answer from these words " + " ".join(f"q{k}x{j}" for j in range(30))) for k in range(60)]
+    items += [(None, "one two"), (None, "three four five six seven eight"), (7, "short"), (70, "lone")]
+    docs = [(k, f"before {t} after {k}") for k, t in items[:30]] + [(100, "choose the right answer from these words " + "w " * 40), (101, "one two three four five six seven eight"), (102, "a lone word"), (103, "one two")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    known = D.Items(*index_of(items[:60]))
+    words = D.WordHashes().of(docs[30][1].encode(), fold=True)
+    assert known.candidates(D.np.unique(D.runs(words, D.WIDTH))) == []
+    got = [sorted(str(tuple(r)[:4]) for r in D.contaminated(d, i, broadcast_shingles=n).collect()) for n in (10**6, 0)]
+    assert got[0] == got[1]
+    want = {(k, k) for k in range(30)} | {(101, None), (102, 70)}  # of item 7 nearly all is there
+    assert {eval(x)[:2] for x in got[0]} == want
+
+
+def index_of(items):
+    words = D.WordHashes()
+    sets = [D.np.unique(D.runs(words.of(t.encode(), fold=True), D.WIDTH)) for _, t in items]
+    place = D.np.repeat(D.np.arange(len(sets)), [len(s) for s in sets])
+    return D.np.concatenate(sets), place, D.np.full(len(place), D.WIDTH), len(sets), D.THRESHOLD
+
+
+def test_signatures_are_small_and_miss_little():
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, text(400)) for k in range(300)]
+    known = D.Items(*index_of(items))
+    words, caught = D.WordHashes(), 0
+    for k, t in items:
+        x = t.split()
+        for b in range(8, 400, 27):  # changed words leave about 0.8 of the shingles
+            x[b] = "changed"
+        hashes = D.np.unique(D.runs(words.of(" ".join([text(3000), *x, text(3000)]).encode(), fold=True), D.WIDTH))
+        assert D.held(known.sets[k], hashes) >= 0.8 * known.sizes[k]
+        assert len(hashes[: D.np.searchsorted(hashes, known.parts[-1][0][-1])]) < 0.15 * len(hashes)
+        caught += k in known.candidates(hashes)
+    assert caught >= 0.99 * len(items)
