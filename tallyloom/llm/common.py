@@ -89,3 +89,24 @@ def spare(df: DataFrame, name: str) -> str:
 
 def lower_ascii(c):
     return F.translate(c, UPPER, LOWER)
+
+
+#: Rows of one key that a task of a join takes at most, about, and how many keys with more are told to all tasks.
+HOT_ROWS, HOT_KEYS = 5_000, 1_000_000
+
+
+def join_spread(many: DataFrame, one: DataFrame, keys: list[str], weight: str, spread: str, how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each key and in `weight` the number of rows that many has of it.
+
+    Keys of more than HOT_ROWS rows are dealt out by a hash of the column `spread` to as many parts as they need. They
+    are at most the rows of many divided by HOT_ROWS, and counted; above HOT_KEYS of them, only hotter ones are dealt out.
+    """
+    least, part = HOT_ROWS, spare(many, "part_of_key")
+    while (n := (hot := one.filter(F.col(weight) > least)).count()) > HOT_KEYS:
+        least *= 4
+    if not n:
+        return many.join(one, keys, how)
+    parts = F.when(F.col(weight) > least, F.ceil(F.col(weight) / HOT_ROWS)).otherwise(1).cast("int")
+    told = hot.select(*keys, parts.alias(part))
+    x = many.join(F.broadcast(told), keys, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(spread), F.col(part)).cast("int"), F.lit(0)))
+    return x.join(one.withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, part], how).drop(part)

@@ -9,10 +9,13 @@ is compared on the full sets.
 Work is kept in proportion:
 1. Documents of equal sets become one representative.
 2. In every band bucket, each member is compared with the least only (a star).
-3. Links so far give components. Only buckets that still hold several go on: there, pairs of different components are estimated,
-   each pair in the first band that it shares, in blocks, and what passes is verified: in small buckets as pairs, in large ones in
-   place, with the members' sets, where a link found makes the other pairs of its two components needless. So no pair that
-   shares a band is left out, and no list of all pairs of a large group is made.
+3. Links so far give components. Only buckets that still hold several go on. In those of up to SMALL members, pairs of different
+   components are estimated, each pair in the first band that it shares, and verified if the estimate allows.
+4. The members of larger ones go to the next of LEVELS, where more registers make a key and more keys a document, so that the buckets
+   of documents that aren't linked come apart while linked ones still meet as surely; steps 2 and 3 again. What the last level leaves
+   is estimated in blocks by sketches only, and verified as pairs. So no pair that shares a band is left out.
+
+Full sets are written once, of the documents that share a bucket with others.
 """
 
 from __future__ import annotations
@@ -23,17 +26,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, drop_written, spare, written
+from tallyloom.llm.common import WORD, bounded_batches, drop_written, join_spread, spare, written
 from tallyloom.llm.components import components
 from tallyloom.llm.shingles import WordHashes, mix, shingle_set
 
 WIDTH, PERCENT = 5, 80
-#: Buckets (a power of two), mantissa bits, and the bands: BANDS * ROWS registers.
-REGISTERS, MANTISSA, BANDS, ROWS = 256, 10, 32, 4
+#: Registers (a power of two) and mantissa bits of a sketch.
+REGISTERS, MANTISSA = 256, 10
+#: Registers in a key and keys of a document, by level: two documents at the threshold share none with a probability under 1e-7.
+LEVELS = ((4, 32), (8, 88), (12, 226))
 #: Standard deviations of an estimate below the threshold, beyond which a pair isn't verified.
 MARGIN = 5.0
-#: Buckets of more members are verified in place, by blocks of so many; each two blocks meet once.
+#: Buckets of more members go to the next level; in the last one they are estimated by blocks of so many, each two blocks once.
 SMALL, BLOCK = 64, 1_000
+#: Bytes of sets that a task gives out at once.
+SET_BYTES = 8_000_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, documents meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -111,8 +118,43 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, regs binary, sk1 long, sk2 long")
 
 
+def _places(level: int) -> np.ndarray:
+    """The registers of each key of a level: in order at the first one, else drawn in rounds that use all registers alike."""
+    rows, keys = LEVELS[level]
+    if not level:
+        return np.arange(rows * keys).reshape(keys, rows)
+    rng = np.random.default_rng(level)
+    drawn = np.concatenate([rng.permutation(REGISTERS)[: REGISTERS // rows * rows] for _ in range(-(-keys * rows // (REGISTERS // rows * rows)))])
+    return drawn[: keys * rows].reshape(keys, rows)
+
+
+def _keys(regs: np.ndarray, level: int) -> np.ndarray:
+    """The keys of sketches: a hash of the key's number and registers, 64 bits."""
+    places = _places(level)
+    acc = np.broadcast_to(mix(np.arange(1, len(places) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), (len(regs), len(places)))
+    for k in range(places.shape[1]):
+        acc = mix(acc * np.uint64(0x2545F4914F6CDD1D) + regs[:, places[:, k]])
+    return acc
+
+
+def _banded(named: DataFrame, level: int) -> DataFrame:
+    """(bucket, band, id, n, sk1, sk2) for each key of (id, n, regs, sk1, sk2)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 2_000):
+                part = batch.slice(at, 2_000)
+                regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                keys = _keys(regs, level)
+                row = pa.array(np.repeat(np.arange(len(part)), keys.shape[1]))
+                band = pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), band, *(part.column(c).take(row) for c in ("id", "n", "sk1", "sk2"))], names=["bucket", "band", "id", "n", "sk1", "sk2"])
+
+    return named.select("id", "n", "regs", "sk1", "sk2").mapInArrow(run, "bucket long, band int, id long, n long, sk1 long, sk2 long")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, regs, hashes) of the documents with these ids, from their texts."""
+    """(id, hashes) of the documents with these ids, from their texts."""
     spark = docs.sparkSession
     if ids.count() <= BROADCAST_IDS:
         held = spark.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()))
@@ -122,17 +164,21 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            i = batch.column(0)
+            i, found, size = batch.column(0), [], 0
             if held is not None and len(held.value):
                 at = i.fill_null(-(2**63)).to_numpy()
                 hit = np.flatnonzero(held.value[np.minimum(np.searchsorted(held.value, at), len(held.value) - 1)] == at)
             else:
                 hit = np.arange(len(i) if held is None else 0)
-            found = [shingle_set(words.of(batch.column(1)[int(k)].as_py()), width) for k in hit]
-            found = [(int(k), s) for k, s in zip(hit, found, strict=True) if len(s)]
-            yield pa.RecordBatch.from_arrays([i.take(pa.array([k for k, _ in found], pa.int64())), pa.array([registers(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "regs", "hashes"])
+            for k in [*hit.tolist(), -1]:
+                if k >= 0 and len(s := shingle_set(words.of(batch.column(1)[k].as_py()), width)):
+                    found.append((k, s.tobytes()))
+                    size += s.nbytes
+                if k < 0 or size > SET_BYTES:
+                    yield pa.RecordBatch.from_arrays([i.take(pa.array([k for k, _ in found], pa.int64())), pa.array([s for _, s in found], pa.binary())], names=["id", "hashes"])
+                    found, size = [], 0
 
-    return docs.mapInArrow(run, "id long, regs binary, hashes binary")
+    return docs.mapInArrow(run, "id long, hashes binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -141,38 +187,25 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets resemble each other, compared in full where the estimate allows."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = written(_sets(docs, ids, width))
-    least = least_estimate(percent)
-    first = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("hashes").alias("ha"))
-    second = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("hashes").alias("hb"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets resemble each other, compared in full."""
+    first = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
+    second = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
 
     def run(batches):
         for batch in batches:
-            a, b, ra, ha, rb, hb = (batch.column(k) for k in ("a", "b", "ra", "ha", "rb", "hb"))
-            keep = []
-            for k in range(len(a)):
-                x, y = np.frombuffer(ha[k].as_buffer(), np.uint64), np.frombuffer(hb[k].as_buffer(), np.uint64)
-                same = np.count_nonzero(np.frombuffer(ra[k].as_buffer(), np.uint16) == np.frombuffer(rb[k].as_buffer(), np.uint16))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or estimate(np.array([same]), [len(x)], [len(y)])[0] < least:
-                    continue
-                if linked(x, y, percent):
-                    keep.append(k)
-            keep = pa.array(keep, pa.int64())
+            a, b, ha, hb = (batch.column(k) for k in ("a", "b", "ha", "hb"))
+            sure = [k for k in range(len(a)) if linked(np.frombuffer(ha[k].as_buffer(), np.uint64), np.frombuffer(hb[k].as_buffer(), np.uint64), percent)]
+            keep = pa.array(sure, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
 
-    out = written(pairs.join(first, "a").join(second, "b").select("a", "b", "ra", "ha", "rb", "hb").mapInArrow(run, "a long, b long").distinct())
-    drop_written(ids, sets)
-    return out
+    return written(pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long").distinct())
 
 
-def _rest(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one block of a bucket, by estimate, each in the first band that it shares.
+def _estimated(buckets: DataFrame, percent: int, level: int, blocks: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket that may be linked by their sketches, each pair in the first band that it shares.
 
-    With a column of the members' sets (hashes) these are links: compared in full, and only those that join components that
-    others haven't joined.
+    blocks: a bucket's members are dealt to blocks, of which each two meet once.
     """
     least = least_estimate(percent)
 
@@ -180,39 +213,26 @@ def _rest(buckets: DataFrame, percent: int) -> DataFrame:
         band, same_block = key[1].as_py(), key[2].as_py() == key[3].as_py()
         ids, comp, n = (rows[c].to_numpy() for c in ("id", "comp", "n"))
         regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
-        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()] if "hashes" in rows.column_names else None
-        block = rows["block"].to_numpy()
-        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
-        joined = np.arange(len(names))  # the components' sets of this block
-        main = where == count.argmax()
-        out = []
-        for k in np.flatnonzero(~main):
-            # with the main component, and with the other ones once
-            mate = (where != where[k]) & (main | (ids > ids[k]))
+        block, places, out = rows["block"].to_numpy(), _places(level), [(np.empty(0, np.int64),) * 2]
+        for k in range(len(ids)):
+            mate = (comp != comp[k]) & (ids > ids[k])
             if not same_block:
                 mate &= block != block[k]
-            mate &= (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (ids != ids[k])
+            mate &= 100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])
             m = np.flatnonzero(mate)
-            if not len(m):
-                continue
-            eq = regs[m] == regs[k]
-            near = estimate(np.count_nonzero(eq, axis=1), n[m], np.full(len(m), n[k])) >= least
-            shared = eq[near, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            for j in m[near][shared]:
-                if sets is not None:
-                    x, y = joined[where[k]], joined[where[j]]
-                    if x == y or not linked(sets[k], sets[j], percent):
-                        continue
-                    joined[joined == x] = y
-                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    x = buckets.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    cols = ["id", "comp", "n", "regs", "block", *[c for c in x.columns if c == "hashes"]]
-    return x.select("bucket", "band", "low", "high", *cols).groupBy("bucket", "band", "low", "high").applyInArrow(run, "a long, b long").distinct()
+            if len(m):
+                eq = regs[m] == regs[k]
+                near = estimate(np.count_nonzero(eq, axis=1), n[m], np.full(len(m), n[k])) >= least
+                first = eq[near][:, places].all(axis=2).argmax(axis=1) == band
+                out.append((np.full(first.sum(), ids[k]), ids[m[near][first]]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b})
+
+    n = F.ceil(F.col("members") / BLOCK).cast("int") if blocks else F.lit(1)
+    x = buckets.withColumn("block", F.pmod(F.xxhash64("id"), n).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    x = x.select("bucket", "band", "low", "high", "id", "comp", "n", "regs", "block")
+    return x.groupBy("bucket", "band", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -226,45 +246,90 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     x = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     sig = written(_signatures(x, width))
-    reps = written(sig.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("sk1").alias("sk1"), F.first("sk2").alias("sk2")))
+    reps = written(sig.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("sk1").alias("sk1"), F.first("sk2").alias("sk2"), F.count("*").alias("copies")))
     named = reps.filter("id is not null")
-
-    # a band's key: a hash of its number and registers, 64 bits
-    band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(regs, {2 * ROWS * b + 1}, {2 * ROWS})")) for b in range(BANDS)])).alias("band", "bucket")
-    bands = named.select("id", "n", "sk1", "sk2", band)
-    centre = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "sk1", "sk2")).alias("c")).filter("members > 1")
-    crowded = written(bands.join(centre, "bucket").select("bucket", "band", "id", "n", "members", F.col("c.id").alias("c"), (F.bit_count(F.col("sk1").bitwiseXOR(F.col("c.sk1"))) + F.bit_count(F.col("sk2").bitwiseXOR(F.col("c.sk2")))).alias("apart"), F.col("c.n").alias("cn")))
     j = percent / 100
     most_apart = int(64 * (1 - j) + (MARGIN + 1.5) * (128 * (1 + j) / 2 * (1 - j) / 2) ** 0.5)
-    star = crowded.filter((F.col("id") != F.col("c")) & (F.col("apart") <= most_apart) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
-    links = _verified(written(star.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()), x, width, percent)
-    parts = written(components(links).distinct())
-
-    # buckets of two are settled; of the others, those with members of several components go on
-    more = crowded.filter("members > 2").join(parts.withColumnRenamed("id", "pid"), F.col("id") == F.col("pid"), "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = more.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = more.join(mixed, "bucket", "left_semi").select("bucket", "band", "members", "id", "comp")
-    open_ = written(open_.join(named.select("id", "n", "regs"), "id"))
-    pairs = written(_rest(open_.filter(F.col("members") <= SMALL), percent))
-    links2 = _verified(pairs, x, width, percent)
-    large = open_.filter(F.col("members") > SMALL)
-    ids = written(large.select("id").distinct())
-    sets = written(_sets(x, ids, width).select("id", "hashes"))
-    links3 = written(_rest(large.join(sets, "id"), percent))
-    whole = written(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links2).union(links3)).distinct())
-    drop_written(crowded, links, open_, pairs, ids, sets)
-
-    of_set = reps.select("k1", "k2", F.col("id").alias("rep")).join(whole, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+
+    sets = parts = None
+    for level in range(len(LEVELS)):
+        bands = _banded(named, level)
+        centre = written(bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "sk1", "sk2")).alias("c")).filter("members > 1"))
+        apart = F.bit_count(F.col("sk1").bitwiseXOR(F.col("c.sk1"))) + F.bit_count(F.col("sk2").bitwiseXOR(F.col("c.sk2")))
+        crowded = join_spread(bands, centre, ["bucket"], "members", "id").select("bucket", "band", "id", "n", "members", F.col("c.id").alias("c"), apart.alias("apart"), F.col("c.n").alias("cn"))
+        crowded = written(crowded)
+        may = (F.col("apart") <= most_apart) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
+        star = crowded.filter((F.col("id") != F.col("c")) & may)
+        if sets is None:  # later levels have none but members of larger buckets
+            ids = written(star.select("id").union(star.select("c")).union(crowded.filter("members > 2").select("id")).distinct())
+            sets = written(_sets(x, ids, width))
+            drop_written(ids)
+        star = star.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+        if parts is not None:
+            star = _apart(star, parts)
+        found = _verified(written(star), sets, percent)
+        parts = _joined(parts, found)
+
+        # buckets of two are settled; of the others, those with members of several components go on
+        more = crowded.filter("members > 2").join(parts.withColumnRenamed("id", "pid"), F.col("id") == F.col("pid"), "left").withColumn("comp", F.coalesce("component", "id"))
+        mixed = more.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+        near = F.broadcast(mixed) if (mixed := written(mixed)).count() <= BROADCAST_IDS else mixed
+        open_ = written(more.join(near, "bucket", "left_semi").select("bucket", "band", "members", "id", "comp"))
+        drop_written(centre, crowded, mixed)
+        last = level == len(LEVELS) - 1
+        large = open_.filter(F.col("members") > SMALL)
+        rest = written(large.select("id").distinct())
+        pairs = _estimated(open_.filter(F.col("members") <= SMALL).join(named.select("id", "n", "regs"), "id"), percent, level, blocks=False)
+        n = rest.count()
+        if last and n:
+            pairs = pairs.union(_estimated(large.join(named.select("id", "n", "regs"), "id"), percent, level, blocks=True))
+        parts = _joined(parts, _verified(written(pairs.distinct()), sets, percent))
+        drop_written(open_)
+        if not n or last:
+            break
+        named = written(named.join(rest, "id", "left_semi"))
+    drop_written(sets)
+
+    of_set = reps.select("k1", "k2", "copies", F.col("id").alias("rep")).join(parts, F.col("rep") == F.col("id"), "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id"))
     of_set = written(of_set)
-    drop_written(parts, links2, links3, whole, reps)
-    out = sig.select("id", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
-    comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))
+    drop_written(parts, reps)
+    out = join_spread(sig.filter("n > 0").select("id", "n", "k1", "k2"), of_set, ["k1", "k2"], "copies", "id")
+    out = out.select("id", "n", "component_id").union(sig.filter("n = 0").select("id", "n", "id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) of the links and those before."""
+    all_ = links if parts is None else links.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    out = written(components(all_).distinct())
+    drop_written(links, parts)
+    return out
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs that aren't in one component yet."""
+    for side in ("a", "b"):
+        own = parts.select(F.col("id").alias(side), F.col("component").alias(f"in_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"in_{side}", F.coalesce(f"in_{side}", side))
+    return pairs.filter("in_a != in_b").select("a", "b")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the least id. Rows with a null id stay; columns stay."""
-    gone = spare(docs, "gone_id")
-    drop = written(near_duplicates(docs, doc_id, text, width, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct())
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-    return docs.join(drop, F.col(doc_id).cast("long") == F.col(gone), "left_anti")
+    """docs with one row of each component, of the least id; all columns stay.
+
+    Rows of one id are one document: of these one stays, that of least text hash. A row without an id is a document by its text, after all
+    that have one: it goes if its component has such, and of equal ones one stays. Rows without an id and without words are
+    linked with nothing and stay.
+    """
+    key, row = spare(docs, "id_of"), spare(docs, "row_of")
+    made = F.when(F.col(text).cast("string").rlike(WORD), F.xxhash64(text).bitwiseAND((1 << 61) - 1).bitwiseOR(1 << 62))
+    x = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), made))
+    marks = near_duplicates(x.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text", width, percent)
+    marks = written(marks.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept").select(F.col("doc_id").alias(key), "kept"))
+    gone, many = marks.filter("not kept").select(key), marks.filter("kept").select(key)
+    near = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    x = x.join(near(gone, gone.count()), key, "left_anti")
+    if not (n := many.count()):
+        return x.select(*docs.columns)
+    one = x.join(near(many, n), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.md5(F.col(text).cast("binary"))).alias(row))
+    return x.join(near(many, n), key, "left_anti").select(*docs.columns).union(one.select(f"{row}.*"))

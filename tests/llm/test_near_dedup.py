@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tallyloom.llm import common
 from tallyloom.llm import near_dedup as N
 from tallyloom.llm.components import components
 
@@ -54,6 +55,7 @@ def corpus(seed, n=150):
 def test_against_naive(spark, width, small, block, broadcast, monkeypatch):
     for name, value in (("SMALL", small), ("BLOCK", block), ("BROADCAST_IDS", broadcast)):
         monkeypatch.setattr(N, name, value)
+    monkeypatch.setattr(common, "HOT_ROWS", small)
     rows = corpus(width) + [(-5, None), (-4, ""), (-3, " \n"), (-2, "one"), (-1, "One")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, n int")
     assert sorted(map(tuple, N.near_duplicates(df, width=width).collect())) == naive(rows, width)
@@ -62,7 +64,41 @@ def test_against_naive(spark, width, small, block, broadcast, monkeypatch):
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(4, "a b c d e f", 1), (2, "A B C D E F", 2), (3, None, 3), (None, "a b c d e f", 4), (9, "x y", 5)], "doc_id bigint, text string, gone_id int")
     out = N.near_dedup(df)
-    assert out.columns == df.columns and sorted(r.gone_id for r in out.collect()) == [2, 3, 4, 5]
+    assert out.columns == df.columns and sorted(r.gone_id for r in out.collect()) == [2, 3, 5]
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(3, "a b c d e f", 1), (3, "a b c d e f", 1), (3, "other text of one id", 1), (None, "A b c d e f", 1), (None, "x y z", 2), (None, "X y z", 2), (None, "x y z", 2), (None, None, 3), (None, " ", 4), (7, "", 5), (7, "", 5), (8, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, part_of_key int")
+    assert sorted(r.part_of_key for r in N.near_dedup(df).collect()) == [1, 2, 3, 4, 5, 6]
+    assert N.near_dedup(df.limit(0)).count() == 0
+
+
+def test_crowded_buckets_come_apart(spark, monkeypatch):
+    """Documents that share half of their text but aren't linked, with some that are, at all levels; long ones among them."""
+    monkeypatch.setattr(N, "SMALL", 5)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    rng = random.Random(6)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base, rows = text(120), []
+    for i in range(90):
+        own = base + text(rng.choice([15, 30, 90])) if i % 4 else rows[-1][1].split() + text(2) if rows else base
+        rows.append((i, " ".join(own)))
+    rows += [(200, " ".join(base * 2 + text(6000)))]
+    rows += [(201, rows[-1][1] + " end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, N.near_duplicates(df, width=2).collect())) == naive(rows, 2)
+
+
+def test_keys_of_all_levels():
+    rng = np.random.default_rng(0)
+    regs = rng.integers(0, 65536, (50, N.REGISTERS)).astype(np.uint16)
+    regs[1] = regs[0]
+    for level, (rows, keys) in enumerate(N.LEVELS):
+        k, places = N._keys(regs, level), N._places(level)
+        assert k.shape == (50, keys) and places.shape == (keys, rows) and all(len(set(p)) == rows for p in places.tolist())
+        assert (k[0] == k[1]).all() and len(np.unique(k)) == 49 * keys
+        assert (1 - 0.8**rows) ** keys < 2e-7
 
 
 def test_sketch_estimates():
