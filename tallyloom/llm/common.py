@@ -110,3 +110,16 @@ def join_spread(many: DataFrame, one: DataFrame, keys: list[str], weight: str, s
     told = hot.select(*keys, parts.alias(part))
     x = many.join(F.broadcast(told), keys, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(spread), F.col(part)).cast("int"), F.lit(0)))
     return x.join(one.withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, part], how).drop(part)
+
+
+#: Rows that one row is repeated to at once.
+REPEAT_ROWS = 10_000
+
+
+def repeated(df: DataFrame, times: str, at: str) -> DataFrame:
+    """Each row `times` times, with the number of the copy, from 0, in the column `at`; rows of many copies are dealt to all tasks."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1, F.lit(REPEAT_ROWS).cast("long")))
+    x = df.withColumn(at, first)
+    if not df.filter(F.col(times) > REPEAT_ROWS).isEmpty():
+        x = x.repartition(shuffle_partitions(df.sparkSession))
+    return x.withColumn(at, F.explode(F.sequence(F.col(at), F.least(F.col(at) + (REPEAT_ROWS - 1), F.col(times) - 1))))

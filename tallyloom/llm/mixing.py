@@ -3,7 +3,8 @@
 Within a source, documents are put in the order of a hash-random key and taken until the source's budget of words is
 met; a budget above the source's size repeats it by whole epochs first. The order is never held in one task: keys are
 uniform, so their leading digits cut each source into ranges of like size, and the words before a range come from a
-prefix sum over range totals.
+prefix sum over range totals, in two steps. Rows of one id, source and size are counted and are one row until the end, so
+that a repeated or missing id, which has one key, makes no large range.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WORD, written
+from tallyloom.llm.common import WORD, drop_written, join_spread, repeated, written
 
 SEED = "mix-1"
-#: Documents in a range of keys, about.
-RANGE_ROWS = 50_000
+#: Documents in a range of keys, about, and ranges that are summed up in one window.
+RANGE_ROWS, RANGES = 2_000, 10_000
 #: Up to so many sources, their totals are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -35,7 +36,7 @@ def numbered(sources: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """sources (source, docs, words) with target: shares by repeating weights of the total, none above most * words.
+    """sources (source, words, ...) with target: shares by repeating weights of the total, none above most * words.
 
     What a cap cuts off is reshared by weight among the others until none is above. Each round is one aggregate over
     the sources; a round only lowers the set that still shares, so it ends.
@@ -55,7 +56,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
         # above its cap: weight * rest / shared > most * words, in whole numbers
         free = free & (F.col("weight").cast("decimal(38,0)") * F.lit(rest).cast("decimal(20,0)") <= F.col("words").cast("decimal(38,0)") * F.lit(most * shared).cast("decimal(18,0)"))
     share = F.lit(float(rest)) * F.col("weight") / F.lit(float(shared or 1))
-    return x.withColumn("target", F.when(free & F.lit(bool(shared)), share).otherwise((F.col("words") * most).cast("double"))).select("source", "docs", "words", "target")
+    return x.withColumn("target", F.when(free & F.lit(bool(shared)), share).otherwise((F.col("words") * most).cast("double"))).select(*sources.columns, "target")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
@@ -64,27 +65,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
     Size is the number of words (null: 0). A source's documents are taken in key order: each once for every whole
     epoch in the target, once more while the remaining budget (rounded down) lasts, and of the one that crosses it
     the first words only. So a source's taken words are its target rounded down. Documents of equal key are ordered by
-    id and size; rows equal in these too get the same words in any order. A null source is one source. Documents without words take 0.
+    id and size; rows equal in these too get the same words in any order. A null source is one source, a null id an id of its own.
+    Null and empty texts take 0, long ones are counted whole; other columns don't matter; an empty table gives no rows.
     """
-    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    sources = targets(sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("words")), weights, most)
-    sources = written(sources.withColumn("ranges", F.greatest(F.ceil(F.col("docs") / RANGE_ROWS), F.lit(1))).withColumnRenamed("source", "source_"))
-    small = sources.count() <= BROADCAST_SOURCES
-    near = F.broadcast(sources) if small else sources
-    x = sized.withColumn("key", key_of("doc_id", seed)).join(near, F.col("source").eqNullSafe(F.col("source_")))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = written(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")))
+    sources = sized.groupBy("source").agg(F.sum("copies").alias("docs"), F.sum(F.col("size") * F.col("copies")).alias("words"), F.count("*").alias("rows"))
+    sources = targets(sources, weights, most).withColumn("ranges", F.greatest(F.ceil(F.col("rows") / RANGE_ROWS), F.lit(1)))
+    name = {"source_key": F.coalesce(F.col("source").cast("string"), F.lit("")), "no_source": F.col("source").isNull()}
+    sources = written(sources.withColumns(name).drop("source"))
+    x = sized.withColumn("key", key_of("doc_id", seed)).withColumns(name)
+    on = ["source_key", "no_source"]
+    x = x.join(F.broadcast(sources), on) if sources.count() <= BROADCAST_SOURCES else join_spread(x, sources, on, "rows", "key")
     x = x.withColumn("part", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("ranges")))
-    cut = x.groupBy("source", "part").agg(F.sum("size").alias("in_part"))
-    base = F.coalesce(F.sum("in_part").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.select(F.col("source").alias("source_c"), F.col("part").alias("part_c"), base.alias("base"))
-    cut = written(cut)
-    cut = F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut
-    inside = Window.partitionBy("source", "part").orderBy("key", F.asc_nulls_first("doc_id"), "size")
-    x = x.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.join(cut, F.col("source").eqNullSafe(F.col("source_c")) & (F.col("part") == F.col("part_c")))
+    own = F.col("size") * F.col("copies")
+    cut = written(x.groupBy(*on, "part").agg(F.sum(own).alias("in_part")).withColumn("parts", F.floor(F.col("part") / RANGES)))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    high = cut.groupBy(*on, "parts").agg(F.sum("in_part").alias("in_parts"))
+    high = high.select(*on, "parts", before(Window.partitionBy(*on).orderBy("parts"), "in_parts").alias("high"))
+    base = cut.withColumn("low", before(Window.partitionBy(*on, "parts").orderBy("part"), "in_part")).join(high, [*on, "parts"])
+    base = written(base.select(*on, "part", (F.col("high") + F.col("low")).alias("base")))
+    drop_written(cut)
+    inside = Window.partitionBy(*on, "part").orderBy("key", F.asc_nulls_first("doc_id"), "size")
+    x = x.withColumn("before", before(inside, own))
+    x = x.join(F.broadcast(base) if base.count() <= BROADCAST_SOURCES else base, [*on, "part"])
+    x = repeated(x, "copies", "copy") if not sized.filter("copies > 1").isEmpty() else x.withColumn("copy", F.lit(0))
     epochs = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0)
     left = F.floor(F.col("target") - epochs * F.col("words"))
-    before = F.col("base") + F.col("upto") - F.col("size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - before))
+    start = F.col("base") + F.col("before") + F.col("copy") * F.col("size")
+    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - start))
     return x.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", taken.cast("long").alias("taken"))
 
 

@@ -1,6 +1,6 @@
 import duckdb
 
-from tallyloom.llm import mixing
+from tallyloom.llm import common, mixing
 
 
 def naive_targets(words, weights=(1, 2, 3), most=3):
@@ -45,10 +45,25 @@ def test_sql_and_ranges_agree(spark, monkeypatch):
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     assert sorted(str(tuple(r)) for r in mixing.mix(df).select(cols).collect()) == sql
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    monkeypatch.setattr(mixing, "RANGES", 3)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "REPEAT_ROWS", 1)
     assert sorted(str(tuple(r)) for r in mixing.mix(df).select(cols).collect()) == sql
 
 
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """100,000 rows without an id or of one id, some alike, in a source of half of all rows."""
+    rows = [(None if i % 2 else 5, "w " * (i % 30), "hot") for i in range(100_000)] + [(i + 10, "w w w", f"s{i % 3}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    monkeypatch.setattr(mixing, "RANGES", 2)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for s in ("hot", "s0", "s1", "s2"):
+        mine = [r for r in got if r.source == s]
+        assert sum(r.taken for r in mine) == int(mine[0].target) and sum(0 < r.taken % r["size"] for r in mine if r["size"]) <= 1
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None)], "doc_id bigint, text string, source string")).first().taken == 0
