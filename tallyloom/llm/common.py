@@ -116,10 +116,8 @@ def join_spread(many: DataFrame, one: DataFrame, keys: list[str], weight: str, s
 REPEAT_ROWS = 10_000
 
 
-def repeated(df: DataFrame, times: str, at: str) -> DataFrame:
-    """Each row `times` times, with the number of the copy, from 0, in the column `at`; rows of many copies are dealt to all tasks."""
-    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1, F.lit(REPEAT_ROWS).cast("long")))
-    x = df.withColumn(at, first)
-    if not df.filter(F.col(times) > REPEAT_ROWS).isEmpty():
-        x = x.repartition(shuffle_partitions(df.sparkSession))
+def repeated(df: DataFrame, times: str, at: str, deal: bool) -> DataFrame:
+    """Each row `times` times, with the number of the copy, from 0, in the column `at`. deal: first to all tasks, for rows of very many copies."""
+    x = df.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1, F.lit(REPEAT_ROWS).cast("long"))))
+    x = x.repartition(shuffle_partitions(df.sparkSession)) if deal else x
     return x.withColumn(at, F.explode(F.sequence(F.col(at), F.least(F.col(at) + (REPEAT_ROWS - 1), F.col(times) - 1))))

@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import bounded_batches, shuffle_partitions
+from tallyloom.llm.common import bounded_batches, drop_written, repeated, shuffle_partitions, written
 from tallyloom.llm.shingles import WordHashes, shingle_set
 
 K, WIDTH = 128, 5
 #: Range buckets for each shuffle partition, when documents are put in order.
 BUCKETS = 4
+#: More rows of one id and text are worked on as one.
+HOT_ROWS = 5_000
 
 
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -91,40 +93,63 @@ def merged(parts: DataFrame, by: list[str], k: int = K, sketch: str = "sketch",
     return x.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda s: s["h"]).alias(sketch))
 
 
-def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (bucket, halo, doc_id, text as binary): each bucket is a range of ids in one partition, sorted, and then,
+def cuts_of(marks: DataFrame, n: int) -> list[tuple[int | None, int]]:
+    """About n places (id, text hash) that cut the rows of marks (doc_id, h) into ranges of like size, in order; the driver gets n ids.
+
+    An id of many rows, or the lack of one, is cut by the hashes of the texts, which are uniform.
+    """
+    rows, null = marks.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    with_id = marks.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 50 * n)).first()[0] if n > 1 else None
+    times = {None: null * n // max(rows, 1)}
+    for v in with_id or []:
+        times[v] = times.get(v, 0) + 1
+    return [(v, -(2**63) + (2**64 * k // m)) for v, m in sorted(times.items(), key=lambda x: (x[0] is not None, x[0] or 0)) for k in range(m)]
+
+
+def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """Rows (bucket, halo, doc_id, text as binary, copies): each bucket is a range of ids in one partition, sorted, and then,
     with halo true, the first of the next bucket's rows (after the last bucket: the first's).
 
-    Texts are shuffled once. The driver gets one id for each bucket. Null ids come first; rows with one id are
-    ordered by text.
+    Texts are shuffled once. The driver gets one place for each bucket; they are told to all tasks as a table of one row. Null ids come
+    first; rows with one id are ordered by a hash of the text, by which many of them are several buckets. More than HOT_ROWS rows
+    of one id and text are one row; the second result says whether there are such.
     """
     spark = docs.sparkSession
     n = BUCKETS * shuffle_partitions(spark)
     x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    cuts = x.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 50 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
+    x = x.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(b""))))
+    marks = written(x.select("doc_id", "h"))
+    cuts = cuts_of(marks, n)
     step = max(1, int(len(cuts) ** 0.5))
-    lit = lambda xs: F.array(*[F.lit(v).cast("long") for v in xs]) if xs else F.array().cast("array<bigint>")
-    coarse = F.size(F.filter(lit(cuts[::step]), lambda c: c <= F.col("doc_id")))
-    fine = F.size(F.filter(F.slice(lit(cuts), F.greatest(coarse - 1, F.lit(0)) * step + 1, F.lit(step)), lambda c: c <= F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + fine)
-    x = x.withColumn("bucket", bucket.cast("int"))
-    heads = sorted(x.select("bucket", "doc_id").groupBy("bucket").agg(F.max(F.col("doc_id").isNull()), F.min("doc_id")).collect())
-    prev = [heads[i - 1][0] for i in range(len(heads))]
-    if heads:
-        first = F.element_at(F.create_map(*[F.lit(v) for b, null, low in heads for v in (b, -1 if null or low is None else low)]).cast("map<int,bigint>"), F.col("bucket"))
-        null_first = bool(heads[0][1])
-        before = F.element_at(F.create_map(*[F.lit(v) for (b, _, _), p in zip(heads, prev, strict=True) for v in (b, p)]), F.col("bucket"))
-        is_head = F.col("doc_id").isNull() | ((F.col("doc_id") == first) & (F.lit(not null_first) | (F.col("bucket") != heads[0][0])))
-        spots = F.when(is_head, F.array(F.struct("bucket", F.lit(False).alias("halo")), F.struct(before.alias("bucket"), F.lit(True).alias("halo"))))
-        spots = spots.otherwise(F.array(F.struct("bucket", F.lit(False).alias("halo"))))
-        x = x.select(F.explode(spots).alias("spot"), "doc_id", "text").select("spot.bucket", "spot.halo", "doc_id", "text")
-    else:
-        x = x.select("bucket", F.lit(False).alias("halo"), "doc_id", "text")
-    return x.repartition(n // BUCKETS, "bucket").sortWithinPartitions("bucket", "halo", F.asc_nulls_first("doc_id"), "text")
-
-
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    place = F.struct(F.col("doc_id").isNotNull().alias("t"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), "h")
+    rows = [(v is not None, v or 0, h) for v, h in cuts]
+    told = spark.createDataFrame([(0, rows[::step], rows)], "one int, coarse array<struct<t:boolean,i:bigint,h:bigint>>, fine array<struct<t:boolean,i:bigint,h:bigint>>")
+
+    def placed(frame):
+        coarse = F.size(F.filter("coarse", lambda c: c <= F.col("place")))
+        fine = F.size(F.filter(F.slice("fine", F.greatest(F.col("at") - 1, F.lit(0)) * step + 1, F.lit(step)), lambda c: c <= F.col("place")))
+        y = frame.withColumns({"place": place, "one": F.lit(0)}).join(F.broadcast(told), "one").withColumn("at", coarse)
+        return y.withColumn("bucket", F.when(F.col("at") == 0, 0).otherwise((F.col("at") - 1) * step + fine).cast("int")).drop("one", "coarse", "fine", "at")
+
+    firsts = sorted((r[0], tuple(r[1])) for r in placed(marks).groupBy("bucket").agg(F.min("place")).collect())
+    heads = [(b, (b, *head), firsts[k - 1][0]) for k, (b, head) in enumerate(firsts)]
+    heads = spark.createDataFrame([(b, head[1:], before) for b, head, before in heads], "bucket int, head struct<t:boolean,i:bigint,h:bigint>, before int")
+    many = written(marks.groupBy("doc_id", "h").agg(F.count("*").alias("copies")).filter(F.col("copies") > HOT_ROWS))
+    drop_written(marks)
+    x = x.withColumn("copies", F.lit(1).cast("long"))
+    if alike := many.count() > 0:
+        same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))
+        hot = F.broadcast(many.select(F.col("doc_id").alias("i"), F.col("h").alias("k"), F.col("copies").alias("n")))  # the rows / HOT_ROWS at most
+        one = x.join(hot, same).groupBy("doc_id", "h", "n").agg(F.first("text").alias("text")).select("doc_id", "text", "h", F.col("n").alias("copies"))
+        x = x.join(hot, same, "left_anti").union(one)
+    x = placed(x).join(F.broadcast(heads), "bucket")
+    own = F.struct("bucket", F.lit(False).alias("halo"))
+    spots = F.when(F.col("place") == F.col("head"), F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("halo")))).otherwise(F.array(own))
+    x = x.select(F.explode(spots).alias("spot"), "doc_id", "text", "h", "copies").select("spot.bucket", "spot.halo", "doc_id", "text", "copies", "h")
+    return x.repartition(n // BUCKETS, "bucket").sortWithinPartitions("bucket", "halo", F.asc_nulls_first("doc_id"), "h").drop("h"), alike
+
+
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies long"
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
@@ -132,8 +157,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     The edited text has the last quarter of the code points replaced by as many from the start of the next document in
     ascending id (after the last: the first, which may be the document itself). Null and empty texts have empty fingerprints, alike to each other
-    with 1 and to others with 0. Repeated rows are documents of their own, ordered by text.
-    Empty tables give none. Texts stream in order; a task holds two of them at a time.
+    with 1 and to others with 0. Null ids come first. Repeated rows are documents of their own; those of one id are ordered by a hash of the text.
+    Empty tables give none; other columns don't matter. Texts stream in order; a task holds two of them at a time.
     """
 
     def run(batches):
@@ -142,30 +167,34 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         def sketch(t: bytes) -> np.ndarray:
             return bottom(shingle_set(words.of(t), width), k)
 
-        def row(a, b):
-            i, t, raw, own = a
-            _, nxt, _, other = b
+        def row(a, b, copies):
+            i, t, raw, own, _ = a
+            _, nxt, _, other, _ = b
             n = len(t) // 4
             edited = (t[: len(t) - n] + nxt[:n]).encode() if n else raw
             new = sketch(edited) if n else own
-            return i, len(t), hashlib.sha256(edited).hexdigest(), encode(own), encode(new), resemblance(own, new, k), resemblance(own, other, k)
+            return i, len(t), hashlib.sha256(edited).hexdigest(), encode(own), encode(new), resemblance(own, new, k), resemblance(own, other, k), copies
 
         at = last = None
         done = False
         for batch in batches:
             out = []
-            for b, halo, i, t in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            for b, halo, i, copies, t in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(4).to_pylist(), batch.column(3), strict=True):
                 if halo and (done or b != at):
                     continue
                 if b != at:
                     at, last, done = b, None, False
                 raw = t.as_py() or b""
-                new = (i, raw.decode("utf-8", "replace"), raw, sketch(raw))
+                new = (i, raw.decode("utf-8", "replace"), raw, sketch(raw), copies)
                 if last is not None:
-                    out.append(row(last, new))
+                    out.append(row(last, new, 1))
+                    if last[4] > 1:  # the others of its copies have their like next
+                        out.append(row(last, last, last[4] - 1))
                 last, done = new, halo
-            cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return bounded_batches(in_order(docs, doc_id, text)).mapInArrow(run, SCHEMA)
+    rows, alike = in_order(docs, doc_id, text)
+    out = bounded_batches(rows).mapInArrow(run, SCHEMA)
+    return (repeated(out, "copies", "copy", True).drop("copy") if alike else out).drop("copies")

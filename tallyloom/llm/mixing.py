@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm import common
 from tallyloom.llm.common import WORD, drop_written, join_spread, repeated, written
 
 SEED = "mix-1"
@@ -89,7 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
     inside = Window.partitionBy(*on, "part").orderBy("key", F.asc_nulls_first("doc_id"), "size")
     x = x.withColumn("before", before(inside, own))
     x = x.join(F.broadcast(base) if base.count() <= BROADCAST_SOURCES else base, [*on, "part"])
-    x = repeated(x, "copies", "copy") if not sized.filter("copies > 1").isEmpty() else x.withColumn("copy", F.lit(0))
+    most_alike = sized.agg(F.max("copies")).first()[0] or 0
+    x = repeated(x, "copies", "copy", most_alike > common.REPEAT_ROWS) if most_alike > 1 else x.withColumn("copy", F.lit(0))
     epochs = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0)
     left = F.floor(F.col("target") - epochs * F.col("words"))
     start = F.col("base") + F.col("before") + F.col("copy") * F.col("size")
