@@ -128,7 +128,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     def placed(frame):
         coarse = F.size(F.filter("coarse", lambda c: c <= F.col("place")))
         fine = F.size(F.filter(F.slice("fine", F.greatest(F.col("at") - 1, F.lit(0)) * step + 1, F.lit(step)), lambda c: c <= F.col("place")))
-        y = frame.withColumns({"place": place, "one": F.lit(0)}).join(F.broadcast(told), "one").withColumn("at", coarse)
+        y = frame.withColumns({"place": place, "one": F.pmod("h", F.lit(1)).cast("int")}).join(F.broadcast(told), "one").withColumn("at", coarse)
         return y.withColumn("bucket", F.when(F.col("at") == 0, 0).otherwise((F.col("at") - 1) * step + fine).cast("int")).drop("one", "coarse", "fine", "at")
 
     firsts = sorted((r[0], tuple(r[1])) for r in placed(marks).groupBy("bucket").agg(F.min("place")).collect())

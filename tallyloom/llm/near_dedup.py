@@ -9,17 +9,22 @@ is compared on the full sets.
 Work is kept in proportion:
 1. Documents of equal sets become one representative.
 2. In every band bucket, each member is compared with the least only (a star).
-3. Links so far give components. Only buckets that still hold several go on. In those of up to SMALL members, pairs of different
-   components are estimated, each pair in the first band that it shares, and verified if the estimate allows.
-4. The members of larger ones go to the next of LEVELS, where more registers make a key and more keys a document, so that the buckets
-   of documents that aren't linked come apart while linked ones still meet as surely; steps 2 and 3 again. What the last level leaves
-   is estimated in blocks by sketches only, and verified as pairs. So no pair that shares a band is left out.
+3. Links so far give components. Only buckets that still hold several go on. In those of over SMALL members each one is compared with
+   the one of another component that is most like it by the sketches, in some rounds: a pair for each member, which joins most of what belongs together.
+4. In what is left, pairs of different components are estimated, each pair in the first band that it shares. What passes is verified: in
+   small buckets as pairs, in large ones in place, with the members' sets, by blocks bounded in members and bytes, where a link found makes the other pairs of its two
+   components needless.
+5. The members of buckets of over LARGE go to the next of LEVELS first, where more registers make a key and more keys a document, so that
+   the buckets of documents that aren't linked come apart while linked ones still meet as surely; steps 2 to 4 again. So no pair that shares a band
+   is left out.
 
 Full sets are written once, of the documents that share a bucket with others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,11 +39,13 @@ WIDTH, PERCENT = 5, 80
 #: Registers (a power of two) and mantissa bits of a sketch.
 REGISTERS, MANTISSA = 256, 10
 #: Registers in a key and keys of a document, by level: two documents at the threshold share none with a probability under 1e-7.
-LEVELS = ((4, 32), (8, 88), (12, 226))
+LEVELS = ((4, 32), (8, 88))
 #: Standard deviations of an estimate below the threshold, beyond which a pair isn't verified.
 MARGIN = 5.0
-#: Buckets of more members go to the next level; in the last one they are estimated by blocks of so many, each two blocks once.
-SMALL, BLOCK = 64, 1_000
+#: Buckets of more members are verified in place, by blocks of so many and of so many bytes of sets; each two blocks meet once.
+SMALL, BLOCK, BLOCK_BYTES = 64, 1_000, 8_000_000
+#: Buckets of more members go to the next level; rounds of nearest pairs before.
+LARGE, ROUNDS = 20_000, 2
 #: Bytes of sets that a task gives out at once.
 SET_BYTES = 8_000_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, documents meet them by a shuffle.
@@ -202,10 +209,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long").distinct())
 
 
-def _estimated(buckets: DataFrame, percent: int, level: int, blocks: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket that may be linked by their sketches, each pair in the first band that it shares.
+def _open(crowded: DataFrame, parts: DataFrame) -> DataFrame:
+    """(bucket, band, members, bytes, id, n, comp) of the members of buckets of three and more that hold several components."""
+    x = crowded.filter("members > 2").join(parts.withColumnRenamed("id", "pid"), F.col("id") == F.col("pid"), "left").withColumn("comp", F.coalesce("component", "id"))
+    mixed = x.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.col("n") * 8).alias("bytes")).filter("lo < hi").select("bucket", "bytes")
+    mixed = written(mixed)
+    near = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
+    out = written(x.join(near, "bucket").select("bucket", "band", "members", "bytes", "id", "n", "comp"))
+    drop_written(mixed)
+    return out
+
+
+def _nearest(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each member and that of another component in its block that is most like it by the sketches, if they may be linked."""
+    least = least_estimate(percent)
+
+    def run(rows):
+        ids, comp, n = (rows[c].to_numpy() for c in ("id", "comp", "n"))
+        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+        out = []
+        for k in range(len(ids)) if len(np.unique(comp)) > 1 else ():
+            m = np.flatnonzero((comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+            if len(m):
+                like = estimate(np.count_nonzero(regs[m] == regs[k], axis=1), n[m], np.full(len(m), n[k]))
+                if like[best := int(like.argmax())] >= least:
+                    out.append((min(ids[k], ids[m[best]]), max(ids[k], ids[m[best]])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    x = buckets.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).cast("int"))
+    return x.groupBy("bucket", "block").applyInArrow(run, "a long, b long").distinct()
+
 
-    blocks: a bucket's members are dealt to blocks, of which each two meet once.
+def _rest(buckets: DataFrame, percent: int, level: int) -> DataFrame:
+    """Pairs (a, b) of different components in one block of a bucket, by estimate, each in the first band that it shares.
+
+    With a column of the members' sets (hashes) these are links: compared in full, and only those that join components that
+    others haven't joined.
     """
     least = least_estimate(percent)
 
@@ -213,26 +253,40 @@ def _estimated(buckets: DataFrame, percent: int, level: int, blocks: bool) -> Da
         band, same_block = key[1].as_py(), key[2].as_py() == key[3].as_py()
         ids, comp, n = (rows[c].to_numpy() for c in ("id", "comp", "n"))
         regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
-        block, places, out = rows["block"].to_numpy(), _places(level), [(np.empty(0, np.int64),) * 2]
-        for k in range(len(ids)):
-            mate = (comp != comp[k]) & (ids > ids[k])
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows["hashes"]] if "hashes" in rows.column_names else None
+        block, places = rows["block"].to_numpy(), _places(level)
+        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
+        joined = np.arange(len(names))  # the components' sets of this block
+        main = where == count.argmax()
+        out = []
+        for k in np.flatnonzero(~main):
+            # with the main component, and with the other ones once
+            mate = (where != where[k]) & (main | (ids > ids[k]))
             if not same_block:
                 mate &= block != block[k]
-            mate &= 100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])
+            mate &= (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (joined[where] != joined[where[k]])
             m = np.flatnonzero(mate)
-            if len(m):
-                eq = regs[m] == regs[k]
-                near = estimate(np.count_nonzero(eq, axis=1), n[m], np.full(len(m), n[k])) >= least
-                first = eq[near][:, places].all(axis=2).argmax(axis=1) == band
-                out.append((np.full(first.sum(), ids[k]), ids[m[near][first]]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"a": a, "b": b})
-
-    n = F.ceil(F.col("members") / BLOCK).cast("int") if blocks else F.lit(1)
-    x = buckets.withColumn("block", F.pmod(F.xxhash64("id"), n).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    x = x.select("bucket", "band", "low", "high", "id", "comp", "n", "regs", "block")
-    return x.groupBy("bucket", "band", "low", "high").applyInArrow(run, "a long, b long").distinct()
+            if not len(m):
+                continue
+            eq = regs[m] == regs[k]
+            near = estimate(np.count_nonzero(eq, axis=1), n[m], np.full(len(m), n[k])) >= least
+            shared = eq[near][:, places].all(axis=2).argmax(axis=1) == band
+            for j in m[near][shared]:
+                if sets is not None:
+                    x, y = joined[where[k]], joined[where[j]]
+                    if x == y or not linked(sets[k], sets[j], percent):
+                        continue
+                    joined[joined == x] = y
+                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    blocks = F.when(F.col("members") > SMALL, blocks).otherwise(1)
+    x = buckets.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    cols = ["id", "comp", "n", "regs", "block", *[c for c in x.columns if c == "hashes"]]
+    return x.select("bucket", "band", "low", "high", *cols).groupBy("bucket", "band", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -267,27 +321,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         star = star.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
         if parts is not None:
             star = _apart(star, parts)
-        found = _verified(written(star), sets, percent)
-        parts = _joined(parts, found)
+        star = written(star)
+        parts = _joined(parts, _verified(star, sets, percent))
+        drop_written(star)
 
         # buckets of two are settled; of the others, those with members of several components go on
-        more = crowded.filter("members > 2").join(parts.withColumnRenamed("id", "pid"), F.col("id") == F.col("pid"), "left").withColumn("comp", F.coalesce("component", "id"))
-        mixed = more.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        near = F.broadcast(mixed) if (mixed := written(mixed)).count() <= BROADCAST_IDS else mixed
-        open_ = written(more.join(near, "bucket", "left_semi").select("bucket", "band", "members", "id", "comp"))
-        drop_written(centre, crowded, mixed)
+        open_, sketches = _open(crowded, parts), named.select("id", "regs")
+        for _ in range(ROUNDS):
+            large = open_.filter(F.col("members") > SMALL)
+            if large.isEmpty():
+                break
+            near = written(_nearest(large.join(sketches, "id"), percent))
+            parts = _joined(parts, _verified(near, sets, percent))
+            drop_written(open_, near)
+            open_ = _open(crowded, parts)
+        drop_written(centre, crowded)
         last = level == len(LEVELS) - 1
-        large = open_.filter(F.col("members") > SMALL)
-        rest = written(large.select("id").distinct())
-        pairs = _estimated(open_.filter(F.col("members") <= SMALL).join(named.select("id", "n", "regs"), "id"), percent, level, blocks=False)
-        n = rest.count()
-        if last and n:
-            pairs = pairs.union(_estimated(large.join(named.select("id", "n", "regs"), "id"), percent, level, blocks=True))
-        parts = _joined(parts, _verified(written(pairs.distinct()), sets, percent))
+        rest = open_.filter(F.col("members") > (2**62 if last else LARGE))
+        in_place = open_.filter((F.col("members") > SMALL) & (F.col("members") <= (2**62 if last else LARGE)))
+        pairs = written(_rest(open_.filter(F.col("members") <= SMALL).join(sketches, "id"), percent, level))
+        links = [_verified(pairs, sets, percent)]
+        if not in_place.isEmpty():
+            links.append(written(_rest(in_place.join(sketches, "id").join(sets, "id"), percent, level)))
+        drop_written(pairs)
+        parts = _joined(parts, *links)
+        more = None if rest.isEmpty() else written(named.join(rest.select("id").distinct(), "id", "left_semi"))
         drop_written(open_)
-        if not n or last:
+        if more is None:
             break
-        named = written(named.join(rest, "id", "left_semi"))
+        named = more
     drop_written(sets)
 
     of_set = reps.select("k1", "k2", "copies", F.col("id").alias("rep")).join(parts, F.col("rep") == F.col("id"), "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id"))
@@ -298,11 +360,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(parts: DataFrame | None, *links: DataFrame) -> DataFrame:
     """(id, component) of the links and those before."""
-    all_ = links if parts is None else links.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    out = written(components(all_).distinct())
-    drop_written(links, parts)
+    before = [] if parts is None else [parts.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+    out = written(components(reduce(DataFrame.union, [*links, *before])).distinct())
+    drop_written(parts, *links)
     return out
 
 
