@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.shared import row_numbers
+from tallyloom.functions.shared import materialize, row_numbers
 
 
 def first_seen(cells: DataFrame, place: list[str], item: str = "item") -> DataFrame:
     """(item, id): ids from 1 in the order in which items first appear by the columns `place`."""
     first = cells.groupBy(F.col(item).alias("item")).agg(F.min(F.struct(*place)).alias("first"))
-    return row_numbers(first, [F.asc("first"), F.asc("item")], "id").select("item", F.col("id").cast("int").alias("id"))
+    return row_numbers(first, [F.asc("first"), F.asc("item")], "id").select("item", "id")
 
 
 def encode(cells: DataFrame, dictionary: DataFrame, tid: str = "row", at: str = "col") -> DataFrame:
@@ -22,15 +22,19 @@ def encode(cells: DataFrame, dictionary: DataFrame, tid: str = "row", at: str =
 
 def dense_rerank(long: DataFrame, item: str = "item") -> DataFrame:
     """(item, id): the distinct items' places in ascending order, from 1."""
-    return row_numbers(long.select(F.col(item).alias("item")).distinct(), [F.asc("item")], "id").select("item", F.col("id").cast("int").alias("id"))
+    return row_numbers(long.select(F.col(item).alias("item")).distinct(), [F.asc("item")], "id").select("item", "id")
 
 
 def rerank_transactions(frame: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(tid, items): items replaced by their dense ids; order and repeats stay, as do empty transactions."""
+    """(tid, items): items replaced by their dense ids; order and repeats stay, as do empty transactions.
+
+    The transactions are written first, so that a tid made from partitions is the same in each of the scans.
+    """
+    frame = materialize(frame.select("tid", "items"))
     cells = frame.select("tid", F.posexplode("items").alias("col", "item"))
     ids = dense_rerank(cells) if ids is None else ids
     new = encode(cells, ids, "tid", "col").withColumnRenamed("items", "ids")
-    return frame.select("tid").join(new, "tid", "left").select("tid", F.coalesce("ids", F.array().cast("array<int>")).alias("items"))
+    return frame.select("tid").join(new, "tid", "left").select("tid", F.coalesce("ids", F.array().cast("array<bigint>")).alias("items"))
 
 
 def one_hot(long: DataFrame, vocabulary: list | None = None) -> DataFrame:

@@ -32,8 +32,8 @@ def frequent_items(long: DataFrame, min_support: int) -> DataFrame:
 
 def dense_histogram(long: DataFrame, size: int, item: str = "item") -> DataFrame:
     """(item, support) for every id from 0 to size - 1, zeros included, counting every occurrence; ids outside aren't shown."""
-    ids = long.sparkSession.range(size).select(F.col("id").cast("int").alias("item"))
-    counts = long.groupBy(F.col(item).cast("int").alias("item_")).agg(F.count("*").alias("n"))
+    ids = long.sparkSession.range(size).withColumnRenamed("id", "item")
+    counts = long.filter(F.col(item).between(0, size - 1)).groupBy(F.col(item).cast("long").alias("item_")).agg(F.count("*").alias("n"))
     return ids.join(counts, F.col("item") == F.col("item_"), "left").select("item", F.coalesce("n", F.lit(0)).alias("support"))
 
 

@@ -22,9 +22,10 @@ def formatted(itemset: Column) -> Column:
 
 
 def parse_itemsets(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(itemset array<int>): distinct itemsets of lines of whole numbers; a line with another token or none is no itemset."""
-    tokens = F.when(F.col(value).rlike(r"^\s*[+-]?\d+(\s+[+-]?\d+)*\s*$"), F.split(F.trim(F.regexp_replace(value, r"\s+", " ")), " ").cast("array<int>"))
-    return lines.select(canonical(tokens).alias("itemset")).filter(F.size("itemset") > 0).distinct()
+    """(itemset array<bigint>): distinct itemsets of lines of whole numbers; a line with another token, one beyond 64 bits or none is no itemset."""
+    tokens = F.when(F.col(value).rlike(r"^\s*[+-]?\d+(\s+[+-]?\d+)*\s*$"), F.split(F.trim(F.regexp_replace(value, r"\s+", " ")), " "))
+    ids = F.transform(tokens, lambda x: x.try_cast("bigint"))
+    return lines.select(F.when(~F.exists(ids, F.isnull), canonical(ids)).alias("itemset")).filter(F.size("itemset") > 0).distinct()
 
 
 def of_size(itemsets: DataFrame, k: int) -> DataFrame:
@@ -44,9 +45,20 @@ def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("itemset").subtract(b.select("itemset"))
 
 
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, itemset): what only one of both has, `first` or `second`."""
+    side = lambda name, x: x.select(F.lit(name).alias("side"), "itemset")
+    return side("first", only_in(a, b)).unionAll(side("second", only_in(b, a)))
+
+
+def equality(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(same): one row, whether both hold the same itemsets."""
+    return difference(a, b).agg((F.count("*") == 0).alias("same"))
+
+
 def same(a: DataFrame, b: DataFrame) -> bool:
     """Whether both hold the same itemsets."""
-    return only_in(a, b).isEmpty() and only_in(b, a).isEmpty()
+    return difference(a, b).isEmpty()
 
 
 def sample_of(itemsets: DataFrame, n: int = 3) -> DataFrame:

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from tallyloom.functions.shared import materialize, release
 from tallyloom.operators.itemsets import canonical
 from tallyloom.operators.items import check_support, relative_support
-from tallyloom.operators.paths import filtered, ranked_items, states, weighted
+from tallyloom.operators.paths import BROADCAST_ITEMS, filtered, ranked_items, states, weighted
 from tallyloom.sources.baskets import explode_items
 
+#: Up to so many itemsets of a level (three numbers each) are broadcast to its states.
 BROADCAST_ITEMSETS = 200_000
+#: Items of a single path at most (their subsets are numbered in 60 bits), and of one step.
+MOST_CHAIN, CHAIN_STEP = 60, 15
 
 
 def _empty(frame: DataFrame, items: str) -> DataFrame:
@@ -27,11 +30,15 @@ def _empty(frame: DataFrame, items: str) -> DataFrame:
 
 
 def mine_mllib(frame: DataFrame, min_support: int, items: str = "items", partitions: int | None = None) -> DataFrame:
-    """Itemsets in at least min_support transactions (sets: repeated items count once; null arrays don't count)."""
+    """Itemsets in at least min_support transactions (sets: repeated items count once; null arrays don't count).
+
+    The transactions are written once, for they are counted, mined and perhaps mined again; partitions: groups of conditional transactions.
+    """
     check_support(min_support)
-    sets = frame.filter(F.col(items).isNotNull()).select(F.array_distinct(F.array_compact(items)).alias("items"))
+    sets = materialize(frame.filter(F.col(items).isNotNull()).select(F.array_distinct(F.array_compact(items)).alias("items")))
     n = sets.count()
     if n < min_support:  # the miner itself refuses a share above 1
+        release(sets)
         return _empty(frame, items)
     miner = FPGrowth(itemsCol="items", minSupport=relative_support(min_support, n))
     model = (miner.setNumPartitions(partitions) if partitions else miner).fit(sets)
@@ -39,44 +46,65 @@ def mine_mllib(frame: DataFrame, min_support: int, items: str = "items", partiti
 
 
 def grow(state: DataFrame) -> DataFrame:
-    """Every extension of a state by an item nearer to the root of its path. Each itemset is made in one order only."""
-    x = state.select("itemset", "path", "w", F.posexplode(F.expr("slice(path, 1, p)")).alias("p", "s"))
-    return x.select(F.concat("itemset", F.array("s")).alias("itemset"), "path", "p", "w")
+    """(parent, rank, prefix, w): every extension of a state (id, prefix, w) by an item nearer to the root of its path.
+
+    Each itemset is made in one order only, as its parent's id and one more rank; the prefix is what it can still grow by.
+    """
+    x = state.select(F.col("id").alias("parent"), "prefix", "w", F.posexplode("prefix").alias("p", "rank"))
+    return x.select("parent", "rank", F.expr("slice(prefix, 1, p)").alias("prefix"), "w")
 
 
 def supported(candidates: DataFrame, min_support: int) -> DataFrame:
-    """(itemset, support) of the candidates that reach min_support; weights are summed before the shuffle."""
-    return candidates.groupBy("itemset").agg(F.sum("w").alias("support")).filter(F.col("support") >= min_support)
+    """(parent, rank, support) of the candidates that reach min_support; weights are summed before the shuffle."""
+    return candidates.groupBy("parent", "rank").agg(F.sum("w").alias("support")).filter(F.col("support") >= min_support)
+
+
+def next_states(grown: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, prefix, w): those extensions that can grow and whose itemset was found (id, parent, rank); equal ones are one."""
+    near = found.select("id", "parent", "rank")
+    near = F.broadcast(near) if found.count() <= BROADCAST_ITEMSETS else near
+    x = grown.filter(F.size("prefix") > 0).join(near, ["parent", "rank"])
+    return x.groupBy("id", "prefix").agg(F.sum("w").alias("w"))
+
+
+def decode(found: DataFrame, shorter: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(id, items, support): itemsets (id, parent, rank, support) of a level with their items, from those of the level before."""
+    near = F.broadcast(ranks) if ranks.count() <= BROADCAST_ITEMS else ranks
+    x = found.join(near.select("rank", "item"), "rank").join(shorter.select(F.col("id").alias("parent"), "items"), "parent")
+    return x.select(found["id"], F.concat("items", F.array("item")).alias("items"), "support")
 
 
 def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, max_size: int | None = None) -> DataFrame:
     """As mine_mllib, by levels: the states of a level are those extensions whose itemset is frequent.
 
-    Each level is written to the shared folder, so that lineage stays short and lost executors do no harm; the driver sees counts
-    only. The loop ends with the level that has no frequent itemset.
+    An itemset is its parent's id and one more item until its level is decoded. Each level is written to the shared folder, so that lineage
+    stays short and lost executors do no harm, and released when the next one is there; the driver sees counts only. The loop ends with the level that has no
+    frequent itemset.
     """
     check_support(min_support)
     if tid is None:
         frame, tid = frame.withColumn("tid", F.monotonically_increasing_id()), "tid"
     long = materialize(explode_items(frame, items, tid).withColumnRenamed(tid, "tid"))
     ranks = materialize(ranked_items(long, min_support))
-    paths = materialize(weighted(filtered(long, ranks)))
-    levels = [ranks.select(F.array(F.struct("rank", "item")).alias("itemset"), "support")]
-    state, size = states(paths), 1
+    state = materialize(states(weighted(filtered(long, ranks))))
+    release(long)
+    shorter = materialize(ranks.select(F.col("rank").alias("id"), F.array("item").alias("items"), "support"))
+    levels, size = [shorter], 1
     while max_size is None or size < max_size:
         grown = materialize(grow(state))
-        found = materialize(supported(grown, min_support))
-        n = found.count()
-        if not n:
+        found = materialize(supported(grown, min_support).withColumn("id", F.monotonically_increasing_id()))
+        release(state)
+        if found.isEmpty():
             release(grown, found)
             break
-        levels.append(found)
-        near = F.broadcast(found) if n <= BROADCAST_ITEMSETS else found
-        new = materialize(grown.filter("p > 0").join(near, "itemset", "left_semi"))
-        release(grown, state)
-        state, size = new, size + 1
-    out = reduce(DataFrame.unionByName, levels)
-    return out.select(canonical(F.transform("itemset", lambda s: s["item"])).alias("itemset"), "support")
+        state = materialize(next_states(grown, found))
+        shorter = materialize(decode(found, shorter, ranks))
+        release(grown, found)
+        levels.append(shorter)
+        size += 1
+    out = materialize(reduce(DataFrame.unionByName, levels).select(canonical(F.col("items")).alias("itemset"), "support"))
+    release(ranks, *levels)
+    return out
 
 
 def mine(frame: DataFrame, min_support: int, items: str = "items", engine: str = "mllib", **options) -> DataFrame:
@@ -87,13 +115,18 @@ def mine(frame: DataFrame, min_support: int, items: str = "items", engine: str =
 def power_set(chain: DataFrame, min_support: int) -> DataFrame:
     """(itemset, support) of a tree that is a single path: every subset of its items, supported by the least count in it.
 
-    chain: rows (items array, counts array) of up to 30 items each.
+    chain: rows (items array, counts array), of at most MOST_CHAIN items each, or it is an error: their subsets wouldn't fit anywhere. Subsets are
+    dealt to all tasks by their first CHAIN_STEP items, and made by steps of as many.
     """
     n = F.size("items")
-    masks = F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int"))).alias("mask")
-    x = chain.select("items", "counts", masks)
-    pick = lambda c: F.filter(c, lambda v, k: F.expr("mask").bitwiseAND(F.pow(F.lit(2), k).cast("int")) > 0)
-    x = x.select(canonical(pick("items")).alias("itemset"), F.array_min(pick("counts")).cast("long").alias("support"))
+    x = chain.select("items", "counts", F.when(n > MOST_CHAIN, F.raise_error(F.lit(f"a single path of over {MOST_CHAIN} items"))).otherwise(F.lit(0)).cast("long").alias("mask"))
+    for low in range(0, MOST_CHAIN, CHAIN_STEP):
+        bits = F.greatest(F.lit(0), F.least(F.lit(CHAIN_STEP), n - low))
+        x = x.select("items", "counts", "mask", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), bits).cast("long") - 1)).alias("part"))
+        x = x.select("items", "counts", (F.col("mask") + F.shiftleft("part", low)).alias("mask"))
+        x = x if low else x.repartition(x.sparkSession.sparkContext.defaultParallelism)
+    pick = lambda c: F.filter(c, lambda v, k: F.col("mask").bitwiseAND(F.pow(F.lit(2), k).cast("long")) > 0)
+    x = x.filter("mask > 0").select(canonical(pick("items")).alias("itemset"), F.array_min(pick("counts")).cast("long").alias("support"))
     return x.filter(F.col("support") >= check_support(min_support))
 
 

@@ -6,9 +6,10 @@ distinct prefix of paths, its count the weight of the paths that begin with it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.shared import materialize, running_sums
 from tallyloom.operators.items import frequent_items, ranked
 
 #: Up to so many frequent items (an item and two numbers each), ranks are broadcast to the filter; beyond, they are joined by a shuffle.
@@ -76,31 +77,40 @@ def pattern_base(paths: DataFrame, item) -> DataFrame:
     return x.select(F.expr("slice(path, 1, int(p) - 1)").alias("base"), "w").groupBy("base").agg(F.sum("w").alias("w"))
 
 
-def conditional_paths(paths: DataFrame, item, min_support: int) -> DataFrame:
-    """(path, w): the item's pattern base without the items that are infrequent in it: its conditional tree as paths."""
-    base = pattern_base(paths, item).select(F.monotonically_increasing_id().alias("tid"), "base", "w")
+def _kept_cells(paths: DataFrame, item, min_support: int) -> tuple[DataFrame, DataFrame]:
+    """The cells (tid, w, s) of the item's pattern base, and (s, n) of those frequent in it."""
+    base = materialize(pattern_base(paths, item).select(F.monotonically_increasing_id().alias("tid"), "base", "w"))
     cells = base.select("tid", "w", F.explode("base").alias("s"))
-    keep = cells.groupBy("s").agg(F.sum("w").alias("n")).filter(F.col("n") >= min_support).select("s")
-    x = cells.join(keep, "s").groupBy("tid", "w").agg(F.array_sort(F.collect_list("s")).alias("path"))
+    return cells, cells.groupBy("s").agg(F.sum("w").alias("n")).filter(F.col("n") >= min_support)
+
+
+def conditional_paths(paths: DataFrame, item, min_support: int) -> DataFrame:
+    """(path, w): the item's pattern base without the items that are infrequent in it: its conditional tree as paths, in the global order."""
+    cells, keep = _kept_cells(paths, item, min_support)
+    x = cells.join(keep.select("s"), "s").groupBy("tid", "w").agg(F.array_sort(F.collect_list("s")).alias("path"))
+    return x.groupBy("path").agg(F.sum("w").alias("w"))
+
+
+def local_conditional_paths(paths: DataFrame, item, min_support: int) -> DataFrame:
+    """As conditional_paths, but items are in the order of their support within the base, ties by ascending item, and ranked by it."""
+    cells, keep = _kept_cells(paths, item, min_support)
+    local = ranked(keep.select(F.col("s")["item"].alias("item"), F.col("n").alias("support")))
+    x = cells.select("tid", "w", F.col("s")["item"].alias("item")).join(local, "item")
+    x = x.groupBy("tid", "w").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("path"))
     return x.groupBy("path").agg(F.sum("w").alias("w"))
 
 
 def states(paths: DataFrame) -> DataFrame:
-    """(itemset, path, p, w): every position of every path, as one-item sets to grow towards the root."""
-    x = paths.select("path", "w", F.posexplode("path").alias("p", "s"))
-    return x.select(F.array("s").alias("itemset"), "path", "p", "w")
+    """(id, prefix, w): the tree's nodes as states to grow towards the root: the node's item as an itemset (its rank is the itemset's id), the ranks
+    before it on its path, and its count."""
+    x = paths.select("w", F.transform("path", lambda s: s["rank"]).alias("ranks")).select("w", "ranks", F.posexplode("ranks").alias("p", "id"))
+    return x.select("id", F.expr("slice(ranks, 1, p)").alias("prefix"), "w").groupBy("id", "prefix").agg(F.sum("w").alias("w"))
 
 
 def offsets(tree: DataFrame) -> DataFrame:
-    """tree with the running sum of depth - 1 over the nodes before, in the order of item and prefix: where a node's candidates start.
-
-    A running sum over all nodes is one task's work by nature only in its last step: sums by item come first.
-    """
-    own = F.col("depth") - 1
-    by = tree.groupBy("item").agg(F.sum(own).alias("n"))
-    base = by.select("item", F.coalesce(F.sum("n").over(Window.orderBy("item").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum(own).over(Window.partitionBy("item").orderBy(path_string("prefix")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return tree.withColumn("inside", inside).join(base, "item").withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
+    """tree with the running sum of depth - 1 over the nodes before, in the order of item and prefix: where a node's candidates start."""
+    x = tree.withColumns({"before": F.col("depth") - 1, "at_path": path_string("prefix")})
+    return running_sums(x, [F.asc("item"), F.asc("at_path")], "before", "start").drop("before", "at_path")
 
 
 def path_string(path):

@@ -6,12 +6,21 @@ absolute counts, set as a share of the number of baskets so that they fit every
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.shared import materialize, scratch_path
 from tallyloom.operators import encode, items, itemsets, mine, paths
 from tallyloom.sources import baskets as src
+from tallyloom.sources import sinks
 
-B1, B2, B3 = src.order_brands, src.user_days, src.line_attributes
+
+def _once(basket):
+    """The basket's rows, written: thresholds, ranks and mining read them several times."""
+    return lambda spark, sf_dir: materialize(basket(spark, sf_dir))
+
+
+B1, B2, B3 = _once(src.order_brands), _once(src.user_days), _once(src.line_attributes)
 L1 = "SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 L2 = "SELECT DISTINCT user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS tid, event_type AS item FROM events"
 L3 = """SELECT tid, unnest(['rf=' || l_returnflag, 'ls=' || l_linestatus, 'disc=' || round(l_discount * 100)::INT::VARCHAR,
@@ -70,7 +79,7 @@ def _tree(spark, sf_dir, share=SHARE["b2"]):
 
 
 def item_support(spark, sf_dir):
-    return items.item_support(B1(spark, sf_dir))
+    return items.item_support(src.order_brands(spark, sf_dir))
 
 
 def frequent_items(spark, sf_dir):
@@ -88,7 +97,7 @@ def item_rank(spark, sf_dir):
 
 
 def distinct_item_count(spark, sf_dir):
-    return items.distinct_items(B1(spark, sf_dir))
+    return items.distinct_items(src.order_brands(spark, sf_dir))
 
 
 def _part_cells(spark, sf_dir):
@@ -99,12 +108,15 @@ def dictionary_first_seen(spark, sf_dir):
     return encode.first_seen(_part_cells(spark, sf_dir), ["row", "col"])
 
 
-def dictionary_encoded(spark, sf_dir):
+def _encoded(spark, sf_dir):
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
     cells = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("p_brand").alias("item"))
-    got = encode.encode(cells, encode.first_seen(cells, ["row", "col"]))
-    return got.select("tid", F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
+    return encode.encode(cells, encode.first_seen(cells, ["row", "col"]))
+
+
+def dictionary_encoded(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("tid", F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
 
 
 def dense_rerank(spark, sf_dir):
@@ -112,7 +124,8 @@ def dense_rerank(spark, sf_dir):
 
 
 def one_hot(spark, sf_dir):
-    return encode.one_hot(B2(spark, sf_dir), ["click", "error", "login", "purchase", "view"])
+    """A column for each kind of event that the table holds."""
+    return encode.one_hot(B2(spark, sf_dir))
 
 
 def filtered_transactions(spark, sf_dir):
@@ -161,9 +174,138 @@ def conditional_tree(spark, sf_dir):
 def candidate_pairs(spark, sf_dir):
     long = B1(spark, sf_dir)
     m = threshold(long, SHARE["b1"])
-    state = paths.states(paths.weighted(paths.filtered(long, paths.ranked_items(long, m))))
-    got = mine.supported(mine.grow(state), m)
-    return shown(got.select(itemsets.canonical(F.transform("itemset", lambda s: s["item"])).alias("itemset"), "support"))
+    ranks = materialize(paths.ranked_items(long, m))
+    return shown(_level(long, ranks, m, 2)[2].select(itemsets.canonical(F.col("items")).alias("itemset"), "support"))
+
+
+def _level(long, ranks, m, size):
+    """(itemsets of the level before, those of the level by their parents, the same with their items)."""
+    state = paths.states(paths.weighted(paths.filtered(long, ranks)))
+    found, decoded = None, ranks.select(F.col("rank").alias("id"), F.array("item").alias("items"), "support")
+    for k in range(2, size + 1):
+        grown = materialize(mine.grow(state))
+        found = materialize(mine.supported(grown, m).withColumn("id", F.monotonically_increasing_id()))
+        shorter, decoded = decoded, mine.decode(found, decoded, ranks)
+        state = mine.next_states(grown, found) if k < size else None
+    return shorter, found, decoded
+
+
+def parent_pointers(spark, sf_dir):
+    """Itemsets of three as their parent and one more item."""
+    long = B2(spark, sf_dir)
+    m = threshold(long, SHARE["b2_low"])
+    ranks = materialize(paths.ranked_items(long, m))
+    shorter, found, _ = _level(long, ranks, m, 3)
+    up = shorter.select(F.col("id").alias("parent"), itemsets.item_string(F.col("items")).alias("parent_items"))
+    return found.join(up, "parent").join(ranks.select("rank", "item"), "rank").select("parent_items", "item", "support")
+
+
+def decoded_itemsets(spark, sf_dir):
+    """The same, decoded."""
+    long = B2(spark, sf_dir)
+    m = threshold(long, SHARE["b2_low"])
+    got = _level(long, materialize(paths.ranked_items(long, m)), m, 3)[2]
+    return shown(got.select(F.col("items").alias("itemset"), "support"))
+
+
+def conditional_tree_local(spark, sf_dir):
+    got = paths.local_conditional_paths(_tree(spark, sf_dir)[0], "purchase", threshold(B2(spark, sf_dir), SHARE["b2"]))
+    return got.select(paths.path_string("path").alias("path"), "w")
+
+
+def tree_print(spark, sf_dir):
+    lines = paths.tree_lines(_tree(spark, sf_dir)[1], 3)
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place bigint, line string")
+
+
+def event_itemsets_grouped(spark, sf_dir):
+    """Mined in eight groups of conditional transactions."""
+    long = B2(spark, sf_dir)
+    return shown(mine.mine(src.split_evenly(sets(long), 8), threshold(long, SHARE["b2_low"]), partitions=8))
+
+
+#: Text as the sources read it; the queries write it first.
+LINES = ["# a comment", "", "1 2 3", "  7\t-8  +9 ", "1 2 x 3", "12abc 4", "5 99999999999 5", "3 99999999999999999999 4", "  # no comment to skip blanks for"]
+CSV_LINES = ['milk, whole bread ,,eggs', '"milk, whole",bread', '"say ""hi""",x', ' "a",b"c', '""', ' , ', '"open, quote', 'tail,"q"rest,']
+
+
+def _text(spark, lines):
+    path = scratch_path(spark)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def _joined(items_):
+    return F.array_join(F.col(items_).cast("array<string>"), " ").alias("items")
+
+
+def transaction_scan(spark, sf_dir):
+    return src.read_transactions(spark, _text(spark, LINES)).select(F.row_number().over(_by("tid")).alias("place"), _joined("items"))
+
+
+def transaction_scan_all_lines(spark, sf_dir):
+    return src.read_transactions(spark, _text(spark, LINES), skip_comments=False).select(F.row_number().over(_by("tid")).alias("place"), _joined("items"))
+
+
+def token_scan(spark, sf_dir):
+    return src.read_text_transactions(spark, _text(spark, LINES)).select(F.row_number().over(_by("tid")).alias("place"), _joined("items"))
+
+
+def _by(column):
+    return Window.orderBy(column)  # a dozen literal rows
+
+
+def csv_baskets(spark, sf_dir):
+    cells = src.read_csv_baskets(spark, _text(spark, CSV_LINES))
+    return cells.select(F.dense_rank().over(_by("row")).alias("row"), "col", "item")
+
+
+def distinct_itemsets(spark, sf_dir):
+    lines = spark.createDataFrame([(x,) for x in ("3 1 ", "1 3", "", "a 1", "2 2", " 10\t9 ", "9 10 9", "99999999999 1")], "value string")
+    return itemsets.parse_itemsets(lines).select(itemsets.item_string(F.col("itemset")).alias("itemset"))
+
+
+def itemset_sink(spark, sf_dir):
+    """Dense ids of the kinds of event, mined, written as text with their support and read again."""
+    long = B2(spark, sf_dir)
+    ids = encode.dense_rerank(long)
+    path = scratch_path(spark)
+    sinks.write_itemsets(mine.mine(sets(long.join(ids, "item").select("tid", F.col("id").alias("item"))), threshold(long, SHARE["b2_low"])), path, with_support=True)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def itemset_sink_parsed(spark, sf_dir):
+    long = B2(spark, sf_dir)
+    ids = encode.dense_rerank(long)
+    path = scratch_path(spark)
+    sinks.write_itemsets(mine.mine(sets(long.join(ids, "item").select("tid", F.col("id").alias("item"))), threshold(long, SHARE["b2_low"])), path)
+    return itemsets.parse_itemsets(spark.read.text(path)).select(itemsets.item_string(F.col("itemset")).alias("itemset"))
+
+
+def count_sink(spark, sf_dir):
+    path = scratch_path(spark)
+    sinks.write_counts(dense_histogram(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def dictionary_sink(spark, sf_dir):
+    path = scratch_path(spark)
+    sinks.write_dictionary(dictionary_first_seen(spark, sf_dir), path)
+    return sinks.read_dictionary(spark, path)
+
+
+def encoded_sink(spark, sf_dir):
+    """Encoded transactions written as text and read again as transactions; how often each occurs."""
+    path = scratch_path(spark)
+    sinks.write_transactions(_encoded(spark, sf_dir), path)
+    return src.read_transactions(spark, path).select(_joined("items")).groupBy("items").agg(F.count("*").alias("n"))
+
+
+def reranked_transactions(spark, sf_dir):
+    """The suppliers of each order's lines, repeats kept, by their place among all suppliers that occur."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey")
+    frame = line.groupBy(F.col("l_orderkey").alias("tid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"]).alias("items"))
+    return encode.rerank_transactions(frame).select("tid", _joined("items"))
 
 
 def candidate_offsets(spark, sf_dir):
@@ -171,9 +313,9 @@ def candidate_offsets(spark, sf_dir):
 
 
 def single_path_subsets(spark, sf_dir):
-    """The chain of the return flags' and line statuses' counts, by descending count."""
+    """The chain of the line numbers with their counts."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber")
-    one = li.filter("l_linenumber <= 5").groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    one = li.groupBy("l_linenumber").agg(F.count("*").alias("n"))
     chain = one.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "n"))).alias("c")).select(F.transform("c", lambda s: s["l_linenumber"]).alias("items"), F.transform("c", lambda s: s["n"]).alias("counts"))
     return shown(mine.power_set(chain.filter(F.size("items") > 0), 2))
 
@@ -211,6 +353,27 @@ def match_score(spark, sf_dir):
     return itemsets.match_score(mine.mine(tx, m), mine.mine(tx, m, engine="levels"))
 
 
+def difference_both_ways(spark, sf_dir):
+    """Of itemsets of two and more at a low threshold and all at a high one: what only one of both has."""
+    low, high = _two(spark, sf_dir)
+    return itemsets.difference(low.filter(F.size("itemset") > 1), high).select("side", itemsets.formatted(F.col("itemset")).alias("itemset"))
+
+
+def engines_equal(spark, sf_dir):
+    long = B2(spark, sf_dir)
+    m, tx = threshold(long, SHARE["b2_low"]), sets(long)
+    return itemsets.equality(mine.mine(tx, m), mine.mine(tx, m, engine="levels"))
+
+
+def thresholds_equal(spark, sf_dir):
+    return itemsets.equality(*_two(spark, sf_dir))
+
+
+def match_score_thresholds(spark, sf_dir):
+    """A low threshold's itemsets against a high one's, which has a part of them."""
+    return itemsets.match_score(*_two(spark, sf_dir))
+
+
 def association_rules(spark, sf_dir):
     long = B2(spark, sf_dir)
     got = mine.rules(mine.mine(sets(long), threshold(long, SHARE["b2"])), 0.3)
@@ -224,6 +387,7 @@ QUERIES = {
     "attribute_itemsets_mllib": _mined(B3, SHARE["b3"], "mllib"), "attribute_itemsets_levels": _mined(B3, SHARE["b3"], "levels"),
 }
 QUERIES |= {f.__name__: f for f in (item_support, frequent_items, dense_histogram, item_rank, distinct_item_count, dictionary_first_seen, dictionary_encoded, dense_rerank, one_hot, filtered_transactions, weighted_paths, tree_nodes, leaf_nodes, flat_tree, header_table, tree_stats, conditional_pattern_base, conditional_tree, candidate_pairs, candidate_offsets, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except, difference_sample, match_score, association_rules)}
+QUERIES |= {f.__name__: f for f in (parent_pointers, decoded_itemsets, conditional_tree_local, tree_print, event_itemsets_grouped, transaction_scan, transaction_scan_all_lines, token_scan, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink, encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds)}
 
 _B2 = lambda rest: _sql(L2, SHARE["b2"], rest)
 _LOW_NOT_HIGH = _eclat(L2, SHARE["b2_low"], f"""SELECT {{}} FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)""")
@@ -231,15 +395,15 @@ SQL = {
     **{f"{name}_{engine}": _eclat(long, share) for name, long, share in (("frequent_itemsets", L1, SHARE["b1"]), ("frequent_itemsets_low", L1, SHARE["b1_low"]), ("event_itemsets", L2, SHARE["b2_low"]), ("attribute_itemsets", L3, SHARE["b3"])) for engine in ("mllib", "levels")},
     "item_support": f"SELECT item, count(*) AS support FROM ({L1}) GROUP BY item",
     "frequent_items": _sql(L1, 25, "x AS (SELECT item, count(*) AS support FROM long GROUP BY item)\nSELECT item, support FROM x WHERE support >= (SELECT m FROM thr)"),
-    "dense_histogram": "SELECT r.range::INT AS item, count(l_linenumber) AS support FROM range(16) r LEFT JOIN lineitem ON l_linenumber = r.range GROUP BY 1",
+    "dense_histogram": "SELECT r.range::BIGINT AS item, count(l_linenumber) AS support FROM range(16) r LEFT JOIN lineitem ON l_linenumber = r.range GROUP BY 1",
     "item_rank": _sql(L1, 25, _RANKS + "z AS (SELECT 1)\nSELECT item, support, rank FROM rk"),
     "distinct_item_count": f"SELECT count(DISTINCT item) AS n FROM ({L1})",
-    "dictionary_first_seen": "SELECT p_brand AS item, row_number() OVER (ORDER BY min(p_partkey))::INT AS id FROM part GROUP BY p_brand",
+    "dictionary_first_seen": "SELECT p_brand AS item, row_number() OVER (ORDER BY min(p_partkey)) AS id FROM part GROUP BY p_brand",
     "dictionary_encoded": """WITH c AS (SELECT l_orderkey AS tid, l_linenumber AS col, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 d AS (SELECT item, row_number() OVER (ORDER BY min((tid, col)), item) AS id FROM c GROUP BY item)
 SELECT tid, string_agg(id::VARCHAR, ' ' ORDER BY col, id) AS items FROM c JOIN d USING (item) GROUP BY tid""",
-    "dense_rerank": "SELECT item, row_number() OVER (ORDER BY item)::INT AS id FROM (SELECT DISTINCT p_brand AS item FROM part)",
-    "one_hot": f"SELECT tid, {', '.join(f'''bool_or(item = '{k}') AS {k}''' for k in ('click', 'error', 'login', 'purchase', 'view'))} FROM ({L2}) GROUP BY tid",
+    "dense_rerank": "SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT p_brand AS item FROM part)",
+    "one_hot": f"SELECT tid, {', '.join(f'''bool_or(item = '{k}') AS {k}''' for k in ('click', 'error', 'purchase', 'signup', 'view'))} FROM ({L2}) GROUP BY tid",
     "filtered_transactions": _sql(L1, 25, _RANKS + "z AS (SELECT 1)\nSELECT tid, array_to_string(path, ' ') AS path FROM tx"),
     "weighted_paths": _B2(_RANKS + "z AS (SELECT 1)\nSELECT array_to_string(path, ' ') AS path, w FROM wp"),
     "tree_nodes": _B2(_NODES + "z AS (SELECT 1)\nSELECT array_to_string(prefix, ' ') AS prefix, item, depth::INT AS depth, support FROM nd"),
@@ -254,7 +418,7 @@ y AS (SELECT k, w, string_agg(item, ' ' ORDER BY pos) AS path FROM e WHERE item
 SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
     "candidate_pairs": _sql(L1, SHARE["b1"], "z AS (SELECT 1)\nSELECT a.item || ' ' || b.item AS itemset, count(*) AS support FROM long a JOIN long b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= (SELECT m FROM thr)"),
     "candidate_offsets": _B2(_NODES + "z AS (SELECT array_to_string(prefix, ' ') AS prefix, item, depth FROM nd)\nSELECT prefix, coalesce(sum(depth - 1) OVER (ORDER BY item, prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z"),
-    "single_path_subsets": """WITH c AS (SELECT l_linenumber AS i, count(*) AS n, row_number() OVER (ORDER BY l_linenumber) - 1 AS k FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1),
+    "single_path_subsets": """WITH c AS (SELECT l_linenumber AS i, count(*) AS n, row_number() OVER (ORDER BY l_linenumber) - 1 AS k FROM lineitem GROUP BY 1),
 m AS (SELECT unnest(range(1, (1 << (SELECT count(*) FROM c)))) AS mask)
 SELECT string_agg(i::VARCHAR, ' ' ORDER BY i) AS itemset, min(n) AS support FROM m JOIN c ON (mask >> k) & 1 = 1 GROUP BY mask HAVING min(n) >= 2""",
     "itemsets_of_size_2": _eclat(L1, SHARE["b1"], "SELECT array_to_string(items, ' ') AS itemset, len(tids)::BIGINT AS support FROM r WHERE len(items) = 2"),
@@ -268,6 +432,48 @@ SELECT array_to_string(list_filter(e.items, lambda x: x <> e.c), ' ') AS anteced
 }
 
 
+_VALUES = lambda names, rows: f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({names})"
+SQL |= {
+    # a set's items are added from the deepest to the one nearest to the root: the item of least rank comes last
+    "parent_pointers": _eclat(L2, SHARE["b2_low"], """, ranks AS (SELECT item, row_number() OVER (ORDER BY len(tids) DESC, item) AS rank FROM f),
+three AS (SELECT items, len(tids) AS n, unnest(items) AS item FROM r WHERE len(items) = 3),
+root AS (SELECT items, n, arg_min(item, rank) AS item FROM three JOIN ranks USING (item) GROUP BY items, n)
+SELECT array_to_string(list_filter(items, lambda x: x <> item), ' ') AS parent_items, item, n::BIGINT AS support FROM root"""),
+    "decoded_itemsets": _eclat(L2, SHARE["b2_low"], "SELECT array_to_string(items, ' ') AS itemset, len(tids)::BIGINT AS support FROM r WHERE len(items) = 3"),
+    "conditional_tree_local": _B2(_RANKS + """z AS (SELECT row_number() OVER () AS k, path[1:list_position(path, 'purchase') - 1] AS base, w FROM wp WHERE list_position(path, 'purchase') > 1),
+e AS (SELECT k, w, unnest(base) AS item FROM z), lr AS (SELECT item, row_number() OVER (ORDER BY sum(w) DESC, item) AS place FROM e GROUP BY item HAVING sum(w) >= (SELECT m FROM thr)),
+y AS (SELECT k, w, string_agg(item, ' ' ORDER BY place) AS path FROM e JOIN lr USING (item) GROUP BY k, w)
+SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
+    "tree_print": _B2(_NODES + """z AS (SELECT prefix, unnest(prefix) AS x, unnest(range(len(prefix))) AS k, item, depth, support FROM nd WHERE depth <= 3),
+y AS (SELECT list(rank ORDER BY k) AS place, z.item, z.depth, z.support FROM z JOIN rk ON rk.item = z.x GROUP BY z.prefix, z.item, z.depth, z.support)
+SELECT row_number() OVER (ORDER BY place) AS place, repeat('  ', (depth - 1)::INT) || item || ' (' || support || ')' AS line FROM y"""),
+    "event_itemsets_grouped": _eclat(L2, SHARE["b2_low"]),
+    "transaction_scan": _VALUES("place, items", ["(1, '1 2 3')", "(2, '7 -8 9')", "(3, '1 2')", "(4, '12')", "(5, '5 99999999999 5')", "(6, '3')"]),
+    "transaction_scan_all_lines": _VALUES("place, items", ["(1, '')", "(2, '')", "(3, '1 2 3')", "(4, '7 -8 9')", "(5, '1 2')", "(6, '12')", "(7, '5 99999999999 5')", "(8, '3')", "(9, '')"]),
+    "token_scan": _VALUES("place, items", ["(1, '1 2 3')", "(2, '7 -8 +9')", "(3, '1 2 x 3')", "(4, '12abc 4')", "(5, '5 99999999999 5')", "(6, '3 99999999999999999999 4')"]),
+    "csv_baskets": _VALUES("row, col, item", ["(1, 0, 'milk')", "(1, 1, 'whole bread')", "(1, 2, 'eggs')", "(2, 0, 'milk, whole')", "(2, 1, 'bread')", "(3, 0, 'say \"hi\"')", "(3, 1, 'x')", "(4, 0, '\"a\"')", "(4, 1, 'b\"c')", "(5, 0, 'open, quote')", "(6, 0, 'tail')", "(6, 1, 'qrest')"]),
+    "distinct_itemsets": _VALUES("itemset", ["('1 3')", "('2')", "('9 10')", "('1 99999999999')"]),
+    "itemset_sink": _eclat(L2, SHARE["b2_low"], """, d AS (SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT item FROM long)),
+e AS (SELECT items, len(tids) AS n, unnest(items) AS item FROM r)
+SELECT string_agg(id::VARCHAR, ' ' ORDER BY id) || ' (' || n || ')' AS line FROM e JOIN d USING (item) GROUP BY items, n"""),
+    "itemset_sink_parsed": _eclat(L2, SHARE["b2_low"], """, d AS (SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT item FROM long)),
+e AS (SELECT items, unnest(items) AS item FROM r)
+SELECT string_agg(id::VARCHAR, ' ' ORDER BY id) AS itemset FROM e JOIN d USING (item) GROUP BY items"""),
+    "count_sink": f"SELECT item || ' ' || support AS line FROM ({SQL['dense_histogram']})",
+    "dictionary_sink": SQL["dictionary_first_seen"],
+    "encoded_sink": f"SELECT items, count(*) AS n FROM ({SQL['dictionary_encoded']}) GROUP BY items",
+    "reranked_transactions": """WITH d AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) AS id FROM (SELECT DISTINCT l_suppkey FROM lineitem))
+SELECT l_orderkey AS tid, string_agg(id::VARCHAR, ' ' ORDER BY l_linenumber, l_suppkey) AS items FROM lineitem JOIN d USING (l_suppkey) GROUP BY l_orderkey""",
+    "difference_both_ways": _eclat(L2, SHARE["b2_low"], f""", x AS (SELECT items, len(tids) >= (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long) AS high FROM r)
+SELECT 'first' AS side, '{{' || array_to_string(items, ', ') || '}}' AS itemset FROM x WHERE len(items) > 1 AND NOT high
+UNION ALL SELECT 'second', '{{' || array_to_string(items, ', ') || '}}' FROM x WHERE len(items) = 1 AND high"""),
+    "engines_equal": "SELECT true AS same",
+    "thresholds_equal": _eclat(L2, SHARE["b2_low"], f"SELECT count(*) = 0 AS same FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)"),
+    "match_score_thresholds": _eclat(L2, SHARE["b2_low"], f""", x AS (SELECT count(*) FILTER (WHERE len(tids) >= (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)) AS matched, count(*) AS total FROM r)
+SELECT matched, total, (100.0::DOUBLE * matched / total) AS percent FROM x"""),
+}
+
+
 def queries():
     return dict(QUERIES)
 

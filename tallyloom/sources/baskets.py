@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def parse_items(line: Column) -> Column:
-    """The leading run of whole numbers of a line as array<int>; what follows the first other token is left out.
+    """The leading run of whole numbers of a line as array<bigint>; what follows the first other token is left out.
 
-    A comment, a blank line or a line that starts with something else gives an empty array.
+    A number beyond 64 bits is another token. A comment, a blank line or a line that starts with something else gives an empty array.
     """
     run = F.regexp_extract(line, r"^\s*([+-]?\d+(?:\s+[+-]?\d+)*)", 1)
-    return F.when(run == "", F.array().cast("array<int>")).otherwise(F.split(run, r"\s+").cast("array<int>"))
+    ids = F.transform(F.split(run, r"\s+"), lambda x: x.try_cast("bigint"))
+    end = F.array_position(F.transform(ids, F.isnull), F.lit(True))
+    return F.when(end > 0, F.slice(ids, F.lit(1), (end - 1).cast("int"))).otherwise(ids)
 
 
 def read_transactions(spark: SparkSession, path: str, skip_comments: bool = True) -> DataFrame:
@@ -33,12 +35,26 @@ def read_text_transactions(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("tid"), F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("items"))
 
 
+#: A cell after its comma: quoted, with doubled quotes inside and perhaps more after it, or up to the next comma.
+_CELL = r',("[^"]*+(?:""[^"]*+)*+(?:"[^,]*+)?|[^,]*+)'
+_QUOTED = r'^"([^"]*+(?:""[^"]*+)*+)(?:"(.*))?$'
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a CSV line as text: a cell that begins with a quote ends with the next single one, a doubled quote in it is one."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+    inner = lambda x: F.concat(F.replace(F.regexp_extract(x, _QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, _QUOTED, 2))
+    return F.transform(raw, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(x))
+
+
 def read_csv_baskets(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, item): the trimmed non-empty cells of ragged CSV rows without a header; rows without a cell vanish.
 
-    row ascends in file order within a split, col from 0 among the row's cells that are left.
+    row ascends in file order within a split, col from 0 among the row's cells that are left. A row is a line, so that files can be split: a quoted cell
+    that isn't closed ends with its line.
     """
-    cells = F.filter(F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', ""))), lambda x: x != "")
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    cells = F.filter(F.transform(csv_cells(F.col("value")), trimmed), lambda x: x != "")
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), cells.alias("cells"))
     return rows.select("row", F.posexplode("cells").alias("col", "item"))
 

@@ -32,4 +32,4 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
 
 
 def read_dictionary(spark, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.regexp_extract("value", r"^(.*) (\d+)$", 1).alias("item"), F.regexp_extract("value", r"^(.*) (\d+)$", 2).cast("int").alias("id"))
+    return spark.read.text(path).select(F.regexp_extract("value", r"^(.*) (\d+)$", 1).alias("item"), F.regexp_extract("value", r"^(.*) (\d+)$", 2).try_cast("bigint").alias("id"))

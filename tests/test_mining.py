@@ -197,3 +197,74 @@ def test_timer():
     with t.stage("b"):
         pass
     assert list(t.seconds) == ["a", "b"] and t.total >= 0 and t.report().splitlines()[-1].startswith("total")
+
+
+def test_csv_cells_as_csv_readers_have_them(spark):
+    import csv
+
+    rng = random.Random(2)
+    lines = ["".join(rng.choices('ab ",', k=rng.randrange(14))) for _ in range(400)] + ['"a,b",c', '"x""y",z', '"', '""', ",,", "", "a"]
+    lines = [x for x in lines if len(list(csv.reader([x]))) <= 1]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    got = {r.i: list(r.c) for r in df.select("i", baskets.csv_cells(F.col("value")).alias("c")).collect()}
+    for i, x in enumerate(lines):
+        want = [c.strip("\n") for c in (list(csv.reader([x])) or [[]])[0]]
+        assert [c for c in got[i] if c] == [c for c in want if c], x
+
+
+def test_large_ids_are_ordinary_items(spark, tmp_path):
+    rows = ["1 99999999999 3", "99999999999 3", "3 99999999999 99999999999999999999 1", "9223372036854775807 -9223372036854775808"]
+    (tmp_path / "big.txt").write_text("\n".join(rows))
+    read = baskets.read_transactions(spark, f"{tmp_path}/big.txt")
+    assert [r["items"] for r in read.orderBy("tid").collect()] == [[1, 99999999999, 3], [99999999999, 3], [3, 99999999999], [2**63 - 1, -(2**63)]]
+    for engine in ("mllib", "levels"):
+        assert got(mine.mine(read, 3, engine=engine)) == {(3,): 3, (99999999999,): 3, (3, 99999999999): 3}
+    cells = read.select(F.col("tid").alias("row"), F.posexplode("items").alias("col", "item"))
+    assert {r.item for r in encode.dense_rerank(cells).collect()} == {1, 3, 99999999999, 2**63 - 1, -(2**63)}
+    assert [r.support for r in items.dense_histogram(cells, 4).orderBy("item").collect()] == [0, 1, 0, 3]
+
+
+def test_local_order_of_a_conditional_tree(spark):
+    # globally 1 > 2 > 3 > 9; before 9, item 3 is the most frequent one
+    rows = [[1]] * 9 + [[1, 2]] * 4 + [[2]] * 3 + [[3, 9], [3, 9], [2, 3, 9], [1, 2, 3, 9]]
+    long = baskets.explode_items(frame(spark, rows))
+    found = paths.weighted(paths.filtered(long, paths.ranked_items(long, 1)))
+    shown = lambda x: {tuple(s["item"] for s in r.path): r.w for r in x.collect()}
+    assert shown(paths.conditional_paths(found, 9, 2)) == {(3,): 2, (2, 3): 2}
+    assert shown(paths.local_conditional_paths(found, 9, 2)) == {(3,): 2, (3, 2): 2}
+
+
+def test_power_set_of_any_chain(spark):
+    chain = lambda n: spark.createDataFrame([(list(range(n)), [10 + n - i for i in range(n)])], "items array<int>, counts array<bigint>")
+    assert mine.power_set(chain(17), 1).count() == 2**17 - 1
+    few = mine.power_set(chain(17), 26)
+    assert {tuple(r.itemset): r.support for r in few.collect()} == {(0,): 27, (1,): 26, (0, 1): 26}
+    with pytest.raises(Exception, match="over 60 items"):
+        mine.power_set(chain(61), 1).count()
+
+
+def test_running_sums_and_released_tables(spark):
+    import os
+
+    from tallyloom.functions import shared
+
+    df = spark.createDataFrame([(i % 7, i, (i * 37) % 11) for i in range(200)], "k int, i int, v int").repartition(5)
+    want, total = {}, 0
+    for r in sorted(df.collect(), key=lambda r: (r.k, r.i)):
+        want[r.i], total = total, total + r.v
+    assert {r.i: r.s for r in shared.running_sums(df, [F.asc("k"), F.asc("i")], "v", "s").collect()} == want
+    at = shared.materialize(df)
+    path = at._at.removeprefix("file:")
+    assert os.path.isdir(path)
+    shared.release(at)
+    assert not os.path.isdir(path)
+    before = len(shared._written)
+    mine.mine(frame(spark, ints(TEN)), 2, engine="levels").collect()
+    assert len(shared._written) == before + 1  # the result's own
+
+
+def test_levels_with_shuffled_itemsets(spark, monkeypatch):
+    monkeypatch.setattr(mine, "BROADCAST_ITEMSETS", 0)
+    monkeypatch.setattr(mine, "BROADCAST_ITEMS", 0)
+    assert got(mine.mine(frame(spark, ints(FIVE)), 2, engine="levels")) == brute(ints(FIVE), 2)
+    assert {len(k) for k in got(mine.mine(frame(spark, ints(FIVE)), 2, engine="levels", max_size=2))} == {1, 2}
