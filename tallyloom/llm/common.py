@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.shared import materialize, release
+
 #: White space that separates words: space and \x09-\x0D; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,61 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of its own in local mode only."""
-    if d := spark.conf.get("spark.checkpoint.dir", None):
-        return d.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", d := tempfile.mkdtemp(prefix="tallyloom-"))
-    return d
-
-
-_written: dict[str, SparkSession] = {}
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for path, spark in list(_written.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended; its owner clears the shared folder
-            return
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tallyloom_path = path
-    return out
-
-
-def drop_written(*dfs: DataFrame | None) -> None:
-    """Deletes tables that written() made and nothing reads any more."""
-    for df in dfs:
-        if df is not None and (path := getattr(df, "_tallyloom_path", None)) and _written.pop(path, None):
-            _delete(df.sparkSession, path)
+written, drop_written = materialize, release
 
 
-#: Rows in an Arrow batch at most. Spark bounds batches by rows only, and a row can hold a very long text.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch that are worked on and given out at once, about; Spark's own bound for what comes in is
+#: spark.sql.execution.arrow.maxBytesPerBatch.
+PART_ROWS, PART_BYTES = 500, 8_000_000
 
 
-def bounded_batches(frame: DataFrame) -> DataFrame:
-    """frame; its session's Arrow batches have BATCH_ROWS rows at most from now on (a smaller setting stays)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(frame.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        frame.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return frame
+def slices(batches):
+    """The batches in parts of a bounded size: what is made of a part is given out before the next one is begun."""
+    for batch in batches:
+        step = max(1, min(PART_ROWS, PART_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import bounded_batches, drop_written, spare, written
+from tallyloom.llm.common import drop_written, slices, spare, written
 from tallyloom.llm.shingles import WordHashes, runs
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -97,7 +97,7 @@ def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
     def run(batches):
         words = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 w = words.of(t.as_py(), fold=True)
                 s = np.unique(runs(w, WIDTH))
@@ -108,7 +108,7 @@ def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def search(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, threshold: float, broadcast_shingles: int) -> DataFrame:
     """(key, item_id, item_shingles, shared) for each row of docs (key of any type, text binary) and item that it contains."""
-    spark = bounded_batches(docs).sparkSession
+    spark = docs.sparkSession
     shingles = written(item_shingles(items.repartition(spark.sparkContext.defaultParallelism), item_id, item_text).distinct())
     if shingles.count() > broadcast_shingles:
         return _by_shuffle(docs, shingles, threshold)
@@ -120,7 +120,7 @@ def search(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, thre
 
     def run(batches):
         (known, ids), words = shared.value, WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             out = [(row, i, n) for row, t in enumerate(batch.column(1)) for i, n in known.search(words.of(t.as_py(), fold=True))]
             row, item, n = zip(*out, strict=True) if out else ((), (), ())
             names = [None if ids[i] == _NULL else int(ids[i]) for i in item]
@@ -150,7 +150,7 @@ def _by_shuffle(docs: DataFrame, shingles: DataFrame, threshold: float) -> DataF
     def hashed(most):
         def run(batches):
             words = WordHashes()
-            for batch in batches:
+            for batch in slices(batches):
                 for at, t in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
                     w = words.of(t.as_py(), fold=True)
                     s = np.unique(np.concatenate([np.empty(0, np.uint64), *(runs(w, k) for k in widths if len(w) >= k)]))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import bounded_batches, drop_written, repeated, shuffle_partitions, written
+from tallyloom.llm.common import drop_written, repeated, shuffle_partitions, slices, written
 from tallyloom.llm.shingles import WordHashes, shingle_set
 
 K, WIDTH = 128, 5
@@ -72,11 +72,11 @@ def sketches(docs: DataFrame, keep: list[str], text: str = "text", k: int = K, w
 
     def run(batches):
         words = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [bottom(shingle_set(words.of(t.as_py()), width), k).view(np.int64) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*keep, out])
 
-    return bounded_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def merged(parts: DataFrame, by: list[str], k: int = K, sketch: str = "sketch", salts: int = 64) -> DataFrame:
@@ -177,7 +177,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
         at = last = None
         done = False
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for b, halo, i, copies, t in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(4).to_pylist(), batch.column(3), strict=True):
                 if halo and (done or b != at):
@@ -196,5 +196,5 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     rows, alike = in_order(docs, doc_id, text)
-    out = bounded_batches(rows).mapInArrow(run, SCHEMA)
+    out = rows.mapInArrow(run, SCHEMA)
     return (repeated(out, "copies", "copy", True).drop("copy") if alike else out).drop("copies")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import bounded_batches, spare
+from tallyloom.llm.common import slices, spare
 
 #: Elements without text of the article.
 DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas audio video map menu dialog datalist".split())
@@ -516,8 +516,8 @@ def extract(pages: DataFrame, html_column: str = "html", keep: list[str] | None
     schema = T.StructType([*x.drop(last).schema.fields, T.StructField(text, T.StringType()), T.StructField(n_chars, T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [main_text(p.as_py().decode("utf-8", "replace") if p.is_valid else None) for p in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=[*keep, text, n_chars])
 
-    return bounded_batches(x).mapInArrow(run, schema)
+    return x.mapInArrow(run, schema)

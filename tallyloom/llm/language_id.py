@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import bounded_batches, spare
+from tallyloom.llm.common import slices, spare
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Training: windows at most (those of least hash), windows of one text, passes over them, windows in a step.
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     x = x.select(F.col(doc_id).cast("string"), F.col(lang).cast("string"), F.col(text).cast("binary"))
 
     def draw(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, name, t in zip(*(batch.column(k) for k in range(3)), strict=True):
                 t = t.as_py()
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["key", "lang", "win"])
 
-    drawn = bounded_batches(x).mapInArrow(draw, "key long, lang string, win binary").orderBy("key", "lang", "win").limit(train_windows).toArrow()
+    drawn = x.mapInArrow(draw, "key long, lang string, win binary").orderBy("key", "lang", "win").limit(train_windows).toArrow()
     if not len(drawn):
         return None
     names, y = np.unique(drawn["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
         net = held.value
         if net is not None:
             net.tables()
-        for batch in batches:
+        for batch in slices(batches):
             names, sure, strange = [], [], []
             for t in batch.column(at).cast(pa.binary()):
                 t = t.as_py()
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
             made = [pa.array(names, pa.string()), pa.array(sure, pa.float64()), *([pa.array(strange, pa.bool_())] if odd else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, lang, score, *([odd] if odd else [])])
 
-    return bounded_batches(x).mapInArrow(run, schema)
+    return x.mapInArrow(run, schema)
 
 
 def predicted(docs: DataFrame) -> DataFrame:

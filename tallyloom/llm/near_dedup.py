@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WORD, bounded_batches, drop_written, join_spread, spare, written
+from tallyloom.llm.common import WORD, drop_written, join_spread, slices, spare, written
 from tallyloom.llm.components import components
 from tallyloom.llm.shingles import WordHashes, mix, shingle_set
 
@@ -109,7 +109,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         words = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, n, k, regs, sk = batch.column(0), [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(words.of(t.as_py()), width)
@@ -148,7 +148,7 @@ def _banded(named: DataFrame, level: int) -> DataFrame:
     """(bucket, band, id, n, sk1, sk2) for each key of (id, n, regs, sk1, sk2)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for at in range(0, len(batch), 2_000):
                 part = batch.slice(at, 2_000)
                 regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -170,7 +170,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         words = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             i, found, size = batch.column(0), [], 0
             if held is not None and len(held.value):
                 at = i.fill_null(-(2**63)).to_numpy()
@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     second = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ha, hb = (batch.column(k) for k in ("a", "b", "ha", "hb"))
             sure = [k for k in range(len(a)) if linked(np.frombuffer(ha[k].as_buffer(), np.uint64), np.frombuffer(hb[k].as_buffer(), np.uint64), percent)]
             keep = pa.array(sure, pa.int64())
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and its component_id null if no row with an id is there. Links are found on candidates that share a band: a pair at the threshold
     does with a probability over 1 - 1e-7, one above it with more, and is estimated out with one under 1e-6.
     """
-    x = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    x = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     sig = written(_signatures(x, width))
     reps = written(sig.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("sk1").alias("sk1"), F.first("sk2").alias("sk2"), F.count("*").alias("copies")))
     named = reps.filter("id is not null")

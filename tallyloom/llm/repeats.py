@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, drop_written, written
+from tallyloom.llm.common import drop_written, slices, written
 from tallyloom.llm.shingles import mix
 from tallyloom.llm.suffix_array import suffix_array
 
@@ -223,7 +223,7 @@ def _sorted(table: DataFrame, column: str) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(id, key, start, end) of spans to remove, for docs (id, key, text) of different (id, key)."""
-    spark = bounded_batches(docs).sparkSession
+    spark = docs.sparkSession
 
     def counted(found):
         h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
@@ -233,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         return (t.as_py() for t in batch.column(2) if t.is_valid)
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [anchors(x, length, k) for t in texts(batch) for _, x in segments(t, length)]
             yield counted([x for h, _, _, again in found for x in (h, h[again])])
 
@@ -244,7 +244,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         names = spark.sparkContext.broadcast(_sorted(hot, "h"))
 
         def hot_windows(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 found = []
                 for t in texts(batch):
                     for _, x in segments(t, length):
@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         held = None
 
         def listed(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 for i, key, t in zip(*(batch.column(c) for c in range(3)), strict=True):
                     h = np.unique(np.concatenate([np.empty(0, np.uint64), *(anchors(x, length, k)[0] for _, x in segments(t.as_py() or b"", length))]))
                     yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(h), pa.int64()), pa.array([key.as_py()] * len(h), pa.int64()), pa.array(h.view(np.int64))], names=["i", "k", "h"])
@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 
     def cut(batches):
         (hot, repeated), merged = trim.value, Merged(length)
-        for batch in batches:
+        for batch in slices(batches):
             for i, key, t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 t, i = t.as_py() or b"", _NULL if i is None else i
                 known = held.value if held is not None else np.sort(np.array(own.as_py(), np.int64))
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     def grouped(batches):
         waiting, size, at, run = [], 0, None, None
         spans: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for h, i, key, start, end, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 i = _NULL if i is None else i
                 if text is None:
@@ -361,7 +361,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drop_written(marks, firsts, copies)
 
     def kept(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], [], [], []]
             for t, s in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 t = t.as_py()

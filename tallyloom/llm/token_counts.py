@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, spare
+from tallyloom.llm.common import slices, spare
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words of which a Python worker keeps the counts, and the longest such word in bytes.
@@ -118,7 +118,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
 
     def run(batches):
         counts = Counts(held.value)
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_tokens = [], []
             for t in batch.column(len(keep)):
                 w = t.as_py().split() if t.is_valid else []
@@ -126,4 +126,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
                 n_tokens.append(sum(map(counts.__getitem__, w)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*keep, words, tokens])
 
-    return bounded_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
