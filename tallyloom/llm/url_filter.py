@@ -23,7 +23,7 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 #: Labelled URLs used for training at most (the first by hash), trees and their depth.
 TRAIN_ROWS, TREES, DEPTH = 20_000, 20, 3
 #: Weight of the overall share of blocked URLs in a suffix's own, and in that of a host's four characters.
-PRIOR, GRAM_PRIOR = 5.0, 3.0
+PRIOR, GRAM_PRIOR = 5.0, 6.0
 #: Slots that four characters are hashed to; folds of hosts, each with the statistics of the others, in training.
 SLOTS, FOLDS = 1 << 14, 4
 
@@ -47,8 +47,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def suffix_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The last label of a host."""
+    return F.substring_index(host, ".", -1)
 
 
 def entropy(s: Column) -> Column:
@@ -105,27 +105,38 @@ PLAIN = "library museum garden journal weather university school kitchen history
 BAIT = "poker bonus loan jackpot viagra xxx escort lottery slots roulette replica warez cracked hookup forex payday keygen torrent rolex diet clickbait popunder cashback milf".split()
 
 
-def seed_urls(spark: SparkSession) -> DataFrame:
-    """Labelled URLs (url, label), made by a rule for want of a labelled table: hosts of plain words, and of words of unwanted kinds.
+#: Suffixes of the made-up hosts, the usual ones first, and how often a wanted and an unwanted host has one of the others.
+USUAL, OTHER = ("com", "org", "net", "edu", "gov", "de", "example.com", "example.net", "example.org"), ("biz", "info", "xyz", "top", "click", "online")
+RARE = (0.1, 0.35)
 
-    Both kinds have hosts with and without hyphens and digits, and the same schemes, subdomains, suffixes, depths and parameters: unwanted
-    ones have hyphens, digits and parameters more often. One host in four has one such word beside syllables that say nothing, and one in
-    four has syllables only, of which nearly all unwanted and few plain ones have a hyphen. Pairs of words whose crc32 leaves 0 when divided by 4 are left out, to test with.
+
+def seed_urls(spark: SparkSession, seed: int = 5, each: int = 1_500) -> DataFrame:
+    """Labelled URLs (url, label), `each` of both labels, made by a rule for want of a labelled table.
+
+    Both kinds have hosts with and without hyphens and digits, and the same schemes, subdomains, suffixes, depths and parameters; unwanted
+    ones have more of each, and the rarer suffixes. What tells a URL is one of six things in turn: a hyphen between syllables that say nothing; one word of PLAIN or BAIT
+    beside such syllables; two words (twice); many digits; or many parameters. The others are as in the other class, but for some noise. Pairs of words whose crc32 leaves 0
+    when divided by 4 are left out, to test with.
     """
-    rng = random.Random(5)
-    syllable = lambda: "".join(rng.choice(x) for x in ("bdfgklmnprsvz", "aeiou", "lmnrs"))
+    rng = random.Random(seed)
+    syllable = lambda: "".join(rng.choice(x) for x in ("bcdfghjklmnprstvwz", "aeiou", "lmnrst"))
+    said = lambda n: "".join(syllable() for _ in range(n))
     rows = []
     for label, words, hyphen, digit, query in ((0, PLAIN, 0.3, 0.15, 0.35), (1, BAIT, 0.7, 0.35, 0.55)):
         pairs = [(a, b) for a in words for b in words if a != b and zlib.crc32(f"{a}{b}".encode()) % 4]
-        for i, (a, b) in enumerate(rng.choices(pairs, k=700)):
-            if i % 4 == 0:
-                a, b = syllable() + syllable(), syllable() + syllable()
-            elif i % 4 == 1:
-                a, b = rng.sample([a, "".join(syllable() for _ in range(rng.randrange(1, 3)))], 2)
-            name = a + ("-" if rng.random() < (hyphen if i % 4 else 0.94 * label + 0.03) else "") + b + (str(rng.randrange(2, 100)) if rng.random() < digit else "")
-            sub, top = rng.choice(["", "", "www.", "m.", "blog."]), rng.choice(["com", "net", "org", "example.com", "example.net", "example.org"])
+        for i in range(each):
+            kind, (a, b) = i % 6, rng.choice(pairs)
+            if kind in (0, 4, 5):
+                a, b = said(rng.randrange(1, 4)), said(rng.randrange(1, 3))
+            elif kind == 1:
+                a, b = rng.sample([a, said(rng.randrange(1, 3))], 2)
+            dash = rng.random() < (0.94 * label + 0.03 if kind == 0 else 0.04 if kind > 3 else hyphen)
+            digits = str(rng.randrange(10**3, 10**7)) if kind == 4 and rng.random() < 0.98 * label + 0.01 else str(rng.randrange(2, 100)) if rng.random() < digit else ""
+            name = (digits if rng.random() < 0.2 else "") + a + "-" * dash + b + digits
+            sub, top = rng.choice(["", "", "www.", "m.", "blog."]), rng.choice(OTHER if rng.random() < RARE[label] else USUAL)
             path = "".join(f"/{x}" for x in rng.sample(["en", "de", "fr", "es", "news", str(rng.randrange(1000)), "item"], rng.randrange(4)))
-            tail = rng.choice(["?page=2&ref=x", "?utm_source=feed", "?id=7&a=1&b=2"]) if rng.random() < query else rng.choice(["", ".html", "/", "#top"]) if path else ""
+            n = rng.randrange(3, 8) if kind == 5 and rng.random() < 0.98 * label + 0.01 else rng.randrange(1, 3) if rng.random() < query else 0
+            tail = "?" + "&".join(f"{rng.choice(['page', 'ref', 'id', 'a', 'b', 'q'])}={rng.randrange(100)}" for _ in range(n)) if n else rng.choice(["", ".html", "/", "#top"]) if path else ""
             rows.append((f"http{rng.choice(['', 's'])}://{sub}{name}.{top}{path}{tail}", label))
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {label})" for u, label in rows) + " AS t(url, label)")
 
