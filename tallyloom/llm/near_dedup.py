@@ -9,14 +9,12 @@ is compared on the full sets.
 Work is kept in proportion:
 1. Documents of equal sets become one representative.
 2. In every band bucket, each member is compared with the least only (a star).
-3. Links so far give components. Only buckets that still hold several go on. In those of over SMALL members each one is compared with
-   the one of another component that is most like it by the sketches, in some rounds: a pair for each member, which joins most of what belongs together.
-4. In what is left, pairs of different components are estimated, each pair in the first band that it shares. What passes is verified: in
-   small buckets as pairs, in large ones in place, with the members' sets, by blocks bounded in members and bytes, where a link found makes the other pairs of its two
-   components needless.
-5. The members of buckets of over LARGE go to the next of LEVELS first, where more registers make a key and more keys a document, so that
-   the buckets of documents that aren't linked come apart while linked ones still meet as surely; steps 2 to 4 again. So no pair that shares a band
-   is left out.
+3. Links so far give components. Only buckets that still hold several go on. There, pairs of different components are estimated, each
+   pair in the first band that it shares. What passes is verified: in small buckets as pairs, in large ones in place, with the members' sets, by
+   blocks bounded in members and bytes, where a link found makes the other pairs of its two components needless.
+4. The members of buckets of over LARGE go to the next of LEVELS instead, where more registers make a key and more keys a document, so
+   that the buckets of documents that aren't linked come apart while linked ones still meet as surely; steps 2 and 3 again. So no pair that shares
+   a band is left out.
 
 Full sets are written once, of the documents that share a bucket with others.
 """
@@ -44,8 +42,8 @@ LEVELS = ((4, 32), (8, 88))
 MARGIN = 5.0
 #: Buckets of more members are verified in place, by blocks of so many and of so many bytes of sets; each two blocks meet once.
 SMALL, BLOCK, BLOCK_BYTES = 64, 1_000, 8_000_000
-#: Buckets of more members go to the next level; rounds of nearest pairs before.
-LARGE, ROUNDS = 20_000, 2
+#: Buckets of more members go to the next level, if there is one.
+LARGE = 20_000
 #: Bytes of sets that a task gives out at once.
 SET_BYTES = 8_000_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, documents meet them by a shuffle.
@@ -161,7 +159,7 @@ def _banded(named: DataFrame, level: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, hashes) of the documents with these ids, from their texts."""
+    """(id, regs, hashes) of the documents with these ids, from their texts."""
     spark = docs.sparkSession
     if ids.count() <= BROADCAST_IDS:
         held = spark.sparkContext.broadcast(np.sort(ids.toArrow()["id"].to_numpy()))
@@ -179,13 +177,14 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 hit = np.arange(len(i) if held is None else 0)
             for k in [*hit.tolist(), -1]:
                 if k >= 0 and len(s := shingle_set(words.of(batch.column(1)[k].as_py()), width)):
-                    found.append((k, s.tobytes()))
+                    found.append((k, registers(s).tobytes(), s.tobytes()))
                     size += s.nbytes
                 if k < 0 or size > SET_BYTES:
-                    yield pa.RecordBatch.from_arrays([i.take(pa.array([k for k, _ in found], pa.int64())), pa.array([s for _, s in found], pa.binary())], names=["id", "hashes"])
+                    at, regs, hashes = zip(*found, strict=True) if found else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([i.take(pa.array(at, pa.int64())), pa.array(regs, pa.binary()), pa.array(hashes, pa.binary())], names=["id", "regs", "hashes"])
                     found, size = [], 0
 
-    return docs.mapInArrow(run, "id long, hashes binary")
+    return docs.mapInArrow(run, "id long, regs binary, hashes binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -220,27 +219,6 @@ def _open(crowded: DataFrame, parts: DataFrame) -> DataFrame:
     return out
 
 
-def _nearest(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each member and that of another component in its block that is most like it by the sketches, if they may be linked."""
-    least = least_estimate(percent)
-
-    def run(rows):
-        ids, comp, n = (rows[c].to_numpy() for c in ("id", "comp", "n"))
-        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
-        out = []
-        for k in range(len(ids)) if len(np.unique(comp)) > 1 else ():
-            m = np.flatnonzero((comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
-            if len(m):
-                like = estimate(np.count_nonzero(regs[m] == regs[k], axis=1), n[m], np.full(len(m), n[k]))
-                if like[best := int(like.argmax())] >= least:
-                    out.append((min(ids[k], ids[m[best]]), max(ids[k], ids[m[best]])))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    x = buckets.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).cast("int"))
-    return x.groupBy("bucket", "block").applyInArrow(run, "a long, b long").distinct()
-
-
 def _rest(buckets: DataFrame, percent: int, level: int) -> DataFrame:
     """Pairs (a, b) of different components in one block of a bucket, by estimate, each in the first band that it shares.
 
@@ -326,27 +304,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         drop_written(star)
 
         # buckets of two are settled; of the others, those with members of several components go on
-        open_, sketches = _open(crowded, parts), named.select("id", "regs")
-        for _ in range(ROUNDS):
-            large = open_.filter(F.col("members") > SMALL)
-            if large.isEmpty():
-                break
-            near = written(_nearest(large.join(sketches, "id"), percent))
-            parts = _joined(parts, _verified(near, sets, percent))
-            drop_written(open_, near)
-            open_ = _open(crowded, parts)
+        open_ = _open(crowded, parts)
         drop_written(centre, crowded)
-        last = level == len(LEVELS) - 1
-        rest = open_.filter(F.col("members") > (2**62 if last else LARGE))
-        in_place = open_.filter((F.col("members") > SMALL) & (F.col("members") <= (2**62 if last else LARGE)))
-        pairs = written(_rest(open_.filter(F.col("members") <= SMALL).join(sketches, "id"), percent, level))
+        most = 2**62 if level == len(LEVELS) - 1 else LARGE
+        pairs = written(_rest(open_.filter(F.col("members") <= SMALL).join(sets.select("id", "regs"), "id"), percent, level))
         links = [_verified(pairs, sets, percent)]
+        in_place = open_.filter((F.col("members") > SMALL) & (F.col("members") <= most))
         if not in_place.isEmpty():
-            links.append(written(_rest(in_place.join(sketches, "id").join(sets, "id"), percent, level)))
-        drop_written(pairs)
+            links.append(written(_rest(in_place.join(sets, "id"), percent, level)))
         parts = _joined(parts, *links)
-        more = None if rest.isEmpty() else written(named.join(rest.select("id").distinct(), "id", "left_semi"))
-        drop_written(open_)
+        rest = open_.filter(F.col("members") > most).select("id").distinct()
+        more = None if rest.isEmpty() else written(named.join(rest, "id", "left_semi"))
+        drop_written(open_, pairs)
         if more is None:
             break
         named = more
