@@ -2,7 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tallyloom.llm import language_id, mixing
+from tallyloom.llm import language_id, line_dedup, mixing
 
 
 def shingles(t):
@@ -14,7 +14,7 @@ def brute(docs, items, known):
     """The stages after language ID, on rows (id, text, source)."""
     pages = Counter(s for _, _, s in docs)
     n = Counter((s, x) for _, t, s in docs for x in set(t.split("\n")))
-    docs = [(i, "\n".join(x for x in t.split("\n") if not (n[s, x] >= 3 and n[s, x] > 0.1 * pages[s])), s) for i, t, s in docs if i in known]
+    docs = [(i, "\n".join(x for x in t.split("\n") if not (n[s, x] >= 3 and n[s, x] > line_dedup.RATIO * pages[s])), s) for i, t, s in docs if i in known]
     sets, root = {i: shingles(t) for i, t, _ in docs}, {}
     for i in sorted(sets):
         root.setdefault(i, i)
