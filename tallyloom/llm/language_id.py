@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from tallyloom.llm.common import slices, spare
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Training: windows at most (those of least hash), windows of one text, passes over them, windows in a step.
 TRAIN_WINDOWS, TEXT_WINDOWS, EPOCHS, BATCH = 6_000, 2, 4, 64
+#: Windows of each language at least, if it has them.
+LANGUAGE_WINDOWS = 100
 #: Predicting: windows at once, so that a step's numbers stay in the processor's cache.
 AT_ONCE = 64
 UNKNOWN = "und"
@@ -178,17 +180,21 @@ def held_out(doc_id):
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_windows: int = TRAIN_WINDOWS) -> Network | None:
     """A network learned from the rows that aren't held out and have an id, a language and a letter; None without such rows.
 
-    The sample is bounded: of rows whose id has a low hash, at most TEXT_WINDOWS windows at hash-random places are drawn from
-    each text, and of these the train_windows of least hash.
+    The sample is bounded: at most TEXT_WINDOWS windows at hash-random places are drawn from a text, and of these those of least hash: for
+    each language its share of train_windows, and LANGUAGE_WINDOWS at least, so that rare languages are learned too. Only rows whose id has a low hash
+    for their language are opened, some four times as many as are needed. The driver gets the sample and a count for each language.
     """
     import xxhash
 
     x = docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull())
-    # of many rows only those of low hash are opened, some four times as many as are needed, so that what is sorted doesn't grow
-    share = min(1.0, 4 * train_windows / max(x.count(), 1))
-    if share < 1:
-        x = x.filter(F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    x = x.select(F.col(doc_id).cast("string"), F.col(lang).cast("string"), F.col(text).cast("binary"))
+    x = x.select(F.col(doc_id).cast("string").alias("i"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
+    counts = {r.lang: r["count"] for r in x.groupBy("lang").count().collect()}
+    total = sum(counts.values())
+    take = {k: max(LANGUAGE_WINDOWS, train_windows * n // total) for k, n in counts.items()}
+    if not take:
+        return None
+    bounds = docs.sparkSession.createDataFrame([(k, int(min(1.0, 4 * take[k] / n) * (1 << 30)), take[k]) for k, n in counts.items()], "lang string, bound long, take long")
+    x = x.join(F.broadcast(bounds), "lang").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.col("bound")).select("i", "lang", "text")
 
     def draw(batches):
         for batch in slices(batches):
@@ -204,7 +210,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["key", "lang", "win"])
 
-    drawn = x.mapInArrow(draw, "key long, lang string, win binary").orderBy("key", "lang", "win").limit(train_windows).toArrow()
+    drawn = x.mapInArrow(draw, "key long, lang string, win binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "win"))
+    drawn = drawn.withColumn("place", place).join(F.broadcast(bounds.select("lang", "take")), "lang").filter(F.col("place") <= F.col("take"))
+    drawn = drawn.select("key", "lang", "win").orderBy("key", "lang", "win").toArrow()
     if not len(drawn):
         return None
     names, y = np.unique(drawn["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
@@ -215,7 +224,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score", odd: str | None = None) -> DataFrame:
-    """Columns `keep` (None: all) with the predicted language and its score, 0 to 1.
+    """Columns `keep` (None: all) with the predicted language and its score, 0 to 1. Of languages with equal scores the first by name is taken.
 
     Null texts and texts without a letter are UNKNOWN with score 0, as is every text without a network. A column of `keep` with a new name is
     replaced. odd: name of a column that says whether the text is unlike those learned from. One row out for each row in. The network (some 10 MB at most with its tables, which workers build) is broadcast.
@@ -267,7 +276,11 @@ LEAST_SCORE = 0.3
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE, languages: list[str] | None = None) -> DataFrame:
     """docs whose language is known with a score of at least `least` (and among `languages`) and whose text is like those learned from; the
-    columns stay."""
+    columns stay.
+
+    Rows without a letter go, null and empty texts among them; without rows to learn from all go. Repeated rows are judged alike, long texts whole; a
+    tie of two languages is the first one's by name; an empty table stays empty.
+    """
     lang, score, odd = spare(docs, "lang_pred"), spare(docs, "lang_score"), spare(docs, "lang_odd")
     x = identify(docs, fit(docs), lang=lang, score=score, odd=odd).filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least) & ~F.col(odd))
     return (x.filter(F.col(lang).isin(languages)) if languages else x).select(*docs.columns)

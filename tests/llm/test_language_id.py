@@ -42,6 +42,40 @@ def test_tables_score_like_the_filters():
     assert np.allclose(net.scores(x), np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias, atol=1e-4)
 
 
+def naive(net, text):
+    """The prediction by its definition, a window, filter and place at a time."""
+    total = np.zeros(len(net.names))
+    for at in range(0, len(text), L.WINDOW):
+        w = text[at : at + L.WINDOW]
+        x = list(w) + [0] * (L.WINDOW - len(w))
+        pooled = [max(sum(float(net.conv[k][o][x[p + o]][f]) for o in range(k)) for p in range(L.WINDOW - k + 1)) for k in L.WIDTHS for f in range(L.FILTERS)]
+        hidden = [max(0.0, v + float(b)) for v, b in zip(pooled, net.bias, strict=True)]
+        total += len(w) * np.array([sum(h * float(net.out[i][c]) for i, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(len(net.names))])
+    z = total / len(text)
+    p = np.exp(z - z.max())
+    return net.names[int(z.argmax())], float(p.max() / p.sum())
+
+
+def test_predictions_against_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = L.fit(df)
+    some = [(i, t) for i, t, _ in rows if i is not None and t and L.has_letter(t.encode()) and len(t) < 3000][::29] + [(900, "é" * 300), (901, "x")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(spark.createDataFrame(some, "doc_id bigint, text string"), net).collect()}
+    for i, t in some:
+        name, score = naive(net, t.encode())
+        assert got[i][0] == name and abs(got[i][1] - score) < 1e-3
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(WORDS["en"], k=30)), "en") for i in range(3_000)] + [(5_000 + i, " ".join(rng.choices(WORDS["fr"], k=30)), "fr") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = L.fit(df, train_windows=400)
+    assert net.names == ["en", "fr"]
+    held = L.identify(df, net).filter(L.held_out("doc_id")).filter("lang = 'fr'").collect()
+    assert len(held) > 3 and all(r.lang_pred == "fr" for r in held)
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)
