@@ -195,3 +195,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     found = written(search(x, items, item_id, item_text, threshold, broadcast_shingles).select(F.col("key").alias(same)).distinct())
     found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
     return docs.join(found, key == F.col(same), "left_anti")
+
+
+#: contaminated of documents and benchmark in DuckDB's SQL, by all shingles; it lower-cases where the operator folds case.
+SQL = r"""
+WITH t AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
+ UNION ALL SELECT 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') FROM benchmark),
+i AS (SELECT DISTINCT id AS item_id, least(5, len(w)) AS k, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda x: w[x:x + 4])) AS g FROM t WHERE kind = 1 AND len(w) > 0),
+n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
+d AS (SELECT DISTINCT t.id AS doc_id, x.k, unnest(list_transform(range(1, len(t.w) - x.k + 2), lambda j: t.w[j:j + x.k - 1])) AS g FROM t, (SELECT DISTINCT k FROM i) x WHERE t.kind = 0 AND len(t.w) >= x.k),
+b AS (SELECT d.doc_id, i.item_id, count(*) AS shared FROM d JOIN i ON i.g = d.g AND i.k = d.k GROUP BY d.doc_id, i.item_id)
+SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment FROM b JOIN n USING (item_id) WHERE shared >= 0.8::DOUBLE * item_shingles
+"""

@@ -364,3 +364,21 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         return x.select(*docs.columns)
     one = x.join(near(many, n), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.md5(F.col(text).cast("binary"))).alias(row))
     return x.join(near(many, n), key, "left_anti").select(*docs.columns).union(one.select(f"{row}.*"))
+
+
+#: near_duplicates of documents by two-word shingles in DuckDB's SQL, by all pairs that a prefix filter leaves.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, w[i:i + 1] AS g FROM p),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- a prefix filter: of two sets that are linked, the least tenths and a bit of both have a shingle in common
+o AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS nth FROM s JOIN c USING (doc_id) JOIN (SELECT g, count(*) AS f FROM s GROUP BY g) USING (g)),
+q AS (SELECT doc_id, g, n FROM o WHERE nth <= n - ceil(0.8 * n) + 1),
+m AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM q a JOIN q b USING (g) WHERE a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)),
+v AS (SELECT m.a, m.b FROM m JOIN s x ON x.doc_id = m.a JOIN s y ON y.doc_id = m.b AND y.g = x.g JOIN c ca ON ca.doc_id = m.a JOIN c cb ON cb.doc_id = m.b
+ GROUP BY m.a, m.b, ca.n, cb.n HAVING 100 * count(*) >= 80 * (ca.n + cb.n - count(*))),
+e AS (SELECT a, b FROM v UNION ALL SELECT b, a FROM v),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, min(r.root) AS component_id, min(r.root) = d.doc_id AS kept FROM d LEFT JOIN c USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, c.n
+"""

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+from tallyloom.llm import decontaminate, mixing, near_dedup, repeats
 from tallyloom.llm import line_dedup as lines
-from tallyloom.llm import mixing
 from tallyloom.llm.common import table
-from tallyloom.llm.decontaminate import contaminated
 from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.html_text import extract
 from tallyloom.llm.language_id import predicted
-from tallyloom.llm.near_dedup import near_duplicates
-from tallyloom.llm.repeats import remove_repeats
 from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.url_filter import seed_urls, url_filter
 
@@ -32,21 +29,23 @@ def op3_line_dedup(spark, sf_dir):
 
 
 def op4_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, with their likeness: see edited_fingerprints for nulls, ties, repeats and long texts."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark, sf_dir):
+    """The words that the mix takes of every document: see mix for nulls, ties, repeats and long texts."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_near_dedup(spark, sf_dir):
     """Every document's component by two-word shingles: doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def op7_suffix_array_dedup(spark, sf_dir):
     """What is left of every document without bytes that 100-byte strings repeat: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark, sf_dir):
@@ -56,7 +55,7 @@ def op8_url_filter(spark, sf_dir):
 
 def op9_decontamination(spark, sf_dir):
     """Every document that holds a benchmark item: doc_id, item_id, item_shingles, shared, containment."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_language_id(spark, sf_dir):
@@ -83,4 +82,7 @@ def oracle_sql():
     return {
         "op3_line_dedup": lines.SQL,
         "op5_mixing": mixing.SQL,
+        "op6_near_dedup": near_dedup.SQL,
+        "op7_suffix_array_dedup": repeats.SQL,
+        "op9_decontamination": decontaminate.SQL,
     }

@@ -383,3 +383,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = x.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("id", "text", "spans")
     out = joined.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary")
     return out if with_text else out.drop("text")
+
+
+#: remove_repeats of documents in DuckDB's SQL, by all windows at once.
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(1, n - 98)) AS pos, b FROM d WHERE n >= 100),
+x AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY b[pos:pos + 99] ORDER BY doc_id, pos) AS place FROM w),
+-- runs of repeated windows that touch or overlap are one span
+r AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER o + 100, true) AS new FROM x WHERE place > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT doc_id, pos, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM r),
+t AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 100 AS z FROM s GROUP BY doc_id, span),
+-- what is left stands before each span and after the last one
+k AS (SELECT t.doc_id, a, coalesce(lag(z) OVER o, 1) AS f, a - 1 AS l, z FROM t WINDOW o AS (PARTITION BY t.doc_id ORDER BY a)),
+e AS (SELECT doc_id, f, l FROM k UNION ALL SELECT doc_id, max(z), NULL FROM k GROUP BY doc_id),
+h AS (SELECT e.doc_id, string_agg(hex(d.b[e.f:coalesce(e.l, d.n)]), '' ORDER BY e.f) AS kept FROM e JOIN d USING (doc_id) WHERE e.f <= coalesce(e.l, d.n) GROUP BY e.doc_id),
+c AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS gone FROM t GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+ CASE WHEN c.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(kept, ''))) END AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN h USING (doc_id)
+"""
