@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
+
 from tallyloom.llm import url_filter as U
 
 URLS = [
@@ -92,3 +94,69 @@ def test_seed_classes_overlap_in_each_feature(spark):
         assert name == "f_gram_odds" or max(min(a), min(b)) < min(max(a), max(b)) or set(a) == set(b), name
     for name in ("f_hyphens", "f_host_digit_ratio", "f_params", "f_depth"):
         assert all({r[name] > 0 for r in made if r.label == k} == {True, False} for k in (0, 1)), name
+
+
+def slow_features(url, share_of, odds):
+    """The features in plain Python."""
+    u = url or ""
+    host, path = parts(u)
+    digits = lambda s: sum(c in "0123456789" for c in s) / max(len(s), 1)
+    query = re.search(r"\?([^#]*)", u)
+    query = query[1] if query else ""
+    n = Counter(host)
+    name = host.replace("-", "")
+    grams = {name[i : i + 4] for i in range(len(name) - 3) if "." not in name[i : i + 4]}
+    slots = {(h := xxhash.xxh64_intdigest(g.encode(), 42)) - (h >> 63 << 64) for g in grams}
+    suffix = host.rsplit(".", 1)[-1]
+    blocked, known = share_of.get(suffix, (0.5, 0))
+    return {
+        "f_url_length": len(u), "f_host_length": len(host), "f_path_length": len(path), "f_depth": sum(x != "" for x in path.split("/")), "f_labels": len(host.split(".")),
+        "f_digit_ratio": digits(u), "f_host_digit_ratio": digits(host), "f_hyphens": host.count("-"), "f_host_entropy": -sum(c / len(host) * math.log2(c / len(host)) for c in n.values()),
+        "f_longest_label": max(map(len, host.split("."))), "f_params": sum(x != "" for x in query.split("&")), "f_query_length": len(query),
+        "f_suffix_blocked": blocked, "f_suffix_known": known, "f_gram_odds": sum(odds.get(s, 0.0) for s in {s % U.SLOTS for s in slots}),
+    }
+
+
+def slow_tree(text, row):
+    """A tree's prediction by walking its text."""
+    lines = [x.rstrip() for x in text.splitlines()[1:] if x.strip()]
+    at = 0
+    while not (m := re.match(r"\s*Predict: (\S+)", lines[at])):
+        k, limit = re.match(r"\s*If \(feature (\d+) <= (\S+)\)", lines[at]).groups()
+        depth = len(lines[at]) - len(lines[at].lstrip())
+        if row[U.FEATURES[int(k)]] > float(limit):
+            while not (lines[at].lstrip().startswith("Else") and len(lines[at]) - len(lines[at].lstrip()) == depth):
+                at += 1
+        at += 1
+    return float(m[1])
+
+
+def test_verdicts_against_brute_force(spark, monkeypatch):
+    kept = []
+    fit = U.GBTClassifier.fit
+    monkeypatch.setattr(U.GBTClassifier, "fit", lambda self, df: kept.append(fit(self, df)) or kept[-1])
+    seeds = U.seed_urls(spark, each=400)
+    urls = [u for _, u in URLS if u is None or len(u) < 1000] + [r.url for r in U.seed_urls(spark, seed=9, each=60).collect()]
+    got = {r.url: r for r in U.url_filter(spark.createDataFrame([(u,) for u in urls], "url string"), seeds).collect()}
+    host, _ = U.split_url(U.F.col("url"))
+    stats = U.statistics(seeds.withColumn("host", host), 0.5).collect()
+    share_of = {r.suffix: (r.blocked, r.known) for r in stats if r.kind == "suffix"}
+    odds = {int(r.suffix): float(f"{r.blocked:.6g}") for r in stats if r.kind == "gram"}
+    for u in urls:
+        row = slow_features(u, share_of, odds)
+        score = sum(w * slow_tree(t, row) for w, t in U.trees(kept[0]))
+        says = rule(*parts(u))[1] or ("block" if score > 0 else "allow")
+        assert abs(got[u].score - score) < 1e-6 and got[u].verdict == says, u
+
+
+def test_held_out_accuracy_and_importances(spark, monkeypatch):
+    kept = []
+    fit = U.GBTClassifier.fit
+    monkeypatch.setattr(U.GBTClassifier, "fit", lambda self, df: kept.append(fit(self, df)) or kept[-1])
+    other = U.seed_urls(spark, seed=77, each=600)
+    got = U.url_filter(other, U.seed_urls(spark), rules=()).selectExpr("avg(int((verdict = 'block') = (label = 1))) a").first().a
+    importance = kept[0].featureImportances.toArray()
+    assert got > 0.94 and importance.max() < 0.6 and (importance > 0.01).sum() >= 4
+    named = {"http://my-library.org": "allow", "http://well-known-museum.org": "allow", "http://freeviagra777.biz": "block", "http://xxxpoker.org": "block"}
+    says = {r.url: r.verdict for r in U.url_filter(spark.createDataFrame([(u,) for u in named], "url string"), U.seed_urls(spark)).collect()}
+    assert says == named
