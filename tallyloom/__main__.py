@@ -1,6 +1,8 @@
-"""python -m tallyloom mine INPUT MIN_SUPPORT [OUTPUT] | compare A B | count INPUT SIZE OUTPUT | rerank INPUT OUTPUT | encode CSV OUTPUT DICTIONARY
+"""python -m tallyloom mine INPUT MIN_SUPPORT [OUTPUT] | compare A B | count INPUT SIZE OUTPUT | rerank INPUT OUTPUT | encode CSV OUTPUT DICTIONARY |
+validate FOLDER BASELINE
 
 INPUT has a transaction of whole numbers a line. Without OUTPUT, mine prints an itemset and its support a line.
+validate compares the results DATASET_ENGINE.txt of a folder with those of the engine BASELINE and scores each engine.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import encode, items, itemsets, mine
+from tallyloom.functions.shared import materialize
+from tallyloom.operators import encode, items, itemsets, mine, validation
 from tallyloom.sources import baskets, sinks
 
-USAGE = {"mine": (2, 3), "compare": (2, 2), "count": (3, 3), "rerank": (2, 2), "encode": (3, 3)}
+USAGE = {"mine": (2, 3), "compare": (2, 2), "count": (3, 3), "rerank": (2, 2), "encode": (3, 3), "validate": (2, 2)}
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
@@ -41,6 +44,12 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         sinks.write_counts(items.dense_histogram(long, int(rest[1])), rest[2])
     elif what == "rerank":
         sinks.write_transactions(encode.rerank_transactions(baskets.read_transactions(spark, rest[0])), rest[1])
+    elif what == "validate":
+        results = materialize(validation.compared(validation.read_results(spark, rest[0]), validation.listed(spark, rest[0]), rest[1]))
+        for r in results.orderBy("dataset", "engine").toLocalIterator():
+            print(f"{r.dataset} {r.engine}: {'same' if r.same else 'different'}, common {r.common}, only in {rest[1]} {r.only_baseline}, only in {r.engine} {r.only_engine}")
+        for r in validation.scores(results).orderBy("engine").toLocalIterator():
+            print(f"{r.engine}: {r.matched} of {r.total} ({r.percent:.1f} %)")
     else:
         cells = baskets.read_csv_baskets(spark, rest[0])
         names = encode.first_seen(cells, ["row", "col"])

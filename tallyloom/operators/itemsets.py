@@ -21,11 +21,16 @@ def formatted(itemset: Column) -> Column:
     return F.format_string("{%s}", F.array_join(F.array_sort(itemset).cast("array<string>"), ", "))
 
 
-def parse_itemsets(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(itemset array<bigint>): distinct itemsets of lines of whole numbers; a line with another token, one beyond 64 bits or none is no itemset."""
-    tokens = F.when(F.col(value).rlike(r"^\s*[+-]?\d+(\s+[+-]?\d+)*\s*$"), F.split(F.trim(F.regexp_replace(value, r"\s+", " ")), " "))
+def itemset_of(line: Column) -> Column:
+    """A line's whole numbers as an itemset (array<bigint>); null if it has another token, one beyond 64 bits or none."""
+    tokens = F.when(line.rlike(r"^\s*[+-]?\d+(\s+[+-]?\d+)*\s*$"), F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
     ids = F.transform(tokens, lambda x: x.try_cast("bigint"))
-    return lines.select(F.when(~F.exists(ids, F.isnull), canonical(ids)).alias("itemset")).filter(F.size("itemset") > 0).distinct()
+    return F.when(~F.exists(ids, F.isnull), canonical(ids))
+
+
+def parse_itemsets(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(itemset): the distinct itemsets of lines."""
+    return lines.select(itemset_of(F.col(value)).alias("itemset")).filter(F.size("itemset") > 0).distinct()
 
 
 def of_size(itemsets: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.shared import materialize, scratch_path
-from tallyloom.operators import encode, items, itemsets, mine, paths
+from tallyloom.operators import encode, items, itemsets, mine, paths, validation
 from tallyloom.sources import baskets as src
 from tallyloom.sources import sinks
 
@@ -374,6 +374,26 @@ def match_score_thresholds(spark, sf_dir):
     return itemsets.match_score(*_two(spark, sf_dir))
 
 
+def _results(spark, sf_dir):
+    """A folder of results: two engines on two thresholds, one engine of which took the wrong threshold once, and an empty result."""
+    long = B2(spark, sf_dir)
+    ids = encode.dense_rerank(long)
+    tx = materialize(sets(long.join(ids, "item").select("tid", F.col("id").alias("item"))))
+    low, high = (mine.mine(tx, threshold(long, SHARE[k])) for k in ("b2_low", "b2"))
+    folder = scratch_path(spark)
+    for name, found in (("low_mllib", low), ("low_levels", mine.mine(tx, threshold(long, SHARE["b2_low"]), engine="levels")), ("high_mllib", high), ("high_levels", low), ("low_none", low.limit(0))):
+        sinks.write_itemsets(found, f"{folder}/{name}.txt")
+    return validation.compared(validation.read_results(spark, folder), validation.listed(spark, folder), "mllib")
+
+
+def validation_comparison(spark, sf_dir):
+    return _results(spark, sf_dir)
+
+
+def validation_scores(spark, sf_dir):
+    return validation.scores(_results(spark, sf_dir))
+
+
 def association_rules(spark, sf_dir):
     long = B2(spark, sf_dir)
     got = mine.rules(mine.mine(sets(long), threshold(long, SHARE["b2"])), 0.3)
@@ -387,7 +407,7 @@ QUERIES = {
     "attribute_itemsets_mllib": _mined(B3, SHARE["b3"], "mllib"), "attribute_itemsets_levels": _mined(B3, SHARE["b3"], "levels"),
 }
 QUERIES |= {f.__name__: f for f in (item_support, frequent_items, dense_histogram, item_rank, distinct_item_count, dictionary_first_seen, dictionary_encoded, dense_rerank, one_hot, filtered_transactions, weighted_paths, tree_nodes, leaf_nodes, flat_tree, header_table, tree_stats, conditional_pattern_base, conditional_tree, candidate_pairs, candidate_offsets, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except, difference_sample, match_score, association_rules)}
-QUERIES |= {f.__name__: f for f in (parent_pointers, decoded_itemsets, conditional_tree_local, tree_print, event_itemsets_grouped, transaction_scan, transaction_scan_all_lines, token_scan, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink, encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds)}
+QUERIES |= {f.__name__: f for f in (parent_pointers, decoded_itemsets, conditional_tree_local, tree_print, event_itemsets_grouped, transaction_scan, transaction_scan_all_lines, token_scan, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink, encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds, validation_comparison, validation_scores)}
 
 _B2 = lambda rest: _sql(L2, SHARE["b2"], rest)
 _LOW_NOT_HIGH = _eclat(L2, SHARE["b2_low"], f"""SELECT {{}} FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)""")
@@ -469,6 +489,11 @@ SELECT 'first' AS side, '{{' || array_to_string(items, ', ') || '}}' AS itemset
 UNION ALL SELECT 'second', '{{' || array_to_string(items, ', ') || '}}' FROM x WHERE len(items) = 1 AND high"""),
     "engines_equal": "SELECT true AS same",
     "thresholds_equal": _eclat(L2, SHARE["b2_low"], f"SELECT count(*) = 0 AS same FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)"),
+    "validation_comparison": (_sizes := _eclat(L2, SHARE["b2_low"], f""", x AS (SELECT count(*) AS low, count(*) FILTER (WHERE len(tids) >= (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)) AS high FROM r),
+v AS (SELECT 'low' AS dataset, 'levels' AS engine, low AS common, 0::BIGINT AS only_baseline, 0::BIGINT AS only_engine FROM x
+ UNION ALL SELECT 'high', 'levels', high, 0, low - high FROM x UNION ALL SELECT 'low', 'none', 0, low, 0 FROM x)
+SELECT *, only_baseline = 0 AND only_engine = 0 AS same FROM v""")),
+    "validation_scores": f"SELECT engine, count(*) FILTER (WHERE same) AS matched, count(*) AS total, 100.0::DOUBLE * count(*) FILTER (WHERE same) / count(*) AS percent FROM ({_sizes}) GROUP BY engine",
     "match_score_thresholds": _eclat(L2, SHARE["b2_low"], f""", x AS (SELECT count(*) FILTER (WHERE len(tids) >= (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)) AS matched, count(*) AS total FROM r)
 SELECT matched, total, (100.0::DOUBLE * matched / total) AS percent FROM x"""),
 }

@@ -268,3 +268,13 @@ def test_levels_with_shuffled_itemsets(spark, monkeypatch):
     monkeypatch.setattr(mine, "BROADCAST_ITEMS", 0)
     assert got(mine.mine(frame(spark, ints(FIVE)), 2, engine="levels")) == brute(ints(FIVE), 2)
     assert {len(k) for k in got(mine.mine(frame(spark, ints(FIVE)), 2, engine="levels", max_size=2))} == {1, 2}
+
+
+def test_validation_of_result_files(spark, tmp_path, capsys):
+    ten, four = "\n".join(" ".join(map(str, k)) for k in brute(ints(TEN), 3)), "\n".join(" ".join(map(str, reversed(k))) for k in brute(ints(TEN), 4))
+    for name, text in {"ten_ms3_py": ten, "ten_ms3_org": ten + "\n# note\n", "ten_ms3_pfp": four, "ten_ms4_py": four, "ten_ms4_org": four + "\n7\n", "lost_org": ten, "ten_ms4_none": ""}.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    assert main(["validate", str(tmp_path), "py"], spark) == 0
+    got = capsys.readouterr().out.splitlines()
+    assert got[:5] == ["lost org: different, common 0, only in py 0, only in org 11", "ten_ms3 org: same, common 11, only in py 0, only in org 0", "ten_ms3 pfp: different, common 8, only in py 3, only in pfp 0", "ten_ms4 none: different, common 0, only in py 8, only in none 0", "ten_ms4 org: different, common 8, only in py 0, only in org 1"]
+    assert got[5:] == ["none: 0 of 1 (0.0 %)", "org: 1 of 3 (33.3 %)", "pfp: 0 of 1 (0.0 %)"]
