@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import numpy as np
@@ -122,7 +123,10 @@ def test_odd_tables(spark):
     assert N.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [10**6, 0])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(importlib.import_module("tallyloom.llm.components"), "MANY", many)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(7, 7), (1000, 2000), (2000, 1000)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -131,3 +135,4 @@ def test_components(spark):
         for a, b in links:
             root[a] = root[b] = min(root.get(a, a), root.get(b, b))
     assert got == {i: r for i, r in root.items() if any(i in e and e[0] != e[1] for e in links)}
+    assert components(spark.createDataFrame([(3, 3)], "a bigint, b bigint")).count() == 0
