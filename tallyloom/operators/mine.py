@@ -59,17 +59,17 @@ def supported(candidates: DataFrame, min_support: int) -> DataFrame:
     return candidates.groupBy("parent", "rank").agg(F.sum("w").alias("support")).filter(F.col("support") >= min_support)
 
 
-def next_states(grown: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, prefix, w): those extensions that can grow and whose itemset was found (id, parent, rank); equal ones are one."""
+def next_states(grown: DataFrame, found: DataFrame, n: int | None = None) -> DataFrame:
+    """(id, prefix, w): those extensions that can grow and whose itemset was found (id, parent, rank), n of them; equal ones are one."""
     near = found.select("id", "parent", "rank")
-    near = F.broadcast(near) if found.count() <= BROADCAST_ITEMSETS else near
+    near = F.broadcast(near) if (found.count() if n is None else n) <= BROADCAST_ITEMSETS else near
     x = grown.filter(F.size("prefix") > 0).join(near, ["parent", "rank"])
     return x.groupBy("id", "prefix").agg(F.sum("w").alias("w"))
 
 
-def decode(found: DataFrame, shorter: DataFrame, ranks: DataFrame) -> DataFrame:
+def decode(found: DataFrame, shorter: DataFrame, ranks: DataFrame, n_ranks: int | None = None) -> DataFrame:
     """(id, items, support): itemsets (id, parent, rank, support) of a level with their items, from those of the level before."""
-    near = F.broadcast(ranks) if ranks.count() <= BROADCAST_ITEMS else ranks
+    near = F.broadcast(ranks) if (ranks.count() if n_ranks is None else n_ranks) <= BROADCAST_ITEMS else ranks
     x = found.join(near.select("rank", "item"), "rank").join(shorter.select(F.col("id").alias("parent"), "items"), "parent")
     return x.select(found["id"], F.concat("items", F.array("item")).alias("items"), "support")
 
@@ -86,22 +86,22 @@ def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: s
         frame, tid = frame.withColumn("tid", F.monotonically_increasing_id()), "tid"
     long = materialize(explode_items(frame, items, tid).withColumnRenamed(tid, "tid"))
     ranks = materialize(ranked_items(long, min_support))
-    state = materialize(states(weighted(filtered(long, ranks))))
+    n_ranks = ranks.count()
+    grown = materialize(grow(states(weighted(filtered(long, ranks)))))
     release(long)
-    shorter = materialize(ranks.select(F.col("rank").alias("id"), F.array("item").alias("items"), "support"))
+    shorter = ranks.select(F.col("rank").alias("id"), F.array("item").alias("items"), "support")
     levels, size = [shorter], 1
     while max_size is None or size < max_size:
-        grown = materialize(grow(state))
         found = materialize(supported(grown, min_support).withColumn("id", F.monotonically_increasing_id()))
-        release(state)
-        if found.isEmpty():
-            release(grown, found)
+        if not (n := found.count()):
+            release(found)
             break
-        state = materialize(next_states(grown, found))
-        shorter = materialize(decode(found, shorter, ranks))
-        release(grown, found)
+        last, grown = grown, materialize(grow(next_states(grown, found, n)))
+        shorter = materialize(decode(found, shorter, ranks, n_ranks))
+        release(last, found)
         levels.append(shorter)
         size += 1
+    release(grown)
     out = materialize(reduce(DataFrame.unionByName, levels).select(canonical(F.col("items")).alias("itemset"), "support"))
     release(ranks, *levels)
     return out
