@@ -21,7 +21,7 @@ from tallyloom.llm.common import lower_ascii, spare
 #: (rule, verdict): host, then a path that begins with /. A rule fits its host and all subdomains.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Labelled URLs used for training at most (the first by hash), trees and their depth.
-TRAIN_ROWS, TREES, DEPTH = 20_000, 20, 3
+TRAIN_ROWS, TREES, DEPTH = 20_000, 12, 3
 #: Weight of the overall share of blocked URLs in a suffix's own, and in that of a host's four characters.
 PRIOR, GRAM_PRIOR = 5.0, 6.0
 #: Slots that four characters are hashed to; folds of hosts, each with the statistics of the others, in training.
@@ -110,7 +110,7 @@ USUAL, OTHER = ("com", "org", "net", "edu", "gov", "de", "example.com", "example
 RARE = (0.1, 0.35)
 
 
-def seed_urls(spark: SparkSession, seed: int = 5, each: int = 1_500) -> DataFrame:
+def seed_urls(spark: SparkSession, seed: int = 5, each: int = 900) -> DataFrame:
     """Labelled URLs (url, label), `each` of both labels, made by a rule for want of a labelled table.
 
     Both kinds have hosts with and without hyphens and digits, and the same schemes, subdomains, suffixes, depths and parameters; unwanted
@@ -182,7 +182,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", rows: int
     parts = [with_features(x.filter(F.col("fold") == i), "url", "host", "path", statistics(x.filter(F.col("fold") != i), share)) for i in range(FOLDS)]
     made = reduce(DataFrame.unionAll, parts).coalesce(1)
     seen = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made).select("features", "label").cache()
-    model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.3, seed=11, minInstancesPerNode=5).fit(seen)
+    model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.5, seed=11, minInstancesPerNode=5).fit(seen)
     seen.unpersist()
     x.unpersist()
     return reduce(lambda a, b: a + b, [F.lit(float(w)) * as_sql(t) for w, t in trees(model)]), suffixes
