@@ -53,7 +53,7 @@ COMMENTS = "comments? comment-?list disqus replies guestbook talkback"
 NOTICE = "cookies? consent gdpr notices? alerts? popups? newsletter subscribe subscription"
 CHROME = "nav navbar navigation menus? breadcrumbs? side-?bar footer masthead top-?bar toolbar banner modal overlay sign-?up social shar(?:e|ing) related recommended recommendations widgets? login search pagination pager skip-?link"
 WHERE = "site page main top bottom left right primary secondary global user reader post article blog header footer cookie social sticky similar mobile the wp"
-FORM = "wrapper wrap container area list box bar section block inner outer links? widget buttons? icons? form items? thread feed panel row col column unit slot message msg text content posts? articles? stories top bottom left right sidebar menu nav banner notice"
+FORM = "wrapper wrap container area list box bar section block inner outer links? widget buttons? icons? form items? thread feed panel row col column unit slot message msg text content posts? articles? stories top bottom left right sidebar menu nav banner notice signup sign-?up subscribe"
 #: Outside of article and main, such a container after other text holds comments; inside it may be a paper's discussion.
 TALK = "discussions? responses respond reactions feedback"
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
@@ -69,7 +69,7 @@ def _names(*kinds: str) -> re.Pattern:
 
 
 _ADVERT, _NOTICE, _COMMENTS, _UNWANTED, _TALK = _names(ADVERT), _names(ADVERT, NOTICE), _names(COMMENTS), _names(ADVERT, COMMENTS, NOTICE, CHROME), _names(TALK)
-_OUTSIDE = re.compile(r"(?:(?:site|page|top|global|main|the)-)?header(?:-(?:wrapper|wrap|container|area|bar|inner|top|nav|menu))*\d*")
+_OUTSIDE = re.compile(r"(?:(?:site|top|global|the)-)?header(?:-(?:wrapper|wrap|container|area|bar|inner|top|nav|menu))*\d*")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|$)", re.S)
 _MARKS = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -223,6 +223,8 @@ def parse(page: str) -> Node:
     return opened.path[0]
 
 
+#: Characters between a title that is no h1 and its article at most.
+LITTLE = 300
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
@@ -401,23 +403,27 @@ def heart_of(root: Node, order: list[Node]) -> tuple[Node, str]:
 
 
 def titled(top: Node, order: list[Node]) -> list[Node]:
-    """The title before a subtree, if that doesn't hold it, and what stands between."""
+    """The title before a subtree, if that doesn't hold it, and what stands between; without any h1, an h2 with little between is the title."""
     way = above(top)
     at = {id(n): i for i, n in enumerate(order)}
-    if any(n.tag == "h1" and n.chars and top in above(n) for n in order[at[id(top)] :][:2_000]):
+    level = "h1" if any(n.tag == "h1" and n.chars for n in order) else "h2"
+    if level == "h1" and any(n.tag == "h1" and n.chars for n in pages_order(top)):
         return []
-    title = next((n for n in reversed(order[: at[id(top)]]) if n.tag == "h1" and n.chars and n not in way), None)
+    held = {id(n) for n in way}
+    title = next((n for n in reversed(order[: at[id(top)]]) if n.tag == level and n.chars and id(n) not in held), None)
     if title is None:
         return []
     branch = above(title)
-    held = {id(n) for n in way}
     k = next(i for i, n in enumerate(branch) if id(n) in held)
     common, first = branch[k], branch[k - 1]
     last = way[way.index(common) - 1]
     kids = inner(common)
     plain = lambda x: x.chars > 2 * x.link_chars
     between = kids[kids.index(first) + 1 : kids.index(last)]
-    return [first if plain(first) else title, *(x for x in between if x.chars and plain(x))]
+    if level == "h2" and sum(x.chars for x in between) > LITTLE:
+        return []
+    whole = plain(first) and (level == "h1" or first.chars <= title.chars + LITTLE)
+    return [first if whole else title, *(x for x in between if x.chars and plain(x))]
 
 
 def chosen(root: Node) -> list[Node]:
@@ -460,11 +466,11 @@ def chosen(root: Node) -> list[Node]:
                     walk.append(k)
                 elif k.chars and k.density >= threshold and not (by == "title" and alike(k)):
                     stack.append(k)
-    found = {id(x) for x in out}
-    if top is not None:
-        out += [x for x in titled(top, order) if not found & {id(n) for n in above(x)}]
-        taken = {id(x) for x in out}
-        out = [x for x in out if not taken & {id(n) for n in above(x.parent)}]
+    if top is not None and (more := titled(top, order)):
+        inside = {id(n) for x in out for n in pages_order(x)}
+        more = [x for x in more if id(x) not in inside]
+        around = {id(n) for x in more for n in pages_order(x)}
+        out = [x for x in out if id(x) not in around] + more
     at = {id(n): i for i, n in enumerate(order)}
     return sorted(out, key=lambda x: at[id(x)])
 

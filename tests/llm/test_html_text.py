@@ -103,6 +103,9 @@ SAYS = "".join(f"<div class=c{{}}><b>Ann {i}</b><p>{LONG} {LONG} I say {i}.</p><
         (f"<body><div class=top-story><div class=t><h1>Title</h1></div><div class=body>{MANY}</div></div><div><a>x</a> <a>y</a></div>", f"Title\n\n{MANY_WANT}"),
         (f"<body><div class=t><h1>Title</h1><p>By us</p></div><p>intro</p><div class=body>{MANY}</div>", f"Title\n\nBy us\n\nintro\n\n{MANY_WANT}"),
         (f"<body><h1>Title</h1><article>{TWO}</article>", f"Title\n\n{TWO_WANT}"),
+        (f"<body><div class=page-header><h1>Title</h1></div><div class=row><div class=col>{MANY}</div><div class='col sidebar'>{TWO}</div></div>", f"Title\n\n{MANY_WANT}"),
+        (f"<header><h1>Site</h1></header><div class=post><h2>Title</h2><div class=meta>By Ann</div><div>{MANY}<h2>Sub</h2>{TWO}</div></div><div id=comments><h3>2</h3></div>", f"Title\n\nBy Ann\n\n{MANY_WANT}\n\nSub\n\n{TWO_WANT}"),
+        (f"<div id=wrap><h1>T</h1><section>{TWO}</section><section class=newsletter-signup>{TWO}</section></div>", f"T\n\n{TWO_WANT}"),
     ],
 )
 def test_what_is_article(page, want):
