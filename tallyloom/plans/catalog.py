@@ -224,6 +224,13 @@ def event_itemsets_grouped(spark, sf_dir):
     return shown(mine.mine(src.split_evenly(sets(long), 8), threshold(long, SHARE["b2_low"]), partitions=8))
 
 
+def dealt_transactions(spark, sf_dir):
+    """Transactions dealt evenly over eight partitions: how many there are, and whether none has over a hundredth more than its share."""
+    dealt = src.split_evenly(sets(B2(spark, sf_dir)), 8).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    x = dealt.agg(F.count("*").alias("parts"), F.sum("n").alias("transactions"), F.max("n").alias("most"))
+    return x.select("parts", "transactions", (F.col("most") <= F.col("transactions") / 8 * 1.01 + 8).alias("even"))
+
+
 #: Text as the sources read it; the queries write it first.
 LINES = ["# a comment", "", "1 2 3", "  7\t-8  +9 ", "1 2 x 3", "12abc 4", "5 99999999999 5", "3 99999999999999999999 4", "  # no comment to skip blanks for"]
 CSV_LINES = ['milk, whole bread ,,eggs', '"milk, whole",bread', '"say ""hi""",x', ' "a",b"c', '""', ' , ', '"open, quote', 'tail,"q"rest,']
@@ -407,7 +414,7 @@ QUERIES = {
     "attribute_itemsets_mllib": _mined(B3, SHARE["b3"], "mllib"), "attribute_itemsets_levels": _mined(B3, SHARE["b3"], "levels"),
 }
 QUERIES |= {f.__name__: f for f in (item_support, frequent_items, dense_histogram, item_rank, distinct_item_count, dictionary_first_seen, dictionary_encoded, dense_rerank, one_hot, filtered_transactions, weighted_paths, tree_nodes, leaf_nodes, flat_tree, header_table, tree_stats, conditional_pattern_base, conditional_tree, candidate_pairs, candidate_offsets, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except, difference_sample, match_score, association_rules)}
-QUERIES |= {f.__name__: f for f in (parent_pointers, decoded_itemsets, conditional_tree_local, tree_print, event_itemsets_grouped, transaction_scan, transaction_scan_all_lines, token_scan, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink, encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds, validation_comparison, validation_scores)}
+QUERIES |= {f.__name__: f for f in (parent_pointers, decoded_itemsets, conditional_tree_local, tree_print, event_itemsets_grouped, dealt_transactions, transaction_scan, transaction_scan_all_lines, token_scan, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink, encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds, validation_comparison, validation_scores)}
 
 _B2 = lambda rest: _sql(L2, SHARE["b2"], rest)
 _LOW_NOT_HIGH = _eclat(L2, SHARE["b2_low"], f"""SELECT {{}} FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)""")
@@ -468,6 +475,7 @@ SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
 y AS (SELECT list(rank ORDER BY k) AS place, z.item, z.depth, z.support FROM z JOIN rk ON rk.item = z.x GROUP BY z.prefix, z.item, z.depth, z.support)
 SELECT row_number() OVER (ORDER BY place) AS place, repeat('  ', (depth - 1)::INT) || item || ' (' || support || ')' AS line FROM y"""),
     "event_itemsets_grouped": _eclat(L2, SHARE["b2_low"]),
+    "dealt_transactions": f"SELECT 8::BIGINT AS parts, count(DISTINCT tid) AS transactions, true AS even FROM ({L2})",
     "transaction_scan": _VALUES("place, items", ["(1, '1 2 3')", "(2, '7 -8 9')", "(3, '1 2')", "(4, '12')", "(5, '5 99999999999 5')", "(6, '3')"]),
     "transaction_scan_all_lines": _VALUES("place, items", ["(1, '')", "(2, '')", "(3, '1 2 3')", "(4, '7 -8 9')", "(5, '1 2')", "(6, '12')", "(7, '5 99999999999 5')", "(8, '3')", "(9, '')"]),
     "token_scan": _VALUES("place, items", ["(1, '1 2 3')", "(2, '7 -8 +9')", "(3, '1 2 x 3')", "(4, '12abc 4')", "(5, '5 99999999999 5')", "(6, '3 99999999999999999999 4')"]),
