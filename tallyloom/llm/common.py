@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,27 @@ def slices(batches):
             yield batch.slice(at, step)
 
 
+#: Rows in an Arrow batch of the registered queries and the pipeline.
+JOB_ROWS = 500
+
+
+def job(run):
+    """run(spark, ...) as a job that sets up its session for long texts: Arrow batches of JOB_ROWS rows at most.
+
+    At Spark's 10,000 a batch of texts is tens of MB, which a task holds several times outside the heap. Operators by themselves leave the session's
+    settings alone; a smaller setting stays.
+    """
+
+    @functools.wraps(run)
+    def with_small_batches(spark, *args):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= JOB_ROWS:
+            spark.conf.set(key, str(JOB_ROWS))
+        return run(spark, *args)
+
+    return with_small_batches
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

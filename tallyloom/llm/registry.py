@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyloom.llm import decontaminate, mixing, near_dedup, repeats
 from tallyloom.llm import line_dedup as lines
-from tallyloom.llm.common import table
+from tallyloom.llm.common import job, table
 from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.html_text import extract
 from tallyloom.llm.language_id import predicted
@@ -64,18 +64,8 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {
-        "op1_token_counts": op1_token_counts,
-        "op2_html_extraction": op2_html_extraction,
-        "op3_line_dedup": op3_line_dedup,
-        "op4_fingerprints": op4_fingerprints,
-        "op5_mixing": op5_mixing,
-        "op6_near_dedup": op6_near_dedup,
-        "op7_suffix_array_dedup": op7_suffix_array_dedup,
-        "op8_url_filter": op8_url_filter,
-        "op9_decontamination": op9_decontamination,
-        "op10_language_id": op10_language_id,
-    }
+    found = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_fingerprints, op5_mixing, op6_near_dedup, op7_suffix_array_dedup, op8_url_filter, op9_decontamination, op10_language_id)
+    return {f.__name__: job(f) for f in found}
 
 
 def oracle_sql():
