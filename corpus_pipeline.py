@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, table, written
+from tallyloom.llm.common import drop_written, job, table, written
 from tallyloom.llm.decontaminate import decontaminate
 from tallyloom.llm.language_id import keep_known
 from tallyloom.llm.line_dedup import line_dedup
@@ -52,7 +52,7 @@ def mixture(spark, docs, sf_dir):
     return mix(docs)
 
 
-STAGES = [("language", language), ("lines", lines), ("near", near), ("clean", clean), ("mixture", mixture)]
+STAGES = [("language", job(language)), ("lines", job(lines)), ("near", job(near)), ("clean", job(clean)), ("mixture", job(mixture))]
 
 #: The language network and the sketches aren't SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
