@@ -39,7 +39,7 @@ CHUNK = 250_000
 #: Windows of a text that are hashed at once, and bytes of runs that a task holds to merge equal ones.
 SEGMENT, HELD = 65_536, 4_000_000
 #: A hash that occurs more often has its runs trimmed first.
-HOT = 2_000
+HOT = 10_000
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _NULL = -(2**63)
