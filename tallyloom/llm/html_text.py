@@ -59,6 +59,7 @@ TALK = "discussions? responses respond reactions feedback"
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Marks of one reader's comment, on elements within it.
 BY = re.compile(r"(?:^|[\s-])(?:author|user|username|avatar|date|time|timestamp|byline|meta|posted|reply|nick|name|commenter|poster|by|when|who)(?:$|[\s-])")
+#: What a comment says of its author or time, and headings of comments.
 SAID = re.compile(r"\b(?:says|said|wrote|writes|replied|posted|commented)\s*:|\bago\b", re.I)
 TALKS = re.compile(r"(?:\d+|no|all|reader|readers'?|user|your|join the|leave a|add a|post a|show|view)?\s*(?:comments?|responses?|replies|reply|reactions?)(?:\s*(?:\(?\d+\)?|on\b.*|to\b.*))?\s*:?", re.I)
 
