@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyloom.llm import decontaminate, mixing, near_dedup, repeats
 from tallyloom.llm import line_dedup as lines
+from tallyloom.llm.alignment import align
 from tallyloom.llm.common import job, table
 from tallyloom.llm.fingerprints import edited_fingerprints
 from tallyloom.llm.html_text import extract
@@ -63,8 +64,17 @@ def op10_language_id(spark, sf_dir):
     return predicted(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers end together in every document: see align for nulls, repeats and long texts."""
+    docs = table(spark, sf_dir, "documents")
+    return align(docs, keep=["doc_id"], groups="groups_sha256", digest=True).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def queries():
     found = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_fingerprints, op5_mixing, op6_near_dedup, op7_suffix_array_dedup, op8_url_filter, op9_decontamination, op10_language_id)
+    found += (op12_token_alignment,)
     return {f.__name__: job(f) for f in found}
 
 
