@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, mixing, near_dedup, repeats
+from tallyloom.llm import decontaminate, mixing, near_dedup, negatives, repeats
 from tallyloom.llm import line_dedup as lines
 from tallyloom.llm.alignment import align
 from tallyloom.llm.common import job, table
@@ -72,9 +72,14 @@ def op12_token_alignment(spark, sf_dir):
     )
 
 
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector: see hard_negatives for nulls, ties, repeats."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     found = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_fingerprints, op5_mixing, op6_near_dedup, op7_suffix_array_dedup, op8_url_filter, op9_decontamination, op10_language_id)
-    found += (op12_token_alignment,)
+    found += (op12_token_alignment, op13_hard_negatives)
     return {f.__name__: job(f) for f in found}
 
 
@@ -85,4 +90,5 @@ def oracle_sql():
         "op6_near_dedup": near_dedup.SQL,
         "op7_suffix_array_dedup": repeats.SQL,
         "op9_decontamination": decontaminate.SQL,
+        "op13_hard_negatives": negatives.SQL,
     }
