@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import decontaminate, mixing, near_dedup, negatives, repeats
+from tallyloom.llm import decontaminate, jaccard_join, mixing, near_dedup, negatives, repeats
 from tallyloom.llm import line_dedup as lines
 from tallyloom.llm.alignment import align
 from tallyloom.llm.common import job, table
@@ -64,6 +64,11 @@ def op10_language_id(spark, sf_dir):
     return predicted(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark, sf_dir):
+    """Every document's component by four-word shingles at 0.85: see jaccard_join for nulls, repeats and long texts."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark, sf_dir):
     """How the tokens of two tokenizers end together in every document: see align for nulls, repeats and long texts."""
     docs = table(spark, sf_dir, "documents")
@@ -79,7 +84,7 @@ def op13_hard_negatives(spark, sf_dir):
 
 def queries():
     found = (op1_token_counts, op2_html_extraction, op3_line_dedup, op4_fingerprints, op5_mixing, op6_near_dedup, op7_suffix_array_dedup, op8_url_filter, op9_decontamination, op10_language_id)
-    found += (op12_token_alignment, op13_hard_negatives)
+    found += (op11_jaccard_join, op12_token_alignment, op13_hard_negatives)
     return {f.__name__: job(f) for f in found}
 
 
@@ -90,5 +95,6 @@ def oracle_sql():
         "op6_near_dedup": near_dedup.SQL,
         "op7_suffix_array_dedup": repeats.SQL,
         "op9_decontamination": decontaminate.SQL,
+        "op11_jaccard_join": jaccard_join.SQL,
         "op13_hard_negatives": negatives.SQL,
     }
