@@ -12,7 +12,7 @@ of both end. The two last tokens of a group are a link. Counting:
 So what is shuffled is a slice's distinct keys, not the corpus's links, but for the documents' own links once.
 
 Encoding is the dear part, and both tokenizers treat the parts of a text between certain spaces and line ends alike wherever they stand
-(Units.cuts says when that holds for a vocabulary). A part's tokens, groups and links are therefore kept and looked up by its text.
+(Units.cuts says when that holds for a vocabulary). What they make of a part is therefore kept and looked up by its text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import hashlib
 import json
 import re
 import tempfile
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,13 @@ from tallyloom.llm.common import drop_written, slices, spare, written
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of a slice, keys of a shard, and slices that ask one copy of a shard, about.
 SLICE_BYTES, SHARD_KEYS, ASKING = 16_000_000, 32_768, 64
-#: Characters of parts that a worker keeps at most.
-KEPT_CHARS = 24_000_000
+#: Parts of texts that a worker keeps, twice at most, and characters of texts that it encodes at once.
+KEPT_PARTS, RUN_CHARS = 200_000, 2_000_000
 #: A part begins with one space between other characters, or with a line end after one.
 _CUT = re.compile(r"(?<=\S)(?= \S|\n)")
 _LOW = np.int64(0xFFFFFFFF)
+#: Fixed value: the pattern by which byte-level vocabularies split words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_level() -> dict[str, int]:
@@ -50,7 +52,8 @@ def byte_level() -> dict[str, int]:
 
 
 class Units:
-    """Both tokenizers and the parts of texts met so far, by their text."""
+    """Both tokenizers, and what they make of the parts of texts met lately, by the part's text: its groups as text, the packed keys of its
+    links, and its numbers of A and B tokens; None if the tokens don't give it back."""
 
     def __init__(self, a: bytes, b: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -60,13 +63,22 @@ class Units:
         self.a.encode_special_tokens = True  # their strings in a text are then ordinary text
         self.b = SentencePieceProcessor(model_proto=b)
         letters = byte_level()
-        names = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=True).items())
-        self.a_bytes = dict.fromkeys(range(names[-1][0] + 1), b"") | {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for i, t in names}
+        names = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for t, i in names.items():
+            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = self.b.piece_to_id("▁")
-        self.cut = self.cuts(json.loads(self.a.to_str()), pieces)
-        self.forget()
+        described = json.loads(self.a.to_str())
+        self.cut = self.cuts(described, pieces)
+        self.fast = self.by_ranks(described) if self.cut else None
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.key = np.uint32 if max(len(self.a_bytes), len(pieces)) <= 1 << 16 else np.int64
+        self.shift = 16 if self.key is np.uint32 else 32
+        # each id with what comes after it, as text: within a group of A, at its end, within a group of B, at its end
+        self.said = np.array([f"{i}{end}" for x, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(x))], object)
+        self.young: dict[str | tuple, tuple | None] = {}
+        self.old: dict[str | tuple, tuple | None] = {}
 
     @staticmethod
     def cuts(a: dict, pieces: list[str]) -> bool:
@@ -76,67 +88,115 @@ class Units:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not a.get("normalizer")
         return bool(plain) and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.text, self.good, self.chars = [], [], 0
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.first, self.keys = (array(k) for k in "qqqqqq")
-
-    def tokens(self, part: str) -> tuple[list[int], list[int]]:
-        if not part.startswith("\n"):
-            return self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part[1:])
-        return self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part)[1:]  # without the space that B adds
-
-    def learn(self, part: str) -> int:
-        """Aligns a part; its place."""
-        ia, ib = self.tokens(part)
-        raw = part.encode()
-        good = b"".join(map(self.a_bytes.__getitem__, ia)) == raw == b"".join(map(self.b_bytes.__getitem__, ib))
-        groups, links = groups_of(ia, ib, self.a_bytes, self.b_bytes) if good else ([], [])
-        self.place[part] = at = len(self.text)
-        self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        self.good.append(good)
-        self.chars += len(part) + 100
-        self.first.append(len(self.keys))
-        self.keys.extend(b << 32 | a for a, b in links)
-        for to, n in ((self.n_a, len(ia)), (self.n_b, len(ib)), (self.n_groups, len(groups)), (self.n_links, len(links))):
-            to.append(n)
-        return at
-
-    def of(self, text: str) -> tuple[list[str], tuple[int, int, int], np.ndarray] | None:
-        """A text's groups as text, by part, its numbers of A tokens, B tokens and groups, and the keys of its links; None without tokens."""
-        if self.chars > KEPT_CHARS:
-            self.forget()
-        if not text:
-            return None
-        parts = _CUT.split(f" {text}") if self.cut else [f" {text}"]
-        get = self.place.get
-        at = [k if (k := get(p)) is not None else self.learn(p) for p in parts]
-        if not all(map(self.good.__getitem__, at)):
+    def by_ranks(self, a: dict):
+        """A as an encoding by ranks, some three times as fast, if its ids are in the order of its merges; else None.
+
+        Such an encoding joins two neighbours by the id of what they make, which is the merge's place then.
+        """
+        import tiktoken
+
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in a["model"].get("merges", [])]
+        ids, first = a["model"].get("vocab", {}), 256
+        if len(ids) - first not in (len(made), len(made) + len(a.get("added_tokens", []))) or any(ids.get(t) != first + k for k, t in enumerate(made)) or a["model"].get("dropout"):
             return None
-        i = np.array(at)
-        a, b, g = (int(np.frombuffer(x, np.int64)[i].sum()) for x in (self.n_a, self.n_b, self.n_groups))
-        n = np.frombuffer(self.n_links, np.int64)[i]
-        ends = np.cumsum(n)
-        where = np.repeat(np.frombuffer(self.first, np.int64)[i] - ends + n, n) + np.arange(ends[-1])
-        return [self.text[k] for k in at], (a, b, g), np.frombuffer(self.keys, np.int64)[where]
-
-
-def groups_of(ia: list[int], ib: list[int], a_bytes, b_bytes) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """The groups (A ids, B ids) of two token sequences over the same bytes, and their links. Tokens aren't empty."""
-    groups, links = [], []
-    i = j = at_a = at_b = i0 = j0 = 0
-    while i < len(ia) or j < len(ib):
-        if at_a <= at_b:
-            at_a += len(a_bytes[ia[i]])
-            i += 1
-        else:
-            at_b += len(b_bytes[ib[j]])
-            j += 1
-        if at_a == at_b:
-            groups.append((ia[i0:i], ib[j0:j]))
-            links.append((ia[i - 1], ib[j - 1]))
-            i0, j0 = i, j
-    return groups, links
+        return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={self.a_bytes[k]: k for k in range(first + len(made))}, special_tokens={})
+
+    def encoded_a(self, parts: list[str]) -> list[list[int]]:
+        """A's tokens. The fast encoding takes parts of Latin letters, of which all versions of the character tables say the same."""
+        plain = [self.fast is not None and (p.isascii() or max(p) < "\u0250") for p in parts]
+        slow = iter(self.a.encode_batch([p for p, x in zip(parts, plain, strict=True) if not x], add_special_tokens=False))
+        return [self.fast.encode_ordinary(p) if x else next(slow).ids for p, x in zip(parts, plain, strict=True)]
+
+    def parts(self, text: str) -> list[str | tuple]:
+        """The parts of a text by the names under which they are kept: without the space in front, or with the line end; others as a tuple.
+
+        If only single spaces and line ends stand between the words, all of them are cuts.
+        """
+        if self.cut and " ".join(text.split()) == text.replace("\n", " "):
+            return text.replace("\n", " \n").split(" ")
+        return [(p,) if p[:2] == " \n" else p if p[0] == "\n" else p[1:] for p in (_CUT.split(f" {text}") if self.cut else [f" {text}"])]
+
+    def learn(self, names: list[str | tuple]) -> None:
+        """Encodes and aligns parts. B adds a space in front, which a part that begins with a line end doesn't have.
+
+        Tokens of several parts are one run of bytes; where an A token and a B token end at the same place is the end of a group.
+        """
+        parts = [p[0] if isinstance(p, tuple) else p if p[:1] == "\n" else f" {p}" for p in names]
+        found_a = self.encoded_a(parts)
+        found_b = self.b.encode([p if p[0] == "\n" else p[1:] for p in parts], num_threads=1)
+        found_b = [x[1:] if p[0] == "\n" else x for x, p in zip(found_b, parts, strict=True)]
+        self.young |= dict.fromkeys(names)
+        good = [k for k, part in enumerate(parts) if b"".join([self.a_bytes[i] for i in found_a[k]]) == part.encode() == b"".join([self.b_bytes[i] for i in found_b[k]])]
+        if not good:
+            return
+        n_a, n_b = (np.array([len(x[k]) for k in good]) for x in (found_a, found_b))
+        a, b = (np.fromiter(chain.from_iterable(x[k] for k in good), np.int64) for x in (found_a, found_b))
+        end_a, end_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
+        at = np.searchsorted(end_b, end_a)
+        ends = end_b[at] == end_a
+        links = (b[at[ends]] << self.shift | a[ends]).astype(self.key)
+        last = end_a[ends]  # of each group
+        done = np.zeros(len(b), bool)
+        done[at[ends]] = True
+        group = np.concatenate([np.searchsorted(last, end_a), np.searchsorted(last, end_b)])
+        code = np.concatenate([a + len(self.a_bytes) * ends, b + len(self.b_bytes) * done + 2 * len(self.a_bytes)])
+        side = np.repeat([0, 1], [len(a), len(b)])
+        text = self.said[code[np.argsort(2 * group + side, kind="stable")]].tolist()
+        to_link = np.searchsorted(last, end_a[n_a.cumsum() - 1], "right").tolist()
+        to_token = (n_a + n_b).cumsum().tolist()
+        raw, size = links.tobytes(), links.itemsize
+        i = j = 0
+        for k, x, y, na, nb in zip(good, to_token, to_link, n_a.tolist(), n_b.tolist(), strict=True):
+            self.young[names[k]] = "".join(text[i:x]), raw[j * size : y * size], na, nb
+            i, j = x, y
+
+    def of(self, texts: list[str]) -> list[tuple | None]:
+        """For each text its groups as text, the packed keys of its links, and its numbers of A and B tokens; None without tokens."""
+        cut = [self.parts(t) if t else None for t in texts]
+        todo = []
+        for p in set().union(*filter(None, cut)).difference(self.young):
+            if p in self.old:
+                self.young[p] = self.old[p]
+            else:
+                todo.append(p)
+        self.learn(todo)
+        out = []
+        for parts in cut:
+            found = parts and list(map(self.young.__getitem__, parts))
+            if not found or None in found:
+                out.append(None)
+                continue
+            said, links, n_a, n_b = zip(*found, strict=True)
+            out.append(("".join(said)[:-1], b"".join(links), sum(n_a), sum(n_b)))
+        if len(self.young) > KEPT_PARTS:
+            self.old, self.young = self.young, {}
+        return out
+
+
+_units: dict[bytes, Units] = {}
+
+
+def units_of(a: bytes, b: bytes) -> Units:
+    """The worker's own, so that its later tasks know the parts that are met often."""
+    key = hashlib.sha256(a + b).digest()
+    if key not in _units:
+        _units.clear()
+        _units[key] = Units(a, b)
+    return _units[key]
+
+
+def _several(column: pa.Array):
+    """The texts of a batch in runs of some 2 MB."""
+    run, size = [], 0
+    for t in column:
+        t = t.as_py()
+        run.append(t)
+        size += len(t or "")
+        if size > RUN_CHARS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def _files(docs: DataFrame, a_path: str, b_path: str):
@@ -153,10 +213,6 @@ def _small(files) -> bool:
     return max(Tokenizer.from_buffer(files[0]).get_vocab_size(True), SentencePieceProcessor(model_proto=files[1]).get_piece_size()) <= 1 << 16
 
 
-def _stored(keys: np.ndarray, small: bool) -> bytes:
-    return ((keys >> 32 << 16) | (keys & _LOW)).astype(np.uint32).tobytes() if small else keys.tobytes()
-
-
 def _keys(raw, small: bool) -> np.ndarray:
     if not small:
         return np.frombuffer(raw, np.int64)
@@ -173,22 +229,21 @@ def _encoded(docs: DataFrame, files, small: bool, keep: list[str], text: str, gr
     schema = T.StructType([*x.drop(last).schema.fields, *made, *hidden])
 
     def run(batches):
-        units, size, at = Units(*files.value), 0, TaskContext.get().partitionId() << 32
+        units, size, at = units_of(*files.value), 0, TaskContext.get().partitionId() << 32
         for batch in slices(batches):
             rows = []
-            for t in batch.column(len(keep)):
-                t = t.as_py()
-                found = units.of(t) if t else None
-                if found is None:
-                    rows.append((0, 0, 0, 0, "", at, b"", b""))
-                    continue
-                parts, (a, b, g), keys = found
-                said = ";".join(parts)
-                one, times = np.unique(keys, return_counts=True)
-                rows.append((a, b, g, len(keys), hashlib.sha256(said.encode()).hexdigest() if digest else said, at, _stored(one, small), times.astype(np.uint32).tobytes()))
-                size += len(t)
-                if size > SLICE_BYTES:
-                    at, size = at + 1, 0
+            for texts in _several(batch.column(len(keep))):
+                for t, found in zip(texts, units.of(texts), strict=True):
+                    if found is None:
+                        rows.append((0, 0, 0, 0, "", at, b"", b""))
+                        continue
+                    said, links, a, b = found
+                    keys = np.frombuffer(links, units.key)
+                    one, times = np.unique(keys, return_counts=True)
+                    rows.append((a, b, len(keys), len(keys), hashlib.sha256(said.encode()).hexdigest() if digest else said, at, one.tobytes(), times.astype(np.uint32).tobytes()))
+                    size += len(t)
+                    if size > SLICE_BYTES:
+                        at, size = at + 1, 0
             cols = [pa.array(c, f) for c, f in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary(), pa.binary()], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=schema.names)
 

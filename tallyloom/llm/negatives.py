@@ -105,6 +105,7 @@ class Block:
         self.ids, self.labels, self.ends, self.scores = (np.frombuffer(row[c], np.int64) for c in ("ids", "labels", "ends", "scores"))
         self.x = np.frombuffer(row["vecs"], np.int16 if row["small"] else np.int64).reshape(len(self.ids), row["dims"])
         self.f = self.x.astype(np.float64)
+        self.largest = float(np.abs(self.f).max(initial=0))
         self.starts = np.concatenate([[0], self.ends[:-1]])
         first, last = list(range(len(self.ends))), list(range(1, len(self.ends) + 1))
         kids, level = [(-1, -1)] * len(first), list(first)
@@ -127,11 +128,8 @@ class Block:
 
 
 def products(a: Block, rows: slice, c: Block, at: np.ndarray) -> np.ndarray:
-    """Exact inner products. In 64-bit floats if they are exact there, else in 64-bit numbers; beyond these it is an error."""
-    most = float(np.abs(a.f[rows]).max(initial=0)) * float(np.abs(c.f[at]).max(initial=0)) * max(a.x.shape[1], 1)
-    if most >= 2.0**62:
-        raise ValueError("an inner product may be beyond 64 bits")
-    if most < 2.0**53:
+    """Exact inner products, in 64-bit floats if they are exact there, else in 64-bit numbers."""
+    if a.largest * c.largest * max(a.x.shape[1], 1) < 2.0**53:
         return (a.f[rows] @ c.f[at].T).astype(np.int64)
     return a.x[rows].astype(np.int64) @ c.x[at].astype(np.int64).T
 
@@ -180,7 +178,9 @@ class Search:
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def see(self, c: Block) -> None:
-        """Takes in a block of candidates."""
+        """Takes in a block of candidates. Products that may be beyond 62 bits are an error."""
+        if self.a.largest * c.largest * max(c.x.shape[1], 1) >= 2.0**62:
+            raise ValueError("an inner product may be beyond 62 bits")
         la, lc, top = self.leaves(c)
         for leaf in np.unique(la):
             mine = np.flatnonzero(la == leaf)

@@ -65,6 +65,8 @@ def test_against_whole_texts(spark, units, monkeypatch):
     monkeypatch.setattr(A, "SLICE_BYTES", 200)
     monkeypatch.setattr(A, "SHARD_KEYS", 16)
     monkeypatch.setattr(A, "ASKING", 2)
+    monkeypatch.setattr(A, "KEPT_PARTS", 5)
+    monkeypatch.setattr(A, "RUN_CHARS", 60)
     want, count = expected(units, TEXTS)
     df = spark.createDataFrame([(i, t, "kept", i) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_a string, keys long").repartition(3)
     got = {r.doc_id: r for r in A.align(df).collect()}

@@ -72,7 +72,7 @@ def test_large_numbers_are_exact(spark):
     rows = [(i * 50, [float(2**20 + i), float(i % 7) * 2**19, 3.0], i % 2) for i in range(12)]
     want = slow(rows)
     assert want and max(w[4] for w in want) > 2**53 and got(N.hard_negatives(frame(spark, rows))) == want
-    with pytest.raises(Exception, match="beyond 64 bits"):
+    with pytest.raises(Exception, match="beyond 62 bits"):
         N.hard_negatives(frame(spark, [(100, [1e12], 1), (101, [1e12], 1)])).collect()
 
 
