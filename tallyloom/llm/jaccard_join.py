@@ -4,13 +4,14 @@
    a table of fixed size, filled from all documents, so they cost the same at every size.
 2. If two sets are linked, their first shingles in this order, some sixth of all and a few more, have a number of shingles in common
    (`shared`). Only shingles that are among the first ones of two documents go on: the others can't decide.
-3. Groups: documents that share the three least of four kinds of hashes are compared with one of them. What is linked is a group of similar
-   documents, all others are groups of one.
-4. The matrix has a row for each shingle and group that has it among its members' first ones: the union of the group's tokens, as far as
+3. Documents that share the three least of four kinds of hashes are compared with one of them, so that most of what is linked is connected
+   before groups meet.
+4. Groups: each document goes with those whose most common first shingle is the same, so variants of one text are together, linked or not.
+   The matrix has a row for each shingle and group that has it among its members' first ones: the union of the group's tokens, as far as
    they can decide. It bounds from above how much a document can have in common with any member; only groups that reach what the document
-   needs are opened, the larger group of two by the smaller one's members.
+   needs are opened, the larger group of two by the smaller one's members, and a group by its own members but for its largest component.
 5. An opened group's members meet the documents that ask for it in blocks of bounded size. There the whole union bounds once more, then sets
-   are compared in full. One link joins a document and a group, for a group's members are connected already.
+   are compared in full. A document needs one link with each component.
 
 Components of all links are the result. No pair at the threshold is lost, whatever the groups are.
 """
@@ -38,6 +39,8 @@ BLOCK_BYTES = 8_000_000
 PAIRED = 1_000_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, documents meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Up to so many shingles that several documents have among their first ones (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_TOKENS = 1_000_000
 
 _BITS = np.uint64(64 - (COUNTERS.bit_length() - 1))
 
@@ -191,47 +194,52 @@ def _star(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _asked(first: DataFrame, percent: int) -> DataFrame:
-    """(id, grp): the groups that a document's first shingles don't rule out. first: (token, id, n, grp, members)."""
-    matrix = first.groupBy("token", "grp").agg(F.first("members").alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("rows"))
+def _asked(told: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(id, grp): the groups that a document's first shingles don't rule out. told: (token, id, n); groups: (id, grp, comp)."""
+    within = groups.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp")
+    within = written(within.agg(F.sum("c").alias("members"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")))
+    own = groups.join(within.filter("comps > 1"), "grp").filter("comp <> main").select("id", "grp")
+
+    first = written(told.join(groups.join(within, "grp"), "id"))
+    matrix = first.groupBy("token", "grp").agg(F.first("members").alias("members"), F.first("comps").alias("comps"), F.first("main").alias("main"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("rows"))
     matrix = written(matrix)
     mixed = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.sum("rows").alias("docs")).filter("groups > 1")
     mixed = written(mixed.withColumn("parts", F.ceil(F.col("groups") * F.col("docs") / PAIRED).cast("int")))
-    asking = join_spread(first, mixed, ["token"], "docs", "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    asking = join_spread(first.select("token", "id", "n", "grp", "members", "comp"), mixed, ["token"], "docs", "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     held = join_spread(matrix, mixed.select("token", "parts", "groups"), ["token"], "groups", "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = held.select("token", "part", F.col("grp").alias("to"), F.col("members").alias("to_members"), "lo", "hi")
-    x = asking.join(held, ["token", "part"])
+    held = held.select("token", "part", F.col("grp").alias("to"), F.col("members").alias("to_members"), F.when(F.col("comps") == 1, F.col("main")).alias("to_comp"), "lo", "hi")
     smaller = (F.col("members") < F.col("to_members")) | (F.col("members") == F.col("to_members")) & (F.col("grp") < F.col("to"))
     sizes = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
-    met = x.filter(smaller & sizes).groupBy("id", "n", "to").agg(F.count("*").alias("met"))
+    apart = F.coalesce(F.col("comp") != F.col("to_comp"), F.lit(True))
+    met = asking.join(held, ["token", "part"]).filter(smaller & sizes & apart).groupBy("id", "n", "to").agg(F.count("*").alias("met"))
     need = F.lit(1) + F.floor(F.floor((percent * F.col("n") + 99) / 100) / MORE)
-    return met.filter(F.col("met") >= need).select("id", F.col("to").alias("grp"))
+    out = written(met.filter(F.col("met") >= need).select("id", F.col("to").alias("grp")).union(own).distinct())
+    drop_written(within, first, matrix, mixed)
+    return out
 
 
 def _opened(asked: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of documents with a member of a group that they ask for. groups: (id, grp) of all documents with sets."""
-    own = sets.select("id", "n", "hashes")
-    members = groups.join(asked.select("grp").distinct(), "grp", "left_semi").join(own, "id")
-    asking = asked.join(own, "id")
+    """Links (a, b) of documents with members of a group that they ask for, one for each component. groups: (id, grp, comp) of all with sets."""
+    sized = groups.join(sets.select("id", "n"), "id")
     size = lambda x, name: x.groupBy("grp").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias(name))
-    blocks = size(asked.join(own.select("id", "n"), "id"), "asks").join(size(groups.join(own.select("id", "n"), "id"), "holds"), "grp")
-    blocks = written(blocks)
+    blocks = written(size(asked.join(sized.select("id", "n"), "id"), "asks").join(size(sized, "holds"), "grp"))
     several = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    members = members.join(blocks, "grp").select("grp", several("asks").alias("ask"), deal("holds").alias("hold"), F.lit(True).alias("held"), "id", "hashes")
-    asking = asking.join(blocks, "grp").select("grp", deal("asks").alias("ask"), several("holds").alias("hold"), F.lit(False).alias("held"), "id", "hashes")
+    members = groups.join(blocks, "grp").select("grp", several("asks").alias("ask"), deal("holds").alias("hold"), F.lit(True).alias("held"), "id", "comp")
+    asking = asked.join(groups.select("id", "comp"), "id").join(blocks, "grp")
+    asking = asking.select("grp", deal("asks").alias("ask"), several("holds").alias("hold"), F.lit(False).alias("held"), "id", "comp")
 
     def run(key, rows):
         held = rows["held"].to_numpy(zero_copy_only=False)
-        ids = rows["id"].to_numpy()
+        ids, comp = rows["id"].to_numpy(), rows["comp"].to_numpy()
         sets_ = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows["hashes"]]
         mine, out = np.flatnonzero(held), []
         if len(mine):
             tokens = np.concatenate([sets_[k] for k in mine])
-            of = np.repeat(np.arange(len(mine)), [len(sets_[k]) for k in mine])
+            n = np.array([len(sets_[k]) for k in mine])
+            of = np.repeat(np.arange(len(mine)), n)
             order = np.argsort(tokens, kind="stable")
             tokens, of = tokens[order], of[order]
-            n = np.array([len(sets_[k]) for k in mine])
             for k in np.flatnonzero(~held):
                 q = sets_[k]
                 lo, hi = np.searchsorted(tokens, q, "left"), np.searchsorted(tokens, q, "right")
@@ -240,13 +248,15 @@ def _opened(asked: DataFrame, groups: DataFrame, sets: DataFrame, percent: int)
                 many = hi - lo
                 at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
                 both = np.bincount(of[at], minlength=len(mine))
-                sure = np.flatnonzero(100 * both >= percent * (n + len(q) - both))
-                if len(sure):
-                    out.append((ids[k], ids[mine[sure]].min()))
+                sure = mine[np.flatnonzero(100 * both >= percent * (n + len(q) - both))]
+                sure = sure[comp[sure] != comp[k]]
+                for j in sure[np.unique(comp[sure], return_index=True)[1]]:
+                    out.append((ids[k], ids[j]))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.union(asking).groupBy("grp", "ask", "hold").applyInArrow(run, "a long, b long")
+    rows = members.union(asking).join(sets.select("id", "hashes"), "id")
+    return rows.groupBy("grp", "ask", "hold").applyInArrow(run, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -266,26 +276,25 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     # shingles that several documents have among their first ones, and documents with as many of these as they need
     first = written(_first(x, named.select("id").distinct(), counts, width, percent))
     twice = written(first.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1"))
-    told = join_spread(first, twice, ["token"], "docs", "id").select("token", "id", "n")
-    need = F.lit(1) + F.floor(F.floor((percent * F.col("n") + 99) / 100) / MORE)
-    told = written(told)
+    few = twice.count() <= BROADCAST_TOKENS
+    told = first.join(F.broadcast(twice), "token") if few else join_spread(first, twice, ["token"], "docs", "id")
+    told = written(told.select("token", "id", "n", "docs"))
     drop_written(first, twice)
-    able = written(told.groupBy("id").agg(F.count("*").alias("has"), F.min("n").alias("n")).filter(F.col("has") >= need).select("id"))
-    sets = written(_sets(x, able, width))
+    need = F.lit(1) + F.floor(F.floor((percent * F.col("n") + 99) / 100) / MORE)
+    able = told.groupBy("id").agg(F.count("*").alias("has"), F.min("n").alias("n"), F.max(F.struct("docs", "token"))["token"].alias("grp")).filter(F.col("has") >= need)
+    able = written(able.select("id", "grp"))
+    sets = written(_sets(x, able.select("id"), width))
 
     keys = named.join(able, "id", "left_semi").select(F.explode("keys").alias("key"), "id", "n")
     star = written(_star(keys, sets, percent))
     parts = written(components(star))
-    groups = able.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-    groups = written(groups)
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
-    with_groups = written(told.join(groups.join(sizes, "grp"), "id"))
-    drop_written(told, parts)
-    asked = written(_asked(with_groups, percent))
+    groups = written(able.join(parts, "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
+    asked = _asked(told.drop("docs"), groups, percent)
+    drop_written(told, parts, able)
     links = written(_opened(asked, groups, sets, percent))
-    drop_written(with_groups, asked, sets)
+    drop_written(asked, sets, groups)
     parts = written(components(star.union(links)).distinct())
-    drop_written(star, links, groups, able)
+    drop_written(star, links)
 
     of_set = reps.select("k1", "k2", "copies", F.col("id").alias("rep")).join(parts, F.col("rep") == F.col("id"), "left")
     of_set = written(of_set.select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id")))
