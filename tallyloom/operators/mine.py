@@ -1,8 +1,9 @@
-"""Frequent itemsets: mine(frame, min_support) -> (itemset, support), by either of two engines.
+"""Frequent itemsets: mine(frame, min_support) -> (itemset, support), by one of four engines.
 
 `mllib` is Spark's parallel FP-Growth (Li et al., PFP, 2008), which groups conditional transactions by item in one shuffle.
 `levels` grows itemsets level by level on weighted paths with DataFrame operators only; its steps are public here.
-Both give the same rows.
+`growth` and `groups` (operators/growth.py) project the paths on suffixes, or deal them to groups of items, until a task can mine each part alone.
+All give the same rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.shared import materialize, release
+from tallyloom.functions.shared import materialize, release, running_sums
 from tallyloom.operators.itemsets import canonical
 from tallyloom.operators.items import check_support, relative_support
 from tallyloom.operators.paths import BROADCAST_ITEMS, filtered, ranked_items, states, weighted
@@ -21,6 +22,8 @@ from tallyloom.sources.baskets import explode_items
 
 #: Up to so many itemsets of a level (three numbers each) are broadcast to its states.
 BROADCAST_ITEMSETS = 200_000
+#: Items in the states of a level that are made at once (8 bytes each).
+CHUNK_CELLS = 2_000_000_000
 #: Items of a single path at most (their subsets are numbered in 60 bits), and of one step.
 MOST_CHAIN, CHAIN_STEP = 60, 15
 
@@ -45,26 +48,29 @@ def mine_mllib(frame: DataFrame, min_support: int, items: str = "items", partiti
     return model.freqItemsets.select(F.array_sort("items").alias("itemset"), F.col("freq").alias("support"))
 
 
-def grow(state: DataFrame) -> DataFrame:
-    """(parent, rank, prefix, w): every extension of a state (id, prefix, w) by an item nearer to the root of its path.
+def candidates(state: DataFrame) -> DataFrame:
+    """(parent, rank, p, w): every extension of a state (id, prefix, w) by an item nearer to the root of its path, with the number of items before it.
 
-    Each itemset is made in one order only, as its parent's id and one more rank; the prefix is what it can still grow by.
+    Each itemset is made in one order only, as its parent's id and one more rank. The prefixes stay behind until it is known to be frequent.
     """
-    x = state.select(F.col("id").alias("parent"), "prefix", "w", F.posexplode("prefix").alias("p", "rank"))
-    return x.select("parent", "rank", F.expr("slice(prefix, 1, p)").alias("prefix"), "w")
+    return state.select(F.col("id").alias("parent"), F.posexplode("prefix").alias("p", "rank"), "w").select("parent", "rank", "p", "w")
 
 
 def supported(candidates: DataFrame, min_support: int) -> DataFrame:
-    """(parent, rank, support) of the candidates that reach min_support; weights are summed before the shuffle."""
-    return candidates.groupBy("parent", "rank").agg(F.sum("w").alias("support")).filter(F.col("support") >= min_support)
+    """(parent, rank, support, cells) of the candidates that reach min_support; sums are made before the shuffle.
+
+    cells: how many items the states of the itemset hold, before equal ones are merged.
+    """
+    x = candidates.groupBy("parent", "rank").agg(F.sum("w").alias("support"), F.sum("p").alias("cells"))
+    return x.filter(F.col("support") >= min_support)
 
 
-def next_states(grown: DataFrame, found: DataFrame, n: int | None = None) -> DataFrame:
-    """(id, prefix, w): those extensions that can grow and whose itemset was found (id, parent, rank), n of them; equal ones are one."""
+def next_states(state: DataFrame, found: DataFrame, n: int | None = None) -> DataFrame:
+    """(id, prefix, w): those extensions of the states that can grow and whose itemset was found (id, parent, rank), n of them; equal ones are one."""
     near = found.select("id", "parent", "rank")
     near = F.broadcast(near) if (found.count() if n is None else n) <= BROADCAST_ITEMSETS else near
-    x = grown.filter(F.size("prefix") > 0).join(near, ["parent", "rank"])
-    return x.groupBy("id", "prefix").agg(F.sum("w").alias("w"))
+    x = state.select(F.col("id").alias("parent"), "prefix", "w", F.posexplode("prefix").alias("p", "rank")).filter("p > 0").join(near, ["parent", "rank"])
+    return x.select("id", F.expr("slice(prefix, 1, p)").alias("prefix"), "w").groupBy("id", "prefix").agg(F.sum("w").alias("w"))
 
 
 def decode(found: DataFrame, shorter: DataFrame, ranks: DataFrame, n_ranks: int | None = None) -> DataFrame:
@@ -74,42 +80,102 @@ def decode(found: DataFrame, shorter: DataFrame, ranks: DataFrame, n_ranks: int
     return x.select(found["id"], F.concat("items", F.array("item")).alias("items"), "support")
 
 
-def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, max_size: int | None = None) -> DataFrame:
+def decode_pointers(pointers: DataFrame, item: str = "item") -> DataFrame:
+    """pointers with `items`, those from the root of each row on. pointers: id, parent (an id, null for a root) and an item, of any depths.
+
+    Every round doubles how far each row has come, so the rounds are the logarithm of the greatest depth. An unknown parent and a
+    cycle (more steps than there are distinct items) are errors; the items of one row are distinct.
+    """
+    told = materialize(pointers)
+    lost = told.filter("parent is not null").join(told.select(F.col("id").alias("parent")), "parent", "left_anti")
+    if not lost.isEmpty():
+        raise ValueError(f"a parent that isn't there: {lost.first().parent}")
+    most, steps = told.select(item).distinct().count(), 1
+    now = told.select("id", F.col("parent").alias("up"), F.array(item).alias("items"))
+    while not (open_ := now.filter("up is not null")).isEmpty():
+        if steps > most:
+            raise ValueError("the parents of some rows go round in a cycle")
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("items").alias("before"))
+        x = open_.join(above, "up").select("id", F.col("further").alias("up"), F.concat("before", "items").alias("items"))
+        last, now = now, materialize(now.filter("up is null").unionByName(x))
+        release(last)
+        steps *= 2
+    out = materialize(told.join(now.select("id", "items"), "id"))
+    release(told, now)
+    return out
+
+
+def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, max_size: int | None = None, chunk_cells: int = CHUNK_CELLS) -> DataFrame:
     """As mine_mllib, by levels: the states of a level are those extensions whose itemset is frequent.
 
-    An itemset is its parent's id and one more item until its level is decoded. Each level is written to the shared folder, so that lineage
-    stays short and lost executors do no harm, and released when the next one is there; the driver sees counts only. The loop ends with the level that has no
-    frequent itemset.
+    A level's candidates are counted before any of its states are made. States are written to the shared folder, so that lineage stays short and
+    lost executors do no harm; if a level's would hold over chunk_cells items, its itemsets are cut into chunks of about as many, and each is
+    followed to its end before the next one's states are made. So the states on disk are chunk_cells a level at most, but for an itemset that alone has more.
+    Itemsets are pointers to their parents, and decoded once at the end. The driver sees counts only.
     """
     check_support(min_support)
     if tid is None:
         frame, tid = frame.withColumn("tid", F.monotonically_increasing_id()), "tid"
     long = materialize(explode_items(frame, items, tid).withColumnRenamed(tid, "tid"))
     ranks = materialize(ranked_items(long, min_support))
-    n_ranks = ranks.count()
-    grown = materialize(grow(states(weighted(filtered(long, ranks)))))
+    named = lambda step, i: F.struct(F.lit(step).alias("step"), i.alias("i"))
+    first = states(weighted(filtered(long, ranks))).filter(F.size("prefix") > 0).withColumn("id", named(0, F.col("id")))
+    first = materialize(first)
     release(long)
-    shorter = ranks.select(F.col("rank").alias("id"), F.array("item").alias("items"), "support")
-    levels, size = [shorter], 1
-    while max_size is None or size < max_size:
-        found = materialize(supported(grown, min_support).withColumn("id", F.monotonically_increasing_id()))
-        if not (n := found.count()):
-            release(found)
-            break
-        last, grown = grown, materialize(grow(next_states(grown, found, n)))
-        shorter = materialize(decode(found, shorter, ranks, n_ranks))
-        release(last, found)
-        levels.append(shorter)
-        size += 1
-    release(grown)
-    out = materialize(reduce(DataFrame.unionByName, levels).select(canonical(F.col("items")).alias("itemset"), "support"))
-    release(ranks, *levels)
+    single = ranks.select(named(0, F.col("rank")).alias("id"), "rank", "support")
+    levels = [single.select("id", F.lit(None).cast(single.schema["id"].dataType).alias("parent"), "rank", "support")]
+
+    def follow(state: DataFrame, size: int) -> None:
+        if max_size is not None and size >= max_size:
+            release(state)
+            return
+        found = supported(candidates(state), min_support).withColumn("id", named(len(levels), F.monotonically_increasing_id()))
+        found = materialize(found)
+        n, cells = found.agg(F.count("*"), F.coalesce(F.sum("cells"), F.lit(0))).first()
+        levels.append(found)
+        chunks = -(-cells // chunk_cells)
+        if chunks > 1:
+            numbered = materialize(running_sums(found.filter("cells > 0"), [F.asc("id")], "cells", "before").withColumn("chunk", F.floor(F.col("before") / chunk_cells)))
+            parts = [(numbered.filter(F.col("chunk") == r.chunk), r.n) for r in numbered.groupBy("chunk").agg(F.count("*").alias("n")).orderBy("chunk").collect()]
+        else:
+            numbered, parts = None, [(found.filter("cells > 0"), n)] if chunks else []
+        while parts:
+            some, many = parts.pop()
+            deeper = materialize(next_states(state, some, many))
+            if not parts:
+                release(state, numbered)
+            follow(deeper, size + 1)
+        release(state, numbered)
+
+    follow(first, 1)
+    pointers = reduce(DataFrame.unionByName, [x.select("id", "parent", "rank", "support") for x in levels])
+    whole = decode_pointers(pointers, "rank")
+    out = materialize(itemsets_of(whole.select("items", "support"), ranks))
+    release(ranks, whole, *levels)
     return out
 
 
+def itemsets_of(found: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(itemset, support) of (items: ranks, support). Ranks are numbers from 1 without a gap, so their items are an array if they are few."""
+    if ranks.count() <= BROADCAST_ITEMS:
+        names = ranks.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda s: s["item"]).alias("names"), F.lit(1).alias("one"))
+        x = found.withColumn("one", F.lit(1)).join(F.broadcast(names), "one")  # one row
+        x = x.select(F.transform("items", lambda r: F.get("names", (r - 1).cast("int"))).alias("itemset"), "support")
+    else:
+        x = materialize(found.withColumn("set_", F.monotonically_increasing_id())).select("set_", "support", F.explode("items").alias("rank"))
+        x = x.join(ranks.select("rank", "item"), "rank").groupBy("set_", "support").agg(F.collect_list("item").alias("itemset"))
+    return x.select(canonical(F.col("itemset")).alias("itemset"), "support")
+
+
 def mine(frame: DataFrame, min_support: int, items: str = "items", engine: str = "mllib", **options) -> DataFrame:
-    """(itemset, support): every non-empty set of items that at least min_support transactions hold. Row order is free."""
-    return {"mllib": mine_mllib, "levels": mine_levels}[engine](frame, min_support, items, **options)
+    """(itemset, support): every non-empty set of items that at least min_support transactions hold. Row order is free.
+
+    engine: mllib (Spark's), levels, growth or groups; all give the same rows.
+    """
+    from tallyloom.operators import growth
+
+    engines = {"mllib": mine_mllib, "levels": mine_levels, "growth": growth.mine_growth, "groups": growth.mine_groups}
+    return engines[engine](frame, min_support, items, **options)
 
 
 def power_set(chain: DataFrame, min_support: int) -> DataFrame:

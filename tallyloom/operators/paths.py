@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.shared import materialize, running_sums
+from tallyloom.functions.shared import materialize, row_numbers, running_sums
 from tallyloom.operators.items import frequent_items, ranked
 
 #: Up to so many frequent items (an item and two numbers each), ranks are broadcast to the filter; beyond, they are joined by a shuffle.
@@ -48,11 +48,16 @@ def leaves(tree: DataFrame) -> DataFrame:
     return tree.join(parents, "prefix", "left_anti")
 
 
-def parents(tree: DataFrame) -> DataFrame:
-    """The flat form: nodes with an id and their parent's (0: the root)."""
-    ids = tree.withColumn("id", F.xxhash64("prefix"))
-    up = F.when(F.col("depth") > 1, F.xxhash64(F.expr("slice(prefix, 1, depth - 1)"))).otherwise(F.lit(0))
-    return ids.select("id", up.alias("parent"), "item", "depth", "support")
+def flat(tree: DataFrame) -> DataFrame:
+    """The flat form: nodes (pos, parent, item, depth, support, prefix) numbered from 0 in depth-first order; parent: a place, -1 for the root.
+
+    That is the order of the prefixes: one comes before those that it begins. So a parent's place is below its children's.
+    """
+    x = materialize(row_numbers(tree, [F.asc("prefix")], "pos").withColumn("pos", F.col("pos") - 1))
+    up = x.select(F.col("prefix").alias("up"), F.col("pos").alias("parent"))
+    shorter = F.when(F.col("depth") > 1, F.expr("slice(prefix, 1, depth - 1)"))
+    x = x.withColumn("up", shorter).join(up, "up", "left")
+    return x.select("pos", F.coalesce("parent", F.lit(-1)).alias("parent"), "item", "depth", "support", "prefix")
 
 
 def header(tree: DataFrame) -> DataFrame:
@@ -65,10 +70,10 @@ def tree_stats(tree: DataFrame) -> DataFrame:
     return tree.agg(F.count("*").alias("nodes"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
 
 
-def tree_lines(tree: DataFrame, depth: int = 3, rows: int = 200) -> list[str]:
-    """The tree's first rows down to a depth as indented text, for a look at it."""
-    top = tree.filter(F.col("depth") <= depth).orderBy("prefix").limit(rows).select("depth", F.col("item").cast("string"), "support").collect()
-    return [f"{'  ' * (r.depth - 1)}{r['item']} ({r.support})" for r in top]
+def tree_lines(tree: DataFrame) -> DataFrame:
+    """(place, line): the whole tree as indented text, a line a node, placed from 1 in depth-first order."""
+    line = F.concat(F.expr("repeat('  ', depth - 1)"), F.col("item").cast("string"), F.lit(" ("), F.col("support").cast("string"), F.lit(")"))
+    return row_numbers(tree, [F.asc("prefix")], "place").select("place", line.alias("line"))
 
 
 def pattern_base(paths: DataFrame, item) -> DataFrame:
@@ -113,6 +118,16 @@ def offsets(tree: DataFrame) -> DataFrame:
     return running_sums(x, [F.asc("item"), F.asc("at_path")], "before", "start").drop("before", "at_path")
 
 
+def balanced(tree: DataFrame, n: int) -> DataFrame:
+    """tree in n partitions of about equal cost: nodes are cut at equal shares of the running sum of depth - 1, what each has to be grown by.
+
+    No partition costs more than its share and one node. Column start: the cost of the nodes before, by item and prefix.
+    """
+    x = materialize(offsets(tree))
+    total = x.agg(F.coalesce(F.sum(F.col("depth") - 1), F.lit(0)).alias("total")).first().total
+    return x.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col("start") * n / max(total, 1))).cast("int"))
+
+
 def path_string(path):
     """Items of a path, separated by spaces."""
     return F.array_join(F.transform(path, lambda s: s["item"].cast("string")), " ")

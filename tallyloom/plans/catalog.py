@@ -6,13 +6,16 @@ absolute counts, set as a share of the number of baskets so that they fit every
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.shared import materialize, scratch_path
-from tallyloom.operators import encode, items, itemsets, mine, paths, validation
+from tallyloom.operators import encode, growth, items, itemsets, mine, paths, validation
 from tallyloom.sources import baskets as src
 from tallyloom.sources import sinks
+from tallyloom.sources.basket_format import register
 
 
 def _once(basket):
@@ -71,11 +74,21 @@ _NODES = _RANKS + """nd AS (SELECT path[1:k] AS prefix, path[k] AS item, k AS de
 """
 
 
-def _tree(spark, sf_dir, share=SHARE["b2"]):
-    long = B2(spark, sf_dir)
-    ranks = paths.ranked_items(long, threshold(long, share))
-    found = paths.weighted(paths.filtered(long, ranks))
-    return found, paths.nodes(found)
+#: Baskets of the tree queries, by the end of their names: rows, share, item whose conditional tree is shown (None: the last by rank).
+TREES = {"": (B2, SHARE["b2"], "purchase"), "_brands": (B1, SHARE["b1"], None)}
+
+
+class _Tree:
+    """A basket's weighted paths and tree nodes, its threshold and its item."""
+
+    def __init__(self, spark, sf_dir, of):
+        basket, share, item = TREES[of]
+        self.long = basket(spark, sf_dir)
+        self.least = threshold(self.long, share)
+        ranks = materialize(paths.ranked_items(self.long, self.least))
+        self.item = item if item is not None else ranks.orderBy(F.desc("rank")).first()["item"]
+        self.paths = materialize(paths.weighted(paths.filtered(self.long, ranks)))
+        self.nodes = paths.nodes(self.paths)
 
 
 def item_support(spark, sf_dir):
@@ -134,41 +147,83 @@ def filtered_transactions(spark, sf_dir):
     return got.select("tid", paths.path_string("path").alias("path"))
 
 
-def weighted_paths(spark, sf_dir):
-    return _tree(spark, sf_dir)[0].select(paths.path_string("path").alias("path"), "w")
+def weighted_paths(spark, sf_dir, of=""):
+    return _Tree(spark, sf_dir, of).paths.select(paths.path_string("path").alias("path"), "w")
 
 
-def tree_nodes(spark, sf_dir):
-    return _tree(spark, sf_dir)[1].select(paths.path_string("prefix").alias("prefix"), "item", "depth", "support")
+def tree_nodes(spark, sf_dir, of=""):
+    return _Tree(spark, sf_dir, of).nodes.select(paths.path_string("prefix").alias("prefix"), "item", "depth", "support")
 
 
-def leaf_nodes(spark, sf_dir):
-    return paths.leaves(_tree(spark, sf_dir)[1]).select(paths.path_string("prefix").alias("prefix"), "support")
+def leaf_nodes(spark, sf_dir, of=""):
+    return paths.leaves(_Tree(spark, sf_dir, of).nodes).select(paths.path_string("prefix").alias("prefix"), "support")
 
 
-def flat_tree(spark, sf_dir):
-    """Each node with its parent's item and support, for the ids are hashes."""
-    flat = paths.parents(_tree(spark, sf_dir)[1])
-    up = flat.select(F.col("id").alias("parent"), F.col("item").alias("up_item"), F.col("support").alias("up_support"))
-    return flat.join(up, "parent", "left").select("item", "depth", "support", F.coalesce("up_item", F.lit("")).alias("up_item"), F.coalesce("up_support", F.lit(0)).alias("up_support"))
+def flat_tree(spark, sf_dir, of=""):
+    """The nodes by their places in depth-first order, with their parents' places."""
+    return paths.flat(_Tree(spark, sf_dir, of).nodes).drop("prefix")
 
 
-def header_table(spark, sf_dir):
-    return paths.header(_tree(spark, sf_dir)[1])
+def decoded_tree(spark, sf_dir, of=""):
+    """The flat tree's nodes with the items from the root on, found by their parents' places."""
+    x = paths.flat(_Tree(spark, sf_dir, of).nodes).select(F.col("pos").alias("id"), F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"), "item")
+    return mine.decode_pointers(x).select(F.col("id").alias("pos"), F.array_join("items", " ").alias("prefix"))
 
 
-def tree_stats(spark, sf_dir):
-    return paths.tree_stats(_tree(spark, sf_dir)[1])
+def header_table(spark, sf_dir, of=""):
+    return paths.header(_Tree(spark, sf_dir, of).nodes)
 
 
-def conditional_pattern_base(spark, sf_dir):
-    return paths.pattern_base(_tree(spark, sf_dir)[0], "purchase").select(paths.path_string("base").alias("base"), "w")
+def tree_stats(spark, sf_dir, of=""):
+    return paths.tree_stats(_Tree(spark, sf_dir, of).nodes)
 
 
-def conditional_tree(spark, sf_dir):
-    long = B2(spark, sf_dir)
-    got = paths.conditional_paths(_tree(spark, sf_dir)[0], "purchase", threshold(long, SHARE["b2"]))
-    return got.select(paths.path_string("path").alias("path"), "w")
+def tree_print(spark, sf_dir, of=""):
+    """The whole tree as text, a line a node."""
+    return paths.tree_lines(_Tree(spark, sf_dir, of).nodes)
+
+
+def conditional_pattern_base(spark, sf_dir, of=""):
+    tree = _Tree(spark, sf_dir, of)
+    return paths.pattern_base(tree.paths, tree.item).select(paths.path_string("base").alias("base"), "w")
+
+
+def conditional_tree(spark, sf_dir, of=""):
+    tree = _Tree(spark, sf_dir, of)
+    return paths.conditional_paths(tree.paths, tree.item, tree.least).select(paths.path_string("path").alias("path"), "w")
+
+
+def conditional_tree_local(spark, sf_dir, of=""):
+    tree = _Tree(spark, sf_dir, of)
+    return paths.local_conditional_paths(tree.paths, tree.item, tree.least).select(paths.path_string("path").alias("path"), "w")
+
+
+def candidate_offsets(spark, sf_dir, of=""):
+    return paths.offsets(_Tree(spark, sf_dir, of).nodes).select(paths.path_string("prefix").alias("prefix"), F.col("start").cast("long").alias("start"))
+
+
+def balanced_work(spark, sf_dir, of=""):
+    """Nodes dealt to eight partitions of equal cost: how many each has, and what they cost."""
+    x = paths.balanced(_Tree(spark, sf_dir, of).nodes, 8).groupBy(F.spark_partition_id().cast("long").alias("part"))
+    return x.agg(F.count("*").alias("nodes"), F.sum(F.col("depth") - 1).alias("cost"))
+
+
+def item_groups(spark, sf_dir, of=""):
+    """Items dealt to eight groups: each one's rank, cost and group."""
+    return growth.item_groups(_Tree(spark, sf_dir, of).paths, 8).select("rank", "cells", F.col("grp").cast("long").alias("grp"))
+
+
+def group_sizes(spark, sf_dir, of=""):
+    """What each of eight groups holds: distinct paths, with what precedes its items, and their items."""
+    found = _Tree(spark, sf_dir, of).paths
+    bounds = growth._bounds(growth.item_groups(found, 8))
+    return growth.group_sizes(growth.group_paths(found, bounds)).select(F.col("grp").cast("long").alias("grp"), "paths", "cells")
+
+
+_TREE_QUERIES = (
+    weighted_paths, tree_nodes, leaf_nodes, flat_tree, decoded_tree, header_table, tree_stats, tree_print, conditional_pattern_base,
+    conditional_tree, conditional_tree_local, candidate_offsets, balanced_work, item_groups, group_sizes,
+)
 
 
 def candidate_pairs(spark, sf_dir):
@@ -180,13 +235,12 @@ def candidate_pairs(spark, sf_dir):
 
 def _level(long, ranks, m, size):
     """(itemsets of the level before, those of the level by their parents, the same with their items)."""
-    state = paths.states(paths.weighted(paths.filtered(long, ranks)))
+    state = materialize(paths.states(paths.weighted(paths.filtered(long, ranks))))
     found, decoded = None, ranks.select(F.col("rank").alias("id"), F.array("item").alias("items"), "support")
     for k in range(2, size + 1):
-        grown = materialize(mine.grow(state))
-        found = materialize(mine.supported(grown, m).withColumn("id", F.monotonically_increasing_id()))
+        found = materialize(mine.supported(mine.candidates(state), m).withColumn("id", F.monotonically_increasing_id()))
         shorter, decoded = decoded, mine.decode(found, decoded, ranks)
-        state = mine.next_states(grown, found) if k < size else None
+        state = materialize(mine.next_states(state, found)) if k < size else None
     return shorter, found, decoded
 
 
@@ -208,16 +262,6 @@ def decoded_itemsets(spark, sf_dir):
     return shown(got.select(F.col("items").alias("itemset"), "support"))
 
 
-def conditional_tree_local(spark, sf_dir):
-    got = paths.local_conditional_paths(_tree(spark, sf_dir)[0], "purchase", threshold(B2(spark, sf_dir), SHARE["b2"]))
-    return got.select(paths.path_string("path").alias("path"), "w")
-
-
-def tree_print(spark, sf_dir):
-    lines = paths.tree_lines(_tree(spark, sf_dir)[1], 3)
-    return spark.createDataFrame(list(enumerate(lines, 1)), "place bigint, line string")
-
-
 def event_itemsets_grouped(spark, sf_dir):
     """Mined in eight groups of conditional transactions."""
     long = B2(spark, sf_dir)
@@ -231,44 +275,66 @@ def dealt_transactions(spark, sf_dir):
     return x.select("parts", "transactions", (F.col("most") <= F.col("transactions") / 8 * 1.01 + 8).alias("even"))
 
 
-#: Text as the sources read it; the queries write it first.
-LINES = ["# a comment", "", "1 2 3", "  7\t-8  +9 ", "1 2 x 3", "12abc 4", "5 99999999999 5", "3 99999999999999999999 4", "  # no comment to skip blanks for"]
-CSV_LINES = ['milk, whole bread ,,eggs', '"milk, whole",bread', '"say ""hi""",x', ' "a",b"c', '""', ' , ', '"open, quote', 'tail,"q"rest,']
+#: Lines of text made from the orders: the suppliers of an order's lines, in one of eight forms by the order's number.
+_A = "array_join(a, ' ')"
+LINE = f"""CASE l_orderkey % 8 WHEN 0 THEN '# ' || {_A} WHEN 1 THEN '  ' WHEN 2 THEN '  ' || array_join(a, '\\t ')
+ WHEN 3 THEN array_join(slice(a, 1, 2), ' ') || ' x ' || {_A} WHEN 4 THEN {_A} || ' 99999999999999999999 7' WHEN 5 THEN '+' || array_join(a, ' -')
+ WHEN 6 THEN {_A} || 'abc 4' ELSE {_A} END"""
 
 
-def _text(spark, lines):
-    path = scratch_path(spark)
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+def _written(lines):
+    lines.write.text(path := scratch_path(lines.sparkSession))
     return path
 
 
+def _order_lines(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey")
+    by_place = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey")))
+    found = line.groupBy("l_orderkey").agg(F.transform(by_place, lambda s: s["l_suppkey"].cast("string")).alias("a"))
+    return found.select("l_orderkey", F.expr(LINE).alias("value"))
+
+
 def _joined(items_):
     return F.array_join(F.col(items_).cast("array<string>"), " ").alias("items")
 
 
+def _how_often(transactions):
+    return transactions.select(_joined("items")).groupBy("items").agg(F.count("*").alias("n"))
+
+
 def transaction_scan(spark, sf_dir):
-    return src.read_transactions(spark, _text(spark, LINES)).select(F.row_number().over(_by("tid")).alias("place"), _joined("items"))
+    return _how_often(src.read_transactions(spark, _written(_order_lines(spark, sf_dir).select("value"))))
 
 
 def transaction_scan_all_lines(spark, sf_dir):
-    return src.read_transactions(spark, _text(spark, LINES), skip_comments=False).select(F.row_number().over(_by("tid")).alias("place"), _joined("items"))
+    return _how_often(src.read_transactions(spark, _written(_order_lines(spark, sf_dir).select("value")), skip_comments=False))
 
 
 def token_scan(spark, sf_dir):
-    return src.read_text_transactions(spark, _text(spark, LINES)).select(F.row_number().over(_by("tid")).alias("place"), _joined("items"))
+    return _how_often(src.read_text_transactions(spark, _written(_order_lines(spark, sf_dir).select("value"))))
 
 
-def _by(column):
-    return Window.orderBy(column)  # a dozen literal rows
+def basket_format(spark, sf_dir):
+    """Orders written and read by the data source `baskets`, in splits of 10,000 bytes: every line once."""
+    register(spark)
+    path = scratch_path(spark).removeprefix("file:")
+    orders = _order_lines(spark, sf_dir).select(src.parse_items(F.col("value")).alias("items"))
+    orders.write.format("baskets").mode("append").save(path)
+    return _how_often(spark.read.format("baskets").option("splitBytes", 10_000).load(path))
 
 
 def csv_baskets(spark, sf_dir):
-    cells = src.read_csv_baskets(spark, _text(spark, CSV_LINES))
-    return cells.select(F.dense_rank().over(_by("row")).alias("row"), "col", "item")
+    """The cells of a CSV line made of each part, some of them quoted, blank or with quotes inside; rows by their first cell, the part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(' ,"'), "p_name", F.lit(', a ""'), "p_brand", F.lit('""" ,,  '), "p_type", F.lit(' ,"'), "p_type", F.lit('"x,"open, '), "p_brand")
+    cells = src.read_csv_baskets(spark, _written(part.select(line.alias("value"))))
+    own = cells.filter("col = 0").select("row", F.col("item").cast("long").alias("part"))
+    return cells.join(own, "row").select("part", "col", "item")
 
 
 def distinct_itemsets(spark, sf_dir):
-    lines = spark.createDataFrame([(x,) for x in ("3 1 ", "1 3", "", "a 1", "2 2", " 10\t9 ", "9 10 9", "99999999999 1")], "value string")
+    """The itemsets of the orders' lines, whatever the order and repeats of their items; lines with another token have none."""
+    lines = spark.read.text(_written(_order_lines(spark, sf_dir).select("value")))
     return itemsets.parse_itemsets(lines).select(itemsets.item_string(F.col("itemset")).alias("itemset"))
 
 
@@ -315,10 +381,6 @@ def reranked_transactions(spark, sf_dir):
     return encode.rerank_transactions(frame).select("tid", _joined("items"))
 
 
-def candidate_offsets(spark, sf_dir):
-    return paths.offsets(_tree(spark, sf_dir)[1]).select(paths.path_string("prefix").alias("prefix"), F.col("start").cast("long").alias("start"))
-
-
 def single_path_subsets(spark, sf_dir):
     """The chain of the line numbers with their counts."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber")
@@ -367,9 +429,12 @@ def difference_both_ways(spark, sf_dir):
 
 
 def engines_equal(spark, sf_dir):
-    long = B2(spark, sf_dir)
-    m, tx = threshold(long, SHARE["b2_low"]), sets(long)
-    return itemsets.equality(mine.mine(tx, m), mine.mine(tx, m, engine="levels"))
+    """How many itemsets each engine has in common with Spark's miner, by size."""
+    long = B3(spark, sf_dir)
+    m, tx = threshold(long, SHARE["b3"]), materialize(sets(long))
+    base = materialize(mine.mine(tx, m))
+    each = [itemsets.common(base, mine.mine(tx, m, engine=e)).select(F.lit(e).alias("engine"), F.size("itemset").alias("size")) for e in ("levels", "growth", "groups")]
+    return reduce(DataFrame.unionAll, each).groupBy("engine", "size").agg(F.count("*").alias("n"))
 
 
 def thresholds_equal(spark, sf_dir):
@@ -407,19 +472,24 @@ def association_rules(spark, sf_dir):
     return got.select(itemsets.item_string(F.col("antecedent")).alias("antecedent"), "consequent", "support")
 
 
-QUERIES = {
-    "frequent_itemsets_mllib": _mined(B1, SHARE["b1"], "mllib"), "frequent_itemsets_levels": _mined(B1, SHARE["b1"], "levels"),
-    "frequent_itemsets_low_mllib": _mined(B1, SHARE["b1_low"], "mllib"), "frequent_itemsets_low_levels": _mined(B1, SHARE["b1_low"], "levels"),
-    "event_itemsets_mllib": _mined(B2, SHARE["b2_low"], "mllib"), "event_itemsets_levels": _mined(B2, SHARE["b2_low"], "levels"),
-    "attribute_itemsets_mllib": _mined(B3, SHARE["b3"], "mllib"), "attribute_itemsets_levels": _mined(B3, SHARE["b3"], "levels"),
+ENGINES = ("mllib", "levels", "growth", "groups")
+MINED = {
+    "frequent_itemsets": (B1, L1, "b1"), "frequent_itemsets_low": (B1, L1, "b1_low"), "event_itemsets": (B2, L2, "b2_low"), "attribute_itemsets": (B3, L3, "b3"),
 }
-QUERIES |= {f.__name__: f for f in (item_support, frequent_items, dense_histogram, item_rank, distinct_item_count, dictionary_first_seen, dictionary_encoded, dense_rerank, one_hot, filtered_transactions, weighted_paths, tree_nodes, leaf_nodes, flat_tree, header_table, tree_stats, conditional_pattern_base, conditional_tree, candidate_pairs, candidate_offsets, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except, difference_sample, match_score, association_rules)}
-QUERIES |= {f.__name__: f for f in (parent_pointers, decoded_itemsets, conditional_tree_local, tree_print, event_itemsets_grouped, dealt_transactions, transaction_scan, transaction_scan_all_lines, token_scan, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink, encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds, validation_comparison, validation_scores)}
+QUERIES = {f"{name}_{engine}": _mined(basket, SHARE[share], engine) for name, (basket, _, share) in MINED.items() for engine in ENGINES}
+_OTHERS = (
+    item_support, frequent_items, dense_histogram, item_rank, distinct_item_count, dictionary_first_seen, dictionary_encoded, dense_rerank, one_hot,
+    filtered_transactions, candidate_pairs, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except,
+    difference_sample, match_score, association_rules, parent_pointers, decoded_itemsets, event_itemsets_grouped, dealt_transactions, transaction_scan,
+    transaction_scan_all_lines, token_scan, basket_format, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink,
+    encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds, validation_comparison, validation_scores,
+)
+QUERIES |= {f.__name__: f for f in _OTHERS}
+QUERIES |= {f"{f.__name__}{of}": partial(f, of=of) for f in _TREE_QUERIES for of in TREES}
 
-_B2 = lambda rest: _sql(L2, SHARE["b2"], rest)
 _LOW_NOT_HIGH = _eclat(L2, SHARE["b2_low"], f"""SELECT {{}} FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)""")
 SQL = {
-    **{f"{name}_{engine}": _eclat(long, share) for name, long, share in (("frequent_itemsets", L1, SHARE["b1"]), ("frequent_itemsets_low", L1, SHARE["b1_low"]), ("event_itemsets", L2, SHARE["b2_low"]), ("attribute_itemsets", L3, SHARE["b3"])) for engine in ("mllib", "levels")},
+    **{f"{name}_{engine}": _eclat(long, SHARE[share]) for name, (_, long, share) in MINED.items() for engine in ENGINES},
     "item_support": f"SELECT item, count(*) AS support FROM ({L1}) GROUP BY item",
     "frequent_items": _sql(L1, 25, "x AS (SELECT item, count(*) AS support FROM long GROUP BY item)\nSELECT item, support FROM x WHERE support >= (SELECT m FROM thr)"),
     "dense_histogram": "SELECT r.range::BIGINT AS item, count(l_linenumber) AS support FROM range(16) r LEFT JOIN lineitem ON l_linenumber = r.range GROUP BY 1",
@@ -432,19 +502,7 @@ SELECT tid, string_agg(id::VARCHAR, ' ' ORDER BY col, id) AS items FROM c JOIN d
     "dense_rerank": "SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT p_brand AS item FROM part)",
     "one_hot": f"SELECT tid, {', '.join(f'''bool_or(item = '{k}') AS {k}''' for k in ('click', 'error', 'purchase', 'signup', 'view'))} FROM ({L2}) GROUP BY tid",
     "filtered_transactions": _sql(L1, 25, _RANKS + "z AS (SELECT 1)\nSELECT tid, array_to_string(path, ' ') AS path FROM tx"),
-    "weighted_paths": _B2(_RANKS + "z AS (SELECT 1)\nSELECT array_to_string(path, ' ') AS path, w FROM wp"),
-    "tree_nodes": _B2(_NODES + "z AS (SELECT 1)\nSELECT array_to_string(prefix, ' ') AS prefix, item, depth::INT AS depth, support FROM nd"),
-    "leaf_nodes": _B2(_NODES + "z AS (SELECT 1)\nSELECT array_to_string(prefix, ' ') AS prefix, support FROM nd WHERE prefix NOT IN (SELECT prefix[1:depth - 1] FROM nd WHERE depth > 1)"),
-    "flat_tree": _B2(_NODES + "z AS (SELECT 1)\nSELECT a.item, a.depth::INT AS depth, a.support, coalesce(b.item, '') AS up_item, coalesce(b.support, 0) AS up_support FROM nd a LEFT JOIN nd b ON b.prefix = a.prefix[1:a.depth - 1]"),
-    "header_table": _B2(_NODES + "z AS (SELECT 1)\nSELECT item, sum(support)::BIGINT AS support, count(*) AS nodes FROM nd GROUP BY item"),
-    "tree_stats": _B2(_NODES + "z AS (SELECT 1)\nSELECT count(*) AS nodes, coalesce(max(depth), 0)::INT AS depth FROM nd"),
-    "conditional_pattern_base": _B2(_RANKS + "z AS (SELECT path[1:list_position(path, 'purchase') - 1] AS base, w FROM wp WHERE list_position(path, 'purchase') > 1)\nSELECT array_to_string(base, ' ') AS base, sum(w)::BIGINT AS w FROM z GROUP BY base"),
-    "conditional_tree": _B2(_RANKS + """z AS (SELECT row_number() OVER () AS k, path[1:list_position(path, 'purchase') - 1] AS base, w FROM wp WHERE list_position(path, 'purchase') > 1),
-e AS (SELECT k, w, unnest(base) AS item, unnest(range(len(base))) AS pos FROM z), ok AS (SELECT item FROM e GROUP BY item HAVING sum(w) >= (SELECT m FROM thr)),
-y AS (SELECT k, w, string_agg(item, ' ' ORDER BY pos) AS path FROM e WHERE item IN (SELECT item FROM ok) GROUP BY k, w)
-SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
     "candidate_pairs": _sql(L1, SHARE["b1"], "z AS (SELECT 1)\nSELECT a.item || ' ' || b.item AS itemset, count(*) AS support FROM long a JOIN long b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= (SELECT m FROM thr)"),
-    "candidate_offsets": _B2(_NODES + "z AS (SELECT array_to_string(prefix, ' ') AS prefix, item, depth FROM nd)\nSELECT prefix, coalesce(sum(depth - 1) OVER (ORDER BY item, prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z"),
     "single_path_subsets": """WITH c AS (SELECT l_linenumber AS i, count(*) AS n, row_number() OVER (ORDER BY l_linenumber) - 1 AS k FROM lineitem GROUP BY 1),
 m AS (SELECT unnest(range(1, (1 << (SELECT count(*) FROM c)))) AS mask)
 SELECT string_agg(i::VARCHAR, ' ' ORDER BY i) AS itemset, min(n) AS support FROM m JOIN c ON (mask >> k) & 1 = 1 GROUP BY mask HAVING min(n) >= 2""",
@@ -453,13 +511,12 @@ SELECT string_agg(i::VARCHAR, ' ' ORDER BY i) AS itemset, min(n) AS support FROM
     "threshold_intersect": _eclat(L2, SHARE["b2"], "SELECT array_to_string(items, ' ') AS itemset FROM r"),
     "threshold_except": _LOW_NOT_HIGH.replace("{}", "'{' || array_to_string(items, ', ') || '}' AS itemset"),
     "difference_sample": _LOW_NOT_HIGH.replace("{}", "array_to_string(items, ' ') AS itemset") + " ORDER BY len(items), items LIMIT 3",
-    "match_score": _eclat(L2, SHARE["b2"], "SELECT count(*) AS matched, count(*) AS total, 100.0::DOUBLE AS percent FROM r"),
+    "match_score": _eclat(L2, SHARE["b2"], "SELECT count(*) AS matched, count(*) AS total, (100.0::DOUBLE * count(*) / count(*)) AS percent FROM r"),
     "association_rules": _eclat(L2, SHARE["b2"], """, e AS (SELECT items, len(tids) AS n, unnest(items) AS c FROM r WHERE len(items) > 1)
 SELECT array_to_string(list_filter(e.items, lambda x: x <> e.c), ' ') AS antecedent, e.c AS consequent, e.n::BIGINT AS support FROM e JOIN r ON r.items = list_filter(e.items, lambda x: x <> e.c) WHERE e.n / len(r.tids) >= 0.3"""),
 }
 
 
-_VALUES = lambda names, rows: f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({names})"
 SQL |= {
     # a set's items are added from the deepest to the one nearest to the root: the item of least rank comes last
     "parent_pointers": _eclat(L2, SHARE["b2_low"], """, ranks AS (SELECT item, row_number() OVER (ORDER BY len(tids) DESC, item) AS rank FROM f),
@@ -467,20 +524,8 @@ three AS (SELECT items, len(tids) AS n, unnest(items) AS item FROM r WHERE len(i
 root AS (SELECT items, n, arg_min(item, rank) AS item FROM three JOIN ranks USING (item) GROUP BY items, n)
 SELECT array_to_string(list_filter(items, lambda x: x <> item), ' ') AS parent_items, item, n::BIGINT AS support FROM root"""),
     "decoded_itemsets": _eclat(L2, SHARE["b2_low"], "SELECT array_to_string(items, ' ') AS itemset, len(tids)::BIGINT AS support FROM r WHERE len(items) = 3"),
-    "conditional_tree_local": _B2(_RANKS + """z AS (SELECT row_number() OVER () AS k, path[1:list_position(path, 'purchase') - 1] AS base, w FROM wp WHERE list_position(path, 'purchase') > 1),
-e AS (SELECT k, w, unnest(base) AS item FROM z), lr AS (SELECT item, row_number() OVER (ORDER BY sum(w) DESC, item) AS place FROM e GROUP BY item HAVING sum(w) >= (SELECT m FROM thr)),
-y AS (SELECT k, w, string_agg(item, ' ' ORDER BY place) AS path FROM e JOIN lr USING (item) GROUP BY k, w)
-SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
-    "tree_print": _B2(_NODES + """z AS (SELECT prefix, unnest(prefix) AS x, unnest(range(len(prefix))) AS k, item, depth, support FROM nd WHERE depth <= 3),
-y AS (SELECT list(rank ORDER BY k) AS place, z.item, z.depth, z.support FROM z JOIN rk ON rk.item = z.x GROUP BY z.prefix, z.item, z.depth, z.support)
-SELECT row_number() OVER (ORDER BY place) AS place, repeat('  ', (depth - 1)::INT) || item || ' (' || support || ')' AS line FROM y"""),
     "event_itemsets_grouped": _eclat(L2, SHARE["b2_low"]),
-    "dealt_transactions": f"SELECT 8::BIGINT AS parts, count(DISTINCT tid) AS transactions, true AS even FROM ({L2})",
-    "transaction_scan": _VALUES("place, items", ["(1, '1 2 3')", "(2, '7 -8 9')", "(3, '1 2')", "(4, '12')", "(5, '5 99999999999 5')", "(6, '3')"]),
-    "transaction_scan_all_lines": _VALUES("place, items", ["(1, '')", "(2, '')", "(3, '1 2 3')", "(4, '7 -8 9')", "(5, '1 2')", "(6, '12')", "(7, '5 99999999999 5')", "(8, '3')", "(9, '')"]),
-    "token_scan": _VALUES("place, items", ["(1, '1 2 3')", "(2, '7 -8 +9')", "(3, '1 2 x 3')", "(4, '12abc 4')", "(5, '5 99999999999 5')", "(6, '3 99999999999999999999 4')"]),
-    "csv_baskets": _VALUES("row, col, item", ["(1, 0, 'milk')", "(1, 1, 'whole bread')", "(1, 2, 'eggs')", "(2, 0, 'milk, whole')", "(2, 1, 'bread')", "(3, 0, 'say \"hi\"')", "(3, 1, 'x')", "(4, 0, '\"a\"')", "(4, 1, 'b\"c')", "(5, 0, 'open, quote')", "(6, 0, 'tail')", "(6, 1, 'qrest')"]),
-    "distinct_itemsets": _VALUES("itemset", ["('1 3')", "('2')", "('9 10')", "('1 99999999999')"]),
+    "dealt_transactions": f"SELECT least(8, count(DISTINCT tid)) AS parts, count(DISTINCT tid) AS transactions, count(DISTINCT tid) > 0 AS even FROM ({L2})",
     "itemset_sink": _eclat(L2, SHARE["b2_low"], """, d AS (SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT item FROM long)),
 e AS (SELECT items, len(tids) AS n, unnest(items) AS item FROM r)
 SELECT string_agg(id::VARCHAR, ' ' ORDER BY id) || ' (' || n || ')' AS line FROM e JOIN d USING (item) GROUP BY items, n"""),
@@ -495,7 +540,7 @@ SELECT l_orderkey AS tid, string_agg(id::VARCHAR, ' ' ORDER BY l_linenumber, l_s
     "difference_both_ways": _eclat(L2, SHARE["b2_low"], f""", x AS (SELECT items, len(tids) >= (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long) AS high FROM r)
 SELECT 'first' AS side, '{{' || array_to_string(items, ', ') || '}}' AS itemset FROM x WHERE len(items) > 1 AND NOT high
 UNION ALL SELECT 'second', '{{' || array_to_string(items, ', ') || '}}' FROM x WHERE len(items) = 1 AND high"""),
-    "engines_equal": "SELECT true AS same",
+    "engines_equal": _eclat(L3, SHARE["b3"], "SELECT e.engine, len(items)::INT AS size, count(*) AS n FROM r, (VALUES ('levels'), ('growth'), ('groups')) AS e(engine) GROUP BY ALL"),
     "thresholds_equal": _eclat(L2, SHARE["b2_low"], f"SELECT count(*) = 0 AS same FROM r WHERE len(tids) < (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)"),
     "validation_comparison": (_sizes := _eclat(L2, SHARE["b2_low"], f""", x AS (SELECT count(*) AS low, count(*) FILTER (WHERE len(tids) >= (SELECT greatest(2, count(DISTINCT tid) // {SHARE['b2']}) FROM long)) AS high FROM r),
 v AS (SELECT 'low' AS dataset, 'levels' AS engine, low AS common, 0::BIGINT AS only_baseline, 0::BIGINT AS only_engine FROM x
@@ -507,6 +552,66 @@ SELECT matched, total, (100.0::DOUBLE * matched / total) AS percent FROM x"""),
 }
 
 
+def _tree_sql(long: str, share: int, item: str) -> dict[str, str]:
+    """SQL of the tree queries over a basket."""
+    nodes = lambda rest: _sql(long, share, _NODES + rest)
+    base = f"""z AS (SELECT row_number() OVER () AS k, path[1:list_position(path, c.item) - 1] AS base, w FROM wp, (SELECT {item} AS item) c WHERE list_position(path, c.item) > 1)"""
+    # depth-first order: by the ranks of the prefix
+    placed = """pl AS (SELECT prefix, list(rk.rank ORDER BY k) AS place FROM (SELECT prefix, unnest(prefix) AS item, unnest(range(len(prefix))) AS k FROM nd) JOIN rk USING (item) GROUP BY prefix),
+ps AS (SELECT nd.*, row_number() OVER (ORDER BY place) - 1 AS pos FROM nd JOIN pl USING (prefix))
+"""
+    cost = "cl AS (SELECT rank, sum(w * 0 + k)::BIGINT AS cells FROM (SELECT w, unnest(path) AS item, unnest(range(1, len(path) + 1)) AS k FROM wp) JOIN rk USING (item) GROUP BY rank)"
+    group = cost + ",\ngr AS (SELECT rank, cells, floor(coalesce(sum(cells) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8 / (SELECT sum(cells) FROM cl))::BIGINT AS grp FROM cl)"
+    start = "z AS (SELECT array_to_string(prefix, ' ') AS prefix, item, depth FROM nd), st AS (SELECT *, coalesce(sum(depth - 1) OVER (ORDER BY item, prefix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z)\n"
+    return {
+        "weighted_paths": _sql(long, share, _RANKS + "z AS (SELECT 1)\nSELECT array_to_string(path, ' ') AS path, w FROM wp"),
+        "tree_nodes": nodes("z AS (SELECT 1)\nSELECT array_to_string(prefix, ' ') AS prefix, item, depth::INT AS depth, support FROM nd"),
+        "leaf_nodes": nodes("z AS (SELECT 1)\nSELECT array_to_string(prefix, ' ') AS prefix, support FROM nd ANTI JOIN (SELECT DISTINCT prefix[1:depth - 1] AS prefix FROM nd WHERE depth > 1) USING (prefix)"),
+        "flat_tree": nodes(placed + "SELECT a.pos, coalesce(b.pos, -1) AS parent, a.item, a.depth::INT AS depth, a.support FROM ps a LEFT JOIN ps b ON b.prefix = a.prefix[1:a.depth - 1]"),
+        "decoded_tree": nodes(placed + "SELECT pos, array_to_string(prefix, ' ') AS prefix FROM ps"),
+        "header_table": nodes("z AS (SELECT 1)\nSELECT item, sum(support)::BIGINT AS support, count(*) AS nodes FROM nd GROUP BY item"),
+        "tree_stats": nodes("z AS (SELECT 1)\nSELECT count(*) AS nodes, coalesce(max(depth), 0)::INT AS depth FROM nd"),
+        "tree_print": nodes(placed + "SELECT pos + 1 AS place, repeat('  ', (depth - 1)::INT) || item || ' (' || support || ')' AS line FROM ps"),
+        "conditional_pattern_base": _sql(long, share, _RANKS + base + "\nSELECT array_to_string(base, ' ') AS base, sum(w)::BIGINT AS w FROM z GROUP BY base"),
+        "conditional_tree": _sql(long, share, _RANKS + base + """,
+e AS (SELECT k, w, unnest(base) AS item, unnest(range(len(base))) AS pos FROM z), ok AS (SELECT item FROM e GROUP BY item HAVING sum(w) >= (SELECT m FROM thr)),
+y AS (SELECT k, w, string_agg(item, ' ' ORDER BY pos) AS path FROM e WHERE item IN (SELECT item FROM ok) GROUP BY k, w)
+SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
+        "conditional_tree_local": _sql(long, share, _RANKS + base + """,
+e AS (SELECT k, w, unnest(base) AS item FROM z), lr AS (SELECT item, row_number() OVER (ORDER BY sum(w) DESC, item) AS place FROM e GROUP BY item HAVING sum(w) >= (SELECT m FROM thr)),
+y AS (SELECT k, w, string_agg(item, ' ' ORDER BY place) AS path FROM e JOIN lr USING (item) GROUP BY k, w)
+SELECT path, sum(w)::BIGINT AS w FROM y GROUP BY path"""),
+        "candidate_offsets": nodes(start + "SELECT prefix, start FROM st"),
+        "balanced_work": nodes(start + "SELECT least(7, floor(start * 8 / greatest(1, (SELECT sum(depth - 1) FROM st))))::BIGINT AS part, count(*) AS nodes, sum(depth - 1)::BIGINT AS cost FROM st GROUP BY 1"),
+        "item_groups": _sql(long, share, _RANKS + group + "\nSELECT rank, cells, grp FROM gr"),
+        "group_sizes": _sql(long, share, _RANKS + group + """,
+e AS (SELECT path, unnest(path) AS item, unnest(range(1, len(path) + 1)) AS k FROM wp), h AS (SELECT grp, path, max(k) AS k FROM e JOIN rk USING (item) JOIN gr USING (rank) GROUP BY grp, path)
+SELECT grp, count(*) AS paths, sum(len(p))::BIGINT AS cells FROM (SELECT DISTINCT grp, path[1:k] AS p FROM h) GROUP BY grp"""),
+    }
+
+
+for _of, (_long, _share, _item) in {"": (L2, SHARE["b2"], "'purchase'"), "_brands": (L1, SHARE["b1"], "(SELECT item FROM rk ORDER BY rank DESC LIMIT 1)")}.items():
+    SQL |= {f"{name}{_of}": sql for name, sql in _tree_sql(_long, _share, _item).items()}
+
+_ORDERS = "SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS a FROM lineitem GROUP BY l_orderkey"
+_S = "array_to_string(a, ' ')"
+_COUNTED = lambda items, only: f"SELECT {items} AS items, count(*) AS n FROM ({_ORDERS}) WHERE {only} GROUP BY 1"
+_NEGATED = "a[1]::VARCHAR || array_to_string(list_transform(a[2:], lambda x: ' ' || -x), '')"
+_PARSED = f"CASE l_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 3 THEN array_to_string(a[1:2], ' ') WHEN 5 THEN {_NEGATED} ELSE {_S} END"
+_TOKENS = f"""CASE l_orderkey % 8 WHEN 3 THEN array_to_string(a[1:2], ' ') || ' x ' || {_S} WHEN 4 THEN {_S} || ' 99999999999999999999 7' WHEN 5 THEN '+' || array_to_string(a, ' -')
+ WHEN 6 THEN {_S} || 'abc 4' ELSE {_S} END"""
+SQL |= {
+    "transaction_scan": _COUNTED(_PARSED, "l_orderkey % 8 > 1"),
+    "transaction_scan_all_lines": _COUNTED(_PARSED, "true"),
+    "basket_format": _COUNTED(_PARSED, "true"),
+    "token_scan": _COUNTED(_TOKENS, "l_orderkey % 8 > 1"),
+    "csv_baskets": """SELECT p_partkey AS part, c.col, CASE c.col WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN p_name || ', a "' || p_brand || '"' WHEN 2 THEN p_type WHEN 3 THEN p_type || 'x'
+ ELSE 'open, ' || p_brand END AS item FROM part, (SELECT unnest(range(5))::INT AS col) c""",
+    "distinct_itemsets": f"""WITH o AS ({_ORDERS}), x AS (SELECT CASE WHEN l_orderkey % 8 = 5 THEN list_prepend(a[1], list_transform(a[2:], lambda x: -x)) ELSE a END AS a FROM o WHERE l_orderkey % 8 IN (2, 5, 7))
+SELECT DISTINCT array_to_string(list_sort(list_distinct(a)), ' ') AS itemset FROM x""",
+}
+
+
 def queries():
     return dict(QUERIES)
 

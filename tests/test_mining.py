@@ -15,6 +15,9 @@ THIRTEEN = ["1 2 3 4", "1 2 3", "1 2", "2 3 4", "2 3", "1 3", "1 3 4", "1 4", "4
 FIVE = ["6 3 1 4 7 9 13 16", "1 2 3 6 12 13 15", "2 6 8 10 15", "2 3 11 19 16", "1 6 3 5 12 13 16 14"]
 
 
+ENGINES = ("mllib", "levels", "growth", "groups")
+
+
 def brute(rows, least):
     sets, out = [set(r) for r in rows if r is not None], {}
     for s in sets:
@@ -40,7 +43,7 @@ def ints(lines):
 
 @pytest.mark.parametrize(("lines", "least", "n"), [(TEN, 2, 14), (TEN, 3, 11), (TEN, 4, 8), (THIRTEEN, 3, 10), (FIVE, 2, 54), (FIVE, 3, 18)])
 def test_golden_sizes(spark, lines, least, n):
-    for engine in ("mllib", "levels"):
+    for engine in ENGINES:
         found = got(mine.mine(frame(spark, ints(lines)), least, engine=engine))
         assert len(found) == n and found == brute(ints(lines), least)
 
@@ -56,7 +59,8 @@ def test_random_baskets_both_engines(spark):
         rows = [rng.choices(range(-1, 9), k=rng.randint(0, 6)) for _ in range(40)]
         for least in (2, 5):
             want = brute(rows, least)
-            assert got(mine.mine(frame(spark, rows), least)) == want == got(mine.mine(frame(spark, rows), least, engine="levels"))
+            for engine in ENGINES:
+                assert got(mine.mine(frame(spark, rows), least, engine=engine)) == want
 
 
 @pytest.mark.parametrize(
@@ -74,12 +78,12 @@ def test_random_baskets_both_engines(spark):
 )
 def test_edges(spark, rows, least, want):
     want = brute(rows, least) if want is None else want
-    for engine in ("mllib", "levels"):
+    for engine in ENGINES:
         assert got(mine.mine(frame(spark, rows), least, engine=engine)) == want
 
 
 def test_threshold_must_be_positive(spark):
-    for engine in ("mllib", "levels"):
+    for engine in ENGINES:
         with pytest.raises(ValueError, match="at least 1"):
             mine.mine(frame(spark, [[1]]), 0, engine=engine)
     assert all(int(-(-items.relative_support(c, n) * n // 1)) == c for n in range(1, 120) for c in range(1, n + 1))
@@ -136,9 +140,11 @@ def test_paths_and_tree(spark):
     stats = paths.tree_stats(tree).first()
     assert (stats.nodes, stats.depth) == (len({p[:k] for p in got_paths for k in range(1, len(p) + 1)}), 4)
     assert paths.leaves(tree).count() == 5
-    flat = paths.parents(tree).collect()
-    assert {r.parent for r in flat} - {0} <= {r.id for r in flat}
-    assert paths.tree_lines(tree, 2)[:2] == ["2 (8)", "  3 (5)"]
+    flat = paths.flat(tree).orderBy("pos").collect()
+    assert [r.pos for r in flat] == list(range(stats.nodes)) and all(r.parent < r.pos for r in flat)
+    up = {r.pos: r for r in flat}
+    assert all(r.prefix[:-1] == (up[r.parent].prefix if r.parent >= 0 else []) and r.depth == len(r.prefix) for r in flat)
+    assert [r.line for r in paths.tree_lines(tree).orderBy("place").collect()] == ["  " * (r.depth - 1) + f"{r['item']} ({r.support})" for r in flat]
     base = {tuple(s["item"] for s in r.base): r.w for r in paths.pattern_base(found, 1).collect()}
     assert base == {(2, 3): 1, (2, 4): 1, (3, 4): 1, (2, 3, 4): 1, (2,): 1}
     assert {tuple(s["item"] for s in r.path): r.w for r in paths.conditional_paths(found, 1, 4).collect()} == {(2,): 4}
@@ -217,7 +223,7 @@ def test_large_ids_are_ordinary_items(spark, tmp_path):
     (tmp_path / "big.txt").write_text("\n".join(rows))
     read = baskets.read_transactions(spark, f"{tmp_path}/big.txt")
     assert [r["items"] for r in read.orderBy("tid").collect()] == [[1, 99999999999, 3], [99999999999, 3], [3, 99999999999], [2**63 - 1, -(2**63)]]
-    for engine in ("mllib", "levels"):
+    for engine in ENGINES:
         assert got(mine.mine(read, 3, engine=engine)) == {(3,): 3, (99999999999,): 3, (3, 99999999999): 3}
     cells = read.select(F.col("tid").alias("row"), F.posexplode("items").alias("col", "item"))
     assert {r.item for r in encode.dense_rerank(cells).collect()} == {1, 3, 99999999999, 2**63 - 1, -(2**63)}
@@ -278,3 +284,123 @@ def test_validation_of_result_files(spark, tmp_path, capsys):
     got = capsys.readouterr().out.splitlines()
     assert got[:5] == ["lost org: different, common 0, only in py 0, only in org 11", "ten_ms3 org: same, common 11, only in py 0, only in org 0", "ten_ms3 pfp: different, common 8, only in py 3, only in pfp 0", "ten_ms4 none: different, common 0, only in py 8, only in none 0", "ten_ms4 org: different, common 8, only in py 0, only in org 1"]
     assert got[5:] == ["none: 0 of 1 (0.0 %)", "org: 1 of 3 (33.3 %)", "pfp: 0 of 1 (0.0 %)"]
+
+
+def test_growth_projects_until_a_task_can_mine(spark):
+    rng = random.Random(8)
+    rows = [rng.choices(range(12), k=rng.randint(1, 9)) for _ in range(120)] + [[1, 2, 3, 4, 5]] * 9
+    want = brute(rows, 4)
+    assert max(map(len, want)) > 3
+    for cells in (0, 30, 10**6):
+        assert got(mine.mine(frame(spark, rows), 4, engine="growth", local_cells=cells)) == want
+        assert got(mine.mine(frame(spark, rows), 4, engine="groups", local_cells=cells, groups=5)) == want
+
+
+def test_groups_hold_their_share(spark):
+    from tallyloom.operators import growth
+
+    rng = random.Random(9)
+    rows = [rng.choices(range(40), weights=[40 - k for k in range(40)], k=rng.randint(2, 12)) for _ in range(300)]
+    long = baskets.explode_items(frame(spark, rows))
+    found = paths.weighted(paths.filtered(long, paths.ranked_items(long, 2)))
+    dealt = growth.item_groups(found, 6).collect()
+    total = sum(r.cells for r in dealt)
+    bounds = growth._bounds(growth.item_groups(found, 6))
+    shards = growth.group_paths(found, bounds)
+    sizes = {r.grp: r.cells for r in growth.group_sizes(shards).collect()}
+    for g, lo, hi in bounds:
+        own = [r for r in dealt if r.grp == g]
+        assert {r["rank"] for r in own} == set(range(lo, hi + 1))
+        assert sizes[g] <= sum(r.cells for r in own) <= total / 6 + max(r.cells for r in own)
+    # each path once for each group that has an item on it, whole up to the last such item
+    want = {}
+    for r in found.collect():
+        ranks = [s["rank"] for s in r.path]
+        for g, lo, hi in bounds:
+            if at := [k for k, x in enumerate(ranks) if lo <= x <= hi]:
+                key = g, tuple(ranks[: at[-1] + 1])
+                want[key] = want.get(key, 0) + r.w
+    assert {(r.grp, tuple(r.prefix)): r.w for r in shards.collect()} == want
+
+
+def test_a_chain_is_not_walked(spark, monkeypatch):
+    """A transaction of 18 items, repeated: its 2^18 - 1 itemsets come from chains; no step makes states of them."""
+    from tallyloom.operators import growth
+
+    rows, seen = [list(range(18))] * 5, []
+    write = growth.materialize
+
+    def counted(df):
+        out = write(df)
+        if "prefix" in df.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(growth, "materialize", counted)
+    out = mine.mine(frame(spark, rows), 3, engine="growth", local_cells=0)
+    assert out.count() == 2**18 - 1 and out.filter("support = 5").count() == 2**18 - 1
+    assert out.select("itemset").distinct().count() == 2**18 - 1 and sum(seen) <= 2 * 18
+    tree = growth.array_tree([(1, 2, 3), (1, 2)], [2, 3])
+    assert tree == ([1, 2, 3], [-1, 0, 1], [5, 5, 2])
+    assert dict(growth.grown(tree, 2)) == {(1,): 5, (2,): 5, (2, 1): 5, (3,): 2, (3, 1): 2, (3, 2): 2, (3, 2, 1): 2}
+
+
+def test_states_on_disk_are_bounded(spark, monkeypatch):
+    """Chunks of a level are followed one after the other: the states that are on disk at once stay small, the rows the same."""
+    rng = random.Random(3)
+    rows = [rng.choices(range(14), k=9) for _ in range(150)]
+    want, live, most = brute(rows, 5), {}, {}
+    write, drop = mine.materialize, mine.release
+
+    def materialize(df):
+        out = write(df)
+        if "prefix" in df.columns:
+            live[id(out)] = out, out.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+        most[0] = max(most.get(0, 0), sum(n for _, n in live.values()))
+        return out
+
+    def release(*frames):
+        for f in frames:
+            live.pop(id(f), None)
+        drop(*frames)
+
+    monkeypatch.setattr(mine, "materialize", materialize)
+    monkeypatch.setattr(mine, "release", release)
+    found = {}
+    for cells in (10**9, 400):
+        most.clear()
+        assert got(mine.mine(frame(spark, rows), 5, engine="levels", chunk_cells=cells)) == want
+        assert not live
+        found[cells] = most[0]
+    first = sum(len(set(r)) * (len(set(r)) - 1) // 2 for r in rows)
+    assert found[400] < found[10**9] and found[400] <= first + 2 * 400 * max(map(len, want))
+
+
+def test_pointers_of_any_depth(spark):
+    rng = random.Random(5)
+    parent = {k: (None if k % 50 == 0 else rng.randrange(k - k % 50, k)) for k in range(300)}
+    item = {k: f"i{k}" for k in parent}
+    df = spark.createDataFrame([(k, p, item[k]) for k, p in parent.items()], "id long, parent long, item string")
+    for r in mine.decode_pointers(df).collect():
+        way, at = [], r.id
+        while at is not None:
+            way.append(item[at])
+            at = parent[at]
+        assert list(r["items"]) == way[::-1]
+    deep = spark.createDataFrame([(k, k - 1 if k else None, k) for k in range(70)], "id long, parent long, item long")
+    assert {r.id: len(r["items"]) for r in mine.decode_pointers(deep).collect()} == {k: k + 1 for k in range(70)}
+    for rows, why in (([(1, 2, 7), (2, 3, 8), (3, 1, 9), (4, None, 1)], "cycle"), ([(1, 1, 7)], "cycle"), ([(1, 9, 7)], "isn't there")):
+        with pytest.raises(ValueError, match=why):
+            mine.decode_pointers(spark.createDataFrame(rows, "id long, parent long, item long")).collect()
+    assert mine.decode_pointers(deep.limit(0)).count() == 0
+
+
+def test_work_is_balanced_on_a_skewed_tree(spark):
+    rng = random.Random(6)
+    rows = [sorted(rng.sample(range(30), rng.choice([1, 2, 3, 25]))) for _ in range(200)]
+    long = baskets.explode_items(frame(spark, rows))
+    tree = paths.nodes(paths.weighted(paths.filtered(long, paths.ranked_items(long, 1))))
+    by = {r.part: r.cost for r in paths.balanced(tree, 8).groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.col("depth") - 1).alias("cost")).collect()}
+    mean = sum(by.values()) / 8
+    assert len(by) == 8 and max(by.values()) <= 1.1 * mean
+    assert paths.balanced(tree, 3).count() == tree.count()
