@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ TRAIN_WINDOWS, TEXT_WINDOWS, EPOCHS, BATCH = 6_000, 2, 4, 64
 LANGUAGE_WINDOWS = 100
 #: Predicting: windows at once, so that a step's numbers stay in the processor's cache.
 AT_ONCE = 64
+#: Windows that Usual scores at once.
+SCORED = 4_096
 UNKNOWN = "und"
 #: Lengths in bytes at which the level of Usual is set, its distance in standard deviations, and the least number of windows it takes.
 SIZES, SPREADS, LEAST_LEFT = (16, 32, 64, 128, 240), 8.0, 20
@@ -77,11 +79,12 @@ class Usual:
                 self.levels.append(float(got.mean() - SPREADS * got.std()))
 
     def score(self, text: bytes) -> float:
-        codes = pair_codes(text)
-        if not len(codes):
-            return 0.0
-        starts = np.arange(0, len(codes), WINDOW)
-        return float(np.max([np.add.reduceat(log.take(codes), starts) for log in self.log], axis=0).sum() / len(codes))
+        total, step = 0.0, SCORED * WINDOW
+        for at in range(0, len(text) - 1, step):  # long texts by runs of windows
+            codes = pair_codes(text[at : at + step + 1])
+            starts = np.arange(0, len(codes), WINDOW)
+            total += float(np.max([np.add.reduceat(log.take(codes), starts) for log in self.log], axis=0).sum())
+        return total / max(len(text) - 1, 1)
 
     def odd(self, text: bytes) -> bool:
         """Whether a text's score is below the level for its length; texts shorter than the lengths with a level are not."""
@@ -181,40 +184,46 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """A network learned from the rows that aren't held out and have an id, a language and a letter; None without such rows.
 
     The sample is bounded: at most TEXT_WINDOWS windows at hash-random places are drawn from a text, and of these those of least hash: for
-    each language its share of train_windows, and LANGUAGE_WINDOWS at least, so that rare languages are learned too. Only rows whose id has a low hash
-    for their language are opened, some four times as many as are needed. The driver gets the sample and a count for each language.
+    each language its share of train_windows, and LANGUAGE_WINDOWS at least, so that rare languages are learned too. Places and hashes come from id and
+    text together, so rows of one id are as many rows as they have texts, and rows equal in both are one. Only rows of a low hash for their language are
+    opened, some four times as many as are needed by an estimate of its different rows; each task gives a language's least ones, and of
+    these the least are kept before the driver gets them: the sample, and two numbers for each language.
     """
     import xxhash
 
-    x = docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull())
-    x = x.select(F.col(doc_id).cast("string").alias("i"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
-    counts = {r.lang: r["count"] for r in x.groupBy("lang").count().collect()}
-    total = sum(counts.values())
-    take = {k: max(LANGUAGE_WINDOWS, train_windows * n // total) for k, n in counts.items()}
+    x = docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).cast("string").rlike(r"\p{L}"))
+    key = F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("binary"))
+    x = x.select(key.alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
+    sizes = x.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("different")).collect()
+    total = sum(r.n for r in sizes)
+    take = {r.lang: max(LANGUAGE_WINDOWS, train_windows * r.n // total) for r in sizes}
     if not take:
         return None
-    bounds = docs.sparkSession.createDataFrame([(k, int(min(1.0, 4 * take[k] / n) * (1 << 30))) for k, n in counts.items()], "lang string, bound long")
-    x = x.join(F.broadcast(bounds), "lang").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.col("bound")).select("i", "lang", "text")
+    bounds = [(r.lang, take[r.lang], int(min(1.0, 4 * take[r.lang] / max(r.different, 1)) * (1 << 30))) for r in sizes]
+    told = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, take long, bound long"))
+    x = x.join(told, "lang").filter(F.pmod("key", F.lit(1 << 30)) < F.col("bound")).select("key", "lang", "take", "text")
 
     def draw(batches):
+        held: dict[str, dict] = {}
         for batch in slices(batches):
-            rows = []
-            for i, name, t in zip(*(batch.column(k) for k in range(3)), strict=True):
-                t = t.as_py()
-                if not t or not has_letter(t):
+            for k, name, most, t in zip(*(batch.column(c) for c in range(4)), strict=True):
+                own = held.setdefault(name.as_py(), {})
+                seeds = [xxhash.xxh3_64_intdigest(k.as_py().to_bytes(8, "big", signed=True), n) >> 1 for n in range(TEXT_WINDOWS)]
+                if seeds[0] in own or not has_letter(t := t.as_py()):
                     continue
                 w = windows(t)
-                seeds = [xxhash.xxh3_64_intdigest(i.as_py().encode(), k) >> 1 for k in range(TEXT_WINDOWS)]
-                for s in {s % len(w): s for s in seeds}.items():
-                    rows.append((s[1], name.as_py(), w[s[0]].tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], names=["key", "lang", "win"])
-
-    drawn = x.mapInArrow(draw, "key long, lang string, win binary").toArrow()  # about 8 times the sample at most
-    drawn = drawn.sort_by([("key", "ascending"), ("lang", "ascending"), ("win", "ascending")])
-    lang_of = drawn["lang"].to_numpy(zero_copy_only=False).astype(str)
-    kept = [np.flatnonzero(lang_of == k)[: take[k]] for k in sorted(set(lang_of.tolist()))]
-    drawn = drawn.take(pa.array(np.sort(np.concatenate([np.empty(0, np.int64), *kept]))))
+                for seed in {s % len(w): s for s in reversed(seeds)}.values():
+                    own[seed] = w[seed % len(w)].tobytes()
+                if len(own) > 2 * most.as_py() + TEXT_WINDOWS:
+                    held[name.as_py()] = dict(sorted(own.items())[: most.as_py()])
+        for name, own in held.items():
+            cols = [pa.array(list(own), pa.int64()), pa.array([name] * len(own), pa.string()), pa.array(list(own.values()), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["at", "lang", "win"])
+
+    drawn = x.mapInArrow(draw, "at long, lang string, win binary").distinct().join(told, "lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "win"))
+    drawn = drawn.withColumn("place", place).filter(F.col("place") <= F.col("take")).select("at", "lang", "win").toArrow()
+    drawn = drawn.sort_by([("at", "ascending"), ("lang", "ascending"), ("win", "ascending")])
     if not len(drawn):
         return None
     names, y = np.unique(drawn["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
@@ -267,7 +276,12 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
 
 
 def predicted(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, by a network learned from those not held out."""
+    """doc_id, held_out, lang_pred, score of every document, by a network learned from those not held out.
+
+    A null id isn't held out, and such a row isn't learned from; without a row to learn from all are UNKNOWN. Null texts, empty ones and those without a
+    letter are UNKNOWN with score 0. Of languages that tie the first by name is taken. Repeated rows are judged alike, and learned from once; all
+    windows of a long text count. One row out for each row in.
+    """
     return identify(docs.withColumn("held_out", held_out("doc_id")), fit(docs), keep=["doc_id", "held_out"])
 
 

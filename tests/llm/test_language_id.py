@@ -106,3 +106,36 @@ def test_unlearned_languages_and_junk_go(spark, learned):
     assert not {i for i, _, lang in rows if lang is None} & kept
     held = [i for i, _, _ in clean if zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(set(held) & kept) >= 0.99 * len(held)
+
+
+@pytest.mark.parametrize("one", [999_001, 999_003, 999_008, 999_010])
+def test_rows_of_one_id_are_rows(spark, monkeypatch, one):
+    """A language of which all rows have one id is learned, whatever the id; what the driver gets is the sample at most."""
+    rng, got = random.Random(6), []
+    while any(zlib.crc32(str(i).encode()) % 4 == 2 for i in (one, one + 1)):  # held out
+        one += 2
+    train = L.Network.train
+    monkeypatch.setattr(L.Network, "train", lambda self, x, y, **k: got.append((len(x), np.bincount(y))) or train(self, x, y, **k))
+    rows = [(i, " ".join(rng.choices(WORDS["en"], k=30)), "en") for i in range(2_000)]
+    rows += [(one, " ".join(rng.choices(WORDS["fr"], k=30)), "fr") for _ in range(6_000)] + [(one + 1, "der die und nicht über für schön mit eine", "de")] * 3_000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = L.fit(df, train_windows=600)
+    n, by = got[0]
+    assert net.names == ["de", "en", "fr"] and by[0] == 1 and by[1] >= 100 and by[2] >= 250
+    assert n <= sum(max(L.LANGUAGE_WINDOWS, 600 * k // 11_000) for k in (2_000, 6_000, 3_000))
+
+
+def test_a_long_text_is_scored_in_slices(spark, rows):
+    import tracemalloc
+
+    net = L.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    text = ("die und nicht über für schön mit eine auch " * 500_000).encode()[:20_000_000]
+    tracemalloc.start()
+    odd = net.usual.odd(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not odd and peak < 3 * len(text)
+    some, codes = text[:3_000_001], L.pair_codes(text[:3_000_001])
+    starts = np.arange(0, len(codes), L.WINDOW)
+    whole = np.max([np.add.reduceat(log.take(codes), starts) for log in net.usual.log], axis=0).sum() / len(codes)
+    assert abs(net.usual.score(some) - whole) < 1e-3 * abs(whole)
