@@ -54,8 +54,11 @@ NOTICE = "cookies? consent gdpr notices? alerts? popups? newsletter subscribe su
 CHROME = "nav navbar navigation menus? breadcrumbs? side-?bar footer masthead top-?bar toolbar banner modal overlay sign-?up social shar(?:e|ing) related recommended recommendations widgets? login search pagination pager skip-?link"
 WHERE = "site page main top bottom left right primary secondary global user reader post article blog header footer cookie social sticky similar mobile the wp"
 FORM = "wrapper wrap container area list box bar section block inner outer links? widget buttons? icons? form items? thread feed panel row col column unit slot message msg text content posts? articles? stories top bottom left right sidebar menu nav banner notice signup sign-?up subscribe"
-#: Outside of article and main, such a container after other text holds comments; inside it may be a paper's discussion.
-TALK = "discussions? responses respond reactions feedback"
+#: Names that say as much of what is written about: such a container goes only if it isn't text (see is_text).
+BARE = frozenset("search menu menus navigation share sharing social login banner overlay modal widget widgets related recommended recommendations alert alerts notice notices promotion promotions subscription consent".split())
+#: Outside of article and main, such a container after other text holds comments. A discussion may also be a paper's: it does if its
+#: parts name their authors or times.
+TALK, DISCUSSION = "responses respond reactions feedback", "discussions?"
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Marks of one reader's comment, on elements within it.
 BY = re.compile(r"(?:^|[\s-])(?:author|user|username|avatar|date|time|timestamp|byline|meta|posted|reply|nick|name|commenter|poster|by|when|who)(?:$|[\s-])")
@@ -69,14 +72,14 @@ def _names(*kinds: str) -> re.Pattern:
     return re.compile(rf"(?:(?:{word(WHERE)})-)?(?:{'|'.join(word(k) for k in kinds)})(?:-(?:{word(FORM)}|\d+))*\d*")
 
 
-_ADVERT, _NOTICE, _COMMENTS, _UNWANTED, _TALK = _names(ADVERT), _names(ADVERT, NOTICE), _names(COMMENTS), _names(ADVERT, COMMENTS, NOTICE, CHROME), _names(TALK)
+_ADVERT, _NOTICE, _COMMENTS, _UNWANTED, _TALK, _DISCUSSION = _names(ADVERT), _names(ADVERT, NOTICE), _names(COMMENTS), _names(ADVERT, COMMENTS, NOTICE, CHROME), _names(TALK), _names(DISCUSSION)
 _OUTSIDE = re.compile(r"(?:(?:site|top|global|the)-)?header(?:-(?:wrapper|wrap|container|area|bar|inner|top|nav|menu))*\d*")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)(?:>|$)", re.S)
 _MARKS = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "marks", "chars", "tags", "link_chars", "link_tags", "articles", "density", "sum", "best")
+    __slots__ = ("tag", "parent", "kids", "marks", "chars", "tags", "link_chars", "link_tags", "articles", "prose", "named", "cited", "timed", "density", "sum", "best")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = ""):
         self.tag, self.parent, self.kids, self.marks = tag, parent, [], marks  # kids: nodes and strings
@@ -108,7 +111,7 @@ def unwanted(tag: str, names: list[str], other: set[str], inside: bool) -> bool:
         return any(_COMMENTS.fullmatch(x) for x in names)
     if any(x[5:] in ROLES for x in other if x.startswith("role=")):
         return True
-    return any(_UNWANTED.fullmatch(x) or not inside and _OUTSIDE.fullmatch(x) for x in names)
+    return any(x not in BARE and _UNWANTED.fullmatch(x) or not inside and _OUTSIDE.fullmatch(x) for x in names)
 
 
 class Open:
@@ -224,8 +227,8 @@ def parse(page: str) -> Node:
     return opened.path[0]
 
 
-#: Characters between a title that is no h1 and its article at most.
-LITTLE = 300
+#: The share of an article's characters that stands between it and a title that is no h1, at most.
+LITTLE = 0.25
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
@@ -242,18 +245,36 @@ def pages_order(root: Node) -> list[Node]:
     return out
 
 
-def text_of(node: Node, most: int) -> str:
-    """The first characters of a node's text, white space as one space."""
-    parts, n, stack = [], 0, [node]
-    while stack and n < most and len(parts) < 200:
+def text_of(node: Node) -> str:
+    """A node's text, white space as one space."""
+    parts, stack = [], [node]
+    while stack:
         x = stack.pop()
         if isinstance(x, str):
-            parts.append(x[: 4 * most])
-            n += len(parts[-1].strip())
+            parts.append(x)
         else:
-            stack.extend(reversed(x.kids[:200]))
+            stack.extend(reversed(x.kids))
             parts.append(" ")
-    return " ".join("".join(parts).split())[:most]
+    return " ".join("".join(parts).split())
+
+
+def first_words(node: Node) -> str:
+    """The first piece of text in a node."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if not isinstance(x, str):
+            stack.extend(reversed(x.kids))
+        elif not x.isspace():
+            return " ".join(x.split())
+    return ""
+
+
+def is_text(node: Node, root: Node, inside: bool) -> bool:
+    """Whether a container with a name that may be of its subject is the article or a part of it: it holds most of the page's text, or
+    stands in an article and is paragraphs, nearly without links."""
+    plain = node.chars - node.link_chars
+    return 2 * plain >= root.chars - root.link_chars or inside and node.prose > 1 and 10 * node.link_chars <= node.chars
 
 
 def alike(node: Node) -> list[Node]:
@@ -266,32 +287,26 @@ def alike(node: Node) -> list[Node]:
     return most if len(most) > 1 and sum(k.chars for k in most) >= 0.6 * node.chars else []
 
 
-def said_by(node: Node) -> bool:
-    """Whether a part names its author or time, as a reader's comment does."""
-    seen, stack = 0, [node]
-    while stack and seen < 40:
-        x = stack.pop()
-        seen += 1
-        if x is not node and (x.tag in ("time", "cite", "address") or x.marks and BY.search(x.marks)):
-            return True
-        stack.extend(reversed(inner(x)[:40]))
-    return bool(SAID.search(text_of(node, 80)))
+def said_by(node: Node, headed: bool) -> bool:
+    """Whether a part names its author or time, as a reader's comment does. Interviews name the one and histories the other: cite or
+    address, and time, count together, or under a heading of comments."""
+    return node.named or node.cited and node.timed or headed and (node.cited or node.timed) or bool(SAID.search(first_words(node)))
 
 
 def are_comments(node: Node, inside: bool) -> bool:
-    """Whether a container after other text holds reader comments: by name, heading or the form of its parts."""
-    if not inside and any(_TALK.fullmatch(x) for x in node.marks.split()):
-        return True
+    """Whether a container after other text holds reader comments: by heading, or by the form of its parts."""
     like = alike(node)
     first = next((k for k in node.kids if not isinstance(k, str) and k.chars), None)
-    headed = first is not None and first.tag in HEADINGS and first.chars < min(60, node.chars) and TALKS.fullmatch(text_of(first, 80))
-    if headed and not inside:
+    headed = first is not None and first.tag in HEADINGS and first.chars < node.chars and bool(TALKS.fullmatch(text_of(first)))
+    if not inside and (headed or any(_TALK.fullmatch(x) for x in node.marks.split())):
         return True
-    return bool((headed or not inside) and like and sum(map(said_by, like)) >= 0.8 * len(like))
+    called = not inside and any(_DISCUSSION.fullmatch(x) for x in node.marks.split())
+    return bool((headed or not inside) and like and sum(said_by(k, headed or called) for k in like) >= 0.8 * len(like))
 
 
 def without_comments(root: Node) -> bool:
-    """Takes containers of reader comments off the tree, if they come after other text and don't hold the title. Whether there were any."""
+    """Takes containers of reader comments off the tree, if they come after other text and don't hold the title, and those of BARE names that
+    aren't text. Whether there were any."""
     order = pages_order(root)
     title = next((n for n in order if n.tag == "h1" and n.chars), None)
     kept, up = set(), title
@@ -306,7 +321,11 @@ def without_comments(root: Node) -> bool:
             continue
         if node.tag in ("article", "main") or id(node.parent) in inside:
             inside.add(id(node))
-        if before > least and node.chars and node.tag in ("div", "section", "ul", "ol", "dl") and id(node) not in kept and are_comments(node, id(node) in inside):
+        bare = node.marks and node.tag in BLOCK and node.tag not in HEADINGS and node.tag != "article" and any(x in BARE for x in node.marks.split())
+        if bare and id(node) not in kept and node.chars and not is_text(node, root, id(node) in inside):
+            gone.add(id(node))
+            any_gone = True
+        elif before > least and node.chars and node.tag in ("div", "section", "ul", "ol", "dl") and id(node) not in kept and are_comments(node, id(node) in inside):
             gone.add(id(node))
             any_gone = True
         else:
@@ -323,7 +342,8 @@ def weigh(root: Node) -> list[Node]:
     for node in order:
         order.extend(k for k in node.kids if not isinstance(k, str))
     for node in reversed(order):
-        node.chars = node.tags = node.link_chars = node.link_tags = node.articles = 0
+        node.chars = node.tags = node.link_chars = node.link_tags = node.articles = node.prose = 0
+        node.named = node.cited = node.timed = False
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += len("".join(k.split()))
@@ -333,6 +353,10 @@ def weigh(root: Node) -> list[Node]:
                 node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
                 node.articles += k.articles
+                node.prose += k.prose or k.tag == "p" and k.chars > 2 * k.link_chars
+                node.named |= k.named or bool(k.marks and BY.search(k.marks))
+                node.cited |= k.cited or k.tag in ("cite", "address")
+                node.timed |= k.timed or k.tag == "time"
         if node.tag == "a":
             node.link_chars = node.chars
         if node.tag == "article" and node.chars:
@@ -404,10 +428,13 @@ def heart_of(root: Node, order: list[Node]) -> tuple[Node, str]:
 
 
 def titled(top: Node, order: list[Node]) -> list[Node]:
-    """The title before a subtree, if that doesn't hold it, and what stands between; without any h1, an h2 with little between is the title."""
+    """The title before a subtree, if that doesn't hold it, and what stands between; without any h1, the last heading of the highest level before
+    it, with little between, is the title."""
     way = above(top)
     at = {id(n): i for i, n in enumerate(order)}
-    level = "h1" if any(n.tag == "h1" and n.chars for n in order) else "h2"
+    on_way = {id(n) for n in way}
+    before = [n for n in order[: at[id(top)]] if n.tag in HEADINGS and n.chars and id(n) not in on_way]
+    level = "h1" if any(n.tag == "h1" and n.chars for n in order) else min((n.tag for n in before), default="h1")
     if level == "h1" and any(n.tag == "h1" and n.chars for n in pages_order(top)):
         return []
     held = {id(n) for n in way}
@@ -421,9 +448,10 @@ def titled(top: Node, order: list[Node]) -> list[Node]:
     kids = inner(common)
     plain = lambda x: x.chars > 2 * x.link_chars
     between = kids[kids.index(first) + 1 : kids.index(last)]
-    if level == "h2" and sum(x.chars for x in between) > LITTLE:
+    little = LITTLE * top.chars
+    if level != "h1" and sum(x.chars for x in between) > little:
         return []
-    whole = plain(first) and (level == "h1" or first.chars <= title.chars + LITTLE)
+    whole = plain(first) and (level == "h1" or first.chars <= title.chars + little)
     return [first if whole else title, *(x for x in between if x.chars and plain(x))]
 
 

@@ -160,3 +160,49 @@ def test_densities_and_choice_against_brute_force():
             assert got[:3] == want[id(n)][:3] and got[3:] == pytest.approx(want[id(n)][3:])
         blocks_ = [n for n in order if n.tag not in INLINE]
         assert want[id(root.best)][4] == pytest.approx(max(want[id(n)][4] for n in blocks_))
+
+
+SENTENCE = "The committee met on a Tuesday and spoke for hours about the bridge, the river and the road that leads to the mill. "
+
+
+def ps(n, word=""):
+    return "".join(f"<p>{word} {k} {SENTENCE}</p>" for k in range(n))
+
+
+def test_article_text_with_names_of_other_things_stays():
+    said = lambda page: main_text(page).split("\n\n")
+    interview = "<body><h1>Title</h1><p>intro " + SENTENCE + "</p>" + "".join(f"<div class=q><cite>Anna</cite><p>answer {k} {SENTENCE}</p></div>" for k in range(5)) + "</body>"
+    assert sum("answer" in x for x in said(interview)) == 5 and "Title" in said(interview)
+    history = "<body><h1>Title</h1>" + ps(2) + "<ul>" + "".join(f"<li><time>19{k}0</time> event {SENTENCE}</li>" for k in range(5)) + "</ul></body>"
+    assert sum("event" in x for x in said(history)) == 5
+    paper = "<body><h1>Title</h1><div class=methods>" + ps(3, "method") + "</div><div class=discussion>" + ps(3, "matter") + "</div></body>"
+    assert sum("matter" in x for x in said(paper)) == 3 == sum("method" in x for x in said(paper))
+    search = "<body><article><h1>Title</h1>" + ps(2) + "<div class=search>" + ps(3, "index") + "</div></article></body>"
+    assert sum("index" in x for x in said(search)) == 3
+    widgets = "<body><div class=widgets>" + ps(5, "gear") + "</div></body>"
+    assert sum("gear" in x for x in said(widgets)) == 5
+    for level in "23456":
+        page = f"<body><div><h{level}>The heading</h{level}></div><div class=body>" + ps(4) + "</div></body>"
+        assert "The heading" in said(page), level
+
+
+def test_chrome_by_bare_names_goes():
+    links = "".join(f"<li><a href=/{k}>Another story {k}</a></li>" for k in range(6))
+    teasers = "".join(f"<div><a href=/{k}>Another story of many words {k}</a><p>teaser {k} of it</p></div>" for k in range(3))
+    for name in ("related", "share", "social", "search", "menu", "widgets", "recommended", "login"):
+        for inner in (f"<ul>{links}</ul>", teasers, "<p>once only</p>"):
+            for page in (f"<body><article><h1>Title</h1>{ps(4)}<div class={name}>{inner}</div></article></body>", f"<body><div class={name}>{inner}</div><h1>Title</h1>{ps(4)}</body>"):
+                text = main_text(page)
+                assert "Another" not in text and "teaser" not in text and "once" not in text and text.count("committee") == 4, (name, inner)
+
+
+def test_comments_without_article_go():
+    comments = "".join(f"<div class=item><span class=author>Joe {k}</span><p>remark {k} {SENTENCE}</p></div>" for k in range(4))
+    dated = "".join(f"<li><time>May {k}</time> remark {k} {SENTENCE}</li>" for k in range(4))
+    for page in (
+        f"<body><h1>Title</h1>{ps(4)}<div>{comments}</div></body>",
+        f"<body><h1>Title</h1>{ps(4)}<div><h3>4 comments</h3><ul>{dated}</ul></div></body>",
+        f"<body><h1>Title</h1>{ps(4)}<ul class=discussion>{dated}</ul></body>",
+    ):
+        text = main_text(page)
+        assert "remark" not in text and text.count("committee") == 4, page[:200]
