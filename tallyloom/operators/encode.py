@@ -40,3 +40,15 @@ def rerank_transactions(frame: DataFrame, ids: DataFrame | None = None) -> DataF
 def one_hot(long: DataFrame, vocabulary: list | None = None) -> DataFrame:
     """tid and a boolean column for each item of the vocabulary (default: all, ascending). For small vocabularies; mining doesn't use it."""
     return long.groupBy("tid").pivot("item", vocabulary).agg(F.max(F.lit(True))).na.fill(False)
+
+
+def one_hot_sparse(long: DataFrame, ids: DataFrame | None = None, item: str = "item") -> DataFrame:
+    """(tid, size, indices): one-hot rows in the sparse form: the vocabulary's size and the ascending places, from 0, of a transaction's items.
+
+    ids: (item, id) from 1, by default all items in ascending order. For any number of items, for no column is made of one. Items without an id are
+    left out, a transaction of only such has no indices.
+    """
+    ids = materialize(dense_rerank(long, item) if ids is None else ids)
+    size = ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("size")).first().size
+    x = long.join(ids.withColumnRenamed("item", item), item, "left").groupBy("tid")
+    return x.agg(F.array_sort(F.collect_set(F.col("id") - 1)).alias("indices")).select("tid", F.lit(size).cast("long").alias("size"), "indices")

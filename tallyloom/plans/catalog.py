@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.shared import materialize, scratch_path
-from tallyloom.operators import encode, growth, items, itemsets, mine, paths, validation
+from tallyloom.operators import encode, growth, items, itemsets, mine, paths, stored_tree, validation
 from tallyloom.sources import baskets as src
 from tallyloom.sources import sinks
 from tallyloom.sources.basket_format import register
@@ -141,6 +141,22 @@ def one_hot(spark, sf_dir):
     return encode.one_hot(B2(spark, sf_dir))
 
 
+def one_hot_sparse(spark, sf_dir):
+    """The brands of each order as places in the ascending list of all."""
+    x = encode.one_hot_sparse(B1(spark, sf_dir))
+    return x.select("tid", "size", F.array_join(F.col("indices").cast("array<string>"), " ").alias("indices"))
+
+
+def inserted_tree(spark, sf_dir):
+    """The tree of the orders' brands, in three batches of orders merged one after the other, with its leaves."""
+    long = B1(spark, sf_dir)
+    ranks = materialize(paths.ranked_items(long, threshold(long, SHARE["b1"])))
+    path = scratch_path(spark)
+    for k in range(3):
+        stored_tree.insert(spark, path, paths.weighted(paths.filtered(long.filter(F.col("tid") % 3 == k), ranks)))
+    return stored_tree.stored(spark, path).select(paths.path_string("prefix").alias("prefix"), "item", "depth", "support", "leaf")
+
+
 def filtered_transactions(spark, sf_dir):
     long = B1(spark, sf_dir)
     got = paths.filtered(long, paths.ranked_items(long, threshold(long, 25)))
@@ -479,6 +495,7 @@ MINED = {
 QUERIES = {f"{name}_{engine}": _mined(basket, SHARE[share], engine) for name, (basket, _, share) in MINED.items() for engine in ENGINES}
 _OTHERS = (
     item_support, frequent_items, dense_histogram, item_rank, distinct_item_count, dictionary_first_seen, dictionary_encoded, dense_rerank, one_hot,
+    one_hot_sparse, inserted_tree,
     filtered_transactions, candidate_pairs, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except,
     difference_sample, match_score, association_rules, parent_pointers, decoded_itemsets, event_itemsets_grouped, dealt_transactions, transaction_scan,
     transaction_scan_all_lines, token_scan, basket_format, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink,
@@ -501,6 +518,10 @@ d AS (SELECT item, row_number() OVER (ORDER BY min((tid, col)), item) AS id FROM
 SELECT tid, string_agg(id::VARCHAR, ' ' ORDER BY col, id) AS items FROM c JOIN d USING (item) GROUP BY tid""",
     "dense_rerank": "SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT p_brand AS item FROM part)",
     "one_hot": f"SELECT tid, {', '.join(f'''bool_or(item = '{k}') AS {k}''' for k in ('click', 'error', 'purchase', 'signup', 'view'))} FROM ({L2}) GROUP BY tid",
+    "one_hot_sparse": f"""WITH long AS ({L1}), d AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS at FROM (SELECT DISTINCT item FROM long))
+SELECT tid, (SELECT count(*) FROM d) AS size, string_agg(at::VARCHAR, ' ' ORDER BY at) AS indices FROM long JOIN d USING (item) GROUP BY tid""",
+    "inserted_tree": _sql(L1, SHARE["b1"], _NODES + """z AS (SELECT DISTINCT prefix[1:depth - 1] AS up FROM nd WHERE depth > 1)
+SELECT array_to_string(prefix, ' ') AS prefix, item, depth::INT AS depth, support, z.up IS NULL AS leaf FROM nd LEFT JOIN z ON z.up = nd.prefix"""),
     "filtered_transactions": _sql(L1, 25, _RANKS + "z AS (SELECT 1)\nSELECT tid, array_to_string(path, ' ') AS path FROM tx"),
     "candidate_pairs": _sql(L1, SHARE["b1"], "z AS (SELECT 1)\nSELECT a.item || ' ' || b.item AS itemset, count(*) AS support FROM long a JOIN long b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= (SELECT m FROM thr)"),
     "single_path_subsets": """WITH c AS (SELECT l_linenumber AS i, count(*) AS n, row_number() OVER (ORDER BY l_linenumber) - 1 AS k FROM lineitem GROUP BY 1),
