@@ -24,23 +24,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, join_spread, slices, written
+from tallyloom.llm.common import HOT_ROWS, drop_written, join_spread, slices, written
 from tallyloom.llm.components import components
 from tallyloom.llm.shingles import WordHashes, mix, shingle_set
 
 WIDTH, PERCENT = 4, 85
 #: Counters of shingles (a power of two), and kinds of hashes and hashes of each that make a key.
 COUNTERS, KINDS, LEAST = 1 << 18, 4, 3
-#: Shingles that two sets of 32 more shingles must have in common among their first ones.
-MORE = 32
+#: Shingles that two sets of 64 more shingles must have in common among their first ones.
+MORE = 64
 #: Bytes of sets of a block, and of a task's output at once.
 BLOCK_BYTES = 8_000_000
 #: Rows of one shingle (documents times groups) that a task pairs at most, about.
 PAIRED = 1_000_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, documents meet them by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Up to so many shingles that several documents have among their first ones (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_TOKENS = 1_000_000
+#: A counter is crowded if it has over so many times the mean.
+CROWDED = 4
 
 _BITS = np.uint64(64 - (COUNTERS.bit_length() - 1))
 
@@ -131,23 +131,35 @@ def _of_ids(docs: DataFrame, ids: DataFrame):
 
 
 def _first(docs: DataFrame, ids: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(token, id, n): the first shingles of the documents with these ids."""
+    """(token, id, docs): the first shingles of the documents with these ids. docs: 0, or of a shingle in a crowded counter (over HOT_ROWS
+    and CROWDED times the mean) the counter's number; a shingle in another one has that many documents at most."""
     docs, hits = _of_ids(docs, ids)
     told = docs.sparkSession.sparkContext.broadcast(counts)
+    crowded = max(HOT_ROWS, CROWDED * counts.mean())
 
     def run(batches):
         words = WordHashes()
         for batch in slices(batches):
-            tokens, of, sizes = [np.empty(0, np.uint64)], [], []
+            tokens, of = [np.empty(0, np.uint64)], []
             for k in hits(batch.column(0)).tolist():
                 s = shingle_set(words.of(batch.column(1)[k].as_py()), width)
                 if len(s):
                     tokens.append(_ordered(s, told.value)[: first_of(len(s), percent)])
                     of += [k] * len(tokens[-1])
-                    sizes += [len(s)] * len(tokens[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(of, pa.int64())), pa.array(sizes, pa.int64())], names=["token", "id", "n"])
+            tokens = np.concatenate(tokens)
+            count = told.value[(mix(tokens) >> _BITS).astype(np.int64)]
+            cols = [pa.array(tokens.view(np.int64)), batch.column(0).take(pa.array(of, pa.int64())), pa.array(np.where(count > crowded, count, 0))]
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "id", "docs"])
 
-    return docs.mapInArrow(run, "token long, id long, n long")
+    return docs.mapInArrow(run, "token long, id long, docs long")
+
+
+def _met(first: DataFrame) -> DataFrame:
+    """first without the shingles that one row only has among its first ones, docs: how many do. Those of crowded counters stay unseen,
+    so no shingle of the others, which one shuffle brings together, has more rows than a task can take."""
+    x = first.filter("docs = 0").select("token", "id").repartition("token")
+    twice = x.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1")
+    return first.filter("docs > 0").union(x.join(twice, "token").select("token", "id", "docs"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -195,21 +207,22 @@ def _star(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _asked(told: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(id, grp): the groups that a document's first shingles don't rule out. told: (token, id, n); groups: (id, grp, comp)."""
+    """(id, grp): the groups that a document's first shingles don't rule out. told: (token, id); groups: (id, grp, comp, n, most), n and most the
+    least and the largest size of the sets with this id."""
     within = groups.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp")
     within = written(within.agg(F.sum("c").alias("members"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")))
     own = groups.join(within.filter("comps > 1"), "grp").filter("comp <> main").select("id", "grp")
 
     first = written(told.join(groups.join(within, "grp"), "id"))
-    matrix = first.groupBy("token", "grp").agg(F.first("members").alias("members"), F.first("comps").alias("comps"), F.first("main").alias("main"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("rows"))
+    matrix = first.groupBy("token", "grp").agg(F.first("members").alias("members"), F.first("comps").alias("comps"), F.first("main").alias("main"), F.min("n").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("rows"))
     matrix = written(matrix)
     mixed = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.sum("rows").alias("docs")).filter("groups > 1")
     mixed = written(mixed.withColumn("parts", F.ceil(F.col("groups") * F.col("docs") / PAIRED).cast("int")))
-    asking = join_spread(first.select("token", "id", "n", "grp", "members", "comp"), mixed, ["token"], "docs", "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    asking = join_spread(first.select("token", "id", "n", "most", "grp", "members", "comp"), mixed, ["token"], "docs", "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     held = join_spread(matrix, mixed.select("token", "parts", "groups"), ["token"], "groups", "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     held = held.select("token", "part", F.col("grp").alias("to"), F.col("members").alias("to_members"), F.when(F.col("comps") == 1, F.col("main")).alias("to_comp"), "lo", "hi")
     smaller = (F.col("members") < F.col("to_members")) | (F.col("members") == F.col("to_members")) & (F.col("grp") < F.col("to"))
-    sizes = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+    sizes = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("most") >= percent * F.col("lo"))
     apart = F.coalesce(F.col("comp") != F.col("to_comp"), F.lit(True))
     met = asking.join(held, ["token", "part"]).filter(smaller & sizes & apart).groupBy("id", "n", "to").agg(F.count("*").alias("met"))
     need = F.lit(1) + F.floor(F.floor((percent * F.col("n") + 99) / 100) / MORE)
@@ -220,6 +233,7 @@ def _asked(told: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 def _opened(asked: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of documents with members of a group that they ask for, one for each component. groups: (id, grp, comp) of all with sets."""
+    groups = groups.select("id", "grp", "comp")
     sized = groups.join(sets.select("id", "n"), "id")
     size = lambda x, name: x.groupBy("grp").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias(name))
     blocks = written(size(asked.join(sized.select("id", "n"), "id"), "asks").join(size(sized, "holds"), "grp"))
@@ -274,21 +288,19 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     named = reps.filter("id is not null")
 
     # shingles that several documents have among their first ones, and documents with as many of these as they need
+    sizes = own.filter("n > 0").groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"))
     first = written(_first(x, named.select("id").distinct(), counts, width, percent))
-    twice = written(first.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1"))
-    few = twice.count() <= BROADCAST_TOKENS
-    told = first.join(F.broadcast(twice), "token") if few else join_spread(first, twice, ["token"], "docs", "id")
-    told = written(told.select("token", "id", "n", "docs"))
-    drop_written(first, twice)
+    told = written(_met(first))
+    drop_written(first)
     need = F.lit(1) + F.floor(F.floor((percent * F.col("n") + 99) / 100) / MORE)
-    able = told.groupBy("id").agg(F.count("*").alias("has"), F.min("n").alias("n"), F.max(F.struct("docs", "token"))["token"].alias("grp")).filter(F.col("has") >= need)
-    able = written(able.select("id", "grp"))
+    able = told.groupBy("id").agg(F.count("*").alias("has"), F.max(F.struct("docs", "token"))["token"].alias("grp")).join(sizes, "id").filter(F.col("has") >= need)
+    able = written(able.select("id", "grp", "n", "most"))
     sets = written(_sets(x, able.select("id"), width))
 
-    keys = named.join(able, "id", "left_semi").select(F.explode("keys").alias("key"), "id", "n")
+    keys = named.join(able.select("id"), "id", "left_semi").select(F.explode("keys").alias("key"), "id", "n")
     star = written(_star(keys, sets, percent))
     parts = written(components(star))
-    groups = written(able.join(parts, "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
+    groups = written(able.join(parts, "id", "left").select("id", "grp", "n", "most", F.coalesce("component", "id").alias("comp")))
     asked = _asked(told.drop("docs"), groups, percent)
     drop_written(told, parts, able)
     links = written(_opened(asked, groups, sets, percent))

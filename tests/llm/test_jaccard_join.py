@@ -55,7 +55,7 @@ def corpus(seed, n=220, words=140):
 @pytest.mark.parametrize(("seed", "kinds", "block", "ids", "hot"), [(1, 4, 8_000_000, 10**6, 5_000), (2, 0, 3_000, 10**6, 3), (3, 1, 2_000, 0, 20)])
 def test_against_naive(spark, monkeypatch, seed, kinds, block, ids, hot):
     """With fewer kinds of keys less is connected before groups meet; the links are the same."""
-    for name, value in (("KINDS", kinds), ("BLOCK_BYTES", block), ("BROADCAST_IDS", ids), ("PAIRED", 50 * hot), ("BROADCAST_TOKENS", ids)):
+    for name, value in (("KINDS", kinds), ("BLOCK_BYTES", block), ("BROADCAST_IDS", ids), ("PAIRED", 50 * hot), ("HOT_ROWS", (5_000, 0, 2)[seed - 1]), ("CROWDED", 4 if seed == 1 else 0)):
         monkeypatch.setattr(J, name, value)
     monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = corpus(seed) + [(-5, None), (-4, ""), (-3, " \n"), (-2, "one"), (-1, "One"), (7, "a b c d"), (7, "e f g h"), (9, "e f g h i"), (12, "A b c d")]
