@@ -136,25 +136,23 @@ def _grow(base: DataFrame, suffixes: DataFrame, min_support: int, local_cells: i
         named = lambda x: x.join(suffixes, "id")
         chained = inside.join(shape.filter("chain").select("id"), "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "support"))).alias("c"))
         chained = named(chained).select("suffix", F.col("c.rank").alias("items"), F.col("c.support").alias("counts"))
-        out.append(materialize(chain_subsets(chained)))
 
         def alone(key, rows):
             found = grown(array_tree(rows["prefix"].to_pylist(), rows["w"].to_pylist()), min_support, tuple(key[1].as_py()))
             return _table(found)
 
         small = pruned.join(shape.filter((F.col("cells") <= local_cells) & ~F.col("chain")).select("id"), "id")
-        out.append(materialize(named(small).groupBy("id", "suffix").applyInArrow(alone, _FOUND)))
-        large = materialize(shape.filter((F.col("cells") > local_cells) & ~F.col("chain")).select("id"))
-        release(shape)
+        out.append(materialize(chain_subsets(chained).unionAll(named(small).groupBy("id", "suffix").applyInArrow(alone, _FOUND))))
+        large = shape.filter((F.col("cells") > local_cells) & ~F.col("chain")).select("id")
         if large.isEmpty():
-            release(pruned, inside, large, suffixes)
+            release(pruned, inside, shape, suffixes)
             return out
         longer = materialize(named(inside.join(large, "id")).select("id", "rank", "support", F.concat("suffix", F.array("rank")).alias("suffix"), F.monotonically_increasing_id().alias("new")))
         out.append(materialize(longer.select(F.col("suffix").alias("ranks"), "support")))
         deeper = pruned.join(large, "id").select("id", "prefix", "w", F.posexplode("prefix").alias("p", "rank")).filter("p > 0")
         deeper = deeper.join(longer.select("id", "rank", "new"), ["id", "rank"]).select(F.col("new").alias("id"), F.expr("slice(prefix, 1, p)").alias("prefix"), "w")
         base = materialize(deeper.groupBy("id", "prefix").agg(F.sum("w").alias("w")))
-        release(pruned, inside, large, suffixes)
+        release(pruned, inside, shape, suffixes)
         suffixes = materialize(longer.select(F.col("new").alias("id"), "suffix"))
         release(longer)
 
