@@ -518,8 +518,8 @@ d AS (SELECT item, row_number() OVER (ORDER BY min((tid, col)), item) AS id FROM
 SELECT tid, string_agg(id::VARCHAR, ' ' ORDER BY col, id) AS items FROM c JOIN d USING (item) GROUP BY tid""",
     "dense_rerank": "SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT p_brand AS item FROM part)",
     "one_hot": f"SELECT tid, {', '.join(f'''bool_or(item = '{k}') AS {k}''' for k in ('click', 'error', 'purchase', 'signup', 'view'))} FROM ({L2}) GROUP BY tid",
-    "one_hot_sparse": f"""WITH long AS ({L1}), d AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS at FROM (SELECT DISTINCT item FROM long))
-SELECT tid, (SELECT count(*) FROM d) AS size, string_agg(at::VARCHAR, ' ' ORDER BY at) AS indices FROM long JOIN d USING (item) GROUP BY tid""",
+    "one_hot_sparse": f"""WITH long AS ({L1}), d AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS place FROM (SELECT DISTINCT item FROM long))
+SELECT tid, (SELECT count(*) FROM d) AS size, string_agg(place::VARCHAR, ' ' ORDER BY place) AS indices FROM long JOIN d USING (item) GROUP BY tid""",
     "inserted_tree": _sql(L1, SHARE["b1"], _NODES + """z AS (SELECT DISTINCT prefix[1:depth - 1] AS up FROM nd WHERE depth > 1)
 SELECT array_to_string(prefix, ' ') AS prefix, item, depth::INT AS depth, support, z.up IS NULL AS leaf FROM nd LEFT JOIN z ON z.up = nd.prefix"""),
     "filtered_transactions": _sql(L1, 25, _RANKS + "z AS (SELECT 1)\nSELECT tid, array_to_string(path, ' ') AS path FROM tx"),
