@@ -371,6 +371,14 @@ def itemset_sink_parsed(spark, sf_dir):
     return itemsets.parse_itemsets(spark.read.text(path)).select(itemsets.item_string(F.col("itemset")).alias("itemset"))
 
 
+def relabelled_itemsets(spark, sf_dir):
+    """Mined as dense ids, shown by their names."""
+    long = B2(spark, sf_dir)
+    ids = materialize(encode.dense_rerank(long))
+    found = mine.mine(sets(long.join(ids, "item").select("tid", F.col("id").alias("item"))), threshold(long, SHARE["b2_low"]), engine="growth")
+    return shown(itemsets.relabel(found, ids))
+
+
 def count_sink(spark, sf_dir):
     path = scratch_path(spark)
     sinks.write_counts(dense_histogram(spark, sf_dir), path)
@@ -498,7 +506,7 @@ _OTHERS = (
     one_hot_sparse, inserted_tree,
     filtered_transactions, candidate_pairs, single_path_subsets, itemsets_of_size_2, itemset_size_histogram, threshold_intersect, threshold_except,
     difference_sample, match_score, association_rules, parent_pointers, decoded_itemsets, event_itemsets_grouped, dealt_transactions, transaction_scan,
-    transaction_scan_all_lines, token_scan, basket_format, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, count_sink, dictionary_sink,
+    transaction_scan_all_lines, token_scan, basket_format, csv_baskets, distinct_itemsets, itemset_sink, itemset_sink_parsed, relabelled_itemsets, count_sink, dictionary_sink,
     encoded_sink, reranked_transactions, difference_both_ways, engines_equal, thresholds_equal, match_score_thresholds, validation_comparison, validation_scores,
 )
 QUERIES |= {f.__name__: f for f in _OTHERS}
@@ -546,6 +554,7 @@ root AS (SELECT items, n, arg_min(item, rank) AS item FROM three JOIN ranks USIN
 SELECT array_to_string(list_filter(items, lambda x: x <> item), ' ') AS parent_items, item, n::BIGINT AS support FROM root"""),
     "decoded_itemsets": _eclat(L2, SHARE["b2_low"], "SELECT array_to_string(items, ' ') AS itemset, len(tids)::BIGINT AS support FROM r WHERE len(items) = 3"),
     "event_itemsets_grouped": _eclat(L2, SHARE["b2_low"]),
+    "relabelled_itemsets": _eclat(L2, SHARE["b2_low"]),
     "dealt_transactions": f"SELECT least(8, count(DISTINCT tid)) AS parts, count(DISTINCT tid) AS transactions, count(DISTINCT tid) > 0 AS even FROM ({L2})",
     "itemset_sink": _eclat(L2, SHARE["b2_low"], """, d AS (SELECT item, row_number() OVER (ORDER BY item) AS id FROM (SELECT DISTINCT item FROM long)),
 e AS (SELECT items, len(tids) AS n, unnest(items) AS item FROM r)

@@ -27,8 +27,10 @@ def write_transactions(frame: DataFrame, path: str) -> None:
 
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """`name id` a line; names may hold spaces, the id comes last."""
-    dictionary.select(F.concat_ws(" ", "item", F.col("id").cast("string")).alias("value")).write.text(path)
+    """`name id` a line; names may hold spaces, the id comes last. A name with a line end is an error: it would be two lines."""
+    broken = F.raise_error(F.concat(F.lit("a name with a line end, of id "), F.col("id").cast("string"))).cast("string")
+    name = F.when(F.col("item").cast("string").rlike(r"[\n\r]"), broken).otherwise(F.col("item").cast("string"))
+    dictionary.select(F.concat_ws(" ", name, F.col("id").cast("string")).alias("value")).write.text(path)
 
 
 def read_dictionary(spark, path: str) -> DataFrame:

@@ -119,6 +119,8 @@ def test_csv_dictionary(spark, tmp_path):
     assert sorted(r["items"] for r in coded.collect()) == [[1, 2, 3], [3, 1, 1], [4]]
     sinks.write_dictionary(names, f"{tmp_path}/d")
     assert {(r.item, r.id) for r in sinks.read_dictionary(spark, f"{tmp_path}/d").collect()} == {(r.item, r.id) for r in names.collect()}
+    with pytest.raises(Exception, match="line end"):
+        sinks.write_dictionary(spark.createDataFrame([("two\nlines", 1)], "item string, id bigint"), f"{tmp_path}/broken")
     found = mine.mine(coded, 2)
     assert got(itemsets.relabel(found.withColumn("itemset", F.col("itemset").cast("array<int>")), names)) == {("milk",): 2, ("eggs",): 2, ("eggs", "milk"): 2}
 
