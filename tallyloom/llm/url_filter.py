@@ -68,22 +68,25 @@ def gram_slots(host: Column) -> Column:
 FEATURES = ("f_url_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digit_ratio", "f_host_digit_ratio", "f_hyphens", "f_host_entropy", "f_longest_label", "f_params", "f_query_length", "f_suffix_blocked", "f_suffix_known", "f_gram_odds")
 
 
-def statistics(labelled: DataFrame, share: float) -> DataFrame:
-    """(kind, suffix, blocked, known) of TRAIN_ROWS labelled rows (host, label) at most, share of them to block: the share by suffix, and by
+def statistics(labelled: DataFrame, share: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, kind, suffix, blocked, known), apart for each value of the columns `by`, of TRAIN_ROWS labelled rows (host, label) at most, share of them to block: the share by suffix, and by
     slot of four characters (kind gram, the slot as text) their log odds against the overall ones. One task counts them, without a shuffle."""
     grams = F.transform(F.array_distinct(gram_slots(F.col("host"))), lambda i: F.struct(F.lit("gram").alias("kind"), i.cast("string").alias("suffix")))
     both = F.concat(F.array(F.struct(F.lit("suffix").alias("kind"), suffix_of(F.col("host")).alias("suffix"))), grams)
-    x = labelled.coalesce(1).select(F.explode(both).alias("of"), "label").groupBy("of.kind", "of.suffix").agg(F.sum("label").alias("n"), F.count("*").alias("known"))
+    x = labelled.coalesce(1).select(*by, F.explode(both).alias("of"), "label")
+    x = x.groupBy(*by, "of.kind", "of.suffix").agg(F.sum("label").alias("n"), F.count("*").alias("known"))
     part = lambda w: (F.col("n") + w * F.lit(share)) / (F.col("known") + w)
     odds = F.log(part(GRAM_PRIOR) / (1 - part(GRAM_PRIOR))) - F.log(F.lit(share) / (1 - F.lit(share))) if 0 < share < 1 else F.lit(0.0)
-    return x.select("kind", "suffix", F.when(F.col("kind") == "gram", odds).otherwise(part(PRIOR)).alias("blocked"), "known")
+    return x.select(*by, "kind", "suffix", F.when(F.col("kind") == "gram", odds).otherwise(part(PRIOR)).alias("blocked"), "known")
 
 
-def with_features(urls: DataFrame, url: str, host: str, path: str, suffixes: DataFrame) -> DataFrame:
-    """Adds FEATURES; suffixes: the statistics() of the labelled URLs."""
-    odds = {int(r.suffix): r.blocked for r in suffixes.filter("kind = 'gram'").collect()}
+def with_features(urls: DataFrame, url: str, host: str, path: str, suffixes: DataFrame, fold: str | None = None) -> DataFrame:
+    """Adds FEATURES; suffixes: the statistics() of the labelled URLs, by the column `fold` (from 0, below FOLDS) if there is one: a row takes its fold's."""
+    odds = {int(r.suffix) + (r[fold] * SLOTS if fold else 0): r.blocked for r in suffixes.filter("kind = 'gram'").collect()}
     suffixes = suffixes.filter("kind = 'suffix'").drop("kind")
-    table = F.split(F.lit(" ".join(f"{odds[i]:.6g}" if i in odds else "0" for i in range(SLOTS))), " ").cast("array<double>")  # a constant
+    slots = SLOTS * FOLDS if fold else SLOTS
+    table = F.split(F.lit(" ".join(f"{odds[i]:.6g}" if i in odds else "0" for i in range(slots))), " ").cast("array<double>")  # a constant
+    first = F.col(fold) * SLOTS if fold else F.lit(0)
     u, h, p = F.coalesce(F.col(url), F.lit("")), F.col(host), F.col(path)
     digits = lambda s: F.length(F.regexp_replace(s, "[^0-9]", "")) / F.greatest(F.length(s), F.lit(1))
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
@@ -93,9 +96,12 @@ def with_features(urls: DataFrame, url: str, host: str, path: str, suffixes: Dat
         "f_digit_ratio": digits(u), "f_host_digit_ratio": digits(h), "f_hyphens": F.length(h) - F.length(F.replace(h, F.lit("-"), F.lit(""))),
         "f_host_entropy": entropy(h), "f_longest_label": F.array_max(F.transform(F.split(h, r"\."), lambda x: F.length(x))),
         "f_params": F.size(F.filter(F.split(query, "&"), lambda x: x != "")), "f_query_length": F.length(query),
-        "f_gram_odds": F.aggregate(F.array_distinct(gram_slots(h)), F.lit(0.0), lambda a, i: a + F.get(table, i)),
+        "f_gram_odds": F.aggregate(F.array_distinct(gram_slots(h)), F.lit(0.0), lambda a, i: a + F.get(table, i + first)),
     }
-    x = urls.join(F.broadcast(suffixes), suffix_of(h) == F.col("suffix"), "left").drop("suffix")
+    own = suffix_of(h) == F.col("suffix")
+    if fold:
+        suffixes, own = suffixes.withColumnRenamed(fold, "fold_of"), own & (F.col(fold) == F.col("fold_of"))
+    x = urls.join(F.broadcast(suffixes), own, "left").drop("suffix", "fold_of")
     made |= {"f_suffix_blocked": F.coalesce(F.col("blocked"), F.lit(0.5)), "f_suffix_known": F.coalesce(F.col("known"), F.lit(0))}
     return x.withColumns({k: v.cast("double") for k, v in made.items()}).drop("blocked", "known")
 
@@ -106,8 +112,8 @@ BAIT = "poker bonus loan jackpot viagra xxx escort lottery slots roulette replic
 
 
 #: Suffixes of the made-up hosts, the usual ones first, and how often a wanted and an unwanted host has one of the others.
-USUAL, OTHER = ("com", "org", "net", "edu", "gov", "de", "example.com", "example.net", "example.org"), ("biz", "info", "xyz", "top", "click", "online")
-RARE = (0.1, 0.35)
+USUAL, OTHER = ("com", "org", "net", "edu", "gov", "de", "fr", "es", "example.com", "example.net", "example.org"), ("biz", "info", "xyz", "top", "click", "online")
+RARE = (0.04, 0.35)
 
 
 def seed_urls(spark: SparkSession, seed: int = 5, each: int = 900) -> DataFrame:
@@ -115,14 +121,15 @@ def seed_urls(spark: SparkSession, seed: int = 5, each: int = 900) -> DataFrame:
 
     Both kinds have hosts with and without hyphens and digits, and the same schemes, subdomains, suffixes, depths and parameters; unwanted
     ones have more of each, and the rarer suffixes. What tells a URL is one of six things in turn: a hyphen between syllables that say nothing; one word of PLAIN or BAIT
-    beside such syllables; two words (twice); many digits; or many parameters. The others are as in the other class, but for some noise. Pairs of words whose crc32 leaves 0
-    when divided by 4 are left out, to test with.
+    beside such syllables; two words (twice); many digits; or a rare suffix, which the wanted ones of its kind haven't. The others are as in the other class, but for some noise.
+    Many parameters are as frequent in both classes, so that a search form's URL isn't blocked for them. Pairs of words whose crc32 leaves 0 when divided by 4 are left
+    out, to test with.
     """
     rng = random.Random(seed)
     syllable = lambda: "".join(rng.choice(x) for x in ("bcdfghjklmnprstvwz", "aeiou", "lmnrst"))
     said = lambda n: "".join(syllable() for _ in range(n))
     rows = []
-    for label, words, hyphen, digit, query in ((0, PLAIN, 0.3, 0.15, 0.35), (1, BAIT, 0.7, 0.35, 0.55)):
+    for label, words, hyphen, digit in ((0, PLAIN, 0.3, 0.15), (1, BAIT, 0.7, 0.35)):
         pairs = [(a, b) for a in words for b in words if a != b and zlib.crc32(f"{a}{b}".encode()) % 4]
         for i in range(each):
             kind, (a, b) = i % 6, rng.choice(pairs)
@@ -133,9 +140,9 @@ def seed_urls(spark: SparkSession, seed: int = 5, each: int = 900) -> DataFrame:
             dash = rng.random() < (0.94 * label + 0.03 if kind == 0 else 0.04 if kind > 3 else hyphen)
             digits = str(rng.randrange(10**3, 10**7)) if kind == 4 and rng.random() < 0.98 * label + 0.01 else str(rng.randrange(2, 100)) if rng.random() < digit else ""
             name = (digits if rng.random() < 0.2 else "") + a + "-" * dash + b + digits
-            sub, top = rng.choice(["", "", "www.", "m.", "blog."]), rng.choice(OTHER if rng.random() < RARE[label] else USUAL)
+            sub, top = rng.choice(["", "", "www.", "m.", "blog."]), rng.choice(OTHER if rng.random() < (0.98 * label + 0.01 if kind == 5 else RARE[label]) else USUAL)
             path = "".join(f"/{x}" for x in rng.sample(["en", "de", "fr", "es", "news", str(rng.randrange(1000)), "item"], rng.randrange(4)))
-            n = rng.randrange(3, 8) if kind == 5 and rng.random() < 0.98 * label + 0.01 else rng.randrange(1, 3) if rng.random() < query else 0
+            n = rng.choice([0, 0, 0, 1, 1, 2, 2, rng.randrange(3, 9), rng.randrange(3, 9)])
             tail = "?" + "&".join(f"{rng.choice(['page', 'ref', 'id', 'a', 'b', 'q'])}={rng.randrange(100)}" for _ in range(n)) if n else rng.choice(["", ".html", "/", "#top"]) if path else ""
             rows.append((f"http{rng.choice(['', 's'])}://{sub}{name}.{top}{path}{tail}", label))
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {label})" for u, label in rows) + " AS t(url, label)")
@@ -178,9 +185,9 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", rows: int
     if not n or share in (0.0, 1.0):
         return F.lit(2.0 * (share or 0.0) - 1), suffixes
     # a row's own label has no part in its statistics, as with URLs that aren't labelled
-    x = x.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))).coalesce(1).cache()
-    parts = [with_features(x.filter(F.col("fold") == i), "url", "host", "path", statistics(x.filter(F.col("fold") != i), share)) for i in range(FOLDS)]
-    made = reduce(DataFrame.unionAll, parts).coalesce(1)
+    x = x.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")).coalesce(1).cache()
+    others = x.withColumn("of_fold", F.explode(F.array(*map(F.lit, range(FOLDS))))).filter("of_fold <> fold").drop("fold").withColumnRenamed("of_fold", "fold")
+    made = with_features(x, "url", "host", "path", statistics(others, share, ("fold",)), "fold").coalesce(1)
     seen = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made).select("features", "label").cache()
     model = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=0.5, seed=11, minInstancesPerNode=5).fit(seen)
     seen.unpersist()
@@ -191,8 +198,10 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", rows: int
 def url_filter(urls: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (None: all) with host, path, rule, verdict (allow or block: the rule's, else the trees') and score (over 0: block).
 
-    A null url or one without :// has an empty host and path, fits no rule and is judged by the trees like any other. Columns of `keep`
-    with the new names are replaced. One row out for each row in; an empty table stays empty.
+    A null url or one without :// has an empty host and path, fits no rule and is judged by the trees like any other; a score of exactly 0
+    allows. A url of any length is read whole. Repeated rows each have a row, with the same verdict. Of rules of
+    one length that both fit, the later one by text wins. Columns of `keep` with the new names are replaced. One row out for each row in; an
+    empty table stays empty.
     """
     score, suffixes = train(labelled)
     new = ["host", "path", "rule", "verdict", "score"]
