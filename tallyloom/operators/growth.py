@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.shared import materialize, release, running_sums
 from tallyloom.operators.items import check_support
 from tallyloom.operators.mine import itemsets_of
-from tallyloom.operators.paths import filtered, ranked_items, states, weighted
-from tallyloom.sources.baskets import explode_items
+from tallyloom.operators.paths import merged_paths, states
 
 #: Items in the paths of a projection or a group that one task mines (8 bytes each).
 LOCAL_CELLS = 500_000
@@ -157,18 +156,6 @@ def _grow(base: DataFrame, suffixes: DataFrame, min_support: int, local_cells: i
         release(longer)
 
 
-def _start(frame: DataFrame, min_support: int, items: str, tid: str | None) -> tuple[DataFrame, DataFrame]:
-    """Weighted paths and ranks of the transactions."""
-    check_support(min_support)
-    if tid is None:
-        frame, tid = frame.withColumn("tid", F.monotonically_increasing_id()), "tid"
-    long = materialize(explode_items(frame, items, tid).withColumnRenamed(tid, "tid"))
-    ranks = materialize(ranked_items(long, min_support))
-    paths = materialize(weighted(filtered(long, ranks)))
-    release(long)
-    return paths, ranks
-
-
 def _named(tables: list[DataFrame], ranks: DataFrame) -> DataFrame:
     """(itemset, support) of (ranks, support)."""
     singles = ranks.select(F.array("rank").alias("ranks"), "support")
@@ -180,7 +167,7 @@ def _named(tables: list[DataFrame], ranks: DataFrame) -> DataFrame:
 
 def mine_growth(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """(itemset, support) as mine_mllib, by conditional projections of Spark jobs, each of at most local_cells in one task."""
-    paths, ranks = _start(frame, min_support, items, tid)
+    paths, ranks = merged_paths(frame, check_support(min_support), items, tid)
     base = materialize(states(paths).filter(F.size("prefix") > 0))
     release(paths)
     suffixes = materialize(ranks.select(F.col("rank").alias("id"), F.array("rank").alias("suffix")))
@@ -226,7 +213,7 @@ def mine_groups(frame: DataFrame, min_support: int, items: str = "items", tid: s
 
     What a group holds is counted first: one of over local_cells isn't given to a task, but its items' projections go to mine_growth's jobs.
     """
-    paths, ranks = _start(frame, min_support, items, tid)
+    paths, ranks = merged_paths(frame, check_support(min_support), items, tid)
     bounds = _bounds(item_groups(paths, groups))
     shards = materialize(group_paths(paths, bounds)) if bounds else None
     if shards is None:

@@ -17,17 +17,17 @@ def check_support(min_support: int) -> int:
     return int(min_support)
 
 
-def item_support(long: DataFrame) -> DataFrame:
-    """(item, support): in how many transactions each item is. long: (tid, item) without repeated rows.
+def item_support(long: DataFrame, weight: str | None = None) -> DataFrame:
+    """(item, support): in how many transactions each item is. long: (tid, item) without repeated rows; weight: how many transactions a tid stands for.
 
     Counts are summed before the shuffle, so an item in most transactions costs one row a task.
     """
-    return long.filter("item is not null").groupBy("item").agg(F.count("*").alias("support"))
+    return long.filter("item is not null").groupBy("item").agg((F.sum(weight) if weight else F.count("*")).alias("support"))
 
 
-def frequent_items(long: DataFrame, min_support: int) -> DataFrame:
+def frequent_items(long: DataFrame, min_support: int, weight: str | None = None) -> DataFrame:
     """Items with at least min_support transactions (inclusive)."""
-    return item_support(long).filter(F.col("support") >= check_support(min_support))
+    return item_support(long, weight).filter(F.col("support") >= check_support(min_support))
 
 
 def dense_histogram(long: DataFrame, size: int, item: str = "item") -> DataFrame:

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from tallyloom.functions.shared import materialize, release, running_sums
 from tallyloom.operators.itemsets import canonical
 from tallyloom.operators.items import check_support, relative_support
-from tallyloom.operators.paths import BROADCAST_ITEMS, filtered, ranked_items, states, weighted
-from tallyloom.sources.baskets import explode_items
+from tallyloom.operators.paths import BROADCAST_ITEMS, merged_paths, states
 
 #: Up to so many itemsets of a level (three numbers each) are broadcast to its states.
 BROADCAST_ITEMSETS = 200_000
 #: Items in the states of a level that are made at once (8 bytes each).
 CHUNK_CELLS = 2_000_000_000
+#: Items of the transactions in a partition of Spark's miner (some 10 to 20 bytes each in memory), and equal transactions that are dealt out together.
+TASK_CELLS, PIECE = 4_000_000, 1_000
 #: Items of a single path at most (their subsets are numbered in 60 bits), and of one step.
 MOST_CHAIN, CHAIN_STEP = 60, 15
 
@@ -35,17 +36,28 @@ def _empty(frame: DataFrame, items: str) -> DataFrame:
 def mine_mllib(frame: DataFrame, min_support: int, items: str = "items", partitions: int | None = None) -> DataFrame:
     """Itemsets in at least min_support transactions (sets: repeated items count once; null arrays don't count).
 
-    The transactions are written once, for they are counted, mined and perhaps mined again; partitions: groups of conditional transactions.
+    The miner has no weights and keeps its transactions in memory: it gets each as the ranks of its frequent items, in as many partitions as
+    there are TASK_CELLS of them, whatever the partitions of the input. partitions: groups of conditional transactions.
     """
     check_support(min_support)
-    sets = materialize(frame.filter(F.col(items).isNotNull()).select(F.array_distinct(F.array_compact(items)).alias("items")))
-    n = sets.count()
-    if n < min_support:  # the miner itself refuses a share above 1
-        release(sets)
+    found, ranks = merged_paths(frame, min_support, items)
+    n, cells = found.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("w") * F.size("path")), F.lit(0))).first()
+    if not n:
+        release(found, ranks)
         return _empty(frame, items)
-    miner = FPGrowth(itemsCol="items", minSupport=relative_support(min_support, n))
-    model = (miner.setNumPartitions(partitions) if partitions else miner).fit(sets)
-    return model.freqItemsets.select(F.array_sort("items").alias("itemset"), F.col("freq").alias("support"))
+    least = max(found.sparkSession.sparkContext.defaultParallelism, -(-cells // TASK_CELLS))
+    miner = FPGrowth(itemsCol="items", minSupport=relative_support(min_support, n), numPartitions=partitions or least)
+    model = miner.fit(repeated(found.select(F.transform("path", lambda s: s["rank"].cast("int")).alias("items"), "w"), least))
+    out = materialize(itemsets_of(model.freqItemsets.select("items", F.col("freq").alias("support")), ranks))
+    release(found, ranks)
+    return out
+
+
+def repeated(sets: DataFrame, n: int) -> DataFrame:
+    """(items): each of (items, w) w times, in n partitions. They are dealt out in pieces of at most PIECE, so a frequent set is in many partitions."""
+    x = sets.select("items", "w", F.explode(F.expr(f"sequence(0L, w - 1, {PIECE}L)")).alias("at"))
+    x = x.select("items", F.least(F.lit(PIECE), F.col("w") - F.col("at")).alias("k")).repartition(n)
+    return x.select("items", F.explode(F.expr("sequence(1L, k)")).alias("_")).select("items")
 
 
 def candidates(state: DataFrame) -> DataFrame:
@@ -114,14 +126,10 @@ def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: s
     Itemsets are pointers to their parents, and decoded once at the end. The driver sees counts only.
     """
     check_support(min_support)
-    if tid is None:
-        frame, tid = frame.withColumn("tid", F.monotonically_increasing_id()), "tid"
-    long = materialize(explode_items(frame, items, tid).withColumnRenamed(tid, "tid"))
-    ranks = materialize(ranked_items(long, min_support))
+    found, ranks = merged_paths(frame, min_support, items, tid)
     named = lambda step, i: F.struct(F.lit(step).alias("step"), i.alias("i"))
-    first = states(weighted(filtered(long, ranks))).filter(F.size("prefix") > 0).withColumn("id", named(0, F.col("id")))
-    first = materialize(first)
-    release(long)
+    first = materialize(states(found).filter(F.size("prefix") > 0).withColumn("id", named(0, F.col("id"))))
+    release(found)
     single = ranks.select(named(0, F.col("rank")).alias("id"), "rank", "support")
     levels = [single.select("id", F.lit(None).cast(single.schema["id"].dataType).alias("parent"), "rank", "support")]
 

@@ -9,30 +9,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.shared import materialize, row_numbers, running_sums
-from tallyloom.operators.items import frequent_items, ranked
+from tallyloom.functions.shared import materialize, release, row_numbers, running_sums
+from tallyloom.operators.items import check_support, frequent_items, ranked
+from tallyloom.sources.baskets import baskets, explode_items
 
 #: Up to so many frequent items (an item and two numbers each), ranks are broadcast to the filter; beyond, they are joined by a shuffle.
 BROADCAST_ITEMS = 1_000_000
 
 
-def ranked_items(long: DataFrame, min_support: int) -> DataFrame:
-    return ranked(frequent_items(long, min_support))
+def ranked_items(long: DataFrame, min_support: int, weight: str | None = None) -> DataFrame:
+    return ranked(frequent_items(long, min_support, weight))
 
 
-def filtered(long: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(tid, path): each transaction's ranked items, most frequent first; transactions without any are dropped.
+def filtered(long: DataFrame, ranks: DataFrame, weight: str | None = None) -> DataFrame:
+    """(tid, path): each transaction's ranked items, most frequent first; transactions without any are dropped. With their weight, if long has one.
 
     path: array of structs (rank, item). The ranks are counted before they are broadcast.
     """
     near = F.broadcast(ranks) if ranks.count() <= BROADCAST_ITEMS else ranks
-    kept = long.join(near, "item").select("tid", F.struct("rank", "item").alias("s"))
-    return kept.groupBy("tid").agg(F.array_sort(F.collect_list("s")).alias("path"))
+    keys = ["tid", weight] if weight else ["tid"]
+    kept = long.join(near, "item").select(*keys, F.struct("rank", "item").alias("s"))
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("path"))
 
 
-def weighted(transactions: DataFrame) -> DataFrame:
+def weighted(transactions: DataFrame, weight: str | None = None) -> DataFrame:
     """(path, w): distinct paths and the number of their transactions."""
-    return transactions.groupBy("path").agg(F.count("*").alias("w"))
+    return transactions.groupBy("path").agg((F.sum(weight) if weight else F.count("*")).alias("w"))
+
+
+def merged_sets(frame: DataFrame, items: str = "items", tid: str | None = None) -> DataFrame:
+    """(items, w): the distinct sets of items, ascending, and the number of their transactions; null arrays and empty sets are none.
+
+    A transaction is a row, or the rows of one tid. Equal sets are one row before the shuffle.
+    """
+    if tid is not None:
+        frame, items = baskets(explode_items(frame, items, tid), tid), "items"
+    return frame.select(F.sort_array(F.array_distinct(F.array_compact(items))).alias("items")).filter(F.size("items") > 0).groupBy("items").agg(F.count("*").alias("w"))
+
+
+def merged_paths(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, w) and ranks (item, support, rank) of the transactions, written. Sets are merged first: what is ranked, joined and written is the distinct ones."""
+    sets = materialize(merged_sets(frame, items, tid).withColumn("tid", F.monotonically_increasing_id()))
+    long = sets.select("tid", "w", F.explode("items").alias("item"))
+    ranks = materialize(ranked_items(long, check_support(min_support), "w"))
+    found = materialize(weighted(filtered(long, ranks, "w"), "w"))
+    release(sets)
+    return found, ranks
 
 
 def nodes(paths: DataFrame) -> DataFrame:

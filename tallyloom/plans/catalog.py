@@ -23,7 +23,7 @@ def _once(basket):
     return lambda spark, sf_dir: materialize(basket(spark, sf_dir))
 
 
-B1, B2, B3 = _once(src.order_brands), _once(src.user_days), _once(src.line_attributes)
+B1, B2, B3 = _once(src.order_brands), _once(src.user_days), src.line_attributes
 L1 = "SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 L2 = "SELECT DISTINCT user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS tid, event_type AS item FROM events"
 L3 = """SELECT tid, unnest(['rf=' || l_returnflag, 'ls=' || l_linestatus, 'disc=' || round(l_discount * 100)::INT::VARCHAR,
@@ -33,12 +33,13 @@ L3 = """SELECT tid, unnest(['rf=' || l_returnflag, 'ls=' || l_linestatus, 'disc=
 SHARE = {"b1": 100, "b1_low": 250, "b2": 20, "b2_low": 200, "b3": 30}
 
 
-def threshold(long, share: int) -> int:
-    return max(2, long.select("tid").distinct().count() // share)
+def threshold(basket, share: int) -> int:
+    """basket: (tid, item), or (tid, items) of one row a transaction, which needs no shuffle."""
+    return max(2, (basket if "items" in basket.columns else basket.select("tid").distinct()).count() // share)
 
 
-def sets(long):
-    return src.baskets(long)
+def sets(basket):
+    return basket if "items" in basket.columns else src.baskets(basket)
 
 
 def shown(found):

@@ -92,11 +92,12 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tid, item): five attributes of each line item as name=value."""
+    """(tid, items): five attributes of each line item as name=value; a line item without any is none. The rows are transactions as they are."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
     pct = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
     items = F.array(
         F.concat(F.lit("rf="), "l_returnflag"), F.concat(F.lit("ls="), "l_linestatus"), F.concat(F.lit("disc="), pct("l_discount")),
         F.concat(F.lit("tax="), pct("l_tax")), F.concat(F.lit("ln="), F.col("l_linenumber").cast("string")),
     )
-    return li.select(F.monotonically_increasing_id().alias("tid"), items.alias("items")).select("tid", F.explode("items").alias("item")).filter("item is not null")
+    some = "l_returnflag is not null or l_linestatus is not null or l_discount is not null or l_tax is not null or l_linenumber is not null"
+    return li.filter(some).select(F.monotonically_increasing_id().alias("tid"), F.array_compact(items).alias("items"))
