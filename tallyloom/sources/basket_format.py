@@ -1,7 +1,7 @@
 """A data source for baskets: spark.read.format("baskets").load(path) and df.write.format("baskets").save(path), after register(spark).
 
 A basket is a line of whole numbers. A file is read in splits of about `splitBytes`: each split has the lines that begin in it, so every line
-is read once, however the file is cut. A task writes a file of its own under a hidden name; commit gives the files their names, abort
+is read once, however the file is cut. A task reads several splits, so small ones don't make more tasks than the bytes do. A task writes a file of its own under a hidden name; commit gives the files their names, abort
 deletes them, so readers never see a part of a result. Paths are of any file system that pyarrow knows by its address; a path without one is a
 local one, which all executors must share.
 """
@@ -12,12 +12,19 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-
-#: Bytes of a split, and of what is read at once.
-SPLIT_BYTES, READ_BYTES = 128 << 20, 1 << 20
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+#: Bytes of a split, and of what is read at once; what is read beyond a split's end for its last line.
+SPLIT_BYTES, READ_BYTES, BEYOND_BYTES = 128 << 20, 1 << 20, 1 << 10
+#: Small splits are dealt to so many tasks, or to more of about TASK_BYTES.
+TASKS, TASK_BYTES = 64, 32 << 20
+#: Lines of a batch.
+BATCH_LINES = 10_000
 _ITEMS = re.compile(rb"\s*([+-]?\d+(?:\s+[+-]?\d+)*)")
 
 
@@ -55,7 +62,9 @@ def lines_of(source, start: int, end: int) -> Iterator[bytes]:
     at = max(start - 1, 0)  # from the byte before: a line begins at start if that one ends a line
     source.seek(at)
     rest, skip = b"", start > 0
-    while block := source.read(READ_BYTES):
+    read = at
+    while block := source.read(min(READ_BYTES, max(end - read, 0) + BEYOND_BYTES)):
+        read += len(block)
         rest += block
         *whole, rest = rest.split(b"\n")
         for line in whole:
@@ -71,10 +80,28 @@ def lines_of(source, start: int, end: int) -> Iterator[bytes]:
 
 
 @dataclass
-class Split(InputPartition):
-    path: str
-    start: int
-    end: int
+class Splits(InputPartition):
+    """Runs of neighbouring splits: (path, start, end), each to be cut every splitBytes from its start."""
+
+    runs: list[tuple[str, int, int]]
+
+
+def dealt(files: list[tuple[str, int]], size: int) -> list[Splits]:
+    """The splits of files (path, bytes), in order, for at most TASKS tasks, or as many as there are TASK_BYTES."""
+    count = sum(-(-n // size) for _, n in files)
+    tasks = min(count, max(TASKS, -(-sum(n for _, n in files) // TASK_BYTES)))
+    out: list[Splits] = [Splits([]) for _ in range(tasks)]
+    before = 0  # splits
+    for path, n in files:
+        own = -(-n // size)
+        at = 0
+        while at < own:
+            task = (before + at) * tasks // count
+            end = min(own, -(-(task + 1) * count // tasks) - before)  # the first split of the next task
+            out[task].runs.append((path, at * size, min(end * size, n)))
+            at = end
+        before += own
+    return out
 
 
 class BasketReader(DataSourceReader):
@@ -82,18 +109,22 @@ class BasketReader(DataSourceReader):
         self.path, self.size = options["path"], int(options.get("splitbytes", SPLIT_BYTES))
         self.skip = options.get("skipcomments", "false").lower() == "true"
 
-    def partitions(self) -> list[Split]:
-        cut = [Split(f, at, min(at + self.size, n)) for f, n in _files(self.path) for at in range(0, n, self.size)]
-        return cut or [Split("", 0, 0)]
+    def partitions(self) -> list[Splits]:
+        return dealt(_files(self.path), self.size) or [Splits([])]
 
-    def read(self, split: Split) -> Iterator[tuple]:
-        if not split.path:
-            return
+    def lines(self, splits: Splits) -> Iterator[bytes]:
         system, _ = _opened(self.path)
-        with system.open_input_file(split.path) as source:
-            for line in lines_of(source, split.start, split.end):
-                if not (self.skip and (not (text := line.strip()) or text.startswith(b"#"))):
-                    yield (items_of(line),)
+        for path, start, end in splits.runs:
+            with system.open_input_file(path) as source:
+                for at in range(start, end, self.size):
+                    yield from lines_of(source, at, min(at + self.size, end))
+
+    def read(self, splits: Splits) -> Iterator[pa.RecordBatch]:
+        lines = self.lines(splits)
+        if self.skip:
+            lines = (x for x in lines if (text := x.strip()) and not text.startswith(b"#"))
+        while some := list(islice(lines, BATCH_LINES)):
+            yield pa.record_batch({"items": pa.array(map(items_of, some), pa.list_(pa.int64()))})
 
 
 @dataclass
@@ -102,18 +133,26 @@ class Written(WriterCommitMessage):
     name: str
 
 
-class BasketWriter(DataSourceWriter):
+def text_of(baskets: pa.Array) -> bytes:
+    """A line for each array; an empty one for null."""
+    joined = pc.binary_join(baskets.cast(pa.list_(pa.string())), " ")
+    if joined.null_count > baskets.null_count:  # null items
+        return "".join(" ".join(map(str, x or ())) + "\n" for x in baskets.to_pylist()).encode()
+    return "".join(x + "\n" for x in pc.fill_null(joined, "").to_pylist()).encode()
+
+
+class BasketWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, at = _opened(self.path)
         system.create_dir(at, recursive=True)
         name = f"part-{uuid.uuid4().hex}.txt"
         hidden = f"{at}/_{self.job}-{name}"
         with system.open_output_stream(hidden) as out:
-            for row in rows:
-                out.write((" ".join(map(str, row["items"] or ())) + "\n").encode())
+            for batch in batches:
+                out.write(text_of(batch.column("items")))
         return Written(hidden, f"{at}/{name}")
 
     def commit(self, messages: list[Written | None]) -> None:

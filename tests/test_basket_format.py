@@ -56,3 +56,43 @@ def test_commit_overwrite_and_abort(spark, tmp_path):
     assert not [f for f in os.listdir(path) if f.startswith("_")]
     os.mkdir(tmp_path / "empty")
     assert spark.read.format("baskets").load(f"{tmp_path}/empty").count() == 0
+
+
+def test_small_splits_share_tasks(monkeypatch):
+    rng = random.Random(2)
+    for tasks, most in ((1, 10**6), (3, 10**6), (64, 10**6), (2, 50)):
+        monkeypatch.setattr(B, "TASKS", tasks, raising=False)
+        monkeypatch.setattr(B, "TASK_BYTES", most, raising=False)
+        for size in (1, 7, 100):
+            files = [(f"f{k}", rng.randrange(200)) for k in range(rng.randrange(6))] + [("one", 1)]
+            got = [(p, at, min(at + size, end)) for x in B.dealt(files, size) for p, start, end in x.runs for at in range(start, end, size)]
+            assert got == [(p, at, min(at + size, n)) for p, n in files for at in range(0, n, size)]
+            assert len(B.dealt(files, size)) <= max(tasks, -(-sum(n for _, n in files) // most)) and all(x.runs for x in B.dealt(files, size))
+
+
+def test_many_small_splits_are_few_tasks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{k} {k + 1}\n" for k in range(3000)))
+    B.register(spark)
+    read = spark.read.format("baskets").option("splitBytes", 10).load(f"{tmp_path}/a.txt")
+    assert read.rdd.getNumPartitions() <= 64
+    assert sorted(r["items"] for r in read.collect()) == [[k, k + 1] for k in range(3000)]
+
+
+def test_a_split_reads_little_beyond_its_end():
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            self.n += len(out)
+            return out
+
+    source = Counted(b"1 2 3\n" * 500_000)
+    assert len(list(B.lines_of(source, 6_000, 12_000))) == 1_000 and source.n < 20_000
+
+
+def test_text_of_nulls():
+    import pyarrow as pa
+
+    assert B.text_of(pa.array([[3, -1], None, [], [7]], pa.list_(pa.int64()))) == b"3 -1\n\n\n7\n"
+    assert B.text_of(pa.array([None, [1, 2], [3, 4]], pa.list_(pa.int64())).slice(1, 1)) == b"1 2\n"
