@@ -165,9 +165,9 @@ def _named(tables: list[DataFrame], ranks: DataFrame) -> DataFrame:
     return out
 
 
-def mine_growth(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def mine_growth(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, local_cells: int = LOCAL_CELLS, weight: str | None = None) -> DataFrame:
     """(itemset, support) as mine_mllib, by conditional projections of Spark jobs, each of at most local_cells in one task."""
-    paths, ranks = merged_paths(frame, check_support(min_support), items, tid)
+    paths, ranks = merged_paths(frame, check_support(min_support), items, tid, weight)
     base = materialize(states(paths).filter(F.size("prefix") > 0))
     release(paths)
     suffixes = materialize(ranks.select(F.col("rank").alias("id"), F.array("rank").alias("suffix")))
@@ -208,12 +208,12 @@ def group_sizes(shards: DataFrame) -> DataFrame:
     return shards.groupBy("grp").agg(F.count("*").alias("paths"), F.sum(F.size("prefix")).alias("cells"))
 
 
-def mine_groups(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, groups: int = 32, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def mine_groups(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, groups: int = 32, local_cells: int = LOCAL_CELLS, weight: str | None = None) -> DataFrame:
     """(itemset, support) as mine_mllib, from groups of items, each mined alone by one task from its own array tree.
 
     What a group holds is counted first: one of over local_cells isn't given to a task, but its items' projections go to mine_growth's jobs.
     """
-    paths, ranks = merged_paths(frame, check_support(min_support), items, tid)
+    paths, ranks = merged_paths(frame, check_support(min_support), items, tid, weight)
     bounds = _bounds(item_groups(paths, groups))
     shards = materialize(group_paths(paths, bounds)) if bounds else None
     if shards is None:

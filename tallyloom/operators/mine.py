@@ -33,14 +33,15 @@ def _empty(frame: DataFrame, items: str) -> DataFrame:
     return frame.select(F.col(items).alias("itemset"), F.lit(0).cast("long").alias("support")).limit(0)
 
 
-def mine_mllib(frame: DataFrame, min_support: int, items: str = "items", partitions: int | None = None) -> DataFrame:
+def mine_mllib(frame: DataFrame, min_support: int, items: str = "items", partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Itemsets in at least min_support transactions (sets: repeated items count once; null arrays don't count).
 
     The miner has no weights and keeps its transactions in memory: it gets each as the ranks of its frequent items, in as many partitions as
-    there are TASK_CELLS of them, whatever the partitions of the input. partitions: groups of conditional transactions.
+    there are TASK_CELLS of them, whatever the partitions of the input. partitions: groups of conditional transactions. weight: a column that says
+    how many transactions a row stands for.
     """
     check_support(min_support)
-    found, ranks = merged_paths(frame, min_support, items)
+    found, ranks = merged_paths(frame, min_support, items, weight=weight)
     n, cells = found.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("w") * F.size("path")), F.lit(0))).first()
     if not n:
         release(found, ranks)
@@ -117,7 +118,7 @@ def decode_pointers(pointers: DataFrame, item: str = "item") -> DataFrame:
     return out
 
 
-def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, max_size: int | None = None, chunk_cells: int = CHUNK_CELLS) -> DataFrame:
+def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, max_size: int | None = None, chunk_cells: int = CHUNK_CELLS, weight: str | None = None) -> DataFrame:
     """As mine_mllib, by levels: the states of a level are those extensions whose itemset is frequent.
 
     A level's candidates are counted before any of its states are made. States are written to the shared folder, so that lineage stays short and
@@ -126,7 +127,7 @@ def mine_levels(frame: DataFrame, min_support: int, items: str = "items", tid: s
     Itemsets are pointers to their parents, and decoded once at the end. The driver sees counts only.
     """
     check_support(min_support)
-    found, ranks = merged_paths(frame, min_support, items, tid)
+    found, ranks = merged_paths(frame, min_support, items, tid, weight)
     named = lambda step, i: F.struct(F.lit(step).alias("step"), i.alias("i"))
     first = materialize(states(found).filter(F.size("prefix") > 0).withColumn("id", named(0, F.col("id"))))
     release(found)
@@ -178,7 +179,8 @@ def itemsets_of(found: DataFrame, ranks: DataFrame) -> DataFrame:
 def mine(frame: DataFrame, min_support: int, items: str = "items", engine: str = "mllib", **options) -> DataFrame:
     """(itemset, support): every non-empty set of items that at least min_support transactions hold. Row order is free.
 
-    engine: mllib (Spark's), levels, growth or groups; all give the same rows.
+    engine: mllib (Spark's), levels, growth or groups; all give the same rows. weight, of all engines: a column that says how many transactions a row
+    stands for, so that sets merged once serve several of them.
     """
     from tallyloom.operators import growth
 

@@ -37,19 +37,23 @@ def weighted(transactions: DataFrame, weight: str | None = None) -> DataFrame:
     return transactions.groupBy("path").agg((F.sum(weight) if weight else F.count("*")).alias("w"))
 
 
-def merged_sets(frame: DataFrame, items: str = "items", tid: str | None = None) -> DataFrame:
+def merged_sets(frame: DataFrame, items: str = "items", tid: str | None = None, weight: str | None = None) -> DataFrame:
     """(items, w): the distinct sets of items, ascending, and the number of their transactions; null arrays and empty sets are none.
 
-    A transaction is a row, or the rows of one tid. Equal sets are one row before the shuffle.
+    A transaction is a row, or the rows of one tid; weight: how many transactions a row stands for (null, zero and less: none). Equal sets are one row
+    before the shuffle.
     """
     if tid is not None:
+        if weight is not None:
+            raise ValueError("the rows of one tid are one transaction: they have no weight")
         frame, items = baskets(explode_items(frame, items, tid), tid), "items"
-    return frame.select(F.sort_array(F.array_distinct(F.array_compact(items))).alias("items")).filter(F.size("items") > 0).groupBy("items").agg(F.count("*").alias("w"))
+    x = frame.select(F.sort_array(F.array_distinct(F.array_compact(items))).alias("items"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    return x.filter((F.size("items") > 0) & (F.col("w") > 0)).groupBy("items").agg(F.sum("w").alias("w"))
 
 
-def merged_paths(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None) -> tuple[DataFrame, DataFrame]:
+def merged_paths(frame: DataFrame, min_support: int, items: str = "items", tid: str | None = None, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, w) and ranks (item, support, rank) of the transactions, written. Sets are merged first: what is ranked, joined and written is the distinct ones."""
-    sets = materialize(merged_sets(frame, items, tid).withColumn("tid", F.monotonically_increasing_id()))
+    sets = materialize(merged_sets(frame, items, tid, weight).withColumn("tid", F.monotonically_increasing_id()))
     long = sets.select("tid", "w", F.explode("items").alias("item"))
     ranks = materialize(ranked_items(long, check_support(min_support), "w"))
     found = materialize(weighted(filtered(long, ranks, "w"), "w"))

@@ -23,7 +23,7 @@ def _once(basket):
     return lambda spark, sf_dir: materialize(basket(spark, sf_dir))
 
 
-B1, B2, B3 = _once(src.order_brands), _once(src.user_days), src.line_attributes
+B1, B2, B3 = _once(src.order_brands), _once(src.user_days), _once(src.line_attribute_sets)
 L1 = "SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 L2 = "SELECT DISTINCT user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS tid, event_type AS item FROM events"
 L3 = """SELECT tid, unnest(['rf=' || l_returnflag, 'ls=' || l_linestatus, 'disc=' || round(l_discount * 100)::INT::VARCHAR,
@@ -34,8 +34,9 @@ SHARE = {"b1": 100, "b1_low": 250, "b2": 20, "b2_low": 200, "b3": 30}
 
 
 def threshold(basket, share: int) -> int:
-    """basket: (tid, item), or (tid, items) of one row a transaction, which needs no shuffle."""
-    return max(2, (basket if "items" in basket.columns else basket.select("tid").distinct()).count() // share)
+    """basket: (tid, item), or (items, w) of one row for w transactions."""
+    n = basket.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0] if "w" in basket.columns else basket.select("tid").distinct().count()
+    return max(2, n // share)
 
 
 def sets(basket):
@@ -49,7 +50,7 @@ def shown(found):
 def _mined(basket, share, engine):
     def query(spark, sf_dir):
         long = basket(spark, sf_dir)
-        return shown(mine.mine(sets(long), threshold(long, share), engine=engine))
+        return shown(mine.mine(sets(long), threshold(long, share), engine=engine, weight="w" if "w" in long.columns else None))
 
     return query
 
@@ -455,10 +456,10 @@ def difference_both_ways(spark, sf_dir):
 
 def engines_equal(spark, sf_dir):
     """How many itemsets each engine has in common with Spark's miner, by size."""
-    long = B3(spark, sf_dir)
-    m, tx = threshold(long, SHARE["b3"]), materialize(sets(long))
-    base = materialize(mine.mine(tx, m))
-    each = [itemsets.common(base, mine.mine(tx, m, engine=e)).select(F.lit(e).alias("engine"), F.size("itemset").alias("size")) for e in ("levels", "growth", "groups")]
+    tx = B3(spark, sf_dir)
+    m = threshold(tx, SHARE["b3"])
+    base = mine.mine(tx, m, weight="w")
+    each = [itemsets.common(base, mine.mine(tx, m, engine=e, weight="w")).select(F.lit(e).alias("engine"), F.size("itemset").alias("size")) for e in ("levels", "growth", "groups")]
     return reduce(DataFrame.unionAll, each).groupBy("engine", "size").agg(F.count("*").alias("n"))
 
 

@@ -91,13 +91,28 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("tid"), F.col("event_type").alias("item")).distinct()
 
 
-def line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tid, items): five attributes of each line item as name=value; a line item without any is none. The rows are transactions as they are."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
+_ATTRIBUTES = ("l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_linenumber")
+
+
+def _line_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """The line items that have an attribute, and their attributes as an array."""
     pct = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
     items = F.array(
         F.concat(F.lit("rf="), "l_returnflag"), F.concat(F.lit("ls="), "l_linestatus"), F.concat(F.lit("disc="), pct("l_discount")),
         F.concat(F.lit("tax="), pct("l_tax")), F.concat(F.lit("ln="), F.col("l_linenumber").cast("string")),
     )
-    some = "l_returnflag is not null or l_linestatus is not null or l_discount is not null or l_tax is not null or l_linenumber is not null"
-    return li.filter(some).select(F.monotonically_increasing_id().alias("tid"), F.array_compact(items).alias("items"))
+    some = " or ".join(f"{c} is not null" for c in _ATTRIBUTES)
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_ATTRIBUTES).filter(some), F.array_compact(items).alias("items")
+
+
+def line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tid, items): five attributes of each line item as name=value; a line item without any is none. The rows are transactions as they are."""
+    li, items = _line_items(spark, sf_dir)
+    return li.select(F.monotonically_increasing_id().alias("tid"), items)
+
+
+def line_attribute_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(items, w): the transactions of line_attributes, each kind of line item once with their number. Line items are counted by their columns, so that
+    items are made for the kinds only."""
+    li, items = _line_items(spark, sf_dir)
+    return li.groupBy(*_ATTRIBUTES).agg(F.count("*").alias("w")).select(items, "w")
